@@ -23,11 +23,15 @@ LINK_SKIP = ("script", "style")
 
 _MARK = "\u0001"
 _TAG = r"<[a-zA-Z/!?](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
+# Entities replaced natively; the ampersand comes last so that nothing is unescaped twice.
 _ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&euro;", "€"), ("&amp;", "&"),
+    ("&nbsp;", "\u00a0"), ("&euro;", "€"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&eacute;", "é"), ("&egrave;", "è"), ("&euml;", "ë"), ("&iuml;", "ï"),
+    ("&ouml;", "ö"), ("&uuml;", "ü"), ("&amp;", "&"),
 )
-_RARE_ENTITY = r"&(?!(?:lt|gt|quot|apos|#39|nbsp|euro|amp);)[A-Za-z#]"
+_RARE_ENTITY = "&(?!(?:" + "|".join(name[1:-1] for name, _ in _ENTITIES) + ");)[A-Za-z#]"
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 

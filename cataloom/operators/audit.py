@@ -46,7 +46,7 @@ def failure_class(text: Column, classes: Sequence[tuple[str, str]] = vocab.FAILU
 
 def failure_histogram(review: DataFrame, failures: str = "failures", verdict: str = "verdict", status: str = "status") -> DataFrame:
     """Each failure counts under its first class; a row without any class counts once by its verdict."""
-    classes = F.array_compact(F.transform(F.coalesce(failures, F.array().cast("array<string>")), failure_class))
+    classes = F.array_compact(F.transform(F.coalesce(failures, F.array().cast("array<string>")), lambda f: failure_class(f)))
     other = (F.when(F.col(verdict) == "reject", "verifier_rejected")
              .when(F.col(status) == "blocked_by_bot_protection", "bot_protection").otherwise("unspecified_review"))
     labels = F.when(F.size(classes) > 0, classes).otherwise(F.array(other))

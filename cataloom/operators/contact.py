@@ -73,8 +73,8 @@ def contact_block(df: DataFrame, column: str, compat: bool = False) -> DataFrame
     usable_next = ~is_external(F.col("_next")) if compat else ~F.col("_next").rlike(r"(?i)^(https?:|www\.)")
     city = F.when(after != "", clean_city(after)).when(usable_next, clean_city(F.col("_next")))
     street = F.when(before.rlike(r"\d"), before).when(F.lower("_prev") != "contact", F.col("_prev"))
-    outside = F.filter(F.flatten(F.transform("_ps", lambda p: p["links"])), is_external)
-    own = F.filter(F.col("_hit.links"), is_external)
+    outside = F.filter(F.flatten(F.transform("_ps", lambda p: p["links"])), lambda x: is_external(x))
+    own = F.filter(F.col("_hit.links"), lambda x: is_external(x))
     site = F.coalesce(F.get(own, F.lit(0)), F.get(outside, F.lit(0)))
     return staged.withColumns({
         "street": empty_to_null(street), "postcode": extract_postcode(line),
