@@ -13,26 +13,41 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import vocab
 from ..operators.quality import DatasetRules, dataset_verdict
 from ..operators.snapshot import soft_delete_merge
-from ..sources.publish import publish_if_changed, read_published
+from ..session import materialise
+from ..sources.publish import current_version, publish_if_changed, read_published
 
 
-def ingest_snapshots(stream: DataFrame, root: str, checkpoint: str, rules: DatasetRules = DatasetRules(),
+def announce(snapshot: DataFrame, path: str, inbox: str) -> None:
+    """Write a snapshot folder, then its arrival notice: one small row naming the folder."""
+    snapshot.write.parquet(path)
+    snapshot.sparkSession.createDataFrame([(path,)], "path string").write.mode("append").json(inbox)
+
+
+def read_arrivals(spark: SparkSession, inbox: str) -> DataFrame:
+    """Stream of arrival notices, one notice file per micro-batch."""
+    return spark.readStream.schema("path string").option("maxFilesPerTrigger", 1).json(inbox)
+
+
+def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: DatasetRules = DatasetRules(),
                      errors: Column | None = None, key: str = "slug") -> StreamingQuery:
-    """Merge each arriving snapshot into the published table; a snapshot failing the gates is skipped.
+    """Merge each announced snapshot into the published table; one failing the gates is skipped.
 
-    Versions are the batch numbers, so a batch repeated after a failure writes the same version.
-    Stream one snapshot per batch (``maxFilesPerTrigger``).
+    Only the notices stream through the driver; the snapshot itself is read from its folder with
+    full parallelism. Versions follow the batch numbers, so a batch repeated after a failure
+    finds its own version published and merges nothing twice.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
-        published = read_published(spark, root)
-        merged = batch if published is None else soft_delete_merge(batch, published, key)
-        if dataset_verdict(merged, published, rules, errors, key).first().is_valid:
-            publish_if_changed(merged, root, f"{batch_id:012d}")
-
-    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        for i, row in enumerate(batch.orderBy("path").toLocalIterator()):
+            version = f"{batch_id:012d}-{i:04d}"
+            if (current_version(spark, root) or "") >= version:
+                continue
+            fresh, published = spark.read.parquet(row.path), read_published(spark, root)
+            merged = fresh if published is None else materialise(soft_delete_merge(fresh, published, key), "merged")
+            if dataset_verdict(merged, published, rules, errors, key).first().is_valid:
+                publish_if_changed(merged, root, version)
+
+    return (arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -77,6 +92,3 @@ def monthly_counter(requests: DataFrame, ts: str = "ts", late: str = "1 day") ->
     month = F.date_trunc("month", F.col(ts)).cast("date").alias("month")
     return rows.where("ok").groupBy(month).agg(F.count(F.lit(1)).alias("used"))
 
-
-def read_snapshots(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

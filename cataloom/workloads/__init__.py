@@ -2,3 +2,5 @@
 
 from . import snapshots  # noqa: F401
 from . import texts  # noqa: F401
+from . import finder  # noqa: F401
+from . import checks  # noqa: F401

@@ -98,7 +98,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN n_orders % 4 = 0 OR n_orders % 7 = 0 OR n_orders % 11 = 0 THEN NULL ELSE low_price END AS price, n_orders, first_order, last_order
         FROM {catalog} c JOIN {activity} a ON c.id = a.o_custkey""",
     "ratings": """
-        SELECT slug, cast((n_orders * 7 % 21 + 30) / 10.0e0 as decimal(3,1)) AS rating, cast(n_orders * 13 as int) AS reviews
+        SELECT slug, cast((n_orders * 5 % 21 + 30) / 10.0e0 as decimal(3,1)) AS rating, cast(n_orders * 13 as int) AS reviews
         FROM {catalog} c JOIN {activity} a ON c.id = a.o_custkey WHERE n_orders > 6""",
     # Catalogue-like rows from parts: price spread over the bands, some without a score.
     "items": """
@@ -106,12 +106,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_size % 9 = 0 THEN 'free' WHEN p_size % 13 = 0 THEN 'unknown' ELSE 'paid' END AS price_status,
                CASE WHEN p_size % 9 = 0 THEN cast(0 as decimal(9,2)) WHEN p_size % 13 = 0 THEN NULL
                     ELSE cast(cast(floor(p_retailprice) as bigint) * (p_partkey % 4 + 1) / 160.0e0 as decimal(9,2)) END AS price,
-               CASE WHEN p_size % 10 = 7 THEN NULL ELSE cast((p_partkey * 7 % 21 + 30) / 10.0e0 as decimal(3,1)) END AS rating,
+               CASE WHEN p_size % 10 = 7 THEN NULL ELSE cast((p_partkey * 5 % 21 + 30) / 10.0e0 as decimal(3,1)) END AS rating,
                cast(p_partkey % 83 as int) AS reviews
         FROM {part}""",
     # User lists from the event log: an owner's entries in event order.
     "list_items": """
-        SELECT cast(user_id as string) AS owner, event_id AS pos, trim(replace(replace(props, '"k":', ''), '}', ''), '{ ') AS raw_item,
+        SELECT cast(user_id as string) AS owner, event_id AS pos, replace(replace(replace(replace(props, '"k":', ''), '}', ''), '{', ''), ' ', '') AS raw_item,
                event_type = 'purchase' AS visited, event_type AS note, ts
         FROM {events}""",
     # Claims about documents: quote and amount from the text, some altered.
