@@ -7,14 +7,14 @@ an Arrow function; every other row passes that function as a null.
 
 from __future__ import annotations
 
-import html as html_lib
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .text import trim_space
 from .urls import netloc, path
 
 TEXT_SKIP = ("script", "style", "noscript", "svg", "header", "footer", "nav")
@@ -32,43 +32,69 @@ _ENTITIES = (
     ("&ouml;", "ö"), ("&uuml;", "ü"), ("&amp;", "&"),
 )
 _RARE_ENTITY = "&(?!(?:" + "|".join(name[1:-1] for name, _ in _ENTITIES) + ");)[A-Za-z#]"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
-@F.pandas_udf(StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: None if s is None else html_lib.unescape(s))
+class _Reader(HTMLParser):
+    """Text pieces outside skipped elements, each with the title or h1 it belongs to."""
 
-
-class _Chunks(HTMLParser):
     def __init__(self, skip: frozenset[str]):
         super().__init__()
-        self.skip, self.depth, self.found = skip, 0, []
+        self.skip, self.depth, self.inside = skip, 0, ""
+        self.pieces, self.description = [], ""
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.skip
+        if tag in self.skip:
+            self.depth += 1
+        elif self.depth:
+            return
+        elif tag in ("title", "h1"):
+            self.inside = tag
+        elif tag == "meta":
+            given = {k: v or "" for k, v in attrs}
+            if given.get("name", "").lower() == "description":
+                self.description = given.get("content", "")
 
     def handle_endtag(self, tag):
-        if tag in self.skip and self.depth:
-            self.depth -= 1
+        if tag in self.skip:
+            self.depth = max(self.depth - 1, 0)
+        elif tag == self.inside:
+            self.inside = ""
 
     def handle_data(self, data):
-        if not self.depth:
-            self.found.append(data)
+        text = data.strip()
+        if text and not self.depth:
+            self.pieces.append((self.inside, text))
+
 
+def _read(page: str, skip: tuple[str, ...]) -> _Reader:
+    reader = _Reader(frozenset(skip))
+    reader.feed(page)
+    return reader
 
-def _parser_udf(skip: tuple[str, ...]):
-    wanted = frozenset(skip)
 
+def _chunks_udf(skip: tuple[str, ...]):
     @F.pandas_udf(StringType())
-    def parse(values: pd.Series) -> pd.Series:
-        def one(page):
+    def parse(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: None if page is None else _MARK.join(text for _, text in _read(page, skip).pieces))
+
+    return parse
+
+
+_IDENTITY = StructType([StructField(n, StringType()) for n in ("title", "h1", "meta_description", "body_preview")])
+
+
+def _identity_udf(preview: int):
+    @F.pandas_udf(_IDENTITY)
+    def parse(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
             if page is None:
-                return None
-            reader = _Chunks(wanted)
-            reader.feed(page)
-            return _MARK.join(reader.found)
-        return values.map(one)
+                rows.append((None,) * 4)
+                continue
+            found = _read(page, IDENTITY_SKIP)
+            kinds = {k: [t for kind, t in found.pieces if kind == k] for k in ("title", "h1", "")}
+            rows.append((" ".join(kinds["title"]), " ".join(kinds["h1"]), found.description.strip(), " ".join(kinds[""][:preview])))
+        return pd.DataFrame(rows, columns=_IDENTITY.names)
 
     return parse
 
@@ -77,7 +103,7 @@ def unescape(c: Column) -> Column:
     plain = c
     for entity, char in _ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.coalesce(_unescape(F.when(c.rlike(_RARE_ENTITY), c)), plain)
+    return F.when(c.contains("&"), plain).otherwise(c)
 
 
 def strip_blocks(page: Column, skip: tuple[str, ...]) -> Column:
@@ -87,21 +113,32 @@ def strip_blocks(page: Column, skip: tuple[str, ...]) -> Column:
         page, rf"(?is)<!--.*?-->|<({names})\b[^>]*(?<!/)>.*?</\1\s*>", _MARK)
 
 
+def _irregular(body: Column, texts: list[Column], skip: tuple[str, ...]) -> Column:
+    """Left-over skipped tags in the body, or a stray ``<`` or rare entity in a text part."""
+    odd = body.rlike(rf"(?i)</?(?:{'|'.join(skip)})\b")
+    for text in texts:
+        odd = odd | text.contains("<") | text.rlike(_RARE_ENTITY)
+    return odd
+
+
 def _split_chunks(marked: Column) -> Column:
-    trimmed = F.transform(F.split(marked, _MARK), lambda x: F.regexp_replace(x, _EDGE_SPACE, ""))
-    return F.filter(trimmed, lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, _MARK), lambda x: trim_space(x)), lambda x: x != "")
 
 
-def chunks(page: Column, skip: tuple[str, ...] = TEXT_SKIP) -> Column:
-    """Non-empty text pieces between tags, in order."""
-    marked = F.regexp_replace(strip_blocks(page, skip), _TAG, _MARK)
-    odd = marked.contains("<") | strip_blocks(page, skip).rlike(rf"(?i)</?(?:{'|'.join(skip)})\b")
-    parsed = _parser_udf(skip)(F.when(odd, page))
-    return _split_chunks(F.coalesce(parsed, unescape(marked)))
+def with_chunks(df: DataFrame, page: str, out: str, skip: tuple[str, ...] = TEXT_SKIP) -> DataFrame:
+    """Add the non-empty text pieces between tags, in order. Steps are separate columns so
+    that each pass over the page is made once."""
+    staged = df.withColumn("_body", strip_blocks(F.col(page), skip))
+    staged = staged.withColumn("_marked", F.regexp_replace("_body", _TAG, _MARK))
+    staged = staged.withColumn("_odd", _irregular(F.col("_body"), [F.col("_marked")], skip))
+    staged = staged.withColumn("_read", _chunks_udf(skip)(F.when(F.col("_odd"), F.col(page))))
+    text = F.coalesce("_read", unescape(F.col("_marked")))
+    return staged.withColumn("_text", text).withColumn(out, _split_chunks(F.col("_text"))).drop("_body", "_marked", "_odd", "_read", "_text")
 
 
-def visible_text(page: Column) -> Column:
-    return F.regexp_replace(F.array_join(chunks(page), "\n"), r"\n{3,}", "\n\n")
+def with_visible_text(df: DataFrame, page: str, out: str) -> DataFrame:
+    chunked = with_chunks(df, page, "_chunks")
+    return chunked.withColumn(out, F.regexp_replace(F.array_join("_chunks", "\n"), r"\n{3,}", "\n\n")).drop("_chunks")
 
 
 def _inner_text(fragments: Column) -> Column:
@@ -119,20 +156,26 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)])
 
 
-def page_identity(page: Column, preview: int = 20) -> Column:
-    """struct(title, h1, meta_description, body_preview)."""
-    body = strip_blocks(page, IDENTITY_SKIP)
+def with_identity(df: DataFrame, page: str, out: str, preview: int = 20) -> DataFrame:
+    """Add struct(title, h1, meta_description, body_preview)."""
+    staged = df.withColumn("_body", strip_blocks(F.col(page), IDENTITY_SKIP))
+    body = F.col("_body")
     metas = F.regexp_extract_all(body, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     described = F.filter(metas, lambda m: F.lower(_attribute(m, "name")) == "description")
-    description = F.coalesce(_attribute(F.try_element_at(described, F.lit(-1)), "content"), F.lit(""))
     rest = F.regexp_replace(body, r"(?is)<(title|h1)\b[^>]*>.*?</\1\s*>", _MARK)
-    pieces = _split_chunks(unescape(F.regexp_replace(rest, _TAG, _MARK)))
-    return F.struct(
-        _inner_text(_bodies(body, "title")).alias("title"),
-        _inner_text(_bodies(body, "h1")).alias("h1"),
-        F.regexp_replace(unescape(description), _EDGE_SPACE, "").alias("meta_description"),
-        F.array_join(F.slice(pieces, 1, preview), " ").alias("body_preview"),
-    )
+    staged = staged.withColumns({
+        "_rest": F.regexp_replace(rest, _TAG, _MARK), "_titles": _bodies(body, "title"), "_h1s": _bodies(body, "h1"),
+        "_meta": F.coalesce(_attribute(F.try_element_at(described, F.lit(-1)), "content"), F.lit(""))})
+    staged = staged.withColumn("_odd", _irregular(
+        body, [F.col("_rest"), *[F.regexp_replace(F.array_join(c, " "), _TAG, "") for c in ("_titles", "_h1s")], F.col("_meta")], IDENTITY_SKIP))
+    staged = staged.withColumn("_read", _identity_udf(preview)(F.when(F.col("_odd"), F.col(page))))
+    staged = staged.withColumn("_plain", unescape(F.col("_rest")))
+    native = F.struct(
+        _inner_text(F.col("_titles")).alias("title"), _inner_text(F.col("_h1s")).alias("h1"),
+        trim_space(unescape(F.col("_meta"))).alias("meta_description"),
+        F.array_join(F.slice(_split_chunks(F.col("_plain")), 1, preview), " ").alias("body_preview"))
+    return staged.withColumn(out, F.when(F.col("_odd"), F.col("_read")).otherwise(native)).drop(
+        "_body", "_rest", "_titles", "_h1s", "_meta", "_odd", "_read", "_plain")
 
 
 def _remove_dot_segments(target: Column) -> Column:
@@ -166,17 +209,13 @@ def _usable(href: Column) -> Column:
 
 
 def _clean_href(tag: Column) -> Column:
-    raw = _attribute(tag, "href")
-    plain = raw
-    for entity, char in _ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.trim(F.split_part(F.trim(plain), F.lit("#"), F.lit(1)))
+    return F.trim(F.split_part(F.trim(unescape(_attribute(tag, "href"))), F.lit("#"), F.lit(1)))
 
 
 def links(page: Column, base: Column) -> Column:
     """Array of absolute link targets in document order, duplicates kept."""
     tags = F.regexp_extract_all(strip_blocks(page, LINK_SKIP), F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
-    hrefs = F.filter(F.transform(tags, _clean_href), _usable)
+    hrefs = F.filter(F.transform(tags, lambda x: _clean_href(x)), _usable)
     return F.transform(hrefs, lambda h: resolve(base, h))
 
 
@@ -185,6 +224,6 @@ def anchors(page: Column, base: Column) -> Column:
     found = F.regexp_extract_all(strip_blocks(page, TEXT_SKIP), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
     rows = F.transform(found, lambda a: F.struct(
         _clean_href(F.regexp_extract(a, r"(?is)^(<a\s[^>]*>)", 1)).alias("href"),
-        F.array_join(_split_chunks(F.regexp_replace(a, _TAG, _MARK)), " ").alias("text")))
+        F.array_join(_split_chunks(unescape(F.regexp_replace(a, _TAG, _MARK))), " ").alias("text")))
     usable = F.filter(rows, lambda r: _usable(r["href"]))
     return F.transform(usable, lambda r: F.struct(resolve(base, r["href"]).alias("url"), r["text"].alias("text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -44,10 +45,9 @@ def is_blocklisted(
     label_mark: str = vocab.AGGREGATOR_LABEL_MARK,
 ) -> Column:
     """Host equal to or under a listed domain, or a marked first label; no URL counts as listed."""
-    labels = F.split(host(url), r"\.")
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."))
-    listed = F.exists(suffixes, lambda s: s.isin(*blocklist))
-    return F.coalesce(url == "", F.lit(True)) | listed | labels[0].contains(label_mark)
+    name = host(url)
+    listed = name.rlike(r"(?:^|\.)(?:" + "|".join(re.escape(d) for d in blocklist) + ")$")
+    return F.coalesce(url == "", F.lit(True)) | listed | F.split_part(name, F.lit("."), F.lit(1)).contains(label_mark)
 
 
 def is_external(url: Column, marks: Sequence[str] = vocab.INTERNAL_LINK_MARKS) -> Column:

@@ -31,8 +31,8 @@ def check_both(pairs: DataFrame, compat: bool = False) -> DataFrame:
     """Add fails1 and fails2 for rows holding m1, m2, website and page_text (text read once)."""
     df = pairs.withColumn("_norm", match_norm_loose(F.col("page_text")))
     df = df.withColumn("_q1", F.col("m1.quote")).withColumn("_q2", F.col("m2.quote"))
-    df = quote_in_text(df, "_q1", "page_text", "_f1")
-    df = quote_in_text(df, "_q2", "page_text", "_f2")
+    df = quote_in_text(df, "_q1", "_norm", "_f1", normalised=True)
+    df = quote_in_text(df, "_q2", "_norm", "_f2", normalised=True)
     for i in (1, 2):
         df = df.withColumn(f"fails{i}", safety_net(F.col(f"m{i}"), F.col("website"), F.col("_norm"), F.coalesce(f"_f{i}", F.lit(False)), compat))
     return df.drop("_norm", "_q1", "_q2", "_f1", "_f2")

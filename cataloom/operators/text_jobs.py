@@ -21,14 +21,19 @@ STEPS = {
     "clean_city": text.clean_city,
     "scrub_secrets": text.scrub,
     "word_count": text.word_count,
-    "visible_text": html.visible_text,
-    "page_identity": html.page_identity,
 }
 
+# page steps stage intermediate columns, so they work on the frame
+PAGE_STEPS = {"visible_text": html.with_visible_text, "page_identity": html.with_identity}
+
 
 def prepare_text(df: DataFrame, steps: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add ``out = step(source)`` columns: ``{"key": ("token_key", "name")}``."""
-    return df.withColumns({out: STEPS[step](F.col(source)) for out, (step, source) in steps.items()})
+    done = df.withColumns({out: STEPS[step](F.col(source)) for out, (step, source) in steps.items() if step in STEPS})
+    for out, (step, source) in steps.items():
+        if step in PAGE_STEPS:
+            done = PAGE_STEPS[step](done, source, out)
+    return done
 
 
 def scrub_columns(df: DataFrame, patterns=vocab.SECRET_PATTERNS) -> DataFrame:

@@ -88,7 +88,8 @@ def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as
 
 def page_context(pages: DataFrame, catalog: DataFrame, max_pages: int = 4) -> DataFrame:
     """(slug, page_text, n_pages) from pages(slug, rank, html); text of the chosen pages joined."""
-    read = top_per_key(pages.select("slug", "rank", "html"), ["slug"], [F.col("rank")], max_pages, "_n").withColumn("_text", html.visible_text(F.col("html")))
+    read = top_per_key(pages.select("slug", "rank", "html"), ["slug"], [F.col("rank")], max_pages, "_n")
+    read = html.with_visible_text(read, "html", "_text")
     text = read.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("_n", "_text"))).alias("_p"))
     return catalog.select("slug", "name", "city", F.col("museum_website").alias("website")).join(
         text.select("slug", F.array_join(F.transform("_p", lambda p: p["_text"]), "\n").alias("page_text")), "slug", "left")
@@ -113,14 +114,14 @@ def propose_websites(catalog: DataFrame, pages: DataFrame, hits: DataFrame, chec
     tokens = gates.distinctive_tokens(F.col("name"), F.col("city"))
     found = hits.where(~links.is_blocklisted(F.col("url"))).join(lacking.select("slug", tokens.alias("tokens")), "slug")
     best = links.score_candidates(found)
-    identified = pages.select("url", html.page_identity(F.col("html")).alias("identity"))
+    identified = html.with_identity(pages, "html", "identity").select("url", "identity")
     rows = best.join(identified, "url").join(lacking.select("slug", "name", "city"), "slug")
     return prop.website_proposals(rows, checked_on)
 
 
 def propose_addresses(catalog: DataFrame, contact_pages: DataFrame, checked_on: str) -> DataFrame:
     """contact_pages(slug, page_rank, url, html) -> differing postcodes found on them."""
-    text = contact_pages.select("slug", "page_rank", "url", html.visible_text(F.col("html")).alias("body"))
+    text = html.with_visible_text(contact_pages, "html", "body").select("slug", "page_rank", "url", "body")
     contexts = mining.pattern_contexts(text, "body")
     rows = snapshot.active_only(catalog).select("slug", F.col("address.postcode").alias("postcode"))
     return prop.address_proposals(rows, contexts, checked_on)
@@ -129,7 +130,7 @@ def propose_addresses(catalog: DataFrame, contact_pages: DataFrame, checked_on:
 def audit_identity(catalog: DataFrame, pages: DataFrame, compat: bool = False) -> DataFrame:
     """pages(url, html) of the entities' own sites -> identity status per active entity."""
     rows = snapshot.active_only(catalog).select("slug", "name", "city", F.col("museum_website").alias("url"))
-    read = pages.select("url", html.page_identity(F.col("html")).alias("identity"))
+    read = html.with_identity(pages, "html", "identity").select("url", "identity")
     joined = rows.join(read, "url", "left")
     checked = gates.identity_status(joined, "name", "city", "identity", compat)
     status = (F.when(F.coalesce(F.col("url"), F.lit("")) == "", "missing_website").when(F.col("identity").isNull(), "fetch_failed").otherwise(F.col("identity_status")))

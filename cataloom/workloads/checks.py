@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..functions.text import distinctive_tokens, fold, match_norm
 from ..operators import agreement, audit, gates, lists, propose, quality, recheck
 from ..operators.scale import rank_by_slice
 from ..session import scratch_path
@@ -52,12 +53,14 @@ def gate_domain(t: Tables):
 @query("gate_literal", f"SELECT slug, {_LITERAL} AS failure FROM {{claims}}")
 def gate_literal(t: Tables):
     c = F.col
-    return _claims(t).select("slug", gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status")).alias("failure"))
+    rows = _claims(t).withColumn("norm", match_norm(c("page_text")))
+    return rows.select("slug", gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status"), norm_page=c("norm")).alias("failure"))
 
 
 @query("gate_identity", f"SELECT slug, {_IDENT} AS failure FROM (SELECT *, {_FOLDED} AS t FROM {{claims}})")
 def gate_identity(t: Tables):
-    return _claims(t).select("slug", gates.gate_identity(F.col("page_text"), F.col("name"), F.col("city")).alias("failure"))
+    rows = _claims(t).select("slug", fold(match_norm(F.col("page_text"))).alias("text"), distinctive_tokens(F.col("name"), F.col("city")).alias("tokens"))
+    return rows.select("slug", gates.gate_identity(F.col("text"), F.col("tokens")).alias("failure"))
 
 
 @query("gate_range", f"SELECT slug, {_RANGE} AS failure FROM {{claims}}")
@@ -165,7 +168,8 @@ def quote_in_text(t: Tables):
 
 @query("identity_status")
 def identity_status(t: Tables):
-    rows = t.pages.select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), html.page_identity(F.col("html")).alias("identity"))
+    rows = t.pages.select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
+    rows = html.with_identity(rows, "html", "identity")
     return gates.identity_status(rows, "name", "city", "identity").select("page_id", "identity_status")
 
 

@@ -138,7 +138,7 @@ def _inner_sql(tag: str) -> str:
        + " AS h1, '' AS meta_description, md5(array_to_string(list_slice(" + _pieces_sql("regexp_replace(regexp_replace(b, '(?is)<title[^>]*>.*?</title>', chr(1), 'g'), '(?is)<h1[^>]*>.*?</h1>', chr(1), 'g')") + ", 1, 20), ' ')) AS preview_md5 FROM v")
 def page_identity(t: Tables):
     p = F.col("p")
-    return t.pages.select("page_id", html.page_identity(F.col("html")).alias("p")).select("page_id", p["title"].alias("title"), p["h1"].alias("h1"), p["meta_description"].alias("meta_description"), F.md5(p["body_preview"]).alias("preview_md5"))
+    return html.with_identity(t.pages.select("page_id", "html"), "html", "p").select("page_id", p["title"].alias("title"), p["h1"].alias("h1"), p["meta_description"].alias("meta_description"), F.md5(p["body_preview"]).alias("preview_md5"))
 
 
 @query("concat_pages", """
