@@ -170,12 +170,14 @@ def with_identity(df: DataFrame, page: str, out: str, preview: int = 20) -> Data
         body, [F.col("_rest"), *[F.regexp_replace(F.array_join(c, " "), _TAG, "") for c in ("_titles", "_h1s")], F.col("_meta")], IDENTITY_SKIP))
     staged = staged.withColumn("_read", _identity_udf(preview)(F.when(F.col("_odd"), F.col(page))))
     staged = staged.withColumn("_plain", unescape(F.col("_rest")))
-    native = F.struct(
-        _inner_text(F.col("_titles")).alias("title"), _inner_text(F.col("_h1s")).alias("h1"),
-        trim_space(unescape(F.col("_meta"))).alias("meta_description"),
-        F.array_join(F.slice(_split_chunks(F.col("_plain")), 1, preview), " ").alias("body_preview"))
-    return staged.withColumn(out, F.when(F.col("_odd"), F.col("_read")).otherwise(native)).drop(
-        "_body", "_rest", "_titles", "_h1s", "_meta", "_odd", "_read", "_plain")
+    native = {
+        "title": _inner_text(F.col("_titles")), "h1": _inner_text(F.col("_h1s")),
+        "meta_description": trim_space(unescape(F.col("_meta"))),
+        "body_preview": F.array_join(F.slice(_split_chunks(F.col("_plain")), 1, preview), " ")}
+    # One column per field first: a field read several times later is then computed once.
+    staged = staged.withColumns({f"_f_{n}": F.when(F.col("_odd"), F.col(f"_read.{n}")).otherwise(c) for n, c in native.items()})
+    return staged.withColumn(out, F.struct(*[F.col(f"_f_{n}").alias(n) for n in native])).drop(
+        "_body", "_rest", "_titles", "_h1s", "_meta", "_odd", "_read", "_plain", *[f"_f_{n}" for n in native])
 
 
 def _remove_dot_segments(target: Column) -> Column:

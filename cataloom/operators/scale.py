@@ -18,6 +18,15 @@ from pyspark.sql import Window as W
 from ..session import materialise
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a narrow, CPU-heavy job over all cores when its input has fewer splits than cores.
+
+    A large table has many splits and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Column, newest: bool = True) -> DataFrame:
     """The row with the greatest (or least) ``order`` per key, columns as given."""
     rest = [c for c in df.columns if c not in keys]

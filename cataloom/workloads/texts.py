@@ -7,6 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import geo, html, prices, text, urls, vocab
 from ..operators import contact, links, mining, standardise, text_jobs
+from ..operators.scale import spread
 from ..session import scratch_path
 from ..sources import documents
 from .registry import Tables, query
@@ -431,7 +432,7 @@ def parse_json_ladder(t: Tables):
     raw = (F.when(kind == "click", body("paid")).when(kind == "signup", F.concat(F.lit("Here:\n```json\n"), body("free"), F.lit("\n```\nDone {")))
            .when(kind == "view", F.concat(F.lit("Answer: "), body("closed"), F.lit(" thanks"))).when(kind == "purchase", F.concat(F.lit('{"status": {"value": "closed"}, "primary_adult_eur": {"value": "'), k, F.lit('"}, "reasoning": "cut off he')))
            .otherwise("no answer"))
-    parsed = mining.answer_fields(mining.parse_answers(t.events.select("event_id", raw.alias("raw")), "raw"))
+    parsed = mining.answer_fields(mining.parse_answers(spread(t.events).select("event_id", raw.alias("raw")), "raw"))
     return parsed.select("event_id", F.col("primary_adult_eur").alias("price"), "status")
 
 
@@ -480,7 +481,7 @@ def contact_block(t: Tables):
     own = node(line, F.when(seg != "household", F.col("site")))
     ignored = node(F.lit("Later 9999 ZZ Elsewhere"), F.lit("/internal"))
     doc = F.to_json(F.array(F.struct(F.lit("section").alias("type"), F.array(first, own, F.when(seg != "machinery", ignored).otherwise(node(F.lit("none"), F.lit("/x")))).alias("content"))))
-    rows = t.view("catalog").select("slug", F.from_json(doc, contact.blocks_schema()).alias("blocks")).withColumn("ps", contact.paragraphs(F.col("blocks")))
+    rows = spread(t.view("catalog")).select("slug", F.from_json(doc, contact.blocks_schema()).alias("blocks")).withColumn("ps", contact.paragraphs(F.col("blocks")))
     return contact.contact_block(rows, "ps").select("slug", "street", "postcode", "city", "site")
 
 
