@@ -70,7 +70,8 @@ def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as
     previous = publish.read_published(spark, root)
     fields = [c for c in current.columns if c not in ("source_matches", "geo_province")]
     fresh = current.select(*fields)
-    merged = fresh if previous is None else snapshot.soft_delete_merge(fresh, previous.select(*fields), as_of=as_of)
+    old = fresh.limit(0) if previous is None else previous.select(*fields)
+    merged = snapshot.soft_delete_merge(fresh, old, as_of=as_of)
     merged = materialise(merged, "merged")
     verdict = materialise(quality.dataset_verdict(merged, previous, rules, quality.record_errors(host)), "verdict")
     row = verdict.first()
