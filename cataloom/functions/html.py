@@ -23,6 +23,7 @@ LINK_SKIP = ("script", "style")
 
 _MARK = "\u0001"
 _TAG = r"<[a-zA-Z/!?](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
+_A_TAG = r"(?is)<a\s(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
 # Entities replaced natively; the ampersand comes last so that nothing is unescaped twice.
 _ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -198,7 +199,7 @@ def resolve(base: Column, href: Column) -> Column:
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     target, query = F.regexp_extract(href, r"^([^?]*)", 1), F.regexp_extract(href, r"^[^?]*(.*)$", 1)
     folder = F.coalesce(F.nullif(F.regexp_extract(path(base), "^(.*/)", 1), F.lit("")), F.lit("/"))
-    full = F.when(href.startswith("/"), target).otherwise(F.concat(folder, target))
+    full = F.when(href.startswith("/"), target).otherwise(F.regexp_replace(F.concat(folder, target), "/{2,}", "/"))
     tidy = F.when(full.rlike(r"(^|/)\.\.?(/|$)"), _remove_dot_segments(full)).otherwise(full)
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
@@ -216,16 +217,16 @@ def _clean_href(tag: Column) -> Column:
 
 def links(page: Column, base: Column) -> Column:
     """Array of absolute link targets in document order, duplicates kept."""
-    tags = F.regexp_extract_all(strip_blocks(page, LINK_SKIP), F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(strip_blocks(page, LINK_SKIP), F.lit(_A_TAG), F.lit(0))
     hrefs = F.filter(F.transform(tags, lambda x: _clean_href(x)), _usable)
     return F.transform(hrefs, lambda h: resolve(base, h))
 
 
 def anchors(page: Column, base: Column) -> Column:
     """Array of struct(url, text) outside navigation, header and footer."""
-    found = F.regexp_extract_all(strip_blocks(page, TEXT_SKIP), F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
+    found = F.regexp_extract_all(strip_blocks(page, TEXT_SKIP), F.lit(_A_TAG + r".*?</a\s*>"), F.lit(0))
     rows = F.transform(found, lambda a: F.struct(
-        _clean_href(F.regexp_extract(a, r"(?is)^(<a\s[^>]*>)", 1)).alias("href"),
+        _clean_href(F.regexp_extract(a, _A_TAG, 0)).alias("href"),
         F.array_join(_split_chunks(unescape(F.regexp_replace(a, _TAG, _MARK))), " ").alias("text")))
     usable = F.filter(rows, lambda r: _usable(r["href"]))
     return F.transform(usable, lambda r: F.struct(resolve(base, r["href"]).alias("url"), r["text"].alias("text")))

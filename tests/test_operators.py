@@ -243,7 +243,7 @@ def quote_brute(quote, text):
         if parts:
             return True
     words = q.split()
-    starts = [i for i in range(len(t)) if t.startswith(words[0], i)] if len(words) > 1 else []
+    starts = [m.start() for m in re.finditer(re.escape(words[0]), t)] if len(words) > 1 else []
     for s in starts:
         k = 0
         for w in t[s:s + 250].split():
