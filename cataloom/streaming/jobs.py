@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import vocab
@@ -51,44 +51,40 @@ def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: Dat
             .trigger(availableNow=True).start())
 
 
-class _LatestList(StatefulProcessor):
-    """Keeps the newest list of a code; state expires after the time to live."""
+def _keep_newest(ttl_ms: int):
+    """State update: the newest list of a code, dropped after the time to live without a push."""
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = tuple(state.get) if state.exists else None
+        for part in parts:
+            top = part.loc[part["at"].idxmax()]
+            if best is None or int(top["at"]) >= best[0]:
+                best = (int(top["at"]), str(top["items"]))
+        state.update(best)
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"code": [key[0]], "at": [best[0]], "items": [best[1]]})
 
-    def __init__(self, ttl_days: int, max_items: int):
-        self.ttl_ms, self.max_items = ttl_days * 86_400_000, max_items
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "updated_at timestamp, items string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.latest.get() if self.latest.exists() else None
-        for part in rows:
-            top = part.loc[part["updated_at"].idxmax()]
-            if best is None or top["updated_at"].to_pydatetime() >= best[0]:
-                best = (top["updated_at"].to_pydatetime(), top["items"])
-        self.latest.update(best)
-        yield pd.DataFrame({"code": [key[0]], "updated_at": [best[0]], "items": [best[1]]})
-
-    def close(self) -> None:
-        pass
+    return update
 
 
 def latest_lists(pushes: DataFrame, ttl_days: int = vocab.LIST_TTL_DAYS, max_items: int = vocab.LIST_MAX_ITEMS) -> DataFrame:
     """pushes(code, updated_at, items array<string>) -> current list per code, as updates.
 
-    A micro-batch is first reduced to one push per code by an aggregate, so a busy code sends
-    one row to its state. Needs the RocksDB state store.
+    Pushes of a code arrive in Arrow batches and only the newest is held.
     """
     cut = pushes.withColumn("code", F.regexp_replace("code", r"\D", "")).where(F.length("code") == 6).select(
-        "code", "updated_at", F.to_json(F.slice("items", 1, max_items)).alias("items"))
-    return cut.groupBy("code").transformWithStateInPandas(
-        statefulProcessor=_LatestList(ttl_days, max_items), outputStructType="code string, updated_at timestamp, items string",
-        outputMode="Update", timeMode="ProcessingTime")
+        "code", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), F.to_json(F.slice("items", 1, max_items)).alias("items"))
+    kept = cut.groupBy("code").applyInPandasWithState(
+        _keep_newest(ttl_days * 86_400_000), "code string, at bigint, items string", "at bigint, items string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.select("code", F.timestamp_micros("at").alias("updated_at"), "items")
 
 
 def monthly_counter(requests: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Successful requests per calendar month; works on batches and, with a watermark, on streams."""
-    rows = requests.withWatermark(ts, late) if requests.isStreaming else requests
+    rows = requests.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, late) if requests.isStreaming else rows
     month = F.date_trunc("month", F.col(ts)).cast("date").alias("month")
     return rows.where("ok").groupBy(month).agg(F.count(F.lit(1)).alias("used"))
 

@@ -7,7 +7,9 @@ from cataloom.streaming import jobs
 
 def drain(df, name, mode, tmp_path):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    finished = query.awaitTermination(60)
+    query.stop()
+    assert finished
     return df.sparkSession.table(name)
 
 
@@ -19,6 +21,8 @@ def test_latest_lists_keep_the_newest_push(spark, tmp_path):
     spark.createDataFrame(pushes, schema).coalesce(1).write.parquet(path)
     spark.createDataFrame([("123456", now - timedelta(days=1), ["late"])], schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # Expiry by processing time would otherwise keep an available-now query alive for ever.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     got = drain(jobs.latest_lists(stream, max_items=1), "latest", "update", tmp_path)
     final = {r.code: r["items"] for r in got.groupBy("code").agg(F.max_by("items", "updated_at").alias("items")).collect()}
     assert final == {"123456": '["b"]', "654321": '["d"]'}
