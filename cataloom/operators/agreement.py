@@ -69,7 +69,7 @@ def agreement_confidence(df: DataFrame) -> DataFrame:
 
 
 def _truthy(c: Column, kind: str) -> Column:
-    """The reference's `or` chains treat 0 and empty text as missing."""
+    """Zero and empty text count as missing."""
     return F.when(c != 0, c) if kind == "number" else F.nullif(c, F.lit(""))
 
 
