@@ -13,8 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPLIT = "list_filter(regexp_split_to_array(translate({0}, '" + _UPPER + "', '" + _LOWER + "'), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-_SHINGLES = ("CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')))"
+_SPLIT = "list_filter(regexp_split_to_array(translate({0}, '" + _UPPER + "', '" + _LOWER + "'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_SHINGLES = ("CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))"
              " WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END")
 
 
