@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 
 #: A side of at most so many narrow rows may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -20,15 +21,37 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def to_python(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` as it is; its session sends at most ``rows`` rows at once to Python, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A new schema with more columns of the named types behind those of ``schema``."""
+    return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items()]])
+
+
 def crc_bucket(column: str, parts: int) -> Column:
     """crc32 of an id's decimal text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
+def plain(model):
+    """A model as a tuple, which executors can read without this package; other values as they are."""
+    return tuple(vars(model).values()) if hasattr(model, "__dict__") else model
+
+
+def rebuilt(value, kind):
+    return kind(*value) if isinstance(value, tuple) else value
+
+
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
     """UTF-8 bytes of a string array, its offsets (null: empty), and the buffer behind them."""
     texts = texts.cast(pa.large_string())
@@ -40,7 +63,7 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0], b""
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     lengths = batch.column(text).cast(pa.large_string())
     sizes = np.asarray(pa.compute.binary_length(lengths).fill_null(0), np.int64)

@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import contamination
+from .huffman import round_trip
+from .language import language
+from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
+from .packing import pack_documents
+from .quality import quality
+from .sharding import shard_rows
+from .topk import top_k
+from .toxicity import toxicity
+from .training import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +51,103 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)
 FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def tokenizer(name: str) -> str:
+    """Path of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op1_decontaminate", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS win
+       FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS s FROM i WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, lens WHERE len(ws) >= n)),
+o AS MATERIALIZED (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.win = iw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# DuckDB has no crc32: the SQL leaves text_crc32 to the tests.
+@query("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shard_rows(docs, 8)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 4, 2)
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(5, 0), "score", "predicted")
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep=("ids_crc32",))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(3, 1), "score", "predicted")
+
+
+@query("op8_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = round_trip(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_LINE_WORDS = _SPLIT.format("line")
+
+
+@query("op10_line_dedup", f"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, i - 1 AS line, ls[i] AS line_text, {_SPLIT.format("ls[i]")} AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+s AS (SELECT doc_id, line, list_sort({_SHINGLES}) AS sh FROM u WHERE len(ws) > 0),
+g AS MATERIALIZED (SELECT sh, min((doc_id, line)) AS first, row_number() OVER () AS id FROM s GROUP BY sh),
+e AS MATERIALIZED (SELECT id, first, len(sh) AS n, unnest(sh) AS x FROM g),
+p AS MATERIALIZED (SELECT b.id FROM e a JOIN e b ON a.x = b.x AND a.first < b.first GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT s.doc_id, s.line FROM s JOIN g ON s.sh = g.sh WHERE (s.doc_id, s.line) > g.first OR g.id IN (SELECT id FROM p)),
+k AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM r GROUP BY doc_id),
+f AS (SELECT u.doc_id, string_agg(u.line_text, chr(10) ORDER BY u.line) FILTER (WHERE r.line IS NULL) AS kept
+      FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.line = u.line GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(t.ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))

@@ -24,15 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import materialise
-from .common import bounded, byte_view, slices
+from .common import bounded, byte_view, slices, to_python
 
 BITS, SLICES = 22, 64
 #: A shingle counted more often than this is dealt by set instead of by shingle.
 HOT = 1 << 17
 #: Postings that one block of the reduce side should hold.
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 200_000
 #: Ranges of hash values whose sizes the suffix filter compares.
 RANGES = 64
 _NO_DOC = (1 << 63) - 1
@@ -160,16 +161,16 @@ def _ids(column: pa.Array) -> np.ndarray:
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
     """Unit rows (doc, line, words, n, fp) and, with ``slice`` set, one task's shingle counters."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for part in slices(batch, 1):
                 row, line, words, size, fp, tokens, _ = unit_sets(part.column(1), rule)
-                counts += np.bincount((tokens >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                np.add.at(counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), np.int32(1))
                 none = pa.nulls(len(row), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary())],
                     names=["doc", "line", "words", "n", "fp", "slice", "counts"])
-        parts = np.minimum(counts, (1 << 31) - 1).astype("<i4").reshape(SLICES, -1)
+        parts = counts.astype("<i4").reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         empty = lambda kind: pa.nulls(len(used), kind)
         yield pa.RecordBatch.from_arrays(
@@ -177,7 +178,7 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
             names=["doc", "line", "words", "n", "fp", "slice", "counts"])
 
     schema = "doc long, line int, words long, n long, fp long, slice int, counts binary"
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "sets")
+    return materialise(to_python(docs.select("doc_id", "text")).mapInArrow(run, schema), "sets")
 
 
 def rarity(described: DataFrame) -> bytes:
@@ -273,7 +274,7 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
                     [pa.array(token[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i].astype(np.int64)), pa.array(pos[i].astype(np.int64)), pa.array(doc[i]), pa.array(line[i])],
                     names=["token", "fp", "n", "pos", "doc", "line"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
+    dealt = to_python(docs.select("doc_id", "text")).mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
     return materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, doc long, line int"), "postings")
 
 
@@ -289,37 +290,81 @@ def passing(rule: Rule, small: str = "a", large: str = "b") -> Column:
             & (bound >= F.ceil((ns + nl) * rule.num / (rule.num + rule.den))))
 
 
+def sized(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of postings ``x`` and ``y`` that pass the filters, the smaller set as ``a``, the larger as ``b``."""
+    first = F.expr("struct(x_n, x) < struct(y_n, y)")
+    pick = lambda c: [F.when(first, F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(f"a{c}"),
+                      F.when(first, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"b{c}")]
+    return pairs.select("x", "y", *pick(""), *pick("_n"), *pick("_pos")).where(passing(rule))
+
+
+def level(n: str) -> Column:
+    """Class of a set's size; sizes of one class are within 4/3 of each other."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(0.2876820724517809))
+
+
+def chained(rows: DataFrame) -> DataFrame:
+    """Postings with ``prev``, the shingle before in the same set's list.
+
+    Two sets that share a shingle and the one before it meet there already, so a pair is needed
+    only where their ``prev`` differ.
+    """
+    return rows.withColumn("prev", F.lag("token").over(W.partitionBy("fp").orderBy("pos")))
+
+
+def counted(pairs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose prefixes share enough.
+
+    The set whose prefix ends first in the common order has all its other shared shingles behind
+    it, so the shared prefix shingles and the longer rest bound the overlap.
+    """
+    profile = materialise(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("token").alias("prefix")), "prefixes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
+            common = np.array([len(np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True))
+                               for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            rest = np.maximum(na - rule.probe(na), nb - rule.probe(nb))
+            keep = np.flatnonzero(common + rest >= rule.overlap(na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    side = lambda x: profile.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("prefix").alias(f"{x}_p"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_p", "b_p")
+    return materialise(met.mapInArrow(run, "a long, b long"), "counted")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(fp, n, ranges, tokens) of the sets in ``wanted`` (fp, doc, line), read from their first units."""
-    places = wanted.select("doc").distinct()
-    rows = places.count()
+    wanted = materialise(wanted, "wanted")
+    rows = wanted.count()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))
-    source = docs.select(key.alias("doc"), "text").join(bounded(places, rows), "doc", "left_semi").select("doc", "text")
+    source = (docs.select(key.alias("doc"), "text").join(bounded(wanted.select("doc").distinct(), rows), "doc", "left_semi")
+              .select("doc", "text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
-                _, _, _, size, fp, tokens, offset = unit_sets(part.column(1), rule)
+            for part in slices(batch, 1):
+                row, line, _, size, fp, tokens, offset = unit_sets(part.column(1), rule)
                 kind = np.repeat(np.arange(len(fp)), size) * RANGES + (tokens >> np.uint64(64 - 6)).astype(np.int64)
                 ranges = np.bincount(kind, minlength=len(fp) * RANGES).astype("<i4").reshape(-1, RANGES)
                 some = np.flatnonzero(size > 0)
-                _, firsts = np.unique(fp[some], return_index=True)
-                some = some[firsts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[some]), pa.array(size[some]), pa.array([ranges[i].tobytes() for i in some], pa.binary()), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())],
-                    names=["fp", "n", "ranges", "tokens"])
+                    [pa.array(fp[some]), part.column(0).take(pa.array(row[some])), pa.array(line[some].astype(np.int32)), pa.array(size[some]),
+                     pa.array([ranges[i].tobytes() for i in some], pa.binary()), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())],
+                    names=["fp", "doc", "line", "n", "ranges", "tokens"])
 
-    found = source.mapInArrow(run, "fp long, n long, ranges binary, tokens binary")
-    prints = wanted.select("fp").distinct()
-    found = found.join(bounded(prints, prints.count()), "fp", "left_semi") if rule.lines else found
-    return materialise(found.dropDuplicates(["fp"]), "tokens")
+    found = source.mapInArrow(run, "fp long, doc long, line int, n long, ranges binary, tokens binary")
+    found = found.join(bounded(wanted, rows), ["fp", "doc", "line"], "left_semi")
+    return materialise(found.select("fp", "n", "ranges", "tokens"), "tokens")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def verify(pairs: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) of fingerprints that link.
 
-    Suffix filter first: the sizes of both sets in ``RANGES`` ranges of hash values differ by no
-    more than the pair's allowed distance. Only then are shingles fetched and counted.
+    Prefix counts first (``counted``). Then the suffix filter: the sizes of both sets in
+    ``RANGES`` ranges of hash values differ by no more than the pair's allowed distance. Only
+    for what is left are all shingles fetched and counted, once a pair.
     """
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,20 +377,23 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if rule.den * shared >= rule.num * (len(x) + len(y) - shared):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if rule.den * both >= rule.num * (len(x) + len(y) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+    left = counted(pairs, shared, rule)
+    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = sets_of(docs, shared.select("fp", "doc", "line").distinct().join(ends, "fp", "left_semi"), rule)
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    ranged = (pairs.join(side("a", "n", "ranges"), "a").join(side("b", "n", "ranges"), "b")
+    ranged = (left.join(side("a", "n", "ranges"), "a").join(side("b", "n", "ranges"), "b")
               .select("a", "b", "a_n", "b_n", "a_ranges", "b_ranges").mapInArrow(near, "a long, b long"))
-    left = materialise(ranged, "pairs")
+    left = materialise(ranged.distinct(), "pairs")
     full = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
-    return materialise(full.mapInArrow(exact, "a long, b long"), "links")
+    return materialise(full.mapInArrow(exact, "a long, b long").distinct(), "links")
