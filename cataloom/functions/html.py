@@ -35,48 +35,56 @@ _ENTITIES = (
 _RARE_ENTITY = "&(?!(?:" + "|".join(name[1:-1] for name, _ in _ENTITIES) + ");)[A-Za-z#]"
 
 
-class _Reader(HTMLParser):
-    """Text pieces outside skipped elements, each with the title or h1 it belongs to."""
+class _Events(HTMLParser):
+    """What a page holds, in order: ("+", tag, attributes), ("-", tag, None) and ("text", text, None)."""
 
-    def __init__(self, skip: frozenset[str]):
+    def __init__(self, page: str):
         super().__init__()
-        self.skip, self.depth, self.inside = skip, 0, ""
-        self.pieces, self.description = [], ""
+        self.found: list[tuple] = []
+        self.feed(page)
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.skip:
-            self.depth += 1
-        elif self.depth:
-            return
-        elif tag in ("title", "h1"):
-            self.inside = tag
-        elif tag == "meta":
-            given = {k: v or "" for k, v in attrs}
-            if given.get("name", "").lower() == "description":
-                self.description = given.get("content", "")
+        self.found.append(("+", tag, attrs))
 
     def handle_endtag(self, tag):
-        if tag in self.skip:
-            self.depth = max(self.depth - 1, 0)
-        elif tag == self.inside:
-            self.inside = ""
+        self.found.append(("-", tag, None))
 
     def handle_data(self, data):
-        text = data.strip()
-        if text and not self.depth:
-            self.pieces.append((self.inside, text))
+        self.found.append(("text", data.strip(), None))
 
 
-def _read(page: str, skip: tuple[str, ...]) -> _Reader:
-    reader = _Reader(frozenset(skip))
-    reader.feed(page)
-    return reader
+def _visible(page: str, skip: tuple[str, ...]):
+    """Events outside skipped elements; a closing tag of one that is not open is passed over."""
+    hidden = 0
+    for kind, value, attrs in _Events(page).found:
+        if kind != "text" and value in skip:
+            hidden = hidden + 1 if kind == "+" else max(hidden - 1, 0)
+        elif not hidden or kind == "-":
+            yield kind, value, attrs
+
+
+def _pieces(page: str, skip: tuple[str, ...]) -> list[str]:
+    return [value for kind, value, _ in _visible(page, skip) if kind == "text" and value]
+
+
+def _fields(page: str, preview: int) -> tuple[str, str, str, str]:
+    """Title, first-level headings, description and the first body pieces."""
+    place, texts, description = "", {"title": [], "h1": [], "": []}, ""
+    for kind, value, attrs in _visible(page, IDENTITY_SKIP):
+        if kind == "text":
+            texts[place] += [value] if value else []
+        elif value in ("title", "h1"):
+            place = value if kind == "+" else "" if place == value else place
+        elif kind == "+" and value == "meta":
+            given = {name: text or "" for name, text in attrs}
+            description = given.get("content", "") if given.get("name", "").lower() == "description" else description
+    return " ".join(texts["title"]), " ".join(texts["h1"]), description.strip(), " ".join(texts[""][:preview])
 
 
 def _chunks_udf(skip: tuple[str, ...]):
     @F.pandas_udf(StringType())
     def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: None if page is None else _MARK.join(text for _, text in _read(page, skip).pieces))
+        return pages.map(lambda page: None if page is None else _MARK.join(_pieces(page, skip)))
 
     return parse
 
@@ -87,14 +95,7 @@ _IDENTITY = StructType([StructField(n, StringType()) for n in ("title", "h1", "m
 def _identity_udf(preview: int):
     @F.pandas_udf(_IDENTITY)
     def parse(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in pages:
-            if page is None:
-                rows.append((None,) * 4)
-                continue
-            found = _read(page, IDENTITY_SKIP)
-            kinds = {k: [t for kind, t in found.pieces if kind == k] for k in ("title", "h1", "")}
-            rows.append((" ".join(kinds["title"]), " ".join(kinds["h1"]), found.description.strip(), " ".join(kinds[""][:preview])))
+        rows = [(None,) * 4 if page is None else _fields(page, preview) for page in pages]
         return pd.DataFrame(rows, columns=_IDENTITY.names)
 
     return parse

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -15,39 +18,48 @@ _STRICT = r"(?s)^(.*?)\b([1-9]\d{3})\s*([A-Z]{2})\b(.*)$"
 _LOOSE = r"(?s)^(.*?)\b(\d{3,4})\s*([A-Z]{2})\b(.*)$"
 
 
-def blocks_schema(depth: int = 4) -> ArrayType:
-    """Schema of nested rich-text nodes down to ``depth`` levels."""
-    mark = StructType([StructField("type", StringType()),
-                       StructField("attrs", StructType([StructField("href", StringType())]))])
-    fields = [StructField("type", StringType()), StructField("text", StringType()),
-              StructField("marks", ArrayType(mark))]
-    node = StructType(fields)
-    for _ in range(depth):
-        node = StructType([*fields, StructField("content", ArrayType(node))])
-    return ArrayType(node)
-
-
-def paragraphs(blocks: Column, depth: int = 4) -> Column:
-    """Array of struct(text, links) of all paragraph nodes, in document order."""
-    none = F.array().cast("array<struct<text:string,links:array<string>>>")
-
-    def read(node: Column) -> Column:
-        children = F.coalesce(node["content"], F.array())
-        pieces = F.transform(children, lambda c: F.when(c["type"] == "text", F.coalesce(c["text"], F.lit("")))
-                             .when(c["type"] == "hard_break", "\n").otherwise(""))
-        hrefs = F.flatten(F.transform(
-            F.filter(children, lambda c: (c["type"] == "text") & c["marks"].isNotNull()),
-            lambda c: F.transform(F.filter(c["marks"], lambda m: m["type"] == "link"), lambda m: m["attrs"]["href"])))
-        return F.struct(F.array_join(pieces, "").alias("text"),
-                        F.filter(hrefs, lambda h: F.coalesce(h, F.lit("")) != "").alias("links"))
-
-    def walk(nodes: Column, left: int) -> Column:
-        if left == 0:
-            return none
-        return F.coalesce(F.flatten(F.transform(nodes, lambda n: F.when(
-            n["type"] == "paragraph", F.array(read(n))).otherwise(walk(n["content"], left - 1)))), none)
-
-    return walk(blocks, depth)
+PARAGRAPHS = ArrayType(StructType([StructField("text", StringType()), StructField("links", ArrayType(StringType()))]))
+
+
+def _members(value, wanted: type) -> list:
+    return [x for x in value if isinstance(x, wanted)] if isinstance(value, list) else []
+
+
+def _line(child: dict) -> str:
+    kind = child.get("type")
+    return "\n" if kind == "hard_break" else str(child.get("text") or "") if kind == "text" else ""
+
+
+def _hrefs(child: dict) -> list[str]:
+    attrs = [m.get("attrs") for m in _members(child.get("marks"), dict) if m.get("type") == "link"] if child.get("type") == "text" else []
+    found = [x.get("href") for x in attrs if isinstance(x, dict)]
+    return [h for h in found if isinstance(h, str) and h]
+
+
+def _walk(document: str | None) -> list[tuple[str, list[str]]] | None:
+    """All paragraph nodes of a JSON document in order, under whatever keys and however deep.
+
+    The nodes still to visit are kept in a list, so depth is not bounded by the call stack.
+    """
+    try:
+        waiting = [json.loads(document)] if document else []
+    except (ValueError, RecursionError):
+        return None
+    found = []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict) and node.get("type") == "paragraph":
+            children = _members(node.get("content"), dict)
+            found.append(("".join(map(_line, children)), [h for c in children for h in _hrefs(c)]))
+        elif isinstance(node, (dict, list)):
+            waiting.extend(reversed(list(node.values() if isinstance(node, dict) else node)))
+    return found
+
+
+@F.pandas_udf(PARAGRAPHS)
+def paragraphs(documents: pd.Series) -> pd.Series:
+    """Array of struct(text, links) of all paragraph nodes of a JSON text; null where it does not parse."""
+    return documents.map(_walk)
 
 
 def contact_block(df: DataFrame, column: str, compat: bool = False) -> DataFrame:

@@ -48,25 +48,43 @@ def keyword_filter(df: DataFrame, column: str, pattern: str = vocab.PRICE_PAGE_P
     return df.where(F.col(column).rlike(pattern))
 
 
-_CLOSERS = ("\n]}", "\n}", "\"]}", "\"}", "]}", "}")
+_BRACKETS = {"{": "}", "[": "]"}
 
 
 def _repair(raw: str | None) -> str | None:
-    """Close a cut-off object after its last complete member."""
-    if raw is None or "{" not in raw:
+    """Close a cut-off object, behind its last character if that parses, else behind its last complete member.
+
+    One scan keeps the closers of what is open; a comma outside text ends a complete member.
+    """
+    start = raw.find("{") if raw else -1
+    if start < 0:
         return None
-    body = raw[raw.index("{"):].strip()
-    while len(body) > 15:
-        for closer in _CLOSERS:
-            try:
-                if isinstance(json.loads(body + closer), dict):
-                    return body + closer
-            except ValueError:
-                continue
-        cut = max(body.rfind(","), body.rfind("\n"))
-        if cut <= 0:
-            return None
-        body = body[:cut].strip()
+    owed: list[str] = []
+    complete = None
+    quoted = escaped = False
+    for at in range(start, len(raw)):
+        char = raw[at]
+        if quoted:
+            quoted = escaped or char != '"'
+            escaped = char == "\\" and not escaped
+        elif char == '"':
+            quoted = True
+        elif char in _BRACKETS:
+            owed.append(_BRACKETS[char])
+        elif char in "]}":
+            if not owed or owed.pop() != char:
+                break
+            if not owed:
+                return raw[start:at + 1]
+        elif char == ",":
+            complete = raw[start:at] + "".join(reversed(owed))
+    whole = raw[start:] + '"' * quoted + "".join(reversed(owed))
+    for text in (whole, complete):
+        try:
+            if text is not None and isinstance(json.loads(text), dict):
+                return text
+        except ValueError:
+            continue
     return None
 
 
@@ -84,7 +102,7 @@ def parse_answers(df: DataFrame, column: str, out: str = "answer") -> DataFrame:
 
     def as_object(text: Column) -> Column:
         parsed = F.try_parse_json(text)
-        return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+        return F.when(F.ltrim(text).startswith("{"), parsed)
 
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     outer = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
@@ -104,14 +122,21 @@ def answer_fields(df: DataFrame, column: str = "answer") -> DataFrame:
     def number_of(name: str) -> Column:
         return F.coalesce(F.try_variant_get(v, f"$.{name}.value", "double"), F.try_variant_get(v, f"$.{name}", "double"))
 
-    price = F.coalesce(number_of("primary_adult_eur"), number_of("adult_eur"))
+    def amount(*names: str) -> Column:
+        return F.coalesce(*[number_of(n) for n in names])
+
+    def plain(name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "string")
+
     return df.withColumns({
         "status": F.coalesce(text_of("status"), F.lit("unknown")),
         "confidence": text_of("confidence"),
-        "primary_adult_eur": price,
-        "quote": F.try_variant_get(v, "$.quote", "string"),
-        "source_url": F.try_variant_get(v, "$.source_url", "string"),
+        "primary_adult_eur": amount("primary_adult_eur", "adult_eur"),
+        "door_adult_eur": amount("door_adult_eur"), "online_adult_eur": amount("online_adult_eur"), "cheapest_adult_eur": amount("cheapest_adult_eur"),
+        "variants": F.try_variant_get(v, "$.variants", "map<string,double>"),
+        "quote": plain("quote"), "source_url": plain("source_url"), "page_title": plain("page_title"),
         "free_for": F.coalesce(F.try_variant_get(v, "$.free_for", "array<string>"), F.array().cast("array<string>")),
+        "note": F.coalesce(plain("note"), plain("notes")), "reason": F.coalesce(plain("reasoning_summary"), plain("reasoning"), plain("reason")),
     })
 
 
@@ -132,7 +157,9 @@ def pick_images(images: DataFrame, limit: int = 3) -> DataFrame:
         ends = ends | F.col("_low").endswith(ext)
     photo = photo.where(ends & ~contains_any(F.col("_low"), vocab.IMAGE_EXCLUSIONS))
     unique = one_per_key(photo, ["slug", "_low"], F.col("pos"), newest=False).drop("_low")
-    return top_per_key(unique, ["slug"], [F.col("pos")], limit)
+    if {"author", "credit"} <= set(images.columns):
+        unique = unique.withColumn("credit_line", image_credit(F.col("author"), F.col("credit")))
+    return top_per_key(unique, ["slug"], [F.col("pos"), F.col("file")], limit)
 
 
 def image_credit(author: Column, credit: Column) -> Column:
