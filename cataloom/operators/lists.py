@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from .scale import one_per_key, rank_by_slice, top_per_key
-
-CHUNK = 500
+from .scale import one_per_key, rank_rows, top_per_key
 
 
 def dedupe_keep_first(items: DataFrame, owner: str = "owner", item: str = "item", pos: str = "pos") -> DataFrame:
@@ -16,9 +14,9 @@ def dedupe_keep_first(items: DataFrame, owner: str = "owner", item: str = "item"
     return one_per_key(items.where(F.coalesce(F.col(item).cast("string"), F.lit("")) != ""), [owner, item], F.col(pos), newest=False)
 
 
-def rank_items(items: DataFrame, owner: str = "owner", pos: str = "pos", slice_rows: int = 10_000) -> DataFrame:
-    """1-based rank in list order. Positions are cut into slices, so a giant list is split."""
-    return rank_by_slice(items, [owner], F.floor(F.col(pos) / slice_rows), [F.col(pos)], "rank")
+def rank_items(items: DataFrame, owner: str = "owner", pos: str = "pos") -> DataFrame:
+    """1-based rank in list order; a giant list is sorted by many tasks."""
+    return rank_rows(items, [F.col(pos)], [owner], "rank")
 
 
 def export_rows(items: DataFrame, catalog: DataFrame, owner: str = "owner", item: str = "item") -> DataFrame:
@@ -31,29 +29,41 @@ def export_rows(items: DataFrame, catalog: DataFrame, owner: str = "owner", item
                          F.coalesce("website", F.lit("")).alias("Website"))
 
 
-def export_documents(items: DataFrame, catalog: DataFrame, exported_at: str, owner: str = "owner", item: str = "item") -> DataFrame:
-    """(owner, part, document): versioned JSON documents of at most ``CHUNK`` items each.
+def export_documents(items: DataFrame, catalog: DataFrame, exported_at: str, owner: str = "owner", item: str = "item",
+                     chunk: int | None = None) -> DataFrame:
+    """(owner, part, document): one versioned JSON document per list.
 
-    Ordinary lists are one document; a huge list continues in further parts, nothing is cut.
+    With ``chunk`` a list is written as parts of at most so many items; each document then names
+    its part (from 0) and the number of parts, which ``parse_documents`` reads back.
     """
     named = items.join(catalog.select(F.col("slug").alias(item), "name"), item, "left")
     entry = F.struct(F.col("rank").alias("rank"), F.col(item).alias("slug"), F.col("visited").alias("visited"),
                      F.coalesce("note", F.lit("")).alias("note"), F.coalesce("name", item).alias("name"))
-    parts = named.groupBy(owner, F.floor((F.col("rank") - 1) / CHUNK).alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("_items"))
+    part = F.floor((F.col("rank") - 1) / chunk) if chunk else F.lit(0).cast("bigint")
+    parts = named.groupBy(owner, part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("_items"))
+    if chunk:
+        total = named.groupBy(owner).agg(F.ceil(F.max("rank") / chunk).alias("parts"))
+        parts = parts.join(total, owner)
+    head = [F.lit("1.0").alias("version"), F.lit(exported_at).alias("exported_at"), *([F.col("part"), F.col("parts")] if chunk else [])]
     body = F.transform("_items", lambda x: F.struct(x["slug"].alias("slug"), x["visited"].alias("visited"), x["note"].alias("note"), x["name"].alias("name")))
-    return parts.select(owner, "part", F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(exported_at).alias("exported_at"), body.alias("items"))).alias("document"))
+    return parts.select(owner, "part", F.to_json(F.struct(*head, body.alias("items"))).alias("document"))
 
 
 def parse_documents(docs: DataFrame, column: str) -> DataFrame:
-    """Items of list documents: a bare array or {items: [...]}, each item a key or an object."""
+    """Items of list documents: a bare array or {items: [...]}, each item a key or an object.
+
+    ``part`` is 0 unless the document names its part; (part, pos) is the order of a list.
+    """
     v = F.try_parse_json(F.col(column))
     whole = F.try_variant_get(v, "$", "array<variant>")
     inner = F.try_variant_get(v, "$.items", "array<variant>")
     rest = [c for c in docs.columns if c != column]
-    rows = docs.select(*rest, F.posexplode(F.coalesce(whole, inner)).alias("pos", "_it"))
-    is_object = F.schema_of_variant(F.col("_it")).startswith("OBJECT")
+    part = F.coalesce(F.try_variant_get(v, "$.part", "int"), F.lit(0))
+    rest = [c for c in rest if c != "part"]
+    rows = docs.select(*rest, part.alias("part"), F.posexplode(F.coalesce(whole, inner)).alias("pos", "_it"))
+    is_object = F.try_variant_get("_it", "$", "map<string,variant>").isNotNull()
     slug = F.when(is_object, F.try_variant_get("_it", "$.slug", "string")).otherwise(F.try_variant_get("_it", "$", "string"))
-    return rows.select(*rest, "pos", slug.alias("slug"), F.coalesce(F.try_variant_get("_it", "$.visited", "boolean"), F.lit(False)).alias("visited"),
+    return rows.select(*rest, "part", "pos", slug.alias("slug"), F.coalesce(F.try_variant_get("_it", "$.visited", "boolean"), F.lit(False)).alias("visited"),
                        F.coalesce(F.try_variant_get("_it", "$.note", "string"), F.lit("")).alias("note")).where("slug is not null and slug <> ''")
 
 
@@ -83,9 +93,9 @@ def latest_per_code(pushes: DataFrame, as_of: Column, ttl_days: int = vocab.LIST
     return alive.withColumn("items", F.slice("items", 1, max_items))
 
 
-def assign_batches(df: DataFrame, key: str, slice_rows: int = 10_000, size: int = vocab.BATCH_SIZE) -> DataFrame:
-    """Consecutive batches in key order, without sorting the table in one task (integer key)."""
-    ranked = rank_by_slice(df, [], F.floor(F.col(key) / slice_rows), [F.col(key)], "_rank")
+def assign_batches(df: DataFrame, key: str, size: int = vocab.BATCH_SIZE) -> DataFrame:
+    """Consecutive batches in key order, without sorting the table in one task."""
+    ranked = rank_rows(df, [F.col(key)], (), "_rank")
     return ranked.withColumn("batch", F.ceil(F.col("_rank") / size)).drop("_rank")
 
 

@@ -11,9 +11,16 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str = "slug", city
     """Replace fields by key; a partial address is merged and its city also sets ``city``.
 
     ``overrides`` holds the key and any subset of the catalogue's columns, null meaning "not
-    overridden". ``source_matches`` marks rows whose source already says what the override says.
+    overridden"; a field the catalogue lacks is an error. ``source_matches`` marks rows whose
+    source already says what the override says.
     """
-    fields = [c for c in overrides.columns if c != key and c in df.columns]
+    fields = [c for c in overrides.columns if c != key]
+    unknown = sorted(set(fields) - set(df.columns))
+    for name in fields:
+        if name in df.columns and isinstance(df.schema[name].dataType, StructType):
+            unknown += sorted(f"{name}.{p}" for p in set(overrides.schema[name].dataType.names) - set(df.schema[name].dataType.names))
+    if unknown:
+        raise ValueError(f"overrides of unknown fields: {', '.join(unknown)}")
     curated = overrides.select(key, F.struct(*fields).alias("_ov"))
     joined = df.join(curated, key, "left")
     matches, values = F.col("_ov").isNotNull(), {}

@@ -2,8 +2,8 @@
 
 * picking one row per key is an aggregate (combined before the shuffle), never a full window;
 * the first n rows per key use a limited window, which Spark also cuts before the shuffle;
-* complete ranks inside a key come from slices (``rank_by_slice``) or from a range-partitioned
-  sort (``rank_rows``), so a key holding a third of the table is spread over many tasks.
+* complete ranks inside a key come from a range-partitioned sort (``rank_rows``), so a key holding
+  a third of the table is spread over many tasks, however its positions are spaced.
 """
 
 from __future__ import annotations
@@ -18,15 +18,6 @@ from pyspark.sql import Window as W
 from ..session import materialise
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a narrow, CPU-heavy job over all cores when its input has fewer splits than cores.
-
-    A large table has many splits and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Column, newest: bool = True) -> DataFrame:
     """The row with the greatest (or least) ``order`` per key, columns as given."""
     rest = [c for c in df.columns if c not in keys]
@@ -50,24 +41,6 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def rank_by_slice(
-    df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[Column], out: str = "rank"
-) -> DataFrame:
-    """1-based rank inside each key, computed per (key, slice) plus the rows of earlier slices.
-
-    ``slice_by`` must not decrease along ``order``: a day for a timestamp, ``id div 10000`` for
-    an id. Nothing but slice counts is ever sorted per key.
-    """
-    sliced = df.withColumn("_slice", slice_by)
-    by = [*keys, "_slice"]
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (sliced.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
-    local = sliced.withColumn("_local", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    return (null_safe(local, offsets, by)
-            .withColumn(out, F.col("_local") + F.col("_before")).drop("_slice", "_local", "_before"))
-
-
 def rank_rows(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """1-based rank over the whole table, or inside ``keys``, without a single-task window.
 

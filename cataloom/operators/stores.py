@@ -17,15 +17,21 @@ def _replace(store: DataFrame, updates: DataFrame, drop: DataFrame, key: str) ->
     return store.join(touched, key, "left_anti").unionByName(updates)
 
 
+def _like(rows: DataFrame, store: DataFrame, given: dict[str, Column]) -> DataFrame:
+    """``rows`` in the columns of ``store``: from ``given``, null where nothing is given."""
+    return rows.select(*[given.get(c, F.lit(None)).cast(store.schema[c].dataType).alias(c) for c in store.columns])
+
+
 def record_results(results: DataFrame, prices: DataFrame, review: DataFrame, key: str = "slug") -> tuple[DataFrame, DataFrame]:
     """Apply results in order: accepted rows go to prices and leave review, rejected the reverse.
 
-    results(key, seq, name, price, entered_by, is_accepted, failures); prices(key, name, price,
-    entered_by); review(key, name, price, failures). Once a key is entered by hand only manual
+    results(key, seq, is_accepted, entered_by and the columns of the stores); a stored row is
+    made of the result's columns that the store has, so whole records are kept. Once a key is entered by hand only manual
     results change it, and a manual price is never deleted. Every key's final state follows
     from three of its results (last, last manual, last accepted manual), found in one aggregate.
     """
-    row = F.struct("name", "price", "entered_by", "is_accepted", "failures")
+    carried = [c for c in results.columns if c not in (key, "seq")]
+    row = F.struct(*carried)
     by_hand = F.coalesce(F.col("entered_by") == "manual", F.lit(False))
     seq = F.col("seq")
     last = results.groupBy(key).agg(
@@ -38,10 +44,11 @@ def record_results(results: DataFrame, prices: DataFrame, review: DataFrame, key
     state = state.withColumn("_locked", locked).withColumn("_last", F.when(F.col("_locked"), F.col("_manual")).otherwise(F.col("_any")))
     state = state.where("_last is not null")
     accepted = state.withColumn("_row", F.when(F.col("_last.is_accepted"), F.col("_last")).otherwise(F.col("_kept"))).where("_row is not null")
-    new_prices = accepted.select(key, "_row.name", "_row.price", "_row.entered_by")
+    fields = lambda of: {key: F.col(key), **{c: F.col(f"{of}.`{c}`") for c in carried}}
+    new_prices = _like(accepted, prices, fields("_row"))
     rejected = state.where(~F.col("_last.is_accepted"))
     dropped = rejected.where(~F.col("_locked"))
-    new_review = rejected.select(key, "_last.name", "_last.price", "_last.failures")
+    new_review = _like(rejected, review, fields("_last"))
     cleared = state.where(F.col("_last.is_accepted"))
     return _replace(prices, new_prices, dropped, key), _replace(review, new_review, cleared, key)
 
@@ -50,7 +57,8 @@ def save_agreed(results: DataFrame, prices: DataFrame, review: DataFrame, key: s
     """As record_results for agreed pairs: hand-entered keys and waiting results are skipped,
     and acceptance also needs high or medium confidence (or a blocked page).
 
-    results(key, seq, name, status, price, confidence, is_accepted, disagreement_type, failures).
+    results(key, seq, status, confidence, is_accepted, disagreement_type and the columns of the
+    stores); a stored row is made of the result's columns that the store has.
     """
     waiting = ("retry_later", "quota_exhausted")
     held = prices.where("entered_by = 'manual'").select(key)
@@ -58,9 +66,10 @@ def save_agreed(results: DataFrame, prices: DataFrame, review: DataFrame, key: s
     last = one_per_key(usable, [key], F.col("seq")).join(held, key, "left_anti")
     sure = F.col("is_accepted") & (F.coalesce(F.col("confidence").isin("high", "medium"), F.lit(False)) | (F.col("status") == "blocked_by_bot_protection"))
     last = last.withColumn("_ok", F.coalesce(sure, F.lit(False)))
-    accepted = last.where("_ok").select(key, "name", "price", F.lit(None).cast("string").alias("entered_by"))
+    given = {c: F.col(c) for c in last.columns}
+    accepted = _like(last.where("_ok"), prices, given | {"entered_by": F.lit(None)})
     rejected = last.where(~F.col("_ok"))
-    to_review = rejected.select(key, "name", F.coalesce(F.nullif("disagreement_type", F.lit("")), F.lit("unknown_disagreement")).alias("disagreement_type"), "failures")
+    to_review = _like(rejected, review, given | {"disagreement_type": F.coalesce(F.nullif("disagreement_type", F.lit("")), F.lit("unknown_disagreement"))})
     return _replace(prices, accepted, rejected, key), _replace(review, to_review, accepted, key)
 
 

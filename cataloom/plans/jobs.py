@@ -33,6 +33,11 @@ class RefreshInputs:
     cache: DataFrame | None = None
 
 
+#: Catalogue fields that no feed has and an override may set.
+CURATED = {"lat": "double", "lon": "double", "woonplaats": "string", "municipality": "string", "status": "string",
+           "consecutive_missing": "int", "duplicate_of": "string"}
+
+
 def enriched_catalog(inputs: RefreshInputs, base_url: str, as_of: str) -> DataFrame:
     """Feed rows normalised, overridden and located; no action is run."""
     live = snapshot.reconcile_published(inputs.feed).where("reason is null").drop("reason")
@@ -46,7 +51,8 @@ def enriched_catalog(inputs: RefreshInputs, base_url: str, as_of: str) -> DataFr
     rows = rows.select(
         "slug", "name", "province", "city", F.struct("street", "postcode", F.coalesce("city", F.lit("")).alias("city")).alias("address"),
         urls[vocab.CANONICAL_LOCALE].alias("official_url"), urls.alias("official_urls"), "museum_website", "source_date_raw",
-        F.lit(as_of).cast("date").alias("first_seen"), F.array(F.lit("default")).alias("programmes"))
+        F.lit(as_of).cast("date").alias("first_seen"), F.array(F.lit("default")).alias("programmes"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in CURATED.items()])
     rows = apply_overrides(rows, inputs.overrides)
     place = rows.select("slug", "name", "city", F.col("address.street").alias("street"), F.col("address.postcode").alias("postcode"))
     hits = geo_join.match_ladder(place, inputs.gazetteer)
@@ -55,9 +61,13 @@ def enriched_catalog(inputs: RefreshInputs, base_url: str, as_of: str) -> DataFr
             "slug", F.struct("lat", "lon", F.col("place").alias("woonplaats"), F.col("place").alias("municipality"), F.lit(None).cast("string").alias("province")).alias("_c"))
         hits = hits.join(cached, "slug", "left").select("slug", *[
             F.when(F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c) for c in ("lat", "lon", "woonplaats", "municipality", "province")])
-    rows = standardise.resolve_term(geo_join.geo_enrich(rows, hits), "city", inputs.lookup_city)
+    # What was curated by hand stands above what the gazetteer found.
+    places = ("lat", "lon", "woonplaats", "municipality")
+    rows = geo_join.geo_enrich(rows.withColumn("_curated", F.struct(*places)), hits)
+    rows = rows.withColumns({name: F.coalesce(F.col(f"_curated.{name}"), F.col(name)) for name in places}).drop("_curated")
+    rows = standardise.resolve_term(rows, "city", inputs.lookup_city)
     return rows.withColumns({"address": F.col("address").withField("city", F.coalesce("city", F.lit(""))),
-                             "status": F.lit("active"), "consecutive_missing": F.lit(0), "duplicate_of": F.lit(None).cast("string")})
+                             "status": F.coalesce("status", F.lit("active")), "consecutive_missing": F.coalesce("consecutive_missing", F.lit(0))})
 
 
 def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as_of: str, host: str,
@@ -79,11 +89,12 @@ def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as
         raise RefreshRejected(", ".join(row.failed_rules))
     empty = merged.limit(0)
     diff = snapshot.snapshot_diff(merged, previous if previous is not None else empty)
-    publish.publish_if_changed(merged, root, version)
     entry = snapshot.changelog_entry(diff, merged, as_of, first_run=previous is None)
     keys = diff.withColumn("timestamp", F.lit(as_of).cast("timestamp"))
-    publish.append_changelog(entry, keys, root)
-    publish.run_meta(merged, as_of, build_id).write.mode("append").parquet(f"{root}/meta")
+    # Records first, each under its version: a retry writes them again, and the manifest comes last.
+    publish.append_changelog(entry, keys, root, version)
+    publish.run_meta(merged, as_of, build_id).write.mode("overwrite").parquet(f"{root}/meta/version={version}")
+    publish.publish_if_changed(merged, root, version)
     return verdict
 
 
@@ -103,10 +114,26 @@ def enrich_prices(extractions: DataFrame, context: DataFrame, compat: bool = Fal
     return agreement.merge_agreed(agreement.agreement_confidence(agreement.agree(checked)))
 
 
-def results_of(enriched: DataFrame) -> DataFrame:
-    """Rows for ``stores.save_agreed``."""
-    return enriched.select("slug", F.lit(0).cast("bigint").alias("seq"), "name", F.col("record.status").alias("status"), F.col("record.price").alias("price"),
-                           "confidence", F.col("is_agreed").alias("is_accepted"), "disagreement_type", F.concat("fails1", "fails2").alias("failures"))
+#: Columns of both stores; a store that lacks some keeps those it has.
+PRICE_STORE = ("slug", "name", "status", "price", "door", "online", "cheapest", "variants", "free_for", "quote", "source_url", "page_title",
+               "note", "reason", "mode", "confidence", "checked_on", "entered_by")
+REVIEW_STORE = ("slug", "name", "status", "verdict", "disagreement_type", "failures", "model1", "model2", "timestamp")
+
+
+def results_of(enriched: DataFrame, checked_on: str | None = None) -> DataFrame:
+    """Rows for ``stores.save_agreed``: the whole record, both answers and the time."""
+    fields = [c for c in PRICE_STORE if c in enriched.schema["record"].dataType.names and c not in ("confidence",)]
+    when = F.lit(checked_on).cast("string")
+    return enriched.select(
+        "slug", F.lit(0).cast("bigint").alias("seq"), "name", *[F.col(f"record.{c}").alias(c) for c in fields], "confidence", when.alias("checked_on"),
+        F.col("is_agreed").alias("is_accepted"), F.when(~F.col("is_agreed"), "reject").alias("verdict"), "disagreement_type", F.concat("fails1", "fails2").alias("failures"),
+        F.col("m1").alias("model1"), F.col("m2").alias("model2"), when.alias("timestamp"))
+
+
+def empty_stores(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Price and review stores without rows, for a first run over ``results``."""
+    none = results.limit(0).withColumn("entered_by", F.lit(None).cast("string"))
+    return none.select(*PRICE_STORE), none.select(*REVIEW_STORE)
 
 
 def propose_websites(catalog: DataFrame, pages: DataFrame, hits: DataFrame, checked_on: str) -> DataFrame:
@@ -142,12 +169,15 @@ def report(prices: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
     return audit.status_report(prices), audit.failure_histogram(review)
 
 
-def recheck(prices: DataFrame, review: DataFrame, fetch_log: DataFrame, enriched: DataFrame, apply: bool = False):
-    """(verdicts, deltas, stores): stored sources checked, results classed, stores updated on ``apply``."""
+def recheck(prices: DataFrame, review: DataFrame, fetch_log: DataFrame, enriched: DataFrame, apply: bool = False, checked_on: str | None = None):
+    """(verdicts, deltas, stores): stored sources checked, results classed, stores updated on ``apply``.
+
+    The stores keep their columns, so they can be rechecked and reported again.
+    """
     verdicts = rc.source_verdict(fetch_log)
     now = enriched.select("slug", F.col("is_agreed").alias("is_accepted"), F.col("record.status").alias("status"), F.col("record.price").alias("price"))
     deltas = agreement.recheck_delta(prices.select("slug", "status", "price"), now)
-    updated = stores.save_agreed(results_of(enriched), prices.select("slug", "name", "price", "entered_by"), review) if apply else None
+    updated = stores.save_agreed(results_of(enriched, checked_on), prices, review) if apply else None
     return verdicts, deltas, updated
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import fingerprint
 
-MANIFEST = "version string, row_count bigint, hash_xor bigint, hash_sum decimal(38,0)"
+#: ``seq`` counts published versions, whatever they are called; ``origin`` names what a version was made from.
+MANIFEST = "version string, row_count bigint, hash_xor bigint, hash_sum decimal(38,0), seq bigint, origin string"
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,9 +22,19 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Version named by the manifest's newest row (versions must sort by age)."""
-    row = _table(spark, f"{root}/manifest", MANIFEST).agg(F.max("version")).first()
-    return row[0]
+    """Version named by the manifest's newest row."""
+    row = _newest(spark, root)
+    return None if row is None else row.version
+
+
+def _newest(spark: SparkSession, root: str):
+    order = F.struct(F.coalesce("seq", F.lit(0)), "version")
+    return _table(spark, f"{root}/manifest", MANIFEST).agg(F.max_by(F.struct("*"), order).alias("m")).first().m
+
+
+def published_from(spark: SparkSession, root: str, origin: str) -> bool:
+    """Whether a version made from ``origin`` was published already."""
+    return not _table(spark, f"{root}/manifest", MANIFEST).where(F.col("origin") == origin).isEmpty()
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame | None:
@@ -31,7 +42,7 @@ def read_published(spark: SparkSession, root: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{root}/data/{version}")
 
 
-def publish_if_changed(df: DataFrame, root: str, version: str) -> bool:
+def publish_if_changed(df: DataFrame, root: str, version: str, origin: str | None = None) -> bool:
     """Write ``df`` as a new version only when its content differs from the current one.
 
     The manifest row is appended after the data is complete, so readers and retries only ever
@@ -39,25 +50,26 @@ def publish_if_changed(df: DataFrame, root: str, version: str) -> bool:
     """
     spark = df.sparkSession
     print_row = fingerprint(df).first()
-    last = _table(spark, f"{root}/manifest", MANIFEST).orderBy(F.desc("version")).limit(1)
-    same = last.where((F.col("row_count") == F.lit(print_row.row_count)) & (F.col("hash_xor") == F.lit(print_row.hash_xor))
-                      & (F.col("hash_sum") == F.lit(print_row.hash_sum)))
-    if not same.isEmpty():
+    last = _newest(spark, root)
+    if last is not None and (last.row_count, last.hash_xor, last.hash_sum) == (print_row.row_count, print_row.hash_xor, print_row.hash_sum):
         return False
     df.write.mode("overwrite").parquet(f"{root}/data/{version}")
-    entry = spark.createDataFrame([(version, print_row.row_count, print_row.hash_xor, print_row.hash_sum)], MANIFEST)
+    entry = spark.createDataFrame([(version, print_row.row_count, print_row.hash_xor, print_row.hash_sum, (last.seq or 0) + 1 if last else 1, origin)], MANIFEST)
     entry.write.mode("append").parquet(f"{root}/manifest")
     return True
 
 
-def append_changelog(entry: DataFrame, keys: DataFrame, root: str) -> None:
-    """Header rows (counts) and, beside them, one row per changed key."""
-    entry.write.mode("append").parquet(f"{root}/changelog")
-    keys.where("change in ('added', 'restored', 'removed')").write.mode("append").parquet(f"{root}/changelog_keys")
+def append_changelog(entry: DataFrame, keys: DataFrame, root: str, version: str) -> None:
+    """Header rows (counts) and, beside them, one row per changed key, in folders of the version.
+
+    A run repeated after a failure writes the same folders again.
+    """
+    entry.write.mode("overwrite").parquet(f"{root}/changelog/version={version}")
+    keys.where("change in ('added', 'restored', 'removed')").write.mode("overwrite").parquet(f"{root}/changelog_keys/version={version}")
 
 
 def read_changelog(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/changelog").orderBy(F.desc("timestamp"))
+    return spark.read.parquet(f"{root}/changelog").drop("version").orderBy(F.desc("timestamp"))
 
 
 def run_meta(catalog: DataFrame, last_checked: str, build_id: str) -> DataFrame:
@@ -66,6 +78,10 @@ def run_meta(catalog: DataFrame, last_checked: str, build_id: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Spreadsheet export: byte-order mark, header, quoted text, CRLF line ends."""
+    """Spreadsheet export: byte-order mark, header, quoted text, CRLF line ends.
+
+    Rows are sorted by the first two columns (owner and rank) across the part files, whose names keep the order.
+    """
+    rows = rows.orderBy(*rows.columns[:2])
     named = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0])
     named.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)

@@ -14,7 +14,7 @@ from ..functions import vocab
 from ..operators.quality import DatasetRules, dataset_verdict
 from ..operators.snapshot import soft_delete_merge
 from ..session import materialise
-from ..sources.publish import current_version, publish_if_changed, read_published
+from ..sources.publish import publish_if_changed, published_from, read_published
 
 
 def announce(snapshot: DataFrame, path: str, inbox: str) -> None:
@@ -33,19 +33,20 @@ def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: Dat
     """Merge each announced snapshot into the published table; one failing the gates is skipped.
 
     Only the notices stream through the driver; the snapshot itself is read from its folder with
-    full parallelism. Versions follow the batch numbers, so a batch repeated after a failure
-    finds its own version published and merges nothing twice.
+    full parallelism. The manifest names stream and batch of each version, so a batch repeated
+    after a failure merges nothing twice, whatever was published before under other names.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         for i, row in enumerate(batch.orderBy("path").toLocalIterator()):
-            version = f"{batch_id:012d}-{i:04d}"
-            if (current_version(spark, root) or "") >= version:
+            origin = f"{stream}/{batch_id}/{i}"
+            if published_from(spark, root, origin):
                 continue
             fresh, published = spark.read.parquet(row.path), read_published(spark, root)
             merged = fresh if published is None else materialise(soft_delete_merge(fresh, published, key), "merged")
             if dataset_verdict(merged, published, rules, errors, key).first().is_valid:
-                publish_if_changed(merged, root, version)
+                publish_if_changed(merged, root, origin.replace("/", "-").replace(":", "-"), origin)
 
     return (arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

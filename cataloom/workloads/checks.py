@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import html, urls
 from ..functions.text import distinctive_tokens, fold, match_norm
 from ..operators import agreement, audit, gates, lists, propose, quality, recheck
-from ..operators.scale import rank_by_slice
 from ..session import scratch_path
 from ..sources.publish import read_published
 from ..streaming import jobs as streams
@@ -371,15 +370,15 @@ def _named(t: Tables):
     WITH f AS ({_FIRST}), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos) AS rk FROM f)
     SELECT owner, rk AS "Rank", item AS "Slug", coalesce(c_name, item) AS "Name", coalesce(n_name, '') AS "City", '' AS "Province", CASE WHEN visited THEN 'Yes' ELSE 'No' END AS "Visited", note AS "Note", '' AS "Website" FROM r LEFT JOIN ({_NAMED}) n ON n.slug = r.item""")
 def export_list_rows(t: Tables):
-    return lists.export_rows(lists.rank_items(lists.dedupe_keep_first(_items(t)), slice_rows=1000), _named(t))
+    return lists.export_rows(lists.rank_items(lists.dedupe_keep_first(_items(t))), _named(t))
 
 
 @query("export_list_json", f"""
     WITH f AS ({_FIRST}), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos) AS rk FROM f)
-    SELECT owner, cast(floor((rk - 1) / 500) as bigint) AS part, md5('{{"version":"1.0","exported_at":"2024-02-01T00:00:00Z","items":[' || string_agg('{{"slug":"' || item || '","visited":' || cast(visited as string) || ',"note":"' || note || '","name":"' || coalesce(c_name, item) || '"}}', ',' ORDER BY rk) || ']}}') AS document_md5
+    SELECT owner, cast(0 as bigint) AS part, md5('{{"version":"1.0","exported_at":"2024-02-01T00:00:00Z","items":[' || string_agg('{{"slug":"' || item || '","visited":' || cast(visited as string) || ',"note":"' || note || '","name":"' || coalesce(c_name, item) || '"}}', ',' ORDER BY rk) || ']}}') AS document_md5
     FROM r LEFT JOIN ({_NAMED}) n ON n.slug = r.item GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
 def export_list_json(t: Tables):
-    ranked = lists.rank_items(lists.dedupe_keep_first(_items(t)), slice_rows=1000)
+    ranked = lists.rank_items(lists.dedupe_keep_first(_items(t)))
     return lists.export_documents(ranked, _named(t), "2024-02-01T00:00:00Z").select("owner", "part", F.md5("document").alias("document_md5"))
 
 
@@ -390,32 +389,32 @@ def import_list_items(t: Tables):
     second = F.concat(F.lit('{"slug": "'), F.when(kind == "click", "").otherwise(kind), F.lit('", "visited": '), (kind == "purchase").cast("string"), F.lit(', "note": "n\\"1"}'))
     items = F.concat(F.lit('["'), F.col("user_id").cast("string"), F.lit('", '), second, F.lit("]"))
     doc = F.when(F.col("event_id") % 2 == 0, items).otherwise(F.concat(F.lit('{"version": "1.0", "items": '), items, F.lit("}")))
-    return lists.parse_documents(t.events.select("event_id", doc.alias("doc")), "doc")
+    return lists.parse_documents(t.events.select("event_id", doc.alias("doc")), "doc").drop("part")
 
 
 @query("merge_lists", """
-    WITH own AS (SELECT owner, raw_item AS item, min(pos) AS pos, arg_min(note, pos) AS note, arg_min(visited, pos) AS visited FROM {list_items} WHERE note IN ('view', 'purchase') GROUP BY 1, 2),
+    WITH own AS (SELECT owner, raw_item AS item, min(pos) AS pos, arg_min(note, pos) AS note, arg_min(visited, pos) AS visited FROM {list_items} WHERE note IN ('view', 'purchase', 'error') GROUP BY 1, 2),
     pulled AS (SELECT owner, raw_item AS item, min(pos) AS pos, arg_min(note, pos) AS note, arg_min(visited, pos) AS visited FROM {list_items} WHERE note IN ('click', 'signup') GROUP BY 1, 2)
     SELECT owner, item, pos, note, visited, 0 AS block FROM own UNION ALL SELECT owner, item, pos, note, visited, 1 FROM pulled p WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.owner = p.owner AND o.item = p.item)""")
 def merge_lists(t: Tables):
     items = _items(t)
-    own = lists.dedupe_keep_first(items.where("note in ('view', 'purchase')"))
+    own = lists.dedupe_keep_first(items.where("note in ('view', 'purchase', 'error')"))
     return lists.append_unseen(own, lists.dedupe_keep_first(items.where("note in ('click', 'signup')")))
 
 
 @query("merge_shared", """
-    WITH own AS (SELECT owner, raw_item AS item, arg_min(note, pos) AS note, arg_min(visited, pos) AS visited FROM {list_items} WHERE note IN ('view', 'purchase') GROUP BY 1, 2),
+    WITH own AS (SELECT owner, raw_item AS item, arg_min(note, pos) AS note, arg_min(visited, pos) AS visited FROM {list_items} WHERE note IN ('view', 'purchase', 'error') GROUP BY 1, 2),
     shared AS (SELECT owner, raw_item AS item, min(pos) AS pos FROM {list_items} WHERE note IN ('click', 'signup') GROUP BY 1, 2)
     SELECT s.owner, s.item, s.pos, coalesce(o.visited, false) AS visited, coalesce(o.note, '') AS note FROM shared s LEFT JOIN own o ON s.owner = o.owner AND s.item = o.item""")
 def merge_shared(t: Tables):
     items = _items(t)
-    own = lists.dedupe_keep_first(items.where("note in ('view', 'purchase')"))
+    own = lists.dedupe_keep_first(items.where("note in ('view', 'purchase', 'error')"))
     return lists.merge_shared(lists.dedupe_keep_first(items.where("note in ('click', 'signup')")), own)
 
 
 @query("assign_batches", "SELECT o_orderkey, cast(ceil(row_number() OVER (ORDER BY o_orderkey) / 20.0e0) as bigint) AS batch FROM orders")
 def assign_batches(t: Tables):
-    return lists.assign_batches(t.orders.select("o_orderkey"), "o_orderkey", slice_rows=5000)
+    return lists.assign_batches(t.orders.select("o_orderkey"), "o_orderkey")
 
 
 @query("quota_admit", """

@@ -7,14 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.scale import spread
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-# Per-row work on these dwarfs reading them.
-TEXT_TABLES = ("documents", "pages")
 _TOKEN = re.compile(r"\{(\w+)\}")
 
 # Opened tables per session and folder, so that a schema is read once.
@@ -35,8 +31,7 @@ class Tables:
             raise AttributeError(name)
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _OPENED:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            _OPENED[key] = spread(df) if name in TEXT_TABLES else df
+            _OPENED[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return _OPENED[key]
 
     def view(self, name: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import geo, html, prices, text, urls, vocab
 from ..operators import contact, links, mining, standardise, text_jobs
-from ..operators.scale import spread
 from ..session import scratch_path
 from ..sources import documents
 from .registry import Tables, query
@@ -358,10 +357,10 @@ _SITES = f"SELECT {_NETLOC} AS slug, min(url) AS website FROM pages GROUP BY 1"
           UNION ALL SELECT slug, url, 1, 10 * ((lower({_PATH}) LIKE '%th%')::int + (lower({_PATH}) LIKE '%on%')::int), pos FROM h WHERE lower({_PATH}) NOT LIKE '%/and%' AND (lower({_PATH}) LIKE '%th%' OR lower({_PATH}) LIKE '%on%')
                 AND (slug = lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)))
           UNION ALL SELECT slug, url, 2, 5 * ((lower({_PATH}) LIKE '%/en/%')::int + (lower({_PATH}) LIKE '%html%')::int), pos FROM p),
-    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug, regexp_replace(url, '/+$', '') ORDER BY stage, score DESC, pos, url) AS k FROM e WHERE slug NOT LIKE 'www.%') WHERE k = 1)
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug, regexp_replace(url, '/+$', '') ORDER BY stage, score DESC, pos, url) AS k FROM e) WHERE k = 1)
     SELECT slug, cast(rank as int) AS rank, url, cast(score as int) AS score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY stage, score DESC, pos, url) AS rank FROM u) WHERE rank <= 4""")
 def score_pages(t: Tables):
-    sites = _sites(t).where("slug not like 'www.%'")
+    sites = _sites(t)
     home = links.extract_links(t.pages).join(sites.withColumnRenamed("website", "src"), "src").select("slug", F.col("dst").alias("url"), "pos")
     hits = t.pages.select(urls.netloc(F.col("url")).alias("slug"), "url", F.col("page_id").cast("int").alias("pos"))
     return links.score_pages(sites, home, hits, ("th", "on"), ("/en/", "html"), ("/and",))
@@ -432,7 +431,7 @@ def parse_json_ladder(t: Tables):
     raw = (F.when(kind == "click", body("paid")).when(kind == "signup", F.concat(F.lit("Here:\n```json\n"), body("free"), F.lit("\n```\nDone {")))
            .when(kind == "view", F.concat(F.lit("Answer: "), body("closed"), F.lit(" thanks"))).when(kind == "purchase", F.concat(F.lit('{"status": {"value": "closed"}, "primary_adult_eur": {"value": "'), k, F.lit('"}, "reasoning": "cut off he')))
            .otherwise("no answer"))
-    parsed = mining.answer_fields(mining.parse_answers(spread(t.events).select("event_id", raw.alias("raw")), "raw"))
+    parsed = mining.answer_fields(mining.parse_answers(t.events.select("event_id", raw.alias("raw")), "raw"))
     return parsed.select("event_id", F.col("primary_adult_eur").alias("price"), "status")
 
 
@@ -451,7 +450,7 @@ def pick_first_hit(t: Tables):
 @query("pick_images", """
     WITH i AS (SELECT l_suppkey AS slug, l_orderkey * 100 + l_linenumber AS p, l_partkey, p_name || '-' || cast(l_partkey as string) || CASE WHEN l_partkey % 3 = 0 THEN '.png' WHEN l_partkey % 3 = 1 THEN '.JPG' ELSE '.jpeg' END AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
     k AS (SELECT slug, f, min(p) AS p FROM i WHERE regexp_matches(lower(f), '\\.(jpg|jpeg)$') AND f NOT LIKE '%map%' GROUP BY 1, 2)
-    SELECT slug, cast(rn as int) AS rank, f AS file, p AS pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p) AS rn FROM k) WHERE rn <= 3""")
+    SELECT slug, cast(rn as int) AS rank, f AS file, p AS pos FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p, f) AS rn FROM k) WHERE rn <= 3""")
 def pick_images(t: Tables):
     part = F.col("l_partkey")
     ext = F.when(part % 3 == 0, ".png").when(part % 3 == 1, ".JPG").otherwise(".jpeg")
@@ -480,8 +479,13 @@ def contact_block(t: Tables):
     first = node(F.lit("About us"), F.concat(F.lit("https://first.example.nl/"), F.col("slug")))
     own = node(line, F.when(seg != "household", F.col("site")))
     ignored = node(F.lit("Later 9999 ZZ Elsewhere"), F.lit("/internal"))
-    doc = F.to_json(F.array(F.struct(F.lit("section").alias("type"), F.array(first, own, F.when(seg != "machinery", ignored).otherwise(node(F.lit("none"), F.lit("/x")))).alias("content"))))
-    rows = spread(t.view("catalog")).select("slug", F.from_json(doc, contact.blocks_schema()).alias("blocks")).withColumn("ps", contact.paragraphs(F.col("blocks")))
+    nodes = F.to_json(F.array(first, own, F.when(seg != "machinery", ignored).otherwise(node(F.lit("none"), F.lit("/x")))))
+    # One to eight sections around them, under keys of several names.
+    depth = (F.col("id") % 8 + 1).cast("int")
+    key = F.element_at(F.array(*map(F.lit, ("content", "blocks", "body"))), (F.col("id") % 3 + 1).cast("int"))
+    opening = F.concat(F.lit('{"type": "section", "'), key, F.lit('": '))
+    doc = F.concat(F.lit("["), F.repeat(opening, depth), nodes, F.repeat(F.lit("}"), depth), F.lit("]"))
+    rows = t.view("catalog").select("slug", doc.alias("doc")).withColumn("ps", contact.paragraphs("doc"))
     return contact.contact_block(rows, "ps").select("slug", "street", "postcode", "city", "site")
 
 
