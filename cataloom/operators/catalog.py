@@ -38,10 +38,13 @@ def catalog_view(catalog: DataFrame, prices: DataFrame, descriptions: DataFrame,
     side = price.join(text, "slug", "full_outer").join(score, "slug", "full_outer")
     joined = rows.join(side, "slug", "left")
     if keep_duplicates:
+        # Only duplicates look for another row; all others have a null there and stay out of the join.
+        names = joined.columns
         canon = side.select(F.col("slug").alias("duplicate_of"), *[F.col(c).alias(f"{c}_c") for c in ("_price", "_text", "_score")])
-        joined = joined.join(canon, "duplicate_of", "left")
+        copies = joined.where("duplicate_of is not null").join(canon, "duplicate_of", "left")
         for c in ("_price", "_text", "_score"):
-            joined = joined.withColumn(c, F.coalesce(c, f"{c}_c"))
+            copies = copies.withColumn(c, F.coalesce(c, f"{c}_c"))
+        joined = joined.where("duplicate_of is null").unionByName(copies.select(*names))
     view = joined.select(
         *[F.col(c) for c in rows.columns if c != "status"],
         F.coalesce("_price.status", F.lit("unknown")).alias("price_status"),

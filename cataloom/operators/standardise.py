@@ -45,8 +45,3 @@ def alias_list(df: DataFrame, city: str, other_name: str, aliases: DataFrame) ->
                      F.coalesce(F.transform("_known", lambda x: x["name"]), F.array().cast("array<string>")))
     return (pairs.withColumn("_k", key).join(known, "_k", "left")
             .select("city", "other", F.array_join(names, ", ").alias("aliases")))
-
-
-def whitelist(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """Keep only the named factual fields."""
-    return df.select(*[c.alias(name) for name, c in fields.items()])

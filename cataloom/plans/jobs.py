@@ -71,12 +71,18 @@ def enriched_catalog(inputs: RefreshInputs, base_url: str, as_of: str) -> DataFr
 
 
 def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as_of: str, host: str,
-            rules: quality.DatasetRules = quality.DatasetRules(), build_id: str = "") -> DataFrame:
+            rules: quality.DatasetRules = quality.DatasetRules(), build_id: str = "", limit: int | None = None) -> DataFrame:
     """Merge, gate and publish; returns the verdict row. Raises before publishing when a gate fails.
 
+    ``limit`` keeps the first rows in key order, for trial runs. The published rows are in
+    snapshot order: active ones first, then by key.
+
     The merged snapshot is written once to the shared folder and read by the gate, the
     difference and the publisher.
     """
+    if current.isEmpty():
+        raise ValueError("no articles found in the feed")
+    current = current if limit is None else current.orderBy("slug").limit(limit)
     previous = publish.read_published(spark, root)
     fields = [c for c in current.columns if c not in ("source_matches", "geo_province")]
     fresh = current.select(*fields)
@@ -94,7 +100,7 @@ def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as
     # Records first, each under its version: a retry writes them again, and the manifest comes last.
     publish.append_changelog(entry, keys, root, version)
     publish.run_meta(merged, as_of, build_id).write.mode("overwrite").parquet(f"{root}/meta/version={version}")
-    publish.publish_if_changed(merged, root, version)
+    publish.publish_if_changed(snapshot.snapshot_order(merged), root, version)
     return verdict
 
 

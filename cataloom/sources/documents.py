@@ -95,12 +95,6 @@ def read_feed(feeds: DataFrame, body: str = "body", components: Sequence[str] =
     return feeds.select(*rest, F.posexplode(feed_articles(F.col(body), components)).alias("pos", "article"))
 
 
-def require_articles(spark_row_count: int) -> None:
-    """A refresh without any article is an error, never an empty catalogue."""
-    if spark_row_count == 0:
-        raise ValueError("no articles found in the feed")
-
-
 def parse_story(articles: DataFrame, story: str = "article") -> DataFrame:
     """Factual fields of a story: province is the first tag, the date the first published or created."""
     s = F.col(story)

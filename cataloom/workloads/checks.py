@@ -206,7 +206,7 @@ def best_candidate(t: Tables):
     identity = F.struct("title", "h1", F.concat("meta_description", F.lit(" museum")).alias("meta_description"), "body_preview")
     ranked = rows.select("slug", "name", "city", "segment", identity.alias("identity"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
     blank = F.struct(F.lit("Nothing").alias("title"), F.lit("").alias("h1"), F.lit("").alias("meta_description"), F.lit("").alias("body_preview"))
-    pages = ranked.where("segment <> 'automobile'").withColumn("identity", F.when(F.col("rank") == 1, blank).otherwise(F.col("identity"))).withColumn(
+    pages = ranked.withColumn("identity", F.when((F.col("rank") == 1) | (F.col("segment") == "automobile"), blank).otherwise(F.col("identity"))).withColumn(
         "url", F.when(F.col("rank") == 2, "https://www.two.example.nl/en/index.html").otherwise("https://www.other.example.nl/x"))
     return propose.website_proposals(pages, "2001-09-01").select("slug", "proposed_value", "confidence", F.regexp_replace("quote", r" \| $", "").alias("quote"))
 

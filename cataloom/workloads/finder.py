@@ -127,10 +127,10 @@ def catalog_view(t: Tables):
     return _view(t).select("slug", "price_status", "price", F.array_join("categories", ",").alias("categories"), "rating", "reviews")
 
 
-@query("canonicalise", "SELECT i.pos, i.owner, coalesce(c.duplicate_of, 'c' || lpad(cast(100 * cast(i.owner as bigint) % 1500 as string), 9, '0')) AS item FROM {list_items} i LEFT JOIN {catalog} c ON c.slug = 'c' || lpad(cast(100 * cast(i.owner as bigint) % 1500 as string), 9, '0') AND c.duplicate_of IS NOT NULL")
+@query("canonicalise", "SELECT i.o_orderkey AS pos, cast(i.o_custkey as string) AS owner, coalesce(c.duplicate_of, 'c' || lpad(cast(i.o_custkey as string), 9, '0')) AS item FROM orders i LEFT JOIN {catalog} c ON c.slug = 'c' || lpad(cast(i.o_custkey as string), 9, '0') AND c.duplicate_of IS NOT NULL")
 def canonicalise(t: Tables):
-    item = F.concat(F.lit("c"), F.lpad((F.col("owner").cast("bigint") * 100 % 1500).cast("string"), 9, "0"))
-    rows = t.view("list_items").select("pos", "owner", item.alias("item"))
+    item = F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    rows = t.orders.select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("owner"), item.alias("item"))
     return cat.canonicalise(rows, t.view("catalog"), "item")
 
 
