@@ -22,8 +22,8 @@ from .common import bounded, slices, to_python
 from .tokens import Encoder, appended
 
 END, LIMIT, BLOCK = 2, 16, 256
-#: Bytes of text that one file should hold.
-FILE_BYTES = 4 << 20
+#: Bytes of text that one file should hold, and one task should encode, which remembers its pieces.
+FILE_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
 _MAGIC = b"HUF1"
 _HEAD = "<4sqqq"
 
@@ -137,9 +137,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, v
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    files = max(1, int((measured[0] + 8 * measured[1]) // FILE_BYTES))
+    ranges = max(1, int((measured[0] + 8 * measured[1]) // RANGE_BYTES))
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    ordered = rows.repartitionByRange(files, key[0], key[1]).sortWithinPartitions(*key)
+    ordered = rows.repartitionByRange(ranges, key[0], key[1]).sortWithinPartitions(*key)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, v
         yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([-1], pa.int32()), none, none, none, none, pa.array([pairs.tobytes()], pa.binary())],
                                          names=["range", "part", "docs", "has", "n", "ids", "counts"])
 
-    kept = materialise(to_python(ordered).mapInArrow(encode, "range int, part int, docs binary, has binary, n binary, ids binary, counts binary"), "ids", "zstd")
+    kept = materialise(to_python(ordered, 2500).mapInArrow(encode, "range int, part int, docs binary, has binary, n binary, ids binary, counts binary"), "ids", "zstd")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
@@ -194,26 +194,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, v
                 blob = write_file(get("docs", "<i8"), get("has", np.uint8), get("n", "<i8"), get("ids", kind).astype(np.int64), lengths, codes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([blob], pa.binary())], names=["range", "part", "blob"])
 
-    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
-    with _settings(spark, small):
-        (kept.where("part >= 0").select("range", "part", "docs", "has", "n", "ids").mapInArrow(compress, "range int, part int, blob binary")
-         .write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(f"{folder}/files"))
-
-
-class _settings:
-    """Session settings for one job."""
-
-    def __init__(self, spark: SparkSession, values: dict[str, str]):
-        self.spark, self.values = spark, values
-
-    def __enter__(self):
-        self.before = {k: self.spark.conf.get(k, None) for k in self.values}
-        for k, v in self.values.items():
-            self.spark.conf.set(k, v)
-
-    def __exit__(self, *_):
-        for k, v in self.before.items():
-            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+    parts = to_python(kept.where("part >= 0").select("range", "part", "docs", "has", "n", "ids"), 4)
+    (parts.mapInArrow(compress, "range int, part int, blob binary")
+     .write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(f"{folder}/files"))
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,7 +226,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             total = [struct.unpack(_HEAD, x)[2] for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64())], names=["range", "part", "total"])
 
-    files = spark.read.schema("range int, part int, blob binary").parquet(f"{folder}/files")
+    files = to_python(spark.read.schema("range int, part int, blob binary").parquet(f"{folder}/files"), 4)
     sizes = files.select("range", "part", F.substring("blob", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "range int, part int, total long")
     # Sums by level (1,024 ranges, range, part), so that no task sorts all files.
     known = materialise(sizes.withColumn("top", F.shiftright("range", 10)), "sizes")
