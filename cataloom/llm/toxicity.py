@@ -16,22 +16,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, plain, rebuilt, slices, to_python
+from .common import crc_bucket, extended, plain, rebuilt, slices, to_python
 from .setjoin import mix
 from .training import labelled, word_codes
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, DIM, HIDDEN = 4096, 2048, 8, 8
 THRESHOLD = 0.7
+#: Labelled rows of each label in the fit.
+FIT_ROWS = {1: 2000, 0: 3500}
 _NAMES = ("word", "gram", "wx", "u", "b", "att", "out", "bias")
 
 
 @dataclass
 class Model:
-    """Sorted word hashes and the network's arrays; ``wx``, ``u`` and ``b`` hold both directions."""
+    """Sorted word hashes and the network's arrays; ``wx``, ``u`` and ``b`` hold both directions.
+
+    ``slope`` and ``shift`` turn a text's highest window logit into the log odds of its label.
+    """
 
     words: np.ndarray
     arrays: dict[str, np.ndarray]
+    slope: float = 1.0
+    shift: float = 0.0
 
 
 def trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +166,13 @@ def _gradients(p: dict, vectors, projected, ids, valid, target, weight):
     return g, d_vectors, score
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Model | float:
+def fit(rows: list[tuple[str, int]], share: float | None = None, epochs: int = 10, seed: int = 5) -> Model | float:
     """The network fitted to labelled texts, or their share of label 1 if only one label is there.
 
     A toxic text need not be toxic in every window: its windows to learn from are those with the
     words that most set the labels apart, and from the third pass those that the network scores highest.
+    At last two numbers map the highest window of a text to a probability, for a corpus in which
+    ``share`` of the texts are toxic (not given: as many as in ``rows``).
     """
     target = np.array([y for _, y in rows], np.int64)
     if len(set(target.tolist())) < 2:
@@ -197,7 +206,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Model |
         best[order[top]] = True
         clear = toxic & ~best & (clue >= 2.5)
         clean = np.flatnonzero(~toxic)
-        hard = clean[np.argsort(-rank[clean], kind="stable")[:2000]]
+        hard = clean[np.argsort(-rank[clean], kind="stable")[:4000]]
         some = rng.choice(clean, min(len(clean), 4000), replace=False)
         use = rng.permutation(np.unique(np.concatenate([np.flatnonzero(toxic & best), np.flatnonzero(clear)[:4000], hard, some])))
         for a in range(0, len(use), 256):
@@ -217,35 +226,53 @@ def fit(rows: list[tuple[str, int]], epochs: int = 8, seed: int = 5) -> Model |
                 m, v = moment[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad ** 2 - v)
-                p[k] -= (0.01 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
+                p[k] -= (0.01 * (1 - 0.8 * epoch / epochs) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
+    highest = np.full(len(rows), -20.0)
+    np.maximum.at(highest, owner, _scores(model, data, start, end, hashed, ids, valid))
+    share = float(target.mean()) if share is None else share
+    weight = np.where(target == 1, share / max(target.sum(), 1), (1 - share) / max((1 - target).sum(), 1)) * len(target)
+    model.slope, model.shift = _calibrated(highest, target, weight)
     return model
 
 
+def _calibrated(logit: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a weighted logistic regression on one number, by Newton's steps with a small penalty."""
+    x = np.stack([logit, np.ones(len(logit))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        gradient = x.T @ (weight * (p - target)) + 1e-2 * (w - [1.0, 0.0])
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-2 * np.eye(2)
+        move = np.linalg.solve(curve, gradient)
+        w = w - move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-9))
+    return max(float(w[0]), 1e-3), float(w[1])
+
+
 def _scores(model: Model, data, start, end, hashed, ids, valid, rows: int = 4096) -> np.ndarray:
-    """Scores of windows, ``rows`` at a time."""
+    """Logits of windows, ``rows`` at a time."""
     projected = _project(model.arrays, _inputs(model, data, start, end, hashed)[0])
     out = np.empty(len(ids), np.float32)
     for a in range(0, len(ids), rows):
         states, _ = _run(model.arrays, projected, ids[a:a + rows], valid[a:a + rows])
-        out[a:a + rows] = _sigmoid(_pool(model.arrays, states, valid[a:a + rows])[4])
+        out[a:a + rows] = _pool(model.arrays, states, valid[a:a + rows])[4]
     return out
 
 
 def score_texts(model: Model | float, texts: pa.Array) -> np.ndarray:
-    """Highest window score of each text; a text without words scores 0."""
+    """Probability of each text by its highest window; a text without words scores 0."""
     if not isinstance(model, Model):
         return np.full(len(texts), model)
     data, start, end, hashed, codes, offsets = word_codes(texts)
     first, length, owner = windows_of(offsets)
-    scores = np.zeros(len(texts))
+    highest = np.full(len(texts), -np.inf)
     if not len(first):
-        return scores
+        return np.zeros(len(texts))
     projected = _project(model.arrays, _inputs(model, data, start, end, hashed)[0])
     for a in range(0, len(first), 4096):
         ids, valid = _cut(codes, first[a:a + 4096], length[a:a + 4096])
         states, _ = _run(model.arrays, projected, ids, valid)
-        np.maximum.at(scores, owner[a:a + 4096], _sigmoid(_pool(model.arrays, states, valid)[4]).astype(float))
-    return np.clip(scores, 0, 1)
+        np.maximum.at(highest, owner[a:a + 4096], _pool(model.arrays, states, valid)[4].astype(float))
+    return np.where(np.isfinite(highest), 1 / (1 + np.exp(-np.clip(model.slope * highest + model.shift, -40, 40))), 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, parts: int = 3, bucket: int = 1) -> DataFrame:
@@ -255,7 +282,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, p
     ``bucket``; only text enters a score. Null and empty texts score 0. With labels of one kind
     only, all texts score that kind's share. Columns named score or predicted are replaced.
     """
-    model = fit(labelled(docs, labels, "toxic", parts, bucket))
+    counts = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & (crc_bucket("doc_id", parts) != bucket)).groupBy("toxic").count().collect()}
+    model = fit(labelled(docs, labels, "toxic", parts, bucket, FIT_ROWS), counts.get(1, 0) / max(sum(counts.values()), 1))
     shared = docs.sparkSession.sparkContext.broadcast(plain(model))  # about 0.3 MB
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     at = names.index("text")

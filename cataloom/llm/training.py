@@ -14,17 +14,17 @@ from .setjoin import _LOWER, _SPACE, hash_slices
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 32_768
 
 
-def sampled(rows: DataFrame, by: str, most: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``most`` rows of each value of ``by``, chosen by a hash of doc_id."""
+def sampled(rows: DataFrame, by: str, most: int | dict = SAMPLE_ROWS) -> DataFrame:
+    """About ``most`` rows of each value of ``by`` (or a number for each), chosen by a hash of doc_id."""
     counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, (most[value] if isinstance(most, dict) else most) / n))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: int,
-             most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+             most: int | dict = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
     """(text, label) of a bounded sample of learnable rows; rows of bucket ``held_out`` are not read.
 
     Null labels and null doc_ids teach nothing; of several labels of one doc_id the largest holds.
