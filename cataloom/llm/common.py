@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,11 +22,9 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def to_python(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df`` as it is; its session sends at most ``rows`` rows at once to Python, as texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, str(rows))
+def to_python(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df`` as it is; its session now sends ``rows`` rows at once to Python, as texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
@@ -63,7 +62,7 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bytes]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0], b""
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     lengths = batch.column(text).cast(pa.large_string())
     sizes = np.asarray(pa.compute.binary_length(lengths).fill_null(0), np.int64)
@@ -75,6 +74,15 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa
         total += int(size)
     if start < len(sizes):
         yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give memory that the last batch used back to the system; workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def in_parts(function, text: int):

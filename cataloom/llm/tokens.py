@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ import pyarrow.compute as pc
 #: Distinct pieces that one task remembers.
 MEMORY = 400_000
 _PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
-_SPECIAL = re.compile(r"<\|")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,45 +39,47 @@ class Encoder:
         self.model = self.whole.model
         self.lower = self.whole.normalizer is not None
         self.letters = _byte_letters()
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.parts: dict[str, list[int]] = {}
+        # pieces at the start of a text, and behind a space; each one's number in ``start`` and ``size``
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.ids, self.start, self.size = array("I"), array("q"), array("q")
 
     def _merged(self, part: str) -> list[int]:
         found = self.parts.get(part)
         if found is None:
             mapped = part.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.model.tokenize(mapped)]
-            if len(self.parts) >= MEMORY:
-                self.parts.clear()
-            self.parts[part] = found
+            found = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
         return found
 
-    def _pieces(self, pieces: list[str], spaced: list[bool]) -> list[np.ndarray]:
-        """Ids of distinct pieces, which stand behind a space where ``spaced`` says so."""
-        out: list = [None] * len(pieces)
+    def _numbers(self, pieces: list[str], space: int) -> np.ndarray:
+        """Numbers of distinct pieces, new ones encoded first."""
+        known = self.known[space]
+        got = list(map(known.get, pieces))
         odd = []
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        for i, (piece, space) in enumerate(zip(pieces, spaced)):
-            key = f" {piece}" if space and not self.lower else piece
-            found = self.known.get(key)
-            if found is None:
-                match = _PLAIN.fullmatch(piece)
+        lead = " " if space and not self.lower else ""
+        for i, number in enumerate(got):
+            if number is None:
+                match = _PLAIN.fullmatch(pieces[i])
                 if match is None:
-                    odd.append((i, key))
+                    odd.append(i)
                     continue
                 word, marks = match.groups()
-                if self.lower:
-                    ids = self._merged(word.lower()) + (self._merged(marks) if marks else [])
-                else:
-                    ids = self._merged(f" {word}" if space else word) + (self._merged(marks) if marks else [])
-                found = self.known[key] = np.array(ids, np.uint32)
-            out[i] = found
+                ids = self._merged(word.lower() if self.lower else lead + word)
+                got[i] = self._add(known, pieces[i], ids + self._merged(marks) if marks else ids)
         if odd:
-            got = self.whole.encode_batch([key for _, key in odd], add_special_tokens=False)
-            for (i, key), encoding in zip(odd, got):
-                out[i] = self.known[key] = np.array(encoding.ids, np.uint32)
-        return out
+            for i, encoding in zip(odd, self.whole.encode_batch([lead + pieces[i] for i in odd], add_special_tokens=False)):
+                got[i] = self._add(known, pieces[i], encoding.ids)
+        return np.array(got, np.int64)
+
+    def _add(self, known: dict[str, int], piece: str, ids: list[int]) -> int:
+        known[piece] = number = len(self.start)
+        self.start.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts; a null text is empty."""
@@ -89,19 +91,25 @@ class Encoder:
         counts = np.diff(np.asarray(split.offsets))
         flat = pc.list_flatten(split).dictionary_encode()
         codes = np.asarray(flat.indices).astype(np.int64)
-        first = np.zeros(len(codes), bool)
-        first[(np.cumsum(counts) - counts)] = True
-        # the first piece of a text has no space before it
-        keyed = codes * 2 + (~first if not self.lower else 1)
-        used, codes = np.unique(keyed, return_inverse=True)
-        names = flat.dictionary.take(pa.array(used // 2)).to_pylist()
-        ids = self._pieces(names, (used % 2 == 1).tolist())
-        size = np.array([len(x) for x in ids], np.int64)
-        place = np.concatenate([[0], np.cumsum(size)])
-        table = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        lengths = size[codes]
+        if len(self.start) >= MEMORY:
+            self._forget()
+        words = flat.dictionary.to_pylist()
+        if self.lower:
+            numbers = self._numbers(words, 1)[codes]
+        else:
+            # the first piece of a text has no space before it
+            first = np.zeros(len(codes), bool)
+            first[np.cumsum(counts) - counts] = True
+            numbers = np.empty(len(codes), np.int64)
+            for space, mine in ((0, np.flatnonzero(first)), (1, np.flatnonzero(~first))):
+                held = np.flatnonzero(np.bincount(codes[mine], minlength=len(words)))
+                place = np.zeros(len(words), np.int64)
+                place[held] = self._numbers([words[i] for i in held.tolist()], space)
+                numbers[mine] = place[codes[mine]]
+        start, size, table = np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.ids, np.uint32)
+        lengths = size[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(place[:-1][codes] - ends[:-1], lengths) + np.arange(ends[-1])
+        at = np.repeat(start[numbers] - ends[:-1], lengths) + np.arange(ends[-1])
         flat_ids = table[at]
         offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
         if not len(rows):
