@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import bounded
-from .setjoin import Rule, chained, describe, level, postings, sized, verify
+from .setjoin import Rule, chained, describe, first_tries, postings, sized, verify
 
 LINES = Rule(lines=True)
 
@@ -24,14 +24,7 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
     of similar lines costs about one test a line.
     """
     shared = postings(docs, described, rule)
-    early = (shared.groupBy("token", level("n").alias("level")).agg(F.min(F.struct("doc", "line", "fp", "n", "pos")).alias("e"))
-             .select("token", "level", *[F.col(f"e.{c}").alias(f"y_{c}") for c in ("n", "pos")], F.col("e.fp").alias("y")))
-    tried = sized(_side(shared, "x").withColumn("level", level("x_n"))
-                   .join(early, ["token", "level"]).where("x <> y"), rule)
-    best = (tried.groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-            .groupBy("x").agg(F.max_by(F.struct("a", "b", "y"), F.struct("c", "y")).alias("p"))
-            .select("x", "p.a", "p.b"))
-    best = materialise(best, "tried")
+    best = first_tries(shared, rule, by_place=True)
     done = best.join(verify(best.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
     done = materialise(done, "matched")
     linked = materialise(chained(shared), "chained")

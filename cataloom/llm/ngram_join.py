@@ -7,36 +7,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import components
-from .setjoin import Rule, chained, describe, level, passing, postings, sized, verify
+from .setjoin import Rule, chained, describe, first_tries, passing, postings, verify
 
 
-#: Rounds in which each set is tried against one set of its lists, before all remaining pairs.
-ROUNDS = 3
-
-
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the group of their set so far, of those shingles that sets of several groups share."""
-    if labels is None:
-        return shared.select("token", "fp", "n", "pos", F.col("fp").alias("label"))
     rows = (shared.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left")
             .select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("label")))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return materialise(rows.join(mixed, "token", "left_semi"), "mixed")
-
-
-def _star(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
-    """For each set one set of another group to try: of those picked from its lists, the most frequent one.
-
-    A list's pick is the same for all its members; each turn picks anew.
-    """
-    order = F.struct("n", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)).alias("n"), "fp")
-    hubs = (rows.groupBy("token", level("n").alias("level")).agg(F.min_by(F.struct("fp", "n", "pos", "label"), order).alias("h"))
-            .select("token", "level", F.col("h.fp").alias("y"), F.col("h.n").alias("y_n"), F.col("h.pos").alias("y_pos"), F.col("h.label").alias("y_label")))
-    tried = (rows.select("token", level("n").alias("level"), F.col("fp").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), "label")
-             .join(hubs, ["token", "level"]).where("label <> y_label"))
-    counts = sized(tried, rule).groupBy("x", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    return rows.join(mixed, "token", "left_semi")
 
 
 def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -58,9 +37,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Two documents link when ``rule`` holds for their sets of distinct shingles; a component is
     what links reach, named by its smallest doc_id. Equal sets are one set from the start. Each
-    set is first tried, ``ROUNDS`` times, against one set of its posting lists; pairs inside the
-    groups found so need no test, and all remaining candidate pairs are verified once. So a large
-    group of copies costs a few tests per member, and no link between groups is lost.
+    set is first tried against one set of its posting lists; pairs inside the groups found so need
+    no test, and all remaining candidate pairs are verified once. So a large group of copies
+    costs about one test per member, and no link between groups is lost.
 
     Null or blank texts have an empty set and link with nothing. A null doc_id keeps its row;
     its group is named by the smallest doc_id that is not null, if any. Rows that repeat a
@@ -69,15 +48,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     described = describe(docs, rule)
     units = described.where("slice is null").select("doc", "n", "fp")
     shared = postings(docs, described, rule)
-    edges = shared.sparkSession.createDataFrame([], "u long, v long")
-    labels = None
-    for turn in range(ROUNDS + 1):
-        rows = _labelled(shared, labels)
-        pairs = materialise(_star(rows, rule, turn) if turn < ROUNDS else _crossing(rows, rule), "tried")
-        links = verify(pairs, shared, docs, rule)
-        edges = edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels = materialise(components(edges), "labels")
-    labels = labels.select(F.col("node").alias("fp"), "component")
+    link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = link(first_tries(shared, rule, by_place=False).select("a", "b").distinct())
+    labels = materialise(components(edges), "labels")
+    crossing = materialise(_crossing(_mixed(shared, labels), rule), "crossing")
+    labels = components(edges.unionByName(link(crossing))).select(F.col("node").alias("fp"), "component")
     named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
     named = materialise(named.select("doc", "n", "key"), "named")
     least = named.where("n > 0").groupBy("key").agg(F.min("doc").alias("least"))

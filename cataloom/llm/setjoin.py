@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialise
-from .common import bounded, byte_view, slices, to_python
+from .common import bounded, byte_view, release, slices, to_python
 
 BITS, SLICES = 22, 64
 #: A shingle counted more often than this is dealt by set instead of by shingle.
@@ -170,12 +170,12 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary())],
                     names=["doc", "line", "words", "n", "fp", "slice", "counts"])
-        parts = counts.astype("<i4").reshape(SLICES, -1)
-        used = [i for i in range(SLICES) if parts[i].any()]
-        empty = lambda kind: pa.nulls(len(used), kind)
-        yield pa.RecordBatch.from_arrays(
-            [empty(pa.int64()), empty(pa.int32()), empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
-            names=["doc", "line", "words", "n", "fp", "slice", "counts"])
+        parts = counts.reshape(SLICES, -1)
+        none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+        for i in np.flatnonzero(parts.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary())],
+                                             names=["doc", "line", "words", "n", "fp", "slice", "counts"])
+        release()
 
     schema = "doc long, line int, words long, n long, fp long, slice int, counts binary"
     return materialise(to_python(docs.select("doc_id", "text")).mapInArrow(run, schema), "sets")
@@ -273,6 +273,7 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i].astype(np.int64)), pa.array(pos[i].astype(np.int64)), pa.array(doc[i]), pa.array(line[i])],
                     names=["token", "fp", "n", "pos", "doc", "line"])
+            release()
 
     dealt = to_python(docs.select("doc_id", "text")).mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
     return materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, doc long, line int"), "postings")
@@ -298,9 +299,41 @@ def sized(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("x", "y", *pick(""), *pick("_n"), *pick("_pos")).where(passing(rule))
 
 
-def level(n: str) -> Column:
-    """Class of a set's size; sizes of one class are within 4/3 of each other."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(0.2876820724517809))
+def first_tries(shared: DataFrame, rule: Rule, by_place: bool) -> DataFrame:
+    """``(x, a, b)``: for each set ``x`` one pair with it to verify first.
+
+    Each list, of a shingle and a class of sizes within 4/3 of each other, offers one set to all
+    its members: the smallest one, or with ``by_place`` the earliest. A set tries the one that
+    most of its lists offer. Lists are read in batches as they lie; where a batch cuts a list, each
+    part offers its own set, which costs a test more or less but no link, as all remaining pairs
+    are tried later.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, fp, n, pos, doc, line = (np.asarray(batch.column(i)) for i in range(6))
+            if not len(token):
+                continue
+            size_class = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
+            order = np.lexsort(((line, doc) if by_place else (fp, n)) + (size_class, token))
+            token, fp, n, pos, size_class = (c[order] for c in (token, fp, n, pos, size_class))
+            start = np.ones(len(token), bool)
+            start[1:] = (token[1:] != token[:-1]) | (size_class[1:] != size_class[:-1])
+            head = np.flatnonzero(start)[np.cumsum(start) - 1]
+            x = np.flatnonzero(~start)
+            y = head[x]
+            small = (n[x] < n[y]) | ((n[x] == n[y]) & (fp[x] < fp[y]))
+            a, b = np.where(small, x, y), np.where(small, y, x)
+            ok = ((pos[a] < rule.index(n[a])) & (n[a] * rule.den >= n[b] * rule.num)
+                  & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.overlap(n[a] + n[b])))
+            rows = np.stack([fp[x], fp[a], fp[b]], 1)[ok]
+            rows, count = np.unique(rows, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], pa.array(count)], names=["x", "a", "b", "c"])
+            release()
+
+    offers = to_python(shared.select("token", "fp", "n", "pos", "doc", "line"), 50_000).mapInArrow(run, "x long, a long, b long, c long")
+    best = (offers.groupBy("x", "a", "b").agg(F.sum("c").alias("c"))
+            .groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")))
+    return materialise(best.select("x", "p.a", "p.b"), "tried")
 
 
 def chained(rows: DataFrame) -> DataFrame:
@@ -331,32 +364,27 @@ def counted(pairs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
 
     side = lambda x: profile.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("prefix").alias(f"{x}_p"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_p", "b_p")
-    return materialise(met.mapInArrow(run, "a long, b long"), "counted")
+    return materialise(to_python(met, 5000).mapInArrow(run, "a long, b long"), "counted")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """(fp, n, ranges, tokens) of the sets in ``wanted`` (fp, doc, line), read from their first units."""
-    wanted = materialise(wanted, "wanted")
-    rows = wanted.count()
+    places = materialise(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))
-    source = (docs.select(key.alias("doc"), "text").join(bounded(wanted.select("doc").distinct(), rows), "doc", "left_semi")
-              .select("doc", "text"))
+    source = docs.select(key.alias("doc"), "text").join(bounded(places, places.count()), "doc").select("text", "lines")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                row, line, _, size, fp, tokens, offset = unit_sets(part.column(1), rule)
-                kind = np.repeat(np.arange(len(fp)), size) * RANGES + (tokens >> np.uint64(64 - 6)).astype(np.int64)
-                ranges = np.bincount(kind, minlength=len(fp) * RANGES).astype("<i4").reshape(-1, RANGES)
-                some = np.flatnonzero(size > 0)
+            for part in slices(batch, 0):
+                row, line, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
+                asked = [set(x) for x in part.column(1).to_pylist()]
+                some = np.array([u for u in np.flatnonzero(size > 0).tolist() if line[u] in asked[row[u]]], np.int64)
+                count = [np.bincount((tokens[offset[u]:offset[u + 1]] >> np.uint64(64 - 6)).astype(np.int64), minlength=RANGES).astype("<i4").tobytes() for u in some.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[some]), part.column(0).take(pa.array(row[some])), pa.array(line[some].astype(np.int32)), pa.array(size[some]),
-                     pa.array([ranges[i].tobytes() for i in some], pa.binary()), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())],
-                    names=["fp", "doc", "line", "n", "ranges", "tokens"])
+                    [pa.array(fp[some]), pa.array(size[some]), pa.array(count, pa.binary()), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())],
+                    names=["fp", "n", "ranges", "tokens"])
 
-    found = source.mapInArrow(run, "fp long, doc long, line int, n long, ranges binary, tokens binary")
-    found = found.join(bounded(wanted, rows), ["fp", "doc", "line"], "left_semi")
-    return materialise(found.select("fp", "n", "ranges", "tokens"), "tokens")
+    return materialise(to_python(source).mapInArrow(run, "fp long, n long, ranges binary, tokens binary"), "tokens")
 
 
 def verify(pairs: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -393,7 +421,8 @@ def verify(pairs: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) ->
         return sets.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     ranged = (left.join(side("a", "n", "ranges"), "a").join(side("b", "n", "ranges"), "b")
-              .select("a", "b", "a_n", "b_n", "a_ranges", "b_ranges").mapInArrow(near, "a long, b long"))
+              .select("a", "b", "a_n", "b_n", "a_ranges", "b_ranges"))
+    ranged = to_python(ranged, 5000).mapInArrow(near, "a long, b long")
     left = materialise(ranged.distinct(), "pairs")
     full = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
-    return materialise(full.mapInArrow(exact, "a long, b long").distinct(), "links")
+    return materialise(to_python(full, 200).mapInArrow(exact, "a long, b long").distinct(), "links")
