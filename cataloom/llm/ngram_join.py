@@ -10,25 +10,25 @@ from .common import components
 from .setjoin import Rule, chained, describe, first_tries, passing, postings, verify
 
 
+#: Turns in which each set is tried against one set of its lists, before all remaining pairs.
+TURNS = 3
+
+
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the group of their set so far, of those shingles that sets of several groups share."""
     rows = (shared.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left")
-            .select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("label")))
+            .select("token", "fp", "n", "pos", "doc", "line", F.coalesce("component", "fp").alias("label")))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return rows.join(mixed, "token", "left_semi")
+    return materialise(rows.join(mixed, "token", "left_semi"), "mixed")
 
 
 def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
     """All candidate pairs whose sets are in different groups so far."""
     rows = materialise(chained(rows), "chained")
-    groups = rows.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    met = (groups.select("token", F.col("label").alias("a_label"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-           .join(groups.select("token", F.col("label").alias("b_label"), F.col("low").alias("b_low"), F.col("high").alias("b_high")), "token")
-           .where(f"a_label <> b_label and a_low <= b_high and a_high * {rule.den} >= b_low * {rule.num}")
-           .select("token", "a_label", "b_label"))
-    side = lambda x: rows.select("token", F.col("label").alias(f"{x}_label"), F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev")])
-    met = met.join(side("a").where(F.expr(f"a_pos < a_n - ceil(a_n * {2 * rule.num} / {rule.num + rule.den}) + 1")), ["token", "a_label"])
-    pairs = met.join(side("b"), ["token", "b_label"]).where("(a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule))
+    side = lambda x: rows.select("token", F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev", "label")])
+    index = side("a").where(F.expr(f"a_pos < a_n - ceil(a_n * {2 * rule.num} / {rule.num + rule.den}) + 1"))
+    pairs = (index.join(side("b"), "token")
+             .where("a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule)))
     return pairs.select("a", "b").distinct()
 
 
@@ -37,9 +37,9 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Two documents link when ``rule`` holds for their sets of distinct shingles; a component is
     what links reach, named by its smallest doc_id. Equal sets are one set from the start. Each
-    set is first tried against one set of its posting lists; pairs inside the groups found so need
-    no test, and all remaining candidate pairs are verified once. So a large group of copies
-    costs about one test per member, and no link between groups is lost.
+    set is first tried, ``TURNS`` times, against one set of its posting lists; pairs inside the
+    groups found so need no test, and all remaining candidate pairs are verified once. So a large
+    group of copies costs a few tests per member, and no link between groups is lost.
 
     Null or blank texts have an empty set and link with nothing. A null doc_id keeps its row;
     its group is named by the smallest doc_id that is not null, if any. Rows that repeat a
@@ -49,10 +49,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     units = described.where("slice is null").select("doc", "n", "fp")
     shared = postings(docs, described, rule)
     link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = link(first_tries(shared, rule, by_place=False).select("a", "b").distinct())
-    labels = materialise(components(edges), "labels")
-    crossing = materialise(_crossing(_mixed(shared, labels), rule), "crossing")
-    labels = components(edges.unionByName(link(crossing))).select(F.col("node").alias("fp"), "component")
+    edges, rows = None, shared
+    for turn in range(TURNS + 1):
+        found = link(first_tries(rows, rule, False, turn).select("a", "b").distinct() if turn < TURNS else materialise(_crossing(rows, rule), "crossing"))
+        edges = found if edges is None else edges.unionByName(found)
+        labels = materialise(components(edges), "labels")
+        rows = _mixed(shared, labels) if turn < TURNS else None
+    labels = labels.select(F.col("node").alias("fp"), "component")
     named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
     named = materialise(named.select("doc", "n", "key"), "named")
     least = named.where("n > 0").groupBy("key").agg(F.min("doc").alias("least"))
