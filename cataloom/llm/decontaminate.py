@@ -122,6 +122,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of an item."""
     _, found, _ = occurrences(docs, items)
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    bad = found.select(F.col("doc_id").alias("__llm_id"), F.col("print").alias("__llm_print")).distinct()
     bad = bounded(bad, bad.count())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64("text") == F.col("__llm_print")), "left_anti")

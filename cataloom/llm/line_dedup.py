@@ -66,17 +66,17 @@ def dedup_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
     rows that have none.
     """
     gone = removed_lines(docs, rule)
-    gone = bounded(gone, gone.count()).select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
+    gone = bounded(gone, gone.count()).select(F.col("doc_id").alias("__llm_gone_id"), F.col("lines").alias("__llm_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    joined = docs.select(*names).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
+    joined = docs.select(*names).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_gone_id")), "left")
     lines = F.split("text", "\n")
-    inside = F.expr("filter(_gone, i -> i < size(split(text, '\n')))")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(F.col("_split"), i))
+    inside = F.expr("filter(__llm_gone, i -> i < size(split(text, '\n')))")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__llm_gone")), lambda i: F.get(F.col("__llm_split"), i))
     none = F.array().cast("array<int>")
-    joined = joined.withColumn("_split", lines)
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn("__llm_split", lines)
+    text = F.when(F.col("__llm_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("text").isNull(), none).otherwise(F.coalesce(inside, none))
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_split")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("__llm_split")).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -182,22 +182,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, pool: int = POOL) -> DataFr
             where, offset = pack_lengths(lengths, capacity)
             fill = np.bincount(where, weights=lengths)
             loose = np.zeros(len(lengths), bool) if final else fill[where] < 0.98 * capacity
-            base = np.asarray(table["_pool"], np.int64) * (2 * pool * 64) + (1 << 62) * final
-            out = table.drop_columns(["_pool"]).append_column("sequence_id", pa.array(base + where)).append_column("offset", pa.array(offset))
-            return out if final else out.append_column("_loose", pa.array(loose))
+            base = np.asarray(table["__llm_pool"], np.int64) * (2 * pool * 64) + (1 << 62) * final
+            out = table.drop_columns(["__llm_pool"]).append_column("sequence_id", pa.array(base + where)).append_column("offset", pa.array(offset))
+            return out if final else out.append_column("__llm_loose", pa.array(loose))
 
         return run
 
-    first = (dealt.withColumn("_pool", salt).groupBy("_pool")
-             .applyInArrow(run_pools(False), extended(dealt.schema, sequence_id="long", offset="long", _loose="boolean")))
+    first = (dealt.withColumn("__llm_pool", salt).groupBy("__llm_pool")
+             .applyInArrow(run_pools(False), extended(dealt.schema, sequence_id="long", offset="long", __llm_loose="boolean")))
     first = materialise(first, "packed")
-    loose = first.where("_loose").select(*names)
+    loose = first.where("__llm_loose").select(*names)
     left = loose.count()
     again = max(1, -(-left // pool))
     plain = extended(dealt.schema, sequence_id="long", offset="long")
-    second = (loose.withColumn("_pool", F.pmod(F.xxhash64(*[F.col(c) for c in names]) + F.monotonically_increasing_id(), F.lit(again)).cast("int"))
-              .groupBy("_pool").applyInArrow(run_pools(True), plain))
-    return first.where("not _loose").drop("_loose").unionByName(second)
+    second = (loose.withColumn("__llm_pool", F.pmod(F.xxhash64(*[F.col(c) for c in names]) + F.monotonically_increasing_id(), F.lit(again)).cast("int"))
+              .groupBy("__llm_pool").applyInArrow(run_pools(True), plain))
+    return first.where("not __llm_loose").drop("__llm_loose").unionByName(second)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep: tuple[str, ...] = ("ids",)) -> DataFrame:

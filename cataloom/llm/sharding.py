@@ -114,7 +114,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, part_ro
                 at[mine] = i + np.searchsorted(low[i:end[mine[0]]], t[mine], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=[*batch.schema.names, "_part"])
 
-    keyed = docs.select(key.alias("_k"), tie.alias("_t"), *names, size.alias("size"))
+    # The row's own columns travel in one struct, whatever their names.
+    keyed = docs.select(key.alias("_k"), tie.alias("_t"), F.struct(*names).alias("_row"), size.alias("size"))
     parts = keyed.mapInArrow(place, extended(keyed.schema, _part="int"))
     order = W.partitionBy("_part").orderBy("_k", "_t")
     ranked = parts.repartition(shards * inner, "_part").withColumn("_rank", F.row_number().over(order) - 1)
@@ -125,7 +126,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, part_ro
     before = F.sum("n").over(W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     bases = counts.select("_part", "shard", F.coalesce(before, F.lit(0)).alias("_base"))
     return (ranked.join(bounded(bases, shards * inner), "_part")
-            .select(*names, "size", "shard", (F.col("_rank") + F.col("_base")).cast("long").alias("slot")))
+            .select(*[F.col("_row")[c].alias(c) for c in names], F.col("size"), "shard", (F.col("_rank") + F.col("_base")).cast("long").alias("slot")))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
