@@ -29,7 +29,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, 4 << 20):
                 ids, offsets = appended(*encoder.encode(part.column(1)), end)
                 count = np.diff(offsets)
                 many = -(-count // capacity)
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
                     names=["doc_id", "piece", "start", "length", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return to_python(docs, 2500).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return to_python(docs, 1000).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 class _Bins:
