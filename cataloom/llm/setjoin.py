@@ -203,12 +203,14 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
 
     ``pos`` counts from 0 in the order rare to frequent; ``doc`` and ``line`` name the first unit
     that has the set. Blocks of about ``BUCKET_ROWS`` postings are dealt by shingle, those of very
-    frequent shingles by set, so no block grows with one key.
+    frequent shingles by set, so no block grows with one key. The postings of one of those lie in
+    many blocks, so they are all kept there and counted by shingle afterwards.
     """
     spark = docs.sparkSession
     total = described.where("n > 0").agg(F.sum(F.expr(f"n - ceil(n * {rule.num} / {rule.den}) + 1"))).first()[0] or 0
     buckets = max(8, int(total) // BUCKET_ROWS + 1)
-    classes = spark.sparkContext.broadcast(rarity(described))
+    ranks = rarity(described)
+    classes = spark.sparkContext.broadcast(ranks)
     hot = int(4 * np.log2(HOT))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +247,7 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(classes.value, np.uint8)
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -267,16 +270,22 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
             same = token[1:] == token[:-1]
             twice[1:] |= same
             twice[:-1] |= same
-            keep = np.flatnonzero(twice)
+            spread = table[(token >> np.uint64(64 - BITS)).astype(np.int64)] >= hot
+            keep = np.flatnonzero(twice | spread)
             for a in range(0, len(keep), 100_000):
                 i = keep[a:a + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i].astype(np.int64)), pa.array(pos[i].astype(np.int64)), pa.array(doc[i]), pa.array(line[i])],
-                    names=["token", "fp", "n", "pos", "doc", "line"])
+                    [pa.array(token[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i].astype(np.int64)), pa.array(pos[i].astype(np.int64)), pa.array(doc[i]), pa.array(line[i]), pa.array(spread[i])],
+                    names=["token", "fp", "n", "pos", "doc", "line", "spread"])
             release()
 
     dealt = to_python(docs.select("doc_id", "text")).mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
-    return materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, doc long, line int"), "postings")
+    found = materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, doc long, line int, spread boolean"), "postings")
+    if not (np.frombuffer(ranks, np.uint8) >= hot).any():
+        return found.drop("spread")
+    shared = found.where("spread").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    kept = found.where("spread").join(shared, "token", "left_semi").unionByName(found.where("not spread"))
+    return materialise(kept.drop("spread"), "postings")
 
 
 def passing(rule: Rule, small: str = "a", large: str = "b") -> Column:

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from cataloom.llm import setjoin
 from cataloom.llm.decontaminate import clean_documents, contamination
 from cataloom.llm.line_dedup import dedup_lines
 from cataloom.llm.ngram_join import keep_first, near_duplicates
@@ -55,6 +56,19 @@ def test_chains_of_similar_texts(spark):
     assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
 
 
+def test_frequent_shingles_in_many_blocks(spark, monkeypatch):
+    """Every shingle counts as hot, so the sets that share one lie in different blocks."""
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    monkeypatch.setattr(setjoin, "BUCKET_ROWS", 10)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(100 - i, " ".join(words[10 * i:10 * i + 100])) for i in range(12)] + [(200 + i, " ".join(f"v{j}" for j in range(30))) for i in range(40)]
+    rows += [(300 + i, " ".join([f"u{i}", *[f"v{j}" for j in range(1, 30)]])) for i in range(3)] + [(400, "alone in its words as no other text has them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
+    gone = expected_lines(docs.collect())
+    assert {r["doc_id"]: set(r["removed"]) for r in dedup_lines(docs).collect()} == {i: gone.get(i, set()) for i, _ in rows}
+
+
 def test_keep_first(awkward, empty):
     kept = keep_first(awkward)
     assert kept.columns == awkward.columns
