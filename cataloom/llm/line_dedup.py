@@ -17,7 +17,7 @@ def _side(shared: DataFrame, name: str) -> DataFrame:
 
 
 def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    """``(doc, line)`` of the first line of every shingle set that is similar to a set seen earlier.
+    """``fp`` of every shingle set that is similar to a set seen earlier; sets of one place are ordered by ``fp``.
 
     Each set is first tried against one early set of its posting lists; sets that match are done.
     The others are tried against all earlier sets of their lists, so none is missed and a group
@@ -30,31 +30,30 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
     linked = materialise(chained(shared), "chained")
     rest = _side(linked, "x").join(done, "x", "left_anti")
     pairs = sized(rest.join(_side(linked, "y"), "token")
-                  .where("struct(y_doc, y_line) < struct(x_doc, x_line) and coalesce(x_prev <> y_prev, true)"),
+                  .where("struct(y_doc, y_line, y) < struct(x_doc, x_line, x) and coalesce(x_prev <> y_prev, true)"),
                   rule).select("x", "a", "b").distinct()
     pairs = materialise(pairs, "crossing")
     more = pairs.join(verify(pairs.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
-    found = done.unionByName(more)
-    return shared.select(F.col("fp").alias("x"), "doc", "line").distinct().join(found, "x", "left_semi").select("doc", "line")
+    return done.unionByName(more).select(F.col("x").alias("fp")).distinct()
 
 
 def removed_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
-    """``(doc_id, lines)``: the numbers, from 0, of the lines of a document that match an earlier line.
+    """``(doc_id, print, lines)``: the numbers, from 0, of the lines of a text that match an earlier line.
 
-    Lines are ordered by (doc_id, line), null doc_ids last. A line goes if an earlier line has the
-    same set of shingles or one that ``rule`` calls similar, be that line kept or not. Lines
-    without words never go. Rows that repeat a doc_id count as one place in the order: their
-    equal line numbers go or stay together unless the same text occurs earlier.
+    ``print`` is the xxhash64 of the text. Lines are ordered by (doc_id, line), null doc_ids last;
+    lines of different texts with one doc_id and number are ordered by their sets, then by
+    ``print``. A line goes if an earlier line has the same set of shingles or one that ``rule``
+    calls similar, be that line kept or not. Lines without words never go. Rows that repeat both
+    doc_id and text count as one place in the order: their lines go or stay together.
     """
     described = describe(docs, rule)
-    units = described.where("slice is null and n > 0").select("doc", "line", "fp", "n")
-    key = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("line").alias("line"))
+    units = described.where("slice is null and n > 0").select("doc", "print", "line", "fp")
+    key = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("line").alias("line"), F.col("print").alias("print"))
     many = units.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", "first")
-    copies = units.join(many, "fp").where(key > F.col("first")).select("doc", "line")
-    none = F.when(F.col("doc") < (1 << 63) - 1, F.col("doc")).alias("doc")
-    similar = matched_sets(docs, described, rule).select(none, "line")
-    gone = copies.unionByName(similar).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return materialise(gone.select(F.col("doc").alias("doc_id"), "lines"), "removed")
+    copies = units.join(many, "fp").where(key > F.col("first")).select("doc", "print", "line")
+    similar = units.join(matched_sets(docs, described, rule), "fp", "left_semi").select("doc", "print", "line")
+    gone = copies.unionByName(similar).groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return materialise(gone.select(F.col("doc").alias("doc_id"), "print", "lines"), "removed")
 
 
 def dedup_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
@@ -62,13 +61,15 @@ def dedup_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
 
     Lines end with a line feed. ``removed`` holds the numbers of the lines taken out. A null text
     has no lines and stays null; all other columns stay, except that the three named ones
-    replace columns of the same name. Lines of a null doc_id are compared, and removed in all
-    rows that have none.
+    replace columns of the same name. A row loses only lines of its own text, also where its
+    doc_id is null or other texts share it.
     """
     gone = removed_lines(docs, rule)
-    gone = bounded(gone, gone.count()).select(F.col("doc_id").alias("__llm_gone_id"), F.col("lines").alias("__llm_gone"))
+    gone = bounded(gone, gone.count()).select(
+        F.col("doc_id").alias("__llm_gone_id"), F.col("print").alias("__llm_gone_print"), F.col("lines").alias("__llm_gone"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    joined = docs.select(*names).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_gone_id")), "left")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_gone_id")) & (F.xxhash64("text") == F.col("__llm_gone_print"))
+    joined = docs.select(*names).join(gone, own, "left")
     lines = F.split("text", "\n")
     inside = F.expr("filter(__llm_gone, i -> i < size(split(text, '\n')))")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__llm_gone")), lambda i: F.get(F.col("__llm_split"), i))

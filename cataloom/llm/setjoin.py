@@ -159,7 +159,10 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Unit rows (doc, line, words, n, fp) and, with ``slice`` set, one task's shingle counters."""
+    """Unit rows (doc, print, line, words, n, fp) and, with ``slice`` set, one task's shingle counters.
+
+    ``print`` is a 64-bit hash of the whole text, which tells rows of one doc_id apart.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int32)
         for batch in batches:
@@ -168,17 +171,18 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                 np.add.at(counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), np.int32(1))
                 none = pa.nulls(len(row), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary())],
-                    names=["doc", "line", "words", "n", "fp", "slice", "counts"])
+                    [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary()),
+                     part.column(2).take(pa.array(row))],
+                    names=["doc", "line", "words", "n", "fp", "slice", "counts", "print"])
         parts = counts.reshape(SLICES, -1)
         none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
         for i in np.flatnonzero(parts.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary())],
-                                             names=["doc", "line", "words", "n", "fp", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary()), pa.nulls(1, pa.int64())],
+                                             names=["doc", "line", "words", "n", "fp", "slice", "counts", "print"])
         release()
 
-    schema = "doc long, line int, words long, n long, fp long, slice int, counts binary"
-    return materialise(to_python(docs.select("doc_id", "text")).mapInArrow(run, schema), "sets")
+    schema = "doc long, line int, words long, n long, fp long, slice int, counts binary, print long"
+    return materialise(to_python(docs.select("doc_id", "text", F.xxhash64("text").alias("print"))).mapInArrow(run, schema), "sets")
 
 
 def rarity(described: DataFrame) -> bytes:
@@ -324,7 +328,7 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0) ->
                 continue
             size_class = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
             rank = mix(fp.view(np.uint64) ^ np.uint64(turn)) if turn else n
-            order = np.lexsort(((line, doc) if by_place else (fp, rank)) + (size_class, token))
+            order = np.lexsort(((fp, line, doc) if by_place else (fp, rank)) + (size_class, token))
             token, fp, n, pos, size_class, label = (c[order] for c in (token, fp, n, pos, size_class, label))
             start = np.ones(len(token), bool)
             start[1:] = (token[1:] != token[:-1]) | (size_class[1:] != size_class[:-1])

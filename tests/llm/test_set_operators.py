@@ -105,6 +105,18 @@ def test_dedup_lines(awkward):
     assert dedup_lines(awkward).count() == len(rows)
 
 
+def test_dedup_lines_of_shared_and_null_ids(spark):
+    """Rows of one doc_id, or of none, lose their own repeated lines only; each line stays once."""
+    line = lambda x: " ".join(f"{x}{i}" for i in range(8))
+    rows = [(1, line("a")), (2, "\n".join([line("b"), line("a")])), (2, "\n".join([line("a"), line("c")])), (2, "\n".join([line("d"), line("e")])),
+            (None, line("a")), (None, line("f")), (None, line("g")), (None, "\n".join([line("h"), line("g")])), (None, "\n".join([line("i"), line("j")])),
+            (None, "\n".join([line("k"), line("l")])), (None, "\n".join([line("k"), line("m")]))]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    assert sorted(x for r in out for x in r["text"].split("\n") if x) == sorted({x for _, t in rows for x in t.split("\n")})
+    assert all(r["n_lines"] - r["n_removed"] == sum(x != "" for x in r["text"].split("\n")) for r in out)
+
+
 def test_dedup_no_lines(empty):
     out = dedup_lines(empty)
     assert out.count() == 0 and set(empty.columns) < set(out.columns)
