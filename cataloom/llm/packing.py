@@ -49,11 +49,62 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
 
 
 class _Bins:
-    """Underfull bins of one pool during the search: their items, and bins by the lengths they hold."""
+    """Underfull bins of one pool during the search, indexed by fill and by what they can give back.
+
+    For each room, ``sums`` maps every length that one or two items of such a bin have together
+    to those bins, and ``masks`` holds a bit for each of these lengths.
+    """
 
     def __init__(self, items: list[list[int]], capacity: int):
         self.items, self.capacity = [sorted(x) for x in items], capacity
         self.fill = [sum(x) for x in items]
+        self.by_fill: list[tuple[int, int]] = []
+        self.rooms: list[int] = []
+        self.sums: dict[int, dict[int, dict[int, None]]] = {}
+        self.masks: dict[int, int] = {}
+        for b in range(len(items)):
+            self.add(b)
+
+    def returns(self, b: int) -> set[int]:
+        """Lengths of one item, or of two, of a bin."""
+        own = self.items[b]
+        lengths = sorted(set(own))
+        twice = {x for x, y in zip(own, own[1:]) if x == y}
+        found = set(lengths)
+        for i, x in enumerate(lengths):
+            found.update(x + y for y in lengths[i + 1:])
+            if x in twice:
+                found.add(2 * x)
+        return found
+
+    def add(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        insort(self.by_fill, (self.fill[b], b))
+        if room not in self.sums:
+            insort(self.rooms, room)
+            self.sums[room], self.masks[room] = {}, 0
+        sums, mask = self.sums[room], 0
+        for x in self.returns(b):
+            if x in sums:
+                sums[x][b] = None
+            else:
+                sums[x] = {b: None}
+                mask |= 1 << x
+        self.masks[room] |= mask
+
+    def drop(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        self.by_fill.pop(bisect_left(self.by_fill, (self.fill[b], b)))
+        sums, mask = self.sums[room], 0
+        for x in self.returns(b):
+            del sums[x][b]
+            if not sums[x]:
+                del sums[x]
+                mask |= 1 << x
+        self.masks[room] ^= mask
+        if not sums:
+            self.rooms.pop(bisect_left(self.rooms, room))
+            del self.sums[room], self.masks[room]
 
     def put(self, b: int, take: list[int], give: list[int]) -> None:
         for x in take:
@@ -62,64 +113,78 @@ class _Bins:
             insort(self.items[b], x)
         self.fill[b] += sum(give) - sum(take)
 
+    def exchange(self, item: int, fill: int) -> tuple[int, list[int]] | None:
+        """The bin, at least ``fill`` full, that gains most by ``item`` for one or two smaller items, and these."""
+        best, found = 0, None
+        for i in range(bisect_right(self.rooms, min(self.capacity - fill, item - 1)) - 1, -1, -1):
+            room = self.rooms[i]
+            if room <= best:
+                break
+            mask = self.masks[room] >> (item - room)
+            low = (mask & -mask).bit_length() - 1
+            if mask and room - low > best:
+                best, found = room - low, (room, item - room + low)
+        if found is None:
+            return None
+        room, back = found
+        target = next(iter(self.sums[room][back]))
+        own = self.items[target]
+        k = bisect_left(own, back)
+        if k < len(own) and own[k] == back:
+            return target, [back]
+        for a, x in enumerate(own):
+            k = bisect_left(own, back - x, a + 1)
+            if k < len(own) and own[k] == back - x:
+                return target, [x, own[k]]
+        raise AssertionError("the index names a sum that the bin does not hold")
+
 
-def improve(bins: list[list[int]], capacity: int, passes: int = 4) -> list[list[int]]:
+def improve(bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Fewer or equally many bins with the same item lengths.
 
     Bins are taken from the emptiest on. Its items move into the fullest bin with room, or are
-    exchanged, one for one or two for one, against smaller items of a bin that they fill better;
-    either raises the sum of squared fills. Bins that empty are dropped. Full bins stay out.
+    exchanged, one for one or two for one, against smaller items of a bin at least as full, the
+    one that gains most; either raises the sum of squared fills. Bins that empty are dropped,
+    bins that are or become full are out of the search. It ends when no such step is left.
     """
     full = [x for x in bins if sum(x) == capacity]
     s = _Bins([x for x in bins if sum(x) < capacity], capacity)
     alive = set(range(len(s.items)))
-    for _ in range(passes):
+
+    def given(target: int, take: list[int], give: list[int]) -> None:
+        s.drop(target)
+        s.put(target, take, give)
+        if s.fill[target] == capacity:
+            alive.discard(target)
+            full.append(s.items[target])
+        else:
+            s.add(target)
+
+    changed = True
+    while changed:
         changed = False
-        order = sorted(alive, key=lambda b: (s.fill[b], b))
-        by_fill = sorted((s.fill[b], b) for b in alive)
-        for source in order:
+        for source in sorted(alive, key=lambda b: (s.fill[b], b)):
             if source not in alive:
                 continue
-            by_fill.pop(bisect_left(by_fill, (s.fill[source], source)))
+            s.drop(source)
             for item in sorted(s.items[source], reverse=True):
                 # move: the fullest bin that has room
-                i = bisect_right(by_fill, (capacity - item, len(s.items))) - 1
-                if i >= 0 and by_fill[i][0] + item > s.fill[source]:
-                    target = by_fill.pop(i)[1]
+                i = bisect_right(s.by_fill, (capacity - item, len(s.items))) - 1
+                if i >= 0 and s.by_fill[i][0] + item > s.fill[source]:
                     s.put(source, [item], [])
-                    s.put(target, [], [item])
-                    insort(by_fill, (s.fill[target], target))
+                    given(s.by_fill[i][1], [], [item])
                     changed = True
                     continue
-                # exchange against one or two smaller items of a fuller bin, from the fullest on
-                lowest = bisect_left(by_fill, (max(s.fill[source], capacity - item + 1), -1))
-                best = None
-                for j in range(len(by_fill) - 1, max(lowest, len(by_fill) - 40) - 1, -1):
-                    fill, target = by_fill[j]
-                    room = capacity - fill
-                    if room <= (best[0] if best else 0):
-                        continue
-                    own = s.items[target]
-                    k = bisect_left(own, item - room)
-                    if k < len(own) and own[k] < item and item - own[k] > (best[0] if best else 0):
-                        best = (item - own[k], j, [own[k]])
-                    for a in range(min(len(own), 6)):
-                        k = bisect_left(own, item - room - own[a], a + 1)
-                        if k < len(own) and own[a] + own[k] < item and item - own[a] - own[k] > (best[0] if best else 0):
-                            best = (item - own[a] - own[k], j, [own[a], own[k]])
+                best = s.exchange(item, s.fill[source])
                 if best:
-                    gain, j, back = best
-                    target = by_fill.pop(j)[1]
-                    s.put(target, back, [item])
+                    target, back = best
                     s.put(source, [item], back)
-                    insort(by_fill, (s.fill[target], target))
+                    given(target, back, [item])
                     changed = True
             if s.items[source]:
-                insort(by_fill, (s.fill[source], source))
+                s.add(source)
             else:
                 alive.discard(source)
-        if not changed:
-            break
     return full + [s.items[b] for b in sorted(alive)]
 
 

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cataloom.llm.huffman import canonical, code_lengths, decode_table, read_file, round_trip, write_file
-from cataloom.llm.packing import pack, pack_documents, pack_lengths
+from cataloom.llm.packing import improve, pack, pack_documents, pack_lengths
 from cataloom.llm.queries import tokenizer
 from cataloom.llm.sharding import shard_rows
 from cataloom.llm.tokens import Encoder
@@ -63,6 +63,30 @@ def test_pack_lengths():
             assert offset[mine].tolist() == (np.cumsum(lengths[mine]) - lengths[mine]).tolist() and lengths[mine].sum() <= 4096
 
 
+def steps_left(bins, capacity):
+    """Moves and exchanges, by trying all, that would raise the sum of squared fills."""
+    for s, source in enumerate(bins):
+        for t, target in enumerate(bins):
+            room = capacity - sum(target)
+            if s == t or not room:
+                continue
+            backs = {*target, *(x + y for i, x in enumerate(target) for y in target[i + 1:])}
+            for x in set(source):
+                if x <= room and sum(target) + x > sum(source):
+                    yield s, t, x, 0
+                if sum(target) >= sum(source) and x > room:
+                    yield from ((s, t, x, y) for y in backs if x - room <= y < x)
+
+
+@pytest.mark.parametrize("low, high", [(1000, 1700), (100, 700), (1, 4096)])
+def test_search_ends_without_a_step_left(low, high):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(low, high, 600)
+    packed = improve([[x] for x in lengths.tolist()], 4096)
+    assert sorted(x for b in packed for x in b) == sorted(lengths.tolist()) and max(map(sum, packed)) <= 4096
+    assert next(steps_left([b for b in packed if sum(b) < 4096], 4096), None) is None
+
+
 def check_packed(rows):
     seq = {}
     for r in rows:
