@@ -21,9 +21,11 @@ def _grid(vectors: DataFrame) -> DataFrame:
     """``(id, d, v)``: each usable vector as integers floor(1024 * x); others are left out.
 
     Left out are null vectors, those with null or non-finite components, and rows without vec_id.
+    A finite component whose integer does not fit a long is an error.
     """
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * _GRID).cast("long"))
-    usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 9.0e15))
+    too_large = F.raise_error(F.lit("a component times 1024 does not fit a long")).cast("long")
+    v = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) >= 2.0 ** 53, too_large).otherwise(F.floor(x.cast("double") * _GRID).cast("long")))
+    usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False))).select(
         F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("d"), v.alias("v"))
 
@@ -44,14 +46,15 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, c
     product), and candidates that cannot reach it are dropped.
     """
     order = np.argsort(-(queries.astype(float) ** 2).sum(0), kind="stable")
-    queries, columns = queries[:, order].astype(np.float64), columns[order].astype(np.float64)
+    whole = queries[:, order], columns[order]
+    queries, columns = (x.astype(np.float64) for x in whole)
     d = len(columns)
     edges = [*range(0, d, dims), d]
     tail_c = [np.sqrt((columns[e:] ** 2).sum(0)) for e in edges]
     tail_q = [np.sqrt((queries[:, e:] ** 2).sum(1)) for e in edges]
     exact = float((queries ** 2).sum(1).max(initial=0)) * float((columns ** 2).sum(0).max(initial=0)) < 2.0 ** 104
     if not exact:  # products beyond doubles: whole numbers throughout
-        queries, columns = queries.astype(object), columns.astype(object)
+        queries, columns = (x.astype(object) for x in whole)
     first = queries[:, :edges[1]] @ columns[:edges[1]] if d else np.zeros((len(queries), len(ids)))
     out_q, out_c, out_s = [], [], []
     for q in range(len(queries)):
@@ -62,8 +65,8 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, c
                 a, b = edges[step - 1], edges[step]
                 score = score + queries[q, a:b] @ columns[a:b, alive]
             if len(alive) > k and step < len(edges) - 1:
-                slack = tail_q[step][q] * tail_c[step][alive] * (1 + 1e-9) + 1e-6
                 plain = score.astype(np.float64)
+                slack = tail_q[step][q] * tail_c[step][alive] * (1 + 1e-9) + 1e-6 + np.abs(plain) * 1e-12
                 floor = np.partition(plain - slack, len(alive) - k)[len(alive) - k]
                 keep = np.flatnonzero(plain + slack >= floor)
                 alive, score = alive[keep], score[keep]
@@ -81,7 +84,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, candidates: int = C
     of the same dimension. Components count as floor(1024 * x). Ties go to the smaller vec_id;
     fewer than ``k`` candidates are all returned. Rows that repeat a vec_id with the same vector count
     once; with other vectors each is a candidate, and of several queries the least vector is asked.
-    Null, empty-valued or non-finite vectors take no part. More columns are ignored.
+    Null, empty-valued or non-finite vectors take no part. A component or a score beyond a long is an error. More columns are ignored.
 
     Every block of candidates meets every block of queries in a task of its own, of fixed size;
     each task returns ``k`` rows a query, which are combined at the end.

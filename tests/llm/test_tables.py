@@ -161,3 +161,14 @@ def test_top_k(spark):
         scores = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in grid.items() if i != q and len(w) == len(v)))[:10]
         assert sorted(got.get(q, [])) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert top_k(vectors.limit(0)).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Large finite vectors take part with exact scores; a component beyond a long is an error."""
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1 / 1024, 1 / 1024]), (1, [9.001e15, 1 / 1024]), (2, [9.001e15, 3 / 1024]), (3, [1.0, 1.0])]
+    large = 9001 * 10 ** 12 * 1024
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, kind), k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, large + 3), (0, 2, 1, large + 1), (0, 3, 3, 2048)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        top_k(spark.createDataFrame([*rows, (4, [1e16, 0.0])], kind)).collect()
