@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import crc_bucket, read
 from .decontaminate import contamination
 from .huffman import round_trip
 from .language import language
 from .line_dedup import dedup_lines
+from .merkle import fold, leaf_hash, manifest, siblings
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality import quality
@@ -151,3 +152,45 @@ FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+# crc32 of a text, bit by bit: DuckDB has no such function.
+_CRC = ("xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length({0}) + 1), lambda i: list_prepend(CAST(ascii({0}[i]) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),"
+        " lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)")
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+
+@query("op13_merkle", f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('g' || source, '') AS g, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS other FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT 0 AS lvl, g, pos, leaf AS h, n FROM l
+      UNION ALL SELECT lvl + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY lvl, g, pos // 3, n),
+s AS MATERIALIZED (SELECT g, h, lvl AS top, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, h, n FROM s
+      UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, pos // 3, n),
+a AS MATERIALIZED (SELECT g, lvl, pos, h FROM t WHERE n > 1
+      UNION ALL SELECT s.g, s.top + u.lvl, u.pos, u.h FROM s JOIN u ON u.n > 1 AND u.pos // 3 = s.pos // CAST(pow(3, u.lvl + 1) AS BIGINT)),
+p AS MATERIALIZED (SELECT l.doc_id, l.leaf, l.other, l.g, l.pos, s.h AS subroot, s.top, s.pos AS spot, row_number() OVER () AS id FROM l JOIN s ON s.g = l.g),
+e AS MATERIALIZED (SELECT p.id, a.lvl, a.h, a.pos < x.own AS before, a.pos FROM p
+      JOIN (SELECT p.id, i AS lvl, CASE WHEN i < p.top THEN p.pos // CAST(pow(3, i) AS BIGINT) ELSE p.spot // CAST(pow(3, i - p.top) AS BIGINT) END AS own
+            FROM p, (SELECT DISTINCT lvl AS i FROM a)) x ON x.id = p.id
+      JOIN a ON a.g = p.g AND a.lvl = x.lvl AND a.pos // 3 = x.own // 3),
+b AS MATERIALIZED (SELECT e.id, e.lvl, coalesce(string_agg(h, '' ORDER BY e.pos) FILTER (WHERE before), '') AS le,
+      coalesce(string_agg(h, '' ORDER BY e.pos) FILTER (WHERE NOT before AND e.pos <> o.own), '') AS ri
+      FROM e JOIN (SELECT p.id, i AS lvl, CASE WHEN i < p.top THEN p.pos // CAST(pow(3, i) AS BIGINT) ELSE p.spot // CAST(pow(3, i - p.top) AS BIGINT) END AS own
+            FROM p, (SELECT DISTINCT lvl AS i FROM a)) o ON o.id = e.id AND o.lvl = e.lvl GROUP BY e.id, e.lvl),
+f AS (SELECT id, 0 AS lvl, other AS h FROM p UNION ALL SELECT f.id, f.lvl + 1, sha256(le || h || ri) FROM f JOIN b ON b.id = f.id AND b.lvl = f.lvl),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT p.doc_id, p.leaf, p.subroot, r.root, sha256(coalesce(q.sibs, '')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM p, r JOIN (SELECT id, arg_max(h, lvl) AS h FROM f GROUP BY id) f ON f.id = p.id
+LEFT JOIN (SELECT id, string_agg(le || ri, '' ORDER BY lvl) AS sibs FROM b GROUP BY id) q ON q.id = p.id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    cut = F.when(F.coalesce(crc_bucket("doc_id", 2) == 0, F.lit(False)), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    hashed = docs.select("doc_id", "source", leaf_hash(*fields, F.col("text")).alias("leaf"), leaf_hash(*fields, cut).alias("tampered"))
+    found = manifest(hashed, keep=("tampered",)).withColumn("folded_root", fold(F.col("tampered"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
