@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, read
+from .conversations import damage, repair_report
 from .decontaminate import contamination
+from .extract import extract
 from .huffman import round_trip
 from .language import language
 from .line_dedup import dedup_lines
@@ -194,3 +196,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = manifest(hashed, keep=("tampered",)).withColumn("folded_root", fold(F.col("tampered"), F.col("path")))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# SQL has no HTML reader; tests hold the pages against their articles.
+@query("op12_html_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return repair_report(damage(turns), turns)
