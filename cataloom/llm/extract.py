@@ -209,6 +209,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def _is_stop(word: str) -> bool:
+    if word.isalpha():
+        return word.lower() in STOP_WORDS
     found = _LETTERS.search(word)
     return found is not None and found[0].lower() in STOP_WORDS
 
