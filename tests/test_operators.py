@@ -160,15 +160,39 @@ def test_nearest_and_radius_against_brute_force(spark, spread):
     places = [(i, f"t{i}", *place()) for i in range(40)] + [(40, "edge", 88.0, -179.5), (41, "dup", 0.1, 0.1), (42, "dup2", 0.1, 0.1)]
     p = spark.createDataFrame(points, "slug string, lat double, lon double")
     t = spark.createDataFrame(places, "pos int, place string, lat double, lon double")
-    got = {r.slug: r.place for r in geo_join.nearest_place(p, t).collect()}
-    for slug, lat, lon in points:
-        want = None if lat is None else min(places, key=lambda x: (round(km(lat, lon, x[2], x[3]), 9), x[0]))[1]
-        assert got[slug] == want
+    for bound in (1, 4, 32):
+        got = {r.slug: r.place for r in geo_join.nearest_place(p, t, bound=bound).collect()}
+        for slug, lat, lon in points:
+            want = None if lat is None else min(places, key=lambda x: (round(km(lat, lon, x[2], x[3]), 9), x[0]))[1]
+            assert got[slug] == want
     for radius in (50.0, 900.0):
         near = {(r.slug, r.place) for r in geo_join.radius_join(p, t.drop("pos"), radius).collect()}
         assert near == {(s, x[1]) for s, a, b in points if a is not None for x in places if km(a, b, x[2], x[3]) <= radius}
 
 
+def test_nearest_compares_few_pairs_in_a_dense_spot(spark):
+    """All places but one far one within some hundred metres: pairs grow with the points, not with their square."""
+    def around(n, seed):
+        rnd = random.Random(seed)
+        return [(52 + rnd.random() / 500, 5 + rnd.random() / 500) for _ in range(n)]
+
+    per_point = []
+    for n in (400, 3200):
+        spots = spark.createDataFrame([(a, b, i, f"t{i}") for i, (a, b) in enumerate([*around(n, 1), (-40.0, 170.0)])], "p_lat double, p_lon double, pos int, place string")
+        splits, leaves = geo_join.quad_tree(spots)
+        assert leaves.agg(F.max(F.size("places")), F.sum(F.size("places"))).first()[0] <= geo_join.CELL_PLACES
+        sites = spark.createDataFrame(around(n, 2), "lat double, lon double")
+        pairs = geo_join.near_leaves(sites, splits).join(leaves, "code").agg(F.sum(F.size("places"))).first()[0]
+        per_point.append(pairs / n)
+    assert max(per_point) < 4 * geo_join.CELL_PLACES
+
+
+def test_nearest_without_places(spark):
+    p = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, None)], "slug string, lat double, lon double")
+    none = spark.createDataFrame([], "pos int, place string, lat double, lon double")
+    assert [(r.place, r.dist_km) for r in geo_join.nearest_place(p, none).collect()] == [(None, None)] * 2
+
+
 def test_ladder_prefers_precise_wording_in_bounds(spark):
     df = spark.createDataFrame([("a", "N", "Plein 7b", "1234 AB", "Delft"), ("b", "M", None, None, "Delft"), ("c", "Q", None, None, None)], "slug string, name string, street string, postcode string, city string")
     gaz = spark.createDataFrame([("1234 AB 7b", 1, "adres", 10.0, 5.0), ("Plein 7b, Delft", 1, "weg", 52.0, 5.0), ("Plein 7b, Delft", 2, "adres", 52.5, 5.0), ("M, Delft", 1, "x", 51.0, 5.0)],
