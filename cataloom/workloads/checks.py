@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import html, urls
+from ..functions import html, urls, vocab
 from ..functions.text import distinctive_tokens, fold, match_norm
 from ..operators import agreement, audit, gates, lists, propose, quality, recheck
 from ..session import scratch_path
 from ..sources.publish import read_published
 from ..streaming import jobs as streams
 from .registry import Tables, query
-from .texts import _BASE, _NETLOC, _WS, _collapse
+from .texts import _BASE, _IDENTITY, _NETLOC, _WS, _collapse
 
 
 def _claims(t: Tables):
@@ -155,7 +155,26 @@ def calibrate_confidence(t: Tables):
     return _claims(t).select("slug", gates.calibrate_confidence(status, F.col("quote"), F.col("n_chars") % 3, raw).alias("confidence"))
 
 
-@query("quote_in_text")
+def _loose(c: str) -> str:
+    return "lower(" + _collapse(f"regexp_replace(replace(replace({c}, '&nbsp;', ' '), 'â‚¬', '€'), '[|:–—<>-]', ' ', 'g')") + ")"
+
+
+_PART = "array_to_string(ws[{0}:{0} + {1} - 1], ' ')"
+
+
+# Level by level: verbatim, elided parts (the text left behind the last one), and words in order in
+# the 250 characters from each occurrence of the first word (the words left over).
+@query("quote_in_text", f"""
+    WITH w AS (SELECT doc_id, text, string_split(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ') AS ws FROM documents),
+    q AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN {_PART.format(2, 5)} WHEN 1 THEN {_PART.format(1, 2)} || ' ... ' || {_PART.format(9, 3)} WHEN 2 THEN {_PART.format(3, 1)} || ' ' || {_PART.format(6, 1)}
+          WHEN 3 THEN {_PART.format(9, 3)} || ' … ' || {_PART.format(1, 2)} ELSE {_PART.format(1, 3)} || ' zzz' END AS quote FROM w),
+    n AS (SELECT doc_id, {_loose("text")} AS t, {_loose("quote")} AS q FROM q),
+    p AS (SELECT *, list_filter(list_transform(string_split_regex(q, '\\.{{3,}}|…'), lambda x: trim(x)), lambda x: x <> '') AS parts, string_split(q, ' ') AS qw FROM n),
+    l AS (SELECT *, (contains(q, '...') OR contains(q, '…')) AND len(parts) > 0 AS elided, string_split(t, qw[1]) AS pieces FROM p),
+    a AS (SELECT *, list_transform(range(2, len(pieces) + 1), lambda k: substr(t, length(array_to_string(pieces[1:k - 1], '')) + (k - 2) * length(qw[1]) + 1, 250)) AS wins FROM l)
+    SELECT doc_id, CASE WHEN contains(t, q) THEN true WHEN elided THEN list_reduce(list_prepend(t, parts), lambda r, x: CASE WHEN strpos(r, x) > 0 THEN substr(r, strpos(r, x) + length(x)) END) IS NOT NULL
+        WHEN len(qw) < 2 THEN false ELSE len(list_filter(wins, lambda v: len(list_reduce(list_prepend(qw, list_transform(string_split(v, ' '), lambda x: [x])), lambda r, x: CASE WHEN len(r) > 0 AND contains(x[1], r[1]) THEN r[2:] ELSE r END)) = 0)) > 0 END AS quote_found
+    FROM a""")
 def quote_in_text(t: Tables):
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
@@ -165,7 +184,16 @@ def quote_in_text(t: Tables):
     return gates.quote_in_text(t.documents.select("doc_id", "text", quote.alias("quote")), "quote", "text").select("doc_id", "quote_found")
 
 
-@query("identity_status")
+_STOPS = ", ".join(f"'{w}'" for w in vocab.STOPWORDS)
+_PARKED = " OR ".join(f"contains(lower(title || ' ' || h1 || ' ' || meta_description), '{p}')" for p in vocab.PARKED_PHRASES)
+_SEEN_WORDS = "[regexp_replace(x, '[^a-z0-9]', '', 'g') for x in string_split_regex(strip_accents(lower({0})), '[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}]+')]"
+
+
+@query("identity_status", f"""
+    WITH i AS ({_IDENTITY}),
+    k AS (SELECT *, [x for x in string_split_regex(lower({_NETLOC.format('url')}), '[^a-z0-9]+') if length(x) >= 3 and x not in ({_STOPS})] AS tokens FROM i),
+    w AS (SELECT *, {_SEEN_WORDS.format("title || ' ' || h1")} AS strong, {_SEEN_WORDS.format("title || ' ' || h1 || ' ' || meta_description || ' ' || preview")} AS every FROM k)
+    SELECT page_id, CASE WHEN {_PARKED} THEN 'suspicious' WHEN len(tokens) = 0 THEN 'weak_match' WHEN list_has_any(tokens, strong) THEN 'match' WHEN list_has_any(tokens, every) THEN 'weak_match' ELSE 'suspicious' END AS identity_status FROM w""")
 def identity_status(t: Tables):
     rows = t.pages.select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
     rows = html.with_identity(rows, "html", "identity")

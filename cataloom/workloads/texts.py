@@ -134,8 +134,11 @@ def _inner_sql(tag: str) -> str:
     return f"array_to_string({_pieces_sql(f'array_to_string(regexp_extract_all(b, {chr(39)}(?is)<{tag}[^>]*>(.*?)</{tag}>{chr(39)}, 1), chr(1))')}, ' ')"
 
 
-@query("page_identity", "WITH v AS (SELECT page_id, " + _strip_sql("html", _IDENT) + " AS b FROM pages) SELECT page_id, " + _inner_sql("title") + " AS title, " + _inner_sql("h1")
-       + " AS h1, '' AS meta_description, md5(array_to_string(list_slice(" + _pieces_sql("regexp_replace(regexp_replace(b, '(?is)<title[^>]*>.*?</title>', chr(1), 'g'), '(?is)<h1[^>]*>.*?</h1>', chr(1), 'g')") + ", 1, 20), ' ')) AS preview_md5 FROM v")
+_PREVIEW = ("array_to_string(list_slice(" + _pieces_sql("regexp_replace(regexp_replace(b, '(?is)<title[^>]*>.*?</title>', chr(1), 'g'), '(?is)<h1[^>]*>.*?</h1>', chr(1), 'g')") + ", 1, 20), ' ')")
+_IDENTITY = "SELECT page_id, url, " + _inner_sql("title") + " AS title, " + _inner_sql("h1") + " AS h1, '' AS meta_description, " + _PREVIEW + " AS preview FROM (SELECT page_id, url, " + _strip_sql("html", _IDENT) + " AS b FROM pages)"
+
+
+@query("page_identity", f"SELECT page_id, title, h1, meta_description, md5(preview) AS preview_md5 FROM ({_IDENTITY})")
 def page_identity(t: Tables):
     p = F.col("p")
     return html.with_identity(t.pages.select("page_id", "html"), "html", "p").select("page_id", p["title"].alias("title"), p["h1"].alias("h1"), p["meta_description"].alias("meta_description"), F.md5(p["body_preview"]).alias("preview_md5"))
