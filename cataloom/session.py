@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where streams keep their state, and the store that timers and typed state need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -20,6 +25,7 @@ def build_session(app: str = "cataloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        STATE_STORE: ROCKSDB,
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -27,6 +33,17 @@ def build_session(app: str = "cataloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, whatever the session names otherwise."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 

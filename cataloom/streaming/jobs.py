@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import vocab
 from ..operators.quality import DatasetRules, dataset_verdict
+from ..operators.scale import one_per_key
 from ..operators.snapshot import soft_delete_merge
-from ..session import materialise
+from ..session import ROCKSDB, STATE_STORE, materialise
 from ..sources.publish import publish_if_changed, published_from, read_published
 
 
@@ -52,34 +53,75 @@ def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: Dat
             .trigger(availableNow=True).start())
 
 
-def _keep_newest(ttl_ms: int):
-    """State update: the newest list of a code, dropped after the time to live without a push."""
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = tuple(state.get) if state.exists else None
-        for part in parts:
+class _NewestList(StatefulProcessor):
+    """The newest list of a code, and a timer at the end of its time to live."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, items string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.newest.get()) if self.newest.exists() else None
+        best = held
+        for part in rows:
             top = part.loc[part["at"].idxmax()]
             if best is None or int(top["at"]) >= best[0]:
                 best = (int(top["at"]), str(top["items"]))
-        state.update(best)
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"code": [key[0]], "at": [best[0]], "items": [best[1]]})
+        if held is not None and best[0] != held[0]:
+            self.handle.deleteTimer(held[0] // 1000 + self.ttl_ms)
+        if held is None or best[0] != held[0]:
+            self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
+        self.newest.update(best)
+        yield _change(key[0], *best, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.newest.exists():
+            at, items = self.newest.get()
+            self.newest.clear()
+            yield _change(key[0], at, items, True)
+
+    def close(self) -> None:
+        pass
+
 
-    return update
+def _change(code: str, at: int, items: str, deleted: bool) -> pd.DataFrame:
+    return pd.DataFrame({"code": [code], "at": [at], "items": [items], "deleted": [deleted]})
 
 
-def latest_lists(pushes: DataFrame, ttl_days: int = vocab.LIST_TTL_DAYS, max_items: int = vocab.LIST_MAX_ITEMS) -> DataFrame:
-    """pushes(code, updated_at, items array<string>) -> current list per code, as updates.
+def latest_lists(pushes: DataFrame, ttl_days: int = vocab.LIST_TTL_DAYS, max_items: int = vocab.LIST_MAX_ITEMS, late: str = "1 day") -> DataFrame:
+    """pushes(code, updated_at, items array<string>) -> changes (code, updated_at, items, deleted) of the lists.
 
-    Pushes of a code arrive in Arrow batches and only the newest is held.
+    A push replaces the list of its code unless an older one comes late; a list not pushed for
+    ``ttl_days`` is given once more as deleted and leaves the state. Time is the time of the pushes: any row,
+    also one with a code that is none, moves it on, ``late`` behind the newest one. So the stream ends
+    by itself under an available-now trigger. State is kept in RocksDB, which the session has to name.
     """
-    cut = pushes.withColumn("code", F.regexp_replace("code", r"\D", "")).where(F.length("code") == 6).select(
-        "code", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), F.to_json(F.slice("items", 1, max_items)).alias("items"))
-    kept = cut.groupBy("code").applyInPandasWithState(
-        _keep_newest(ttl_days * 86_400_000), "code string, at bigint, items string", "at bigint, items string", "update", GroupStateTimeout.ProcessingTimeTimeout)
-    return kept.select("code", F.timestamp_micros("at").alias("updated_at"), "items")
+    if "RocksDB" not in pushes.sparkSession.conf.get(STATE_STORE, ""):
+        raise RuntimeError(f"set {STATE_STORE} to {ROCKSDB}")
+    timed = pushes.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", late)
+    # A condition on time stays above the watermark, so that rows without a code move the time on.
+    timely = F.when(F.col("updated_at").isNotNull(), F.length("code") == 6)
+    cut = timed.withColumn("code", F.regexp_replace("code", r"\D", "")).where(timely).select(
+        "code", "updated_at", F.unix_micros("updated_at").alias("at"), F.to_json(F.slice("items", 1, max_items)).alias("items"))
+    kept = cut.groupBy("code").transformWithStateInPandas(
+        _NewestList(ttl_days * 86_400_000), "code string, at bigint, items string, deleted boolean", "update", "eventTime")
+    return kept.select("code", F.timestamp_micros("at").alias("updated_at"), "items", "deleted")
+
+
+def store_lists(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the changes of each batch under its own number, so that a batch run again replaces its own rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_lists(spark: SparkSession, root: str) -> DataFrame:
+    """(code, updated_at, items, deleted): the last change of each code."""
+    return one_per_key(spark.read.parquet(root), ["code"], F.col("batch")).drop("batch")
 
 
 def monthly_counter(requests: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:

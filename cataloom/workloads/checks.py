@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html, urls, vocab
 from ..functions.text import distinctive_tokens, fold, match_norm
 from ..operators import agreement, audit, gates, lists, propose, quality, recheck
-from ..session import scratch_path
+from ..session import rocksdb_state, scratch_path
 from ..sources.publish import read_published
 from ..streaming import jobs as streams
 from .registry import Tables, query
@@ -454,16 +454,36 @@ def quota_admit(t: Tables):
     return lists.quota_admit(requests, F.to_date("ts"), 200).select(F.col("request_id").alias("event_id"), "period", "admitted")
 
 
+def _pushes(t: Tables, items):
+    """Every event as a push of its user's list; the code is the id, filled up to six digits."""
+    number = F.col("user_id").cast("string")
+    code = F.concat(F.lit("code "), F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number))
+    return t.events.select(code.alias("code"), F.col("ts").alias("updated_at"), items.alias("items"))
+
+
 @query("latest_per_key_ttl", """
-    WITH p AS (SELECT lpad(cast(user_id as string), 6, '0') AS code, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id < 1000000)
-    SELECT code, ts AS updated_at, event_id AS first_item, 2 AS n_items FROM p WHERE rn = 1 AND ts > timestamp '2024-02-29 12:00:00' - interval 30 days""")
+    WITH p AS (SELECT CASE WHEN user_id < 100000 THEN lpad(cast(user_id as string), 6, '0') ELSE cast(user_id as string) END AS code, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    SELECT code, ts AS updated_at, event_id AS first_item, 2 AS n_items FROM p WHERE rn = 1 AND length(code) = 6 AND ts > timestamp '2024-02-29 12:00:00' - interval 30 days""")
 def latest_per_key_ttl(t: Tables):
-    code = F.concat(F.lit("code "), F.lpad(F.col("user_id").cast("string"), 6, "0"))
-    pushes = t.events.select(code.alias("code"), F.col("ts").alias("updated_at"), F.array("event_id", "user_id", "event_id").alias("items"))
+    pushes = _pushes(t, F.array("event_id", "user_id", "event_id"))
     alive = lists.latest_per_code(pushes, F.lit("2024-02-29 12:00:00").cast("timestamp"), 30, 2)
     return alive.select("code", "updated_at", F.col("items")[0].alias("first_item"), F.size("items").alias("n_items"))
 
 
+# The same lists as a stream: time is that of the pushes, one day behind the newest, and a list of the day before that is deleted.
+@query("list_expiry", """
+    WITH p AS (SELECT CASE WHEN user_id < 100000 THEN lpad(cast(user_id as string), 6, '0') ELSE cast(user_id as string) END AS code, max(ts) AS updated_at FROM events GROUP BY user_id),
+    w AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM events)
+    SELECT code, updated_at, epoch_ms(updated_at) + 86400000 <= mark AS deleted FROM p, w WHERE length(code) = 6""")
+def list_expiry(t: Tables):
+    inbox, root, state = (scratch_path(t.spark, x) for x in ("pushes", "lists", "state"))
+    _pushes(t, F.array(F.col("event_id").cast("string"))).write.parquet(inbox)
+    pushes = t.spark.readStream.schema("code string, updated_at timestamp, items array<string>").parquet(inbox)
+    with rocksdb_state(t.spark):
+        streams.store_lists(streams.latest_lists(pushes, ttl_days=1), root, state).awaitTermination()
+    return streams.read_lists(t.spark, root).select("code", "updated_at", "deleted")
+
+
 @query("monthly_counter", "SELECT cast(date_trunc('month', o_orderdate) as date) AS month, count(*) AS used FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 def monthly_counter(t: Tables):
     return streams.monthly_counter(t.orders.select(F.col("o_orderdate").alias("ts"), (F.col("o_orderstatus") != "F").alias("ok")))

@@ -13,19 +13,42 @@ def drain(df, name, mode, tmp_path):
     return df.sparkSession.table(name)
 
 
+PUSHES = "code string, updated_at timestamp, items array<string>"
+
+
+def push(spark, path, rows):
+    spark.createDataFrame(rows, PUSHES).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_lists(spark, tmp_path, **given):
+    stream = spark.readStream.schema(PUSHES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.store_lists(jobs.latest_lists(stream, **given), str(tmp_path / "out"), str(tmp_path / "ck"))
+    finished = query.awaitTermination(120)
+    query.stop()
+    assert finished
+    return {r.code: (r["items"], r.deleted) for r in jobs.read_lists(spark, str(tmp_path / "out")).collect()}
+
+
 def test_latest_lists_keep_the_newest_push(spark, tmp_path):
-    now = datetime(2026, 1, 1)
-    pushes = [("123-456", now, ["a"]), ("123456", now + timedelta(hours=1), ["b", "c"]), ("12", now, ["x"]), ("654321", now, ["d"])]
-    path = str(tmp_path / "in")
-    schema = "code string, updated_at timestamp, items array<string>"
-    spark.createDataFrame(pushes, schema).coalesce(1).write.parquet(path)
-    spark.createDataFrame([("123456", now - timedelta(days=1), ["late"])], schema).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    # Expiry by processing time would otherwise keep an available-now query alive for ever.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    got = drain(jobs.latest_lists(stream, max_items=1), "latest", "update", tmp_path)
-    final = {r.code: r["items"] for r in got.groupBy("code").agg(F.max_by("items", "updated_at").alias("items")).collect()}
-    assert final == {"123456": '["b"]', "654321": '["d"]'}
+    now, path = datetime(2026, 1, 1), str(tmp_path / "in")
+    push(spark, path, [("123-456", now, ["a"]), ("123456", now + timedelta(hours=1), ["b", "c"]), ("12", now, ["x"]), ("654321", now, ["d"])])
+    push(spark, path, [("123456", now - timedelta(hours=2), ["late"])])
+    assert run_lists(spark, tmp_path, max_items=1) == {"123456": ('["b"]', False), "654321": ('["d"]', False)}
+
+
+def test_lists_expire_and_are_given_as_deleted(spark, tmp_path):
+    """Time passes with the pushes of others, over restarts of the stream; a new push puts the end off or starts a list again."""
+    now, path = datetime(2026, 1, 1), str(tmp_path / "in")
+    push(spark, path, [("111111", now, ["a"]), ("222222", now, ["b"])])
+    assert run_lists(spark, tmp_path, ttl_days=30) == {"111111": ('["a"]', False), "222222": ('["b"]', False)}
+    push(spark, path, [("222222", now + timedelta(days=20), ["b2"])])
+    push(spark, path, [("no code", now + timedelta(days=32), [])])
+    assert run_lists(spark, tmp_path, ttl_days=30) == {"111111": ('["a"]', True), "222222": ('["b2"]', False)}
+    push(spark, path, [("111111", now + timedelta(days=33), ["new"])])
+    push(spark, path, [("no code", now + timedelta(days=52), [])])
+    assert run_lists(spark, tmp_path, ttl_days=30) == {"111111": ('["new"]', False), "222222": ('["b2"]', True)}
+    state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "newest").load()
+    assert [r["key"]["code"] for r in state.collect()] == ["111111"]
 
 
 def test_monthly_counter_stream_matches_batch(spark, small, tmp_path):
