@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, vocab
 from ..functions.text import contains_any, count_present, distinctive_tokens
 from ..functions.urls import extract_domain, is_blocklisted, netloc, path, same_or_subdomain, trim_slash
+from ..session import materialise
 from .scale import one_per_key, top_per_key
 
 
@@ -102,26 +103,44 @@ def candidate_domains(entities: DataFrame, slug: str = "slug", name: str = "name
     return rows.where(~is_blocklisted(F.col("url"), blocklist))
 
 
-def link_reachable(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs(target, origin) -> adds ``reachable`` within two steps over edges(src, dst).
+def link_distance(pairs: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """pairs(target, origin) -> adds ``steps``, the fewest links over edges(src, dst) from origin to target.
 
-    Each pair is expanded from its cheaper end: forward over the origin's links or backward
-    over the pages linking to the target, whichever are fewer, so a hub page is met from the
-    other side instead of being multiplied out.
+    Zero where they are the same address, null beyond ``depth`` links. Ends are compared without case
+    and closing slashes. Nodes are reached step by step: the frontier of a step follows only links from
+    which some target is still within the steps left, leaves out what its origin has seen, and is written
+    once. The last link is met from the cheaper end of each pair: over the nodes its origin has reached,
+    or over the links into its target, so that two hubs are not multiplied out.
     """
-    edge = edges.select("src", "dst", trim_slash(F.col("dst")).alias("dst_n")).distinct()
-    want = pairs.select("target", "origin").distinct().withColumn("_t", trim_slash(F.col("target")))
-    same = trim_slash(F.col("origin")) == F.col("_t")
-    out_degree = edge.groupBy(F.col("src").alias("origin")).agg(F.count(F.lit(1)).alias("_out"))
-    in_degree = edge.groupBy(F.col("dst_n").alias("_t")).agg(F.count(F.lit(1)).alias("_in"))
-    sized = want.where(~same).join(out_degree, "origin").join(in_degree, "_t")
-    last = edge.select(F.col("src").alias("_mid"), F.col("dst_n").alias("_t"))
-    first = edge.select(F.col("src").alias("origin"), F.col("dst").alias("_mid"))
-    direct = sized.join(edge.select(F.col("src").alias("origin"), F.col("dst_n").alias("_t")).distinct(), ["origin", "_t"], "left_semi")
-    forward = sized.where("_out <= _in").join(first, "origin").join(last, ["_mid", "_t"], "left_semi")
-    backward = sized.where("_out > _in").join(last, "_t").join(first, ["origin", "_mid"], "left_semi")
-    hit = (want.where(same).select("target", "origin")
-           .unionByName(direct.select("target", "origin"))
-           .unionByName(forward.select("target", "origin"))
-           .unionByName(backward.select("target", "origin")).distinct().withColumn("_hit", F.lit(True)))
-    return pairs.join(hit, ["target", "origin"], "left").withColumn("reachable", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    edge = materialise(edges.where("src is not null and dst is not null").select("src", "dst", trim_slash(F.col("dst")).alias("end")).distinct(), "edges")
+    want = pairs.select("target", "origin").distinct().withColumn("end", trim_slash(F.col("target")))
+    found = want.where(trim_slash(F.col("origin")) == F.col("end")).select("target", "origin", F.lit(0).alias("steps"))
+    asked = want.where(trim_slash(F.col("origin")) != F.col("end"))
+    if depth > 0:
+        last = edge.join(asked.select("end").distinct(), "end", "left_semi")
+        # Links to follow with so many steps left.
+        useful = [last]
+        for _ in range(depth - 1):
+            towards = useful[-1].select(F.col("src").alias("dst")).distinct()
+            useful.append(last.unionByName(edge.join(towards, "dst", "left_semi")).distinct())
+        frontier = asked.select("origin", F.col("origin").alias("node"), F.lit(0).alias("step")).distinct()
+        reached = frontier
+        for step in range(1, depth):
+            links = useful[depth - step].select(F.col("src").alias("node"), F.col("dst").alias("next"))
+            beyond = frontier.join(links, "node").select("origin", F.col("next").alias("node")).distinct()
+            frontier = materialise(beyond.join(reached, ["origin", "node"], "left_anti").withColumn("step", F.lit(step)), "frontier")
+            reached = reached.unionByName(frontier)
+        into = last.select(F.col("src").alias("node"), "end").distinct()
+        nodes = reached.groupBy("origin").agg(F.count(F.lit(1)).alias("_nodes"))
+        links_in = into.groupBy("end").agg(F.count(F.lit(1)).alias("_links"))
+        sized = asked.join(nodes, "origin").join(links_in, "end")
+        forward = sized.where("_nodes <= _links").join(reached, "origin").join(into, ["node", "end"], "left_semi")
+        backward = sized.where("_nodes > _links").join(into, "end").join(reached, ["origin", "node"])
+        hits = forward.select("target", "origin", "step").unionByName(backward.select("target", "origin", "step"))
+        found = found.unionByName(hits.groupBy("target", "origin").agg((F.min("step") + 1).alias("steps")))
+    return pairs.join(found, ["target", "origin"], "left")
+
+
+def link_reachable(pairs: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """pairs(target, origin) -> adds ``reachable``, within ``depth`` links; see `link_distance`."""
+    return link_distance(pairs, edges, depth).withColumn("reachable", F.col("steps").isNotNull()).drop("steps")

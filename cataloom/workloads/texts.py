@@ -7,6 +7,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import geo, html, prices, text, urls, vocab
 from ..operators import contact, links, mining, standardise, text_jobs
+from ..operators.scale import rank_rows
 from ..session import scratch_path
 from ..sources import documents
 from .registry import Tables, query
@@ -400,13 +401,32 @@ _EDGES = f"""SELECT url AS src, {_DST} AS dst FROM ({_HREFS}) UNION SELECT url,
           UNION SELECT q.origin, q.target FROM q JOIN e a ON a.src = q.origin JOIN e b ON b.src = a.dst AND b.d = lower(regexp_replace(q.target, '/+$', '')))
     SELECT q.target, q.origin, q.target = q.origin OR r.target IS NOT NULL AS reachable FROM q LEFT JOIN r ON q.origin = r.origin AND q.target = r.target""")
 def link_reachable(t: Tables):
-    from pyspark.sql import Window as W
+    return links.link_reachable(*_site_graph(t, (0, 2, 3)))
 
-    by_host = W.partitionBy(urls.netloc(F.col("url"))).orderBy("page_id")
-    chain = t.pages.select("url", F.lead("url").over(by_host).alias("dst"), F.lag("url", 2).over(by_host).alias("two"), F.lag("url", 3).over(by_host).alias("three"))
-    edges = links.extract_links(t.pages).select("src", "dst").unionByName(chain.where("dst is not null").select(F.col("url").alias("src"), "dst"))
-    pairs = chain.select(F.col("url").alias("target"), F.explode(F.array_compact(F.array("url", "two", "three"))).alias("origin"))
-    return links.link_reachable(pairs, edges)
+
+def _site_graph(t: Tables, back: tuple[int, ...]):
+    """Pairs of a page and the ones so many places before it on its host, and the links with those of the chain."""
+    numbered = rank_rows(t.pages.select(urls.netloc(F.col("url")).alias("host"), "url", "page_id"), [F.col("page_id")], ["host"]).select("host", "rank", "url")
+    before = numbered.withColumnRenamed("url", "origin")
+
+    def behind(*steps: int):
+        away = numbered.withColumn("n", F.explode(F.array(*map(F.lit, steps))))
+        return away.select("host", (F.col("rank") - F.col("n")).alias("rank"), F.col("url").alias("target"))
+
+    chain = before.join(behind(1), ["host", "rank"]).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
+    pairs = before.join(behind(*back), ["host", "rank"]).select("target", "origin")
+    return pairs, links.extract_links(t.pages).select("src", "dst").unionByName(chain)
+
+
+@query("link_distance", f"""
+    WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst, lower(regexp_replace(dst, '/+$', '')) AS d FROM ({_EDGES}) WHERE dst IS NOT NULL),
+    n AS (SELECT url, {_NETLOC} AS host, row_number() OVER (PARTITION BY {_NETLOC} ORDER BY page_id) AS n FROM pages),
+    q AS MATERIALIZED (SELECT o.url AS origin, t.url AS target, lower(regexp_replace(t.url, '/+$', '')) AS k FROM n o JOIN n t ON o.host = t.host AND t.n - o.n IN (0, 1, 2, 3, 4, 5)),
+    r AS (SELECT DISTINCT origin, origin AS node, 0 AS step FROM q UNION SELECT r.origin, e.dst, r.step + 1 FROM r JOIN e ON e.src = r.node WHERE r.step < 3),
+    h AS (SELECT q.origin, q.target, min(r.step) + 1 AS steps FROM q JOIN r ON r.origin = q.origin JOIN e ON e.src = r.node AND e.d = q.k GROUP BY ALL)
+    SELECT q.target, q.origin, cast(CASE WHEN q.k = lower(regexp_replace(q.origin, '/+$', '')) THEN 0 ELSE h.steps END as int) AS steps FROM q LEFT JOIN h ON h.origin = q.origin AND h.target = q.target""")
+def link_distance(t: Tables):
+    return links.link_distance(*_site_graph(t, (0, 1, 2, 3, 4, 5)), depth=4)
 
 
 # --- mining -------------------------------------------------------------------------

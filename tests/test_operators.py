@@ -447,6 +447,32 @@ def test_reachability_from_either_end(spark):
     assert rows_of(df, "target", "origin", "reachable") == sorted(pairs, key=repr)
 
 
+def test_link_distance_against_a_walk(spark):
+    """Depths 0 to 4 on a random graph with a hub, against a breadth-first walk."""
+    rnd = random.Random(11)
+    edges = {(f"n{rnd.randint(0, 40)}", f"n{rnd.randint(0, 40)}" + "/" * rnd.randint(0, 1)) for _ in range(70)} | {("n0", f"N{i}") for i in range(40)}
+    pairs = [(f"n{rnd.randint(0, 45)}", f"n{rnd.randint(0, 45)}") for _ in range(150)] + [(None, "n1"), ("n1", None)]
+    e, p = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(pairs, "target string, origin string")
+
+    def steps(target, origin, depth):
+        if target is None or origin is None:
+            return None
+        end = lambda x: x.rstrip("/").lower()
+        if end(target) == end(origin):
+            return 0
+        level = seen = {origin}
+        for step in range(1, depth + 1):
+            level = {b for a, b in edges if a in level} - seen
+            if end(target) in {end(b) for a, b in edges if a in seen}:
+                return step
+            seen = seen | level
+        return None
+
+    for depth in range(5):
+        got = rows_of(links.link_distance(p, e, depth), "target", "origin", "steps")
+        assert got == sorted([(t, o, steps(t, o, depth)) for t, o in pairs], key=repr)
+
+
 def test_proposals_and_reports(spark):
     review = spark.createDataFrame([(["Quote not found verbatim", "Range gate: x"], None, None), ([], "reject", None), (None, None, "blocked_by_bot_protection"), (["odd"], None, None)], "failures array<string>, verdict string, status string")
     assert dict(rows_of(audit.failure_histogram(review))) == {"literal_quote_mismatch": 1, "range_out_of_bounds": 1, "verifier_rejected": 1, "bot_protection": 1, "unspecified_review": 1}
