@@ -15,7 +15,7 @@ from .texts import _BASE, _IDENTITY, _NETLOC, _WS, _collapse
 
 
 def _claims(t: Tables):
-    return t.view("claims")
+    return t.view("claims").repartition(2 * t.spark.sparkContext.defaultParallelism, "slug")
 
 
 _HOST = "split_part(lower(regexp_extract({0}, '^[a-z]+://([^/?#]*)', 1)), ':', 1)"
@@ -181,7 +181,7 @@ def quote_in_text(t: Tables):
     kind = F.col("doc_id") % 5
     quote = (F.when(kind == 0, part(2, 5)).when(kind == 1, F.concat(part(1, 2), F.lit(" ... "), part(9, 3))).when(kind == 2, F.concat(part(3, 1), F.lit(" "), part(6, 1)))
              .when(kind == 3, F.concat(part(9, 3), F.lit(" … "), part(1, 2))).otherwise(F.concat(part(1, 3), F.lit(" zzz"))))
-    return gates.quote_in_text(t.documents.select("doc_id", "text", quote.alias("quote")), "quote", "text").select("doc_id", "quote_found")
+    return gates.quote_in_text(t.spread("documents", "doc_id").select("doc_id", "text", quote.alias("quote")), "quote", "text").select("doc_id", "quote_found")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in vocab.STOPWORDS)
@@ -195,7 +195,7 @@ _SEEN_WORDS = "[regexp_replace(x, '[^a-z0-9]', '', 'g') for x in string_split_re
     w AS (SELECT *, {_SEEN_WORDS.format("title || ' ' || h1")} AS strong, {_SEEN_WORDS.format("title || ' ' || h1 || ' ' || meta_description || ' ' || preview")} AS every FROM k)
     SELECT page_id, CASE WHEN {_PARKED} THEN 'suspicious' WHEN len(tokens) = 0 THEN 'weak_match' WHEN list_has_any(tokens, strong) THEN 'match' WHEN list_has_any(tokens, every) THEN 'weak_match' ELSE 'suspicious' END AS identity_status FROM w""")
 def identity_status(t: Tables):
-    rows = t.pages.select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
+    rows = t.spread("pages", "page_id").select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
     rows = html.with_identity(rows, "html", "identity")
     return gates.identity_status(rows, "name", "city", "identity").select("page_id", "identity_status")
 

@@ -34,6 +34,10 @@ class Tables:
             _OPENED[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return _OPENED[key]
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """Table ``name`` dealt by ``key`` over all cores twice, for work on whole texts: a file may be one row group."""
+        return getattr(self, name).repartition(2 * self.spark.sparkContext.defaultParallelism, key)
+
     def view(self, name: str) -> DataFrame:
         """Derived input ``name`` of ``VIEWS``."""
         return self.sql(VIEWS[name])

@@ -23,7 +23,7 @@ def _digest_sql(name: str, expr: str) -> str:
 
 
 def _documents(t: Tables, step: str):
-    done = text_jobs.prepare_text(t.documents.select("doc_id", "text"), {"out": (step, "text")})
+    done = text_jobs.prepare_text(t.spread("documents", "doc_id").select("doc_id", "text"), {"out": (step, "text")})
     return done.select("doc_id", *_digest("out", F.col("out")))
 
 
@@ -83,7 +83,7 @@ def _scrub_sql(expr: str) -> str:
 
 @query("scrub_secrets", f"WITH s AS (SELECT doc_id, {_scrub_sql('text')} AS clean, text FROM documents) SELECT doc_id, {_digest_sql('out', 'clean')}, clean <> text AS changed, 'src' || source AS tag FROM s JOIN (SELECT doc_id AS d, source FROM documents) ON d = doc_id")
 def scrub_secrets(t: Tables):
-    packed = t.documents.select("doc_id", F.col("text").alias("raw"), F.struct(F.array("text").alias("parts"), F.create_map(F.lit("s"), F.concat(F.lit("src"), "source")).alias("tags")).alias("doc"))
+    packed = t.spread("documents", "doc_id").select("doc_id", F.col("text").alias("raw"), F.struct(F.array("text").alias("parts"), F.create_map(F.lit("s"), F.concat(F.lit("src"), "source")).alias("tags")).alias("doc"))
     clean = text_jobs.scrub_columns(packed.drop("raw"), _PATTERNS).join(packed.select(F.col("doc_id"), "raw"), "doc_id")
     out = F.col("doc.parts")[0]
     return clean.select("doc_id", *_digest("out", out), (out != F.col("raw")).alias("changed"), F.col("doc.tags")["s"].alias("tag"))
@@ -91,7 +91,7 @@ def scrub_secrets(t: Tables):
 
 @query("clean_html", "SELECT page_id, " + _digest_sql("out", f"regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '^{_WS}|{_WS}$', '', 'g')") + " FROM pages")
 def clean_html(t: Tables):
-    return t.pages.select("page_id", *_digest("out", text.clean_html(F.col("html"))))
+    return t.spread("pages", "page_id").select("page_id", *_digest("out", text.clean_html(F.col("html"))))
 
 
 @query("html_title", "SELECT page_id, left(" + _collapse("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", 120) AS title FROM pages")
@@ -124,7 +124,7 @@ def _pieces_sql(expr: str) -> str:
 
 @query("sanitize_page", "WITH v AS (SELECT page_id, regexp_replace(array_to_string(" + _pieces_sql(_strip_sql("html", _SKIPPED)) + r", chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS body FROM pages) SELECT page_id, " + _digest_sql("out", "body") + " FROM v")
 def sanitize_page(t: Tables):
-    done = text_jobs.prepare_text(t.pages.select("page_id", "html"), {"out": ("visible_text", "html")})
+    done = text_jobs.prepare_text(t.spread("pages", "page_id").select("page_id", "html"), {"out": ("visible_text", "html")})
     return done.select("page_id", *_digest("out", F.col("out")))
 
 
@@ -142,7 +142,7 @@ _IDENTITY = "SELECT page_id, url, " + _inner_sql("title") + " AS title, " + _inn
 @query("page_identity", f"SELECT page_id, title, h1, meta_description, md5(preview) AS preview_md5 FROM ({_IDENTITY})")
 def page_identity(t: Tables):
     p = F.col("p")
-    return html.with_identity(t.pages.select("page_id", "html"), "html", "p").select("page_id", p["title"].alias("title"), p["h1"].alias("h1"), p["meta_description"].alias("meta_description"), F.md5(p["body_preview"]).alias("preview_md5"))
+    return html.with_identity(t.spread("pages", "page_id").select("page_id", "html"), "html", "p").select("page_id", p["title"].alias("title"), p["h1"].alias("h1"), p["meta_description"].alias("meta_description"), F.md5(p["body_preview"]).alias("preview_md5"))
 
 
 @query("concat_pages", """
@@ -322,12 +322,12 @@ def page_store_key(t: Tables):
 
 @query("extract_links", f"SELECT url AS src, cast(pos - 1 as int) AS pos, {_DST} AS dst FROM ({_HREFS})")
 def extract_links(t: Tables):
-    return links.extract_links(t.pages)
+    return links.extract_links(t.spread("pages", "page_id"))
 
 
 @query("first_external_link", f"WITH l AS (SELECT page_id, pos, {_DST} AS dst, {_NETLOC} AS own FROM ({_HREFS})) SELECT p.page_id, (SELECT arg_min(dst, pos) FROM l WHERE l.page_id = p.page_id AND lower(regexp_extract(dst, '^[A-Za-z]+://([^/?#]*)', 1)) <> own) AS link FROM pages p")
 def first_external_link(t: Tables):
-    return links.first_external_link(t.pages, "page_id")
+    return links.first_external_link(t.spread("pages", "page_id"), "page_id")
 
 
 _KEYED = f"SELECT page_id, pos, {_DST} AS dst, url, {_NETLOC} AS own FROM ({_HREFS})"
@@ -337,14 +337,14 @@ _KEYED = f"SELECT page_id, pos, {_DST} AS dst, url, {_NETLOC} AS own FROM ({_HRE
     WITH l AS (SELECT page_id, dst, min(pos) AS pos FROM ({_KEYED}) WHERE dst <> url AND regexp_matches(lower(dst), 'th|an|que') AND lower(regexp_extract(dst, '^[A-Za-z]+://([^/?#]*)', 1)) = own GROUP BY 1, 2)
     SELECT page_id, cast(rn - 1 as int) AS pos, dst AS link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM l) WHERE rn <= 8""")
 def suggest_links(t: Tables):
-    return links.suggest_links(t.pages, "page_id", keywords=("th", "an", "que"), skip_nav=False)
+    return links.suggest_links(t.spread("pages", "page_id"), "page_id", keywords=("th", "an", "que"), skip_nav=False)
 
 
 @query("candidate_pages", f"""
     WITH l AS (SELECT page_id, dst, min(pos) AS pos FROM ({_KEYED}) WHERE dst <> url AND regexp_matches(lower(dst), 'th|an|que') AND NOT regexp_matches(lower(dst), 'thing|tion') AND lower(regexp_extract(dst, '^[A-Za-z]+://([^/?#]*)', 1)) = own GROUP BY 1, 2)
     SELECT page_id, cast(rn - 1 as int) AS pos, dst AS link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM l) WHERE rn <= 4""")
 def candidate_pages(t: Tables):
-    return links.candidate_pages(t.pages, "page_id", keywords=("th", "an", "que"), exclusions=("thing", "tion"), skip_nav=False)
+    return links.candidate_pages(t.spread("pages", "page_id"), "page_id", keywords=("th", "an", "que"), exclusions=("thing", "tion"), skip_nav=False)
 
 
 def _sites(t: Tables):
@@ -365,7 +365,7 @@ _SITES = f"SELECT {_NETLOC} AS slug, min(url) AS website FROM pages GROUP BY 1"
     SELECT slug, cast(rank as int) AS rank, url, cast(score as int) AS score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY stage, score DESC, pos, url) AS rank FROM u) WHERE rank <= 4""")
 def score_pages(t: Tables):
     sites = _sites(t)
-    home = links.extract_links(t.pages).join(sites.withColumnRenamed("website", "src"), "src").select("slug", F.col("dst").alias("url"), "pos")
+    home = links.extract_links(t.spread("pages", "page_id")).join(sites.withColumnRenamed("website", "src"), "src").select("slug", F.col("dst").alias("url"), "pos")
     hits = t.pages.select(urls.netloc(F.col("url")).alias("slug"), "url", F.col("page_id").cast("int").alias("pos"))
     return links.score_pages(sites, home, hits, ("th", "on"), ("/en/", "html"), ("/and",))
 
@@ -415,7 +415,7 @@ def _site_graph(t: Tables, back: tuple[int, ...]):
 
     chain = before.join(behind(1), ["host", "rank"]).select(F.col("origin").alias("src"), F.col("target").alias("dst"))
     pairs = before.join(behind(*back), ["host", "rank"]).select("target", "origin")
-    return pairs, links.extract_links(t.pages).select("src", "dst").unionByName(chain)
+    return pairs, links.extract_links(t.spread("pages", "page_id")).select("src", "dst").unionByName(chain)
 
 
 @query("link_distance", f"""
@@ -437,13 +437,13 @@ def link_distance(t: Tables):
     w AS (SELECT doc_id, match, start, trim(regexp_replace(substr(text, greatest(start - 100, 0) + 1, start + length(match) + 100 - greatest(start - 100, 0)), '\s+', ' ', 'g')) AS win FROM p)
     SELECT doc_id, start, match, md5(win) AS window_md5, array_to_string(list_slice(string_split(win, ' '), 1, 15), ' ') AS quote FROM w""")
 def pattern_context(t: Tables):
-    rows = mining.pattern_contexts(t.documents.select("doc_id", "text"), "text", r"\b[0-9]{4,}\b")
+    rows = mining.pattern_contexts(t.spread("documents", "doc_id").select("doc_id", "text"), "text", r"\b[0-9]{4,}\b")
     return rows.select("doc_id", "start", "match", F.md5("window").alias("window_md5"), "quote")
 
 
 @query("keyword_filter", "SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)\\bthe\\b') AND lang = 'en' UNION ALL SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)\\bthe\\b') AND lang <> 'en'")
 def keyword_filter(t: Tables):
-    return mining.keyword_filter(t.documents.select("doc_id", "source", "text"), "text", r"(?i)\bthe\b").select("doc_id", "source")
+    return mining.keyword_filter(t.spread("documents", "doc_id").select("doc_id", "source", "text"), "text", r"(?i)\bthe\b").select("doc_id", "source")
 
 
 @query("parse_json_ladder", """
