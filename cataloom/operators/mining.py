@@ -9,39 +9,50 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import vocab
-from ..functions.text import clean_html, contains_any, empty_to_null
+from ..functions.text import clean_html, collapse_space, contains_any, empty_to_null
 from .scale import one_per_key, top_per_key
 
-_CONTEXT = ArrayType(StructType([
-    StructField("start", IntegerType()), StructField("match", StringType()),
-    StructField("window", StringType()), StructField("quote", StringType())]))
+#: Lengths summed at once; running sums of a text with many matches are made block by block.
+_BLOCK = 128
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda total, n: total + n)
+
+
+def with_matches(df: DataFrame, column: str, pattern: str, out: str) -> DataFrame:
+    """Add the matches of ``pattern``, left to right without overlap, as structs of start (from 0, in characters) and match.
+
+    A match starts behind the gaps and matches before it, so starts are running sums of their lengths. The
+    pattern must not match the empty text; its classes are those of all letters, not of ASCII alone.
+    """
+    wide = F.lit("(?U)" + pattern)
+    staged = df.withColumns({"_matches": F.regexp_extract_all(column, wide, F.lit(0)), "_gaps": F.split(column, wide)})
+    steps = F.zip_with("_matches", F.slice("_gaps", 1, F.size("_matches")), lambda m, g: F.length(m) + F.length(g))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_matches") - 1) / _BLOCK).cast("int")), lambda k: F.slice("_steps", k * _BLOCK + 1, F.lit(_BLOCK)))
+    staged = staged.withColumn("_steps", steps).withColumn("_blocks", F.when(F.size("_matches") > 0, blocks))
+    staged = staged.withColumn("_sums", F.transform("_blocks", _sum))
+    staged = staged.withColumn("_heads", F.transform("_sums", lambda _, k: _sum(F.slice("_sums", F.lit(1), k))))
+    ends = F.flatten(F.zip_with("_blocks", "_heads", lambda block, head: F.transform(block, lambda _, i: head + _sum(F.slice(block, F.lit(1), i + 1)))))
+    found = F.zip_with("_matches", ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), m.alias("match")))
+    return staged.withColumn(out, F.when(F.size("_matches") > 0, found)).drop("_matches", "_gaps", "_steps", "_blocks", "_sums", "_heads")
 
 
 def pattern_contexts(df: DataFrame, column: str, pattern: str = vocab.POSTCODE_ANYCASE_PATTERN,
                      width: int = 100, quote_words: int = vocab.MAX_QUOTE_WORDS) -> DataFrame:
-    """One row per match with its offset, surrounding text and a short quote.
+    """One row per match with its offset, surrounding text and a short quote; texts without a match give none."""
+    found = with_matches(df.where(F.col(column).rlike("(?U)" + pattern)), column, pattern, "_found")
 
-    Exact offsets of repeated matches need Python; only rows that match are sent there.
-    """
-    compiled = re.compile(pattern)
-
-    @F.pandas_udf(_CONTEXT)
-    def find(texts: pd.Series) -> pd.Series:
-        def one(body):
-            if body is None:
-                return None
-            rows = []
-            for m in compiled.finditer(body):
-                window = " ".join(body[max(0, m.start() - width): m.end() + width].split())
-                rows.append((m.start(), m.group(0), window, " ".join(window.split()[:quote_words])))
-            return rows
-        return texts.map(one)
-
-    hits = df.where(F.col(column).rlike(pattern))
-    return hits.select(*[c for c in df.columns if c != column], F.inline(find(F.col(column))))
+    def window(m: Column) -> Column:
+        first = F.greatest(m["start"] - width, F.lit(0))
+        return collapse_space(F.substring(F.col(column), first + 1, m["start"] + F.length(m["match"]) + width - first))
+
+    rows = F.transform("_found", lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), window(m).alias("window")))
+    quoted = F.array_join(F.slice(F.split("window", " "), 1, quote_words), " ").alias("quote")
+    return found.select(*[c for c in df.columns if c != column], F.inline(rows)).select("*", quoted)
 
 
 def keyword_filter(df: DataFrame, column: str, pattern: str = vocab.PRICE_PAGE_PATTERN) -> DataFrame:

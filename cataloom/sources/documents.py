@@ -14,31 +14,47 @@ from ..operators.scale import one_per_key
 FEED_COMPONENTS = ("all-articles", "article-overview")
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, doc) of JSON documents as VARIANT, one per file or, without ``multi_line``, one per line.
+
+    No schema is laid over a document, so its parts are read where they are asked for. A document that cannot
+    be read, also one that names a key twice in one object, is null. A missing path is an empty table.
+    """
     try:
-        return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+        docs = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path)
+        return docs.select(F.col("_metadata.file_path").alias("file"), "doc")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in (error.getCondition() or ""):
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], "file string, json string").select("file", F.parse_json("json").alias("doc"))
         raise
 
 
-def read_wrapped(spark: SparkSession, path: str, field: str, schema: StructType, multi_line: bool = True) -> DataFrame:
-    """Rows of ``{..., field: [row, ...]}`` documents; a missing path is an empty table.
+def _rows(docs: DataFrame, items: Column, schema: StructType) -> DataFrame:
+    """One row per item of the VARIANT array, with its place ``pos``; a value of another type is null."""
+    rest = [c for c in docs.columns if c != "doc"]
+    listed = docs.select(*rest, items.alias("_items"))
+    exploded = listed.lateralJoin(listed.sparkSession.tvf.variant_explode(F.col("_items").outer()))
+    fields = [F.try_variant_get("value", f'$["{f.name}"]', f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    return exploded.where("key is null").select(*rest, F.col("pos"), *fields)
+
+
+def read_wrapped(spark: SparkSession, path: str, field: str, schema: StructType, multi_line: bool = True, positions: bool = False) -> DataFrame:
+    """Rows of ``{..., field: [row, ...]}`` documents; with ``positions`` also their file and place, from 0.
 
-    Use ``multi_line=False`` for one document per line, which Spark can split.
+    Files are dealt over tasks; use ``multi_line=False`` for one document per line, which Spark can split.
     """
-    document = StructType([StructField(field, ArrayType(schema))])
-    return _read(spark, path, document, multi_line).select(F.inline(field))
+    docs = read_documents(spark, path, multi_line)
+    rows = _rows(docs, F.try_variant_get("doc", f'$["{field}"]', "variant"), schema)
+    return rows if positions else rows.select(*schema.names)
 
 
 def read_wrapped_or_list(docs: DataFrame, column: str, field: str, schema: StructType) -> DataFrame:
-    """Rows of documents that are a bare list or ``{field: [...]}``."""
-    items = ArrayType(schema)
-    bare = F.ltrim(column).startswith("[")
-    wrapped = F.from_json(F.when(~bare, F.col(column)), StructType([StructField(field, items)]))[field]
+    """Rows of documents that are a bare list or ``{field: [...]}``, with the other columns of ``docs``."""
     rest = [c for c in docs.columns if c != column]
-    return docs.select(*rest, F.inline(F.coalesce(F.from_json(F.when(bare, F.col(column)), items), wrapped)))
+    parsed = docs.select(*rest, F.try_parse_json(column).alias("doc"))
+    bare = F.try_variant_get("doc", "$[0]", "variant").isNotNull()
+    items = F.when(bare, F.col("doc")).otherwise(F.try_variant_get("doc", f'$["{field}"]', "variant"))
+    return _rows(parsed, items, schema).select(*rest, *schema.names)
 
 
 def read_keyed(df: DataFrame, key: str, pos: str) -> DataFrame:

@@ -427,6 +427,23 @@ def test_list_round_trip(spark, tmp_path):
     assert '"1","a","Alpha"' in raw and '"say ""hi"""' in raw and "\r\n" in raw
 
 
+def test_wrapped_documents_keep_places_over_many_files(spark, tmp_path):
+    import json
+    from pyspark.sql.types import StructType
+    schema = StructType.fromDDL("slug string, price decimal(9,2), tags array<string>")
+    rows = lambda i: [{"slug": f"s{i}-{k}", "price": k / 4, "tags": ["t"] * k} for k in range(i % 4)]
+    (tmp_path / "store").mkdir()
+    for i in range(1000):
+        (tmp_path / "store" / f"{i:04}.json").write_text(json.dumps({"meta": {"n": i}, "rows": rows(i)}, indent=1))
+    df = documents.read_wrapped(spark, str(tmp_path / "store"), "rows", schema, positions=True)
+    assert df.rdd.getNumPartitions() > 1
+    got = sorted((r.file[-9:-5], r.pos, r.slug, float(r.price), r.tags) for r in df.collect())
+    assert got == [(f"{i:04}", k, r["slug"], r["price"], r["tags"]) for i in range(1000) for k, r in enumerate(rows(i))]
+    odd = [(1, '[{"slug": "a", "price": "x"}, null, {"price": 2}]'), (2, '{"rows": [{"slug": 3}]}'), (3, '{"other": [1]}'), (4, "{"), (5, None), (6, "[]"), (7, '{"rows": {"a": 1}}')]
+    listed = documents.read_wrapped_or_list(spark.createDataFrame(odd, "id int, doc string"), "doc", "rows", schema)
+    assert rows_of(listed.select("id", "slug", F.col("price").cast("string"))) == sorted([(1, "a", None), (1, None, None), (1, None, "2.00"), (2, "3", None)], key=repr)
+
+
 def test_answers(spark):
     rows = ['{"status": "paid", "primary_adult_eur": 12.5}', 'x\n```json\n{"status": "free"}\n```', 'so {"status": "closed", "a": {"b": 1}} ok', '{"status": "paid", "adult_eur": "7", "note": "cut o', "none", "[1]"]
     got = mining.answer_fields(mining.parse_answers(spark.createDataFrame([(r,) for r in rows], "raw string"), "raw"))
@@ -436,8 +453,16 @@ def test_answers(spark):
 def test_contexts_match_plain_search(spark):
     import re
     body = "Adres 1234 AB stad " * 9 + "slot 9999zz"
-    got = rows_of(mining.pattern_contexts(spark.createDataFrame([(1, body), (2, "none")], "i int, t string"), "t"), "start", "match")
-    assert got == sorted(((m.start(), m.group()) for m in re.finditer(vocab.POSTCODE_ANYCASE_PATTERN, body)), key=repr)
+    many = "é1234 AB " + "ß\u00a0 1234ab,\n5678 CD\U0001f600 x9999ZZ " * 300 + "1111 QQ"
+    bodies = {1: body, 2: "none", 3: many, 4: None, 5: "", 6: "4321 XY"}
+    df = mining.pattern_contexts(spark.createDataFrame(list(bodies.items()), "i int, t string"), "t", width=30, quote_words=3)
+    want = []
+    for i, text in bodies.items():
+        for m in re.finditer(vocab.POSTCODE_ANYCASE_PATTERN, text or ""):
+            words = text[max(0, m.start() - 30):m.end() + 30].split()
+            want.append((i, m.start(), m.group(), " ".join(words), " ".join(words[:3])))
+    assert rows_of(df, "i", "start", "match", "window", "quote") == sorted(want, key=repr)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_reachability_from_either_end(spark):
