@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import vocab
 from ..functions.geo import in_bbox
 from ..functions.text import empty_to_null
 from ..functions.urls import netloc, normalise_site
+from .geo_join import geo_sanity
 from .scale import null_safe
 from .snapshot import active
 
@@ -172,3 +174,50 @@ def run_report(merged: DataFrame, feed: DataFrame, diff: DataFrame) -> DataFrame
     wide = feed_part.crossJoin(diff_part).crossJoin(merged_part)
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("decimal(18,1)").alias("value")) for c in wide.columns])
     return wide.select(F.inline(pairs))
+
+
+def refresh_findings(current: DataFrame, merged: DataFrame, diff: DataFrame, excluded: DataFrame | None = None,
+                     errors: Column | None = None, allowed: DataFrame | None = None, key: str = "slug") -> DataFrame:
+    """(section, metric, key, detail): one row for everything a refresh has to say about a key.
+
+    Rows of ``current`` tell sanity issues and matched overrides, those of ``merged`` empty fields and record
+    errors, each in one scan; ``excluded`` holds (key, reason). Parts whose columns a table lacks are left out.
+    """
+    def found(section: str, metric: str, detail: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), detail.cast("string").alias("detail")))
+
+    def listed(df: DataFrame, findings: list[Column]) -> DataFrame:
+        return df.select(F.col(key).cast("string").alias("key"), F.inline(F.array_compact(F.array(*findings)))).select("section", "metric", "key", "detail")
+
+    none = F.lit(None)
+    parts = [listed(merged, [found("geocoding_completeness", "missing_city", none, ~given(F.col("city"))),
+                             found("geocoding_completeness", "missing_coords", none, F.col("lat").isNull() | F.col("lon").isNull())]),
+             listed(diff.where("change <> 'retained'"), [found("diff", c, none, F.col("change") == c) for c in ("added", "restored", "removed")])]
+    if errors is not None:
+        wrong = merged.where(active(F.col("status"))).select(F.col(key).cast("string").alias("key"), F.explode(errors).alias("detail"))
+        parts.append(wrong.select(F.lit("validation").alias("section"), F.lit("error").alias("metric"), "key", "detail"))
+    if "geo_province" in current.columns:
+        odd = geo_sanity(current).select(F.col(key).cast("string").alias("key"), F.explode("issues").alias("detail"))
+        parts.append(odd.select(F.lit("sanity_checks").alias("section"), F.lit("issue").alias("metric"), "key", "detail"))
+    if "source_matches" in current.columns:
+        parts.append(listed(current, [found("overrides_status", "source_match", none, F.col("source_matches"))]))
+    if excluded is not None:
+        parts.append(listed(excluded, [found("reconciliation", "excluded", F.col("reason"), F.col("reason").isNotNull())]))
+    places = {"site": ("museum_website", "site"), "street": ("address.street", "street"), "postcode": ("address.postcode", "postcode")}
+    sources = {name: next((c for c in options if c.split(".")[0] in merged.columns), None) for name, options in places.items()}
+    if all(sources.values()):
+        shared = shared_resources(merged.select(key, "city", "status", *[F.col(c).alias(name) for name, c in sources.items()]), allowed, key)
+        parts.append(shared.select(F.lit("shared_resources_audit").alias("section"), F.lit("warning").alias("metric"), F.col(key).cast("string").alias("key"),
+                                   F.concat_ws(" ", "kind", "resource").alias("detail")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def refresh_report(findings: DataFrame, totals: Mapping[tuple[str, str], float | None]) -> DataFrame:
+    """(section, metric, key, detail, value): the findings, their number per metric, and given totals, both without a key."""
+    spark = findings.sparkSession
+    rows = [(section, metric, None if value is None else float(value)) for (section, metric), value in totals.items()]
+    given_ = spark.createDataFrame(rows, "section string, metric string, value double")
+    counted = findings.groupBy("section", "metric").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("metric", F.concat("metric", F.lit("_count")))
+    empty = F.lit(None).cast("string")
+    numbers = given_.unionByName(counted).select("section", "metric", empty.alias("key"), empty.alias("detail"), "value")
+    return findings.withColumn("value", F.lit(None).cast("double")).unionByName(numbers)

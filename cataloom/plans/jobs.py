@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, vocab
@@ -71,35 +71,47 @@ def enriched_catalog(inputs: RefreshInputs, base_url: str, as_of: str) -> DataFr
 
 
 def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as_of: str, host: str,
-            rules: quality.DatasetRules = quality.DatasetRules(), build_id: str = "", limit: int | None = None) -> DataFrame:
-    """Merge, gate and publish; returns the verdict row. Raises before publishing when a gate fails.
+            rules: quality.DatasetRules = quality.DatasetRules(), build_id: str = "", limit: int | None = None,
+            excluded: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Merge, gate, publish and report; returns the verdict row. Raises before publishing when a gate fails.
 
     ``limit`` keeps the first rows in key order, for trial runs. The published rows are in
-    snapshot order: active ones first, then by key.
+    snapshot order: active ones first, then by key. A field new in ``current`` is null in the rows carried over.
 
-    The merged snapshot is written once to the shared folder and read by the gate, the
-    difference and the publisher.
+    The located rows and the merged snapshot are each written once to the shared folder, counted while they
+    are, and read by the gate, the difference, the publisher and the report. ``excluded`` (slug, reason) tells
+    what the feed held back, ``allowed`` the shared sites and addresses that are fine; see `refresh_findings`.
     """
-    if current.isEmpty():
-        raise ValueError("no articles found in the feed")
     current = current if limit is None else current.orderBy("slug").limit(limit)
+    taken, kept = Observation("current"), Observation("merged")
+    current = materialise(current.observe(taken, F.count(F.lit(1)).alias("active_count")), "current")
+    if taken.get["active_count"] == 0:
+        raise ValueError("no articles found in the feed")
     previous = publish.read_published(spark, root)
     fields = [c for c in current.columns if c not in ("source_matches", "geo_province")]
     fresh = current.select(*fields)
-    old = fresh.limit(0) if previous is None else previous.select(*fields)
+    old = fresh.limit(0) if previous is None else previous.select(*[
+        F.col(c) if c in previous.columns else F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fields])
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     merged = snapshot.soft_delete_merge(fresh, old, as_of=as_of)
-    merged = materialise(merged, "merged")
+    merged = materialise(merged.observe(kept, F.count(F.lit(1)).alias("processed"), F.count_if(located).alias("complete")), "merged")
     verdict = materialise(quality.dataset_verdict(merged, previous, rules, quality.record_errors(host)), "verdict")
     row = verdict.first()
     if not row.is_valid:
         raise RefreshRejected(", ".join(row.failed_rules))
     empty = merged.limit(0)
-    diff = snapshot.snapshot_diff(merged, previous if previous is not None else empty)
+    diff = materialise(snapshot.snapshot_diff(merged, previous if previous is not None else empty), "diff")
     entry = snapshot.changelog_entry(diff, merged, as_of, first_run=previous is None)
     keys = diff.withColumn("timestamp", F.lit(as_of).cast("timestamp"))
     # Records first, each under its version: a retry writes them again, and the manifest comes last.
     publish.append_changelog(entry, keys, root, version)
     publish.run_meta(merged, as_of, build_id).write.mode("overwrite").parquet(f"{root}/meta/version={version}")
+    findings = materialise(quality.refresh_findings(current, merged, diff, excluded, quality.record_errors(host), allowed), "findings")
+    processed, complete = kept.get["processed"], kept.get["complete"]
+    totals = {("reconciliation", "active_count"): taken.get["active_count"], ("validation", "is_valid"): 1,
+              ("processed", "processed_count"): processed, ("geocoding_completeness", "complete_count"): complete,
+              ("geocoding_completeness", "percentage"): round(complete / processed * 100.0, 1), ("diff", "retained_count"): diff.where("change = 'retained'").count()}
+    publish.write_report(quality.refresh_report(findings, totals), root, version)
     publish.publish_if_changed(snapshot.snapshot_order(merged), root, version)
     return verdict
 

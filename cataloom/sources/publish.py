@@ -72,6 +72,15 @@ def read_changelog(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/changelog").drop("version").orderBy(F.desc("timestamp"))
 
 
+def write_report(report: DataFrame, root: str, version: str) -> None:
+    report.write.mode("overwrite").parquet(f"{root}/report/version={version}")
+
+
+def read_report(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """(section, metric, key, detail, value) of the refresh that was published, or found unchanged, as ``version``."""
+    return spark.read.parquet(f"{root}/report/version={version}")
+
+
 def run_meta(catalog: DataFrame, last_checked: str, build_id: str) -> DataFrame:
     return catalog.agg(F.count(F.lit(1)).alias("total_count")).select(
         F.lit(last_checked).cast("timestamp").alias("last_checked"), F.lit(build_id).alias("build_id"), "total_count")

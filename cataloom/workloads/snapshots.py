@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..functions.text import localized_urls
 from ..operators import audit, quality, snapshot, stores
 from ..operators.overrides import apply_overrides
 from ..operators.scale import fingerprint
+from ..session import scratch_path
 from ..sources import documents, publish
 from .registry import Tables, query
 
@@ -99,6 +101,50 @@ def run_report(t: Tables):
     return quality.run_report(merged, snapshot.reconcile_published(_feed_rows(t)), snapshot.snapshot_diff(merged, t.view("old_snapshot")))
 
 
+# Catalogue rows of one period as a refresh takes them, and the three refreshes of the query below: rows that ordered
+# early, then twice those that ordered late, so that what is gone is counted first and removed next.
+_LOCATED = f"""SELECT c.slug, c.name, c.city, c.province, c.lat, c.lon, c.street, c.postcode, c.site, cast('active' as string) AS status, cast(0 as int) AS consecutive_missing, cast(NULL as date) AS first_seen,
+    'https://{HOST}/' || c.slug AS official_url, c.id % 10 = 0 AS source_matches, CASE WHEN c.id % 50 = 0 THEN 'EUROPE' ELSE c.province END AS geo_province, a.first_order, a.last_order
+    FROM {{catalog}} c JOIN {{activity}} a ON c.id = a.o_custkey"""
+
+
+@query("refresh_report", f"""
+    WITH l AS ({_LOCATED}), o AS (SELECT * FROM l WHERE first_order < timestamp '1997-01-01 00:00:00'), n AS (SELECT * FROM l WHERE last_order >= timestamp '2000-01-01 00:00:00'),
+    u AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE slug NOT IN (SELECT slug FROM n)),
+    s AS (SELECT 2 AS v, * FROM u UNION ALL SELECT 3, * FROM n),
+    r AS (SELECT v, 'site ' || regexp_replace(regexp_replace(site, '^https://', ''), '/$', '') AS detail, slug FROM s WHERE site IS NOT NULL
+          UNION ALL SELECT v, 'address ' || lower(street) || '|' || replace(postcode, ' ', '') || '|' || lower(city), slug FROM s),
+    f AS (SELECT v, 'geocoding_completeness' AS section, 'missing_coords' AS metric, slug AS key, NULL AS detail FROM (SELECT 2 AS v, * FROM u UNION ALL SELECT 3, * FROM u) WHERE lat IS NULL
+      UNION ALL SELECT 2, 'diff', 'added', slug, NULL FROM n WHERE slug NOT IN (SELECT slug FROM o)
+      UNION ALL SELECT 3, 'diff', 'removed', slug, NULL FROM o WHERE slug NOT IN (SELECT slug FROM n)
+      UNION ALL SELECT v, 'sanity_checks', 'issue', slug, 'province mismatch' FROM n, (VALUES (2), (3)) w(v) WHERE geo_province <> province
+      UNION ALL SELECT v, 'overrides_status', 'source_match', slug, NULL FROM n, (VALUES (2), (3)) w(v) WHERE source_matches
+      UNION ALL SELECT v, 'reconciliation', 'excluded', slug, 'unpublished or startpage' FROM l, (VALUES (2), (3)) w(v) WHERE last_order < timestamp '2000-01-01 00:00:00'
+      UNION ALL SELECT v, 'shared_resources_audit', 'warning', slug, detail FROM r WHERE (v, detail) IN (SELECT (v, detail) FROM r GROUP BY v, detail HAVING count(*) > 1)),
+    k AS (SELECT count(*) AS active, (SELECT count(*) FROM u) AS processed, (SELECT count(lat) FROM u) AS complete, (SELECT count(*) FROM o) AS retained2 FROM n)
+    SELECT v AS version, section, metric, key, detail, cast(NULL as double) AS value FROM f
+    UNION ALL SELECT v, section, metric || '_count', NULL, NULL, count(*)::double FROM f GROUP BY ALL
+    UNION ALL SELECT v, 'reconciliation', 'active_count', NULL, NULL, active::double FROM k, (VALUES (2), (3)) w(v)
+    UNION ALL SELECT v, 'validation', 'is_valid', NULL, NULL, 1.0e0 FROM (VALUES (2), (3)) w(v)
+    UNION ALL SELECT v, 'processed', 'processed_count', NULL, NULL, processed::double FROM k, (VALUES (2), (3)) w(v)
+    UNION ALL SELECT v, 'geocoding_completeness', 'complete_count', NULL, NULL, complete::double FROM k, (VALUES (2), (3)) w(v)
+    UNION ALL SELECT v, 'geocoding_completeness', 'percentage', NULL, NULL, round(complete::double / processed::double * 100.0e0, 1) FROM k, (VALUES (2), (3)) w(v)
+    UNION ALL SELECT v, 'diff', 'retained_count', NULL, NULL, (CASE v WHEN 2 THEN retained2 ELSE active END)::double FROM k, (VALUES (2), (3)) w(v)""")
+def refresh_report(t: Tables):
+    from ..plans import jobs
+
+    root = scratch_path(t.spark, "refresh")
+    rows = t.sql(_LOCATED).withColumns({
+        "official_urls": F.create_map(*[x for l in vocab.LOCALES for x in (F.lit(l), F.col("official_url"))]), "programmes": F.array(F.lit("default"))})
+    late = F.col("last_order") >= F.lit("2000-01-01").cast("timestamp")
+    excluded = rows.select("slug", F.when(~late, "unpublished or startpage").alias("reason"))
+    rules = quality.DatasetRules(min_rows=1, max_count_change_pct=1e9, min_complete_pct=80.0, max_turnover_pct=100.0)
+    for i, part in enumerate((rows.where(F.col("first_order") < F.lit("1997-01-01").cast("timestamp")), rows.where(late), rows.where(late))):
+        jobs.refresh(t.spark, part.drop("first_order", "last_order"), root, f"v{i + 1}", f"2001-09-0{i + 1}", HOST, rules, excluded=excluded)
+    two, three = [publish.read_report(t.spark, root, f"v{i}").select(F.lit(i).alias("version"), "*") for i in (2, 3)]
+    return two.unionByName(three)
+
+
 @query("active_only", "SELECT slug, city FROM {catalog} WHERE status <> 'removed' AND duplicate_of IS NULL")
 def active_only(t: Tables):
     return snapshot.active_only(t.view("catalog"), drop_duplicates_of=True).select("slug", "city")

@@ -81,6 +81,11 @@ def test_refresh_publishes_once_and_keeps_data_on_failure(spark, tmp_path):
     jobs.refresh(spark, rows(names + ["new"]), root, "v4", "2026-01-04", host, rules)
     assert publish.current_version(spark, root) == "v4"
     assert [r.added for r in publish.read_changelog(spark, root).collect()] == [1, 120]
+    told = {(r.metric, r.key): r.value for r in publish.read_report(spark, root, "v4").collect()}
+    assert told["added", "new"] is None and told["added_count", None] == 1 and told["processed_count", None] == 121 and told["retained_count", None] == 120
+    # A field that is new today is null in the rows carried over.
+    jobs.refresh(spark, rows(names).withColumn("phone", F.lit("1")), root, "v5", "2026-01-05", host, rules)
+    assert {(r.slug == "new", r.phone) for r in publish.read_published(spark, root).collect()} == {(True, None), (False, "1")}
 
 
 def test_shared_resources_whitelist_needs_the_exact_group(spark):
