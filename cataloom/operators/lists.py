@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import vocab
-from .scale import one_per_key, rank_rows, top_per_key
+from ..session import materialise
+from .scale import one_per_key, rank_rows
 
 
 def dedupe_keep_first(items: DataFrame, owner: str = "owner", item: str = "item", pos: str = "pos") -> DataFrame:
@@ -99,15 +101,46 @@ def assign_batches(df: DataFrame, key: str, size: int = vocab.BATCH_SIZE) -> Dat
     return ranked.withColumn("batch", F.ceil(F.col("_rank") / size)).drop("_rank")
 
 
-def quota_admit(requests: DataFrame, period: Column, limit: int = vocab.MONTHLY_QUOTA, ts: str = "ts", key: str = "request_id") -> DataFrame:
-    """First ``limit`` successful requests per period are admitted, later ones deferred.
+#: Most requests of a period that are ranked in one task, and probes of a round before that.
+RANKED_AT_ONCE = 100_000
+PROBES = 512
 
-    Only the limit-th success of each period is looked up (a limited window); every request
-    is then compared with that cut-off, so a busy period is not sorted as a whole.
+
+def _cut_spans(good: DataFrame, limit: int, bound: int) -> DataFrame:
+    """Per period the span of time (lo, hi) of its ``limit``-th success, how many it holds and which of them (``need``).
+
+    Successes are counted below evenly spaced times, and the span that holds the wanted one is split again,
+    until it holds at most ``bound`` or is one moment. Only counts are shuffled, combined before.
+    """
+    spans = materialise(good.groupBy("period").agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") >= limit).withColumn("need", F.lit(limit).cast("long")), "spans")
+    wide = (F.col("n") > bound) & (F.col("lo") < F.col("hi"))
+    while not spans.where(wide).isEmpty():
+        probe = F.floor((F.col("_at") - F.col("lo")) / F.ceil((F.col("hi") - F.col("lo") + 1) / PROBES))
+        counted = (good.join(spans.where(wide), "period").where("_at between lo and hi").groupBy("period", "need", probe.alias("_probe"))
+                   .agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("n")))
+        upto = counted.withColumn("_upto", F.sum("n").over(W.partitionBy("period").orderBy("_probe")))
+        within = upto.where("_upto >= need and _upto - n < need").select("period", "lo", "hi", "n", (F.col("need") - F.col("_upto") + F.col("n")).alias("need"))
+        spans = materialise(spans.where(~wide).unionByName(within), "spans")
+    return spans
+
+
+def quota_admit(requests: DataFrame, period: Column, limit: int = vocab.MONTHLY_QUOTA, ts: str = "ts", key: str = "request_id", bound: int = RANKED_AT_ONCE) -> DataFrame:
+    """First ``limit`` successful requests per period are admitted, later ones deferred; ties in time by key.
+
+    Only the limit-th success of each period is looked up, in the short span that `_cut_spans` leaves; every
+    request is then compared with that cut-off, so neither a busy period nor a large limit meets in one task.
     """
     rows = requests.withColumn("period", period)
-    good = top_per_key(rows.where("ok").select("period", ts, key), ["period"], [F.col(ts), F.col(key)], limit)
-    cutoff = good.where(F.col("rank") == limit).select("period", F.struct(ts, key).alias("_cut"))
+    good = rows.where("ok").select("period", ts, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    spans = _cut_spans(good, limit, bound)
+    near = good.join(spans, "period").where("_at between lo and hi")
+    few = near.where(F.col("n") <= bound).withColumn("rank", F.row_number().over(W.partitionBy("period").orderBy(ts, key)))
+    cutoff = few.where("rank = need").select("period", F.struct(ts, key).alias("_cut"))
+    if not spans.where(F.col("n") > bound).isEmpty():
+        # A moment with more requests than that is ranked by a distributed sort.
+        many = rank_rows(near.where(F.col("n") > bound), [F.col(ts), F.col(key)], ["period"])
+        cutoff = cutoff.unionByName(many.where("rank = need").select("period", F.struct(ts, key).alias("_cut")))
     joined = rows.join(cutoff, "period", "left")
     within = F.col("_cut").isNull() | (F.struct(ts, key) <= F.col("_cut"))
     return joined.withColumn("admitted", within).drop("_cut")

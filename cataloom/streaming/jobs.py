@@ -15,7 +15,7 @@ from ..operators.quality import DatasetRules, dataset_verdict
 from ..operators.scale import one_per_key
 from ..operators.snapshot import soft_delete_merge
 from ..session import ROCKSDB, STATE_STORE, materialise
-from ..sources.publish import publish_if_changed, published_from, read_published
+from ..sources.publish import publish_if_changed, published_from, quarantine, read_published
 
 
 def announce(snapshot: DataFrame, path: str, inbox: str) -> None:
@@ -35,7 +35,8 @@ def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: Dat
 
     Only the notices stream through the driver; the snapshot itself is read from its folder with
     full parallelism. The manifest names stream and batch of each version, so a batch repeated
-    after a failure merges nothing twice, whatever was published before under other names.
+    after a failure merges nothing twice, whatever was published before under other names. A refused
+    snapshot leaves its notice and its failed rules in the quarantine table, in the same batch.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,8 +47,11 @@ def ingest_snapshots(arrivals: DataFrame, root: str, checkpoint: str, rules: Dat
                 continue
             fresh, published = spark.read.parquet(row.path), read_published(spark, root)
             merged = fresh if published is None else materialise(soft_delete_merge(fresh, published, key), "merged")
-            if dataset_verdict(merged, published, rules, errors, key).first().is_valid:
+            verdict = materialise(dataset_verdict(merged, published, rules, errors, key), "verdict")
+            if verdict.first().is_valid:
                 publish_if_changed(merged, root, origin.replace("/", "-").replace(":", "-"), origin)
+            else:
+                quarantine(verdict, root, stream, batch_id, i, row.path)
 
     return (arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -131,3 +135,27 @@ def monthly_counter(requests: DataFrame, ts: str = "ts", late: str = "1 day") ->
     month = F.date_trunc("month", F.col(ts)).cast("date").alias("month")
     return rows.where("ok").groupBy(month).agg(F.count(F.lit(1)).alias("used"))
 
+
+def daily_usage(requests: DataFrame, ts: str = "ts", key: str = "request_id", late: str = "1 day") -> DataFrame:
+    """Stream of requests(request_id, ts, ok) -> (day, used), given again whenever a day's number grows.
+
+    A request told twice within ``late`` counts once. Both states follow the time of the requests: an
+    id is forgotten, and a day closed, once the newest request is ``late`` beyond it.
+    """
+    timed = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).where("ok")
+    once = timed.dropDuplicatesWithinWatermark([key])
+    return once.groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("used")).select(F.col("window.start").cast("date").alias("day"), "used")
+
+
+def store_usage(usage: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the numbers of each batch under its own number, so that a batch run again replaces its own rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return usage.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_months(spark: SparkSession, root: str) -> DataFrame:
+    """(month, used), added up from the last number of each day."""
+    days = one_per_key(spark.read.parquet(root), ["day"], F.col("batch"))
+    return days.groupBy(F.date_trunc("month", "day").cast("date").alias("month")).agg(F.sum("used").alias("used"))

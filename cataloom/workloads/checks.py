@@ -8,7 +8,7 @@ from ..functions import html, urls, vocab
 from ..functions.text import distinctive_tokens, fold, match_norm
 from ..operators import agreement, audit, gates, lists, propose, quality, recheck
 from ..session import rocksdb_state, scratch_path
-from ..sources.publish import read_published
+from ..sources.publish import publish_if_changed, read_csv, read_published, read_published_in_order, read_quarantine, read_versions, write_csv
 from ..streaming import jobs as streams
 from .registry import Tables, query
 from .texts import _BASE, _IDENTITY, _NETLOC, _WS, _collapse
@@ -398,9 +398,24 @@ def _named(t: Tables):
     WITH f AS ({_FIRST}), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos) AS rk FROM f)
     SELECT owner, rk AS "Rank", item AS "Slug", coalesce(c_name, item) AS "Name", coalesce(n_name, '') AS "City", '' AS "Province", CASE WHEN visited THEN 'Yes' ELSE 'No' END AS "Visited", note AS "Note", '' AS "Website" FROM r LEFT JOIN ({_NAMED}) n ON n.slug = r.item""")
 def export_list_rows(t: Tables):
+    return export_list_rows_of(t)
+
+
+def export_list_rows_of(t: Tables):
     return lists.export_rows(lists.rank_items(lists.dedupe_keep_first(_items(t))), _named(t))
 
 
+@query("export_list_csv", f"""
+    WITH f AS ({_FIRST}), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos) AS rk FROM f)
+    SELECT row_number() OVER (ORDER BY owner, rk) AS position, owner, cast(rk as varchar) AS "Rank", item AS "Slug", coalesce(c_name, item) AS "Name", coalesce(n_name, '') AS "City", CASE WHEN visited THEN 'Yes' ELSE 'No' END AS "Visited", note AS "Note" FROM r LEFT JOIN ({_NAMED}) n ON n.slug = r.item""")
+def export_list_csv(t: Tables):
+    """The files are read back, in the order recorded for them."""
+    path, rows = scratch_path(t.spark, "csv"), export_list_rows_of(t)
+    write_csv(rows, path)
+    back = read_csv(t.spark, path, rows.columns)
+    return back.select("position", "owner", "Rank", "Slug", "Name", F.coalesce("City", F.lit("")).alias("City"), "Visited", "Note")
+
+
 @query("export_list_json", f"""
     WITH f AS ({_FIRST}), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos) AS rk FROM f)
     SELECT owner, cast(0 as bigint) AS part, md5('{{"version":"1.0","exported_at":"2024-02-01T00:00:00Z","items":[' || string_agg('{{"slug":"' || item || '","visited":' || cast(visited as string) || ',"note":"' || note || '","name":"' || coalesce(c_name, item) || '"}}', ',' ORDER BY rk) || ']}}') AS document_md5
@@ -494,10 +509,48 @@ def monthly_counter(t: Tables):
     SELECT coalesce(b.slug, a.slug) AS slug, CASE WHEN b.slug IS NOT NULL THEN 'active' WHEN a.consecutive_missing + 1 >= 2 OR a.status = 'removed' THEN 'removed' ELSE 'active' END AS status, cast(CASE WHEN b.slug IS NOT NULL THEN 0 ELSE a.consecutive_missing + 1 END as int) AS consecutive_missing FROM a FULL OUTER JOIN b ON a.slug = b.slug""")
 def snapshot_ingest(t: Tables):
     """Two good snapshots and then a cut-off one, which the gates must refuse."""
+    return read_published(t.spark, _ingested(t)).select("slug", "status", "consecutive_missing")
+
+
+def _ingested(t: Tables) -> str:
     inbox, store, root, state = (scratch_path(t.spark, x) for x in ("inbox", "snapshots", "published", "state"))
     rules = quality.DatasetRules(min_rows=1, max_count_change_pct=1e9, min_complete_pct=90.0, max_turnover_pct=30.0)
     old, new = t.view("old_snapshot"), t.view("new_snapshot")
     for i, part in enumerate((old, new, new.where("province = 'ASIA'").withColumn("city", F.lit(None).cast("string")))):
         streams.announce(part, f"{store}/{i}", inbox)
     streams.ingest_snapshots(streams.read_arrivals(t.spark, inbox), root, state, rules).awaitTermination()
-    return read_published(t.spark, root).select("slug", "status", "consecutive_missing")
+    return root
+
+
+@query("ingest_outcomes", """
+    WITH a AS (SELECT slug FROM {old_snapshot}), b AS (SELECT slug FROM {new_snapshot}),
+    m AS (SELECT coalesce(b.slug, a.slug) AS slug FROM a FULL OUTER JOIN b ON a.slug = b.slug)
+    SELECT 'published' AS outcome, 1 AS n, (SELECT count(*) FROM a) AS row_count, '' AS failed_rules
+    UNION ALL SELECT 'published', 2, (SELECT count(*) FROM m), ''
+    UNION ALL SELECT 'refused', 1, (SELECT count(*) FROM b), 'completeness'""")
+def ingest_outcomes(t: Tables):
+    """Every announced snapshot is either a version or in quarantine, with the rules that it failed."""
+    root = _ingested(t)
+    done = read_versions(t.spark, root).select(F.lit("published").alias("outcome"), F.col("seq").cast("int").alias("n"), "row_count", F.lit("").alias("failed_rules"))
+    held = read_quarantine(t.spark, root).select(F.lit("refused").alias("outcome"), F.lit(1).alias("n"), F.col("active_count").alias("row_count"), F.array_join("failed_rules", ",").alias("failed_rules"))
+    return done.unionByName(held)
+
+
+@query("snapshot_order", "SELECT row_number() OVER (ORDER BY status = 'removed', slug) AS position, slug, status FROM {catalog}")
+def snapshot_order(t: Tables):
+    """Published in snapshot order and read back in it."""
+    from ..operators.snapshot import snapshot_order as in_order
+
+    root = scratch_path(t.spark, "ordered")
+    publish_if_changed(in_order(t.view("catalog").select("slug", "status")), root, "v1")
+    return read_published_in_order(t.spark, root)
+
+
+# Requests told twice count once, those without success not at all; days are rolled up to months on read.
+@query("monthly_usage", "SELECT cast(date_trunc('month', ts) as date) AS month, count(*) AS used FROM events WHERE event_type <> 'error' GROUP BY 1")
+def monthly_usage(t: Tables):
+    inbox, root, state = (scratch_path(t.spark, x) for x in ("requests", "usage", "state"))
+    told = t.events.select(F.col("event_id").alias("request_id"), "ts", (F.col("event_type") != "error").alias("ok"))
+    told.unionByName(told.where("request_id % 3 = 0")).write.parquet(inbox)
+    streams.store_usage(streams.daily_usage(t.spark.readStream.schema(told.schema).parquet(inbox)), root, state).awaitTermination()
+    return streams.read_months(t.spark, root)

@@ -58,3 +58,42 @@ def test_monthly_counter_stream_matches_batch(spark, small, tmp_path):
     stream = spark.readStream.schema(orders.schema).parquet(path)
     got = drain(jobs.monthly_counter(stream), "months", "complete", tmp_path)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.monthly_counter(orders).collect()))
+
+
+def test_daily_usage_drops_late_and_repeated_requests(spark, tmp_path):
+    start, path, schema = datetime(2026, 1, 30), str(tmp_path / "in"), "request_id int, ts timestamp, ok boolean"
+
+    def feed(*rows):
+        spark.createDataFrame([(i, start + timedelta(hours=h), ok) for i, h, ok in rows], schema).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        query = jobs.store_usage(jobs.daily_usage(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert query.awaitTermination(120)
+        return {str(r.month): r.used for r in jobs.read_months(spark, str(tmp_path / "out")).collect()}
+
+    feed((1, 1, True), (2, 2, False), (3, 30, True), (1, 5, True))
+    feed((3, 31, True), (4, 20, True))
+    assert run() == {"2026-01-01": 3}
+    feed((5, 24 * 6, True))
+    # Six days on, hour 3 is late, and ids of the first days are forgotten.
+    feed((6, 3, True), (7, 24 * 6, True))
+    assert run() == {"2026-01-01": 3, "2026-02-01": 2}
+    state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("operatorId", "1").load()
+    assert {r["key"]["request_id"] for r in state.collect() if "request_id" in r["key"]} <= {5, 7}
+
+
+def test_refused_snapshots_are_kept_in_quarantine(spark, tmp_path):
+    from cataloom.operators.quality import DatasetRules
+    from cataloom.sources import publish
+
+    inbox, root, rules = str(tmp_path / "inbox"), str(tmp_path / "root"), DatasetRules(min_rows=3, baseline_rows=3, max_count_change_pct=1e9, max_turnover_pct=1e9)
+    for n in (3, 2, 5):
+        rows = spark.range(n).selectExpr("'s' || id as slug", f"{'cast(null as string)' if n == 2 else repr('c')} as city", "52.0D as lat", "5.0D as lon", "'active' as status", "0 as consecutive_missing")
+        jobs.announce(rows, str(tmp_path / f"snap{n}"), inbox)
+    for _ in range(2):
+        jobs.ingest_snapshots(jobs.read_arrivals(spark, inbox), root, str(tmp_path / "ck"), rules).awaitTermination()
+    first = publish.read_versions(spark, root).orderBy("seq").collect()
+    assert [r.row_count for r in first] == [3, 5]
+    held = publish.read_quarantine(spark, root).collect()
+    assert [(r.path[-5:], r.failed_rules) for r in held] == [("snap2", ["completeness"])]
