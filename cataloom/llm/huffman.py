@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialise, scratch_path
-from .common import bounded, slices, to_python
+from .common import bounded, release, slices, to_python
 from .tokens import Encoder, appended
 
 END, LIMIT, BLOCK = 2, 16, 256
 #: Bytes of text that one file should hold, and one task should encode, which remembers its pieces.
 FILE_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+#: Ids whose codes are placed at once.
+CHUNK = 1 << 16
 _MAGIC = b"HUF1"
 _HEAD = "<4sqqq"
 
@@ -84,20 +86,27 @@ def decode_table(lengths: np.ndarray) -> np.ndarray:
 
 
 def write_file(doc_ids: np.ndarray, has_id: np.ndarray, n_tokens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    begin = ends - size
-    total = int(ends[-1]) if len(ends) else 0
-    word, shift = begin >> 5, begin & 31
-    value = codes[ids].astype(np.uint64) << (64 - shift - size).astype(np.uint64)
-    n_words = (total + 31) // 32 + 2
-    # Codes share no bit, so sums below 2**32 are exact in doubles.
-    high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n_words)
-    low = np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n_words)
-    bits = (high[:n_words] + low[:n_words]).astype(">u4").tobytes()
-    checks = begin[::BLOCK].astype("<i8")
+    """The bytes of a file; codes are placed ``CHUNK`` ids at a time, each chunk at the bit where the last one ended."""
+    size = lengths[ids]
+    sums = np.add.reduceat(size, np.arange(0, len(ids), BLOCK), dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
+    checks = (np.cumsum(sums) - sums).astype("<i8")
+    total = int(sums.sum())
+    bits = np.zeros((total + 31) // 32 + 2, np.uint32)
+    base = 0
+    for at in range(0, len(ids), CHUNK):
+        part = size[at:at + CHUNK].astype(np.int64)
+        ends = np.cumsum(part) + (base & 31)
+        begin = ends - part
+        word, first = begin >> 5, base >> 5
+        value = codes[ids[at:at + CHUNK]].astype(np.uint64) << (64 - (begin & 31) - part).astype(np.uint64)
+        n_words = int(ends[-1] >> 5) + 2
+        # Codes share no bit, so sums below 2**32 are exact in doubles.
+        held = (np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=n_words)
+                + np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=n_words))[:n_words]
+        bits[first:first + n_words] |= held.astype(np.uint32)
+        base += int(ends[-1]) - (base & 31)
     return b"".join([struct.pack(_HEAD, _MAGIC, len(doc_ids), len(ids), len(checks)), doc_ids.astype("<i8").tobytes(), has_id.astype(np.uint8).tobytes(),
-                     n_tokens.astype("<i8").tobytes(), checks.tobytes(), bits])
+                     n_tokens.astype("<i8").tobytes(), checks.tobytes(), bits.astype(">u4").tobytes()])
 
 
 def read_file(blob: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +202,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = END, v
                 get = lambda name, dtype: np.frombuffer(batch.column(batch.schema.get_field_index(name))[i].as_buffer(), dtype)  # noqa: E731, B023
                 blob = write_file(get("docs", "<i8"), get("has", np.uint8), get("n", "<i8"), get("ids", kind).astype(np.int64), lengths, codes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([blob], pa.binary())], names=["range", "part", "blob"])
+                del blob
+                release()
 
-    parts = to_python(kept.where("part >= 0").select("range", "part", "docs", "has", "n", "ids"), 4)
+    parts = to_python(kept.where("part >= 0").select("range", "part", "docs", "has", "n", "ids"), 1)
     (parts.mapInArrow(compress, "range int, part int, blob binary")
      .write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(f"{folder}/files"))
 

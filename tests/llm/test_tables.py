@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from cataloom.llm import huffman
 from cataloom.llm.huffman import canonical, code_lengths, decode_table, read_file, round_trip, write_file
 from cataloom.llm.packing import improve, pack, pack_documents, pack_lengths
 from cataloom.llm.queries import tokenizer
@@ -113,11 +114,22 @@ def test_pack_documents(awkward, empty):
     assert pack_documents(empty, path).count() == 0
 
 
+def least_sequences(lengths, size=4096):
+    """No packing takes fewer: for each short length, long pieces that leave no room for it, those that leave some, and what must go beyond their room."""
+    best = 0
+    for short in sorted({x for x in lengths if x <= size // 2} | {0}):
+        alone = sum(x > size - short for x in lengths)
+        long = [x for x in lengths if size // 2 < x <= size - short]
+        rest = sum(x for x in lengths if short <= x <= size // 2) - (len(long) * size - sum(long))
+        best = max(best, alone + len(long) + max(0, -(-rest // size)))
+    return best
+
+
 def test_pack_over_pools(spark):
     items = spark.range(2000).selectExpr("id", "1 + id * 7919 % 4096 as length", "'a' as offset")
     rows = pack(items, pool=300).collect()
     used = check_packed(rows)
-    least = max(sum(r["length"] for r in rows) / 4096, sum(r["length"] > 2048 for r in rows))
+    least = least_sequences([r["length"] for r in rows])
     assert len(rows) == 2000 and used <= 1.03 * least + 2
 
 
@@ -134,6 +146,32 @@ def test_huffman_codes():
         assert (read_file(blob, decode_table(lengths))[3] == ids).all()
 
 
+def test_codes_in_chunks(monkeypatch):
+    """A file is the same whatever number of ids is placed at once."""
+    rng = np.random.default_rng(7)
+    ids = np.minimum(rng.geometric(0.02, 5000), 299) - 1
+    lengths = code_lengths(np.bincount(ids, minlength=300))
+    one = write_file(np.array([7]), np.array([True]), np.array([len(ids)]), ids, lengths, canonical(lengths))
+    for chunk in (1, 7, 256, 1000):
+        monkeypatch.setattr(huffman, "CHUNK", chunk)
+        assert write_file(np.array([7]), np.array([True]), np.array([len(ids)]), ids, lengths, canonical(lengths)) == one
+    assert (read_file(one, decode_table(lengths))[3] == ids).all()
+
+
+def test_round_trip_over_files_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(huffman, "FILE_BYTES", 300)
+    monkeypatch.setattr(huffman, "RANGE_BYTES", 1500)
+    docs = spark.range(60).selectExpr("id * 7 % 60 as doc_id", "repeat(concat('word ', id, ' '), cast(id % 9 as int)) as text")
+    path = tokenizer("byte_bpe_50k.json")
+    whole, start = Tokenizer.from_file(path), 0
+    got = {r["doc_id"]: r for r in round_trip(docs, path).collect()}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        ids = [*whole.encode(r["text"], add_special_tokens=False).ids, 2]
+        mine = got[r["doc_id"]]
+        assert (mine["start"], np.frombuffer(bytes(mine["ids"]), "<u4").tolist()) == (start, ids)
+        start += len(ids)
+
+
 def test_round_trip(awkward, empty):
     path = tokenizer("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
