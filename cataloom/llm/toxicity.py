@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, extended, plain, rebuilt, slices, to_python
+from .common import crc_bucket, extended, plain, rebuilt, release, slices, to_python
 from .setjoin import mix
-from .training import labelled, word_codes
+from .training import coded_texts, labelled, word_codes
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, DIM, HIDDEN = 4096, 2048, 8, 8
@@ -109,6 +109,15 @@ def _project(p: dict, vectors: np.ndarray) -> np.ndarray:
     return np.stack([vectors @ p["wx"][d] + p["b"][d] for d in (0, 1)]).astype(np.float32)
 
 
+def _projected(model: Model, data, start, end, hashed, words: int = 16_384) -> np.ndarray:
+    """Both directions' inputs of all distinct words, made for ``words`` of them at a time."""
+    out = np.empty((2, len(start), 3 * HIDDEN), np.float32)
+    for a in range(0, len(start), words):
+        part = slice(a, a + words)
+        out[:, part] = _project(model.arrays, _inputs(model, data, start[part], end[part], hashed[part])[0])
+    return out
+
+
 def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and text of all overlapping windows of texts with words."""
     count = np.diff(offsets)
@@ -177,10 +186,10 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, epochs: int = 1
     target = np.array([y for _, y in rows], np.int64)
     if len(set(target.tolist())) < 2:
         return float(target.mean()) if len(target) else 0.0
-    data, start, end, hashed, codes, offsets = word_codes(pa.array([t for t, _ in rows], pa.string()))
-    text = np.repeat(np.arange(len(rows)), np.diff(offsets))
-    pairs = np.unique(text * len(hashed) + codes)
+    data, start, end, hashed, codes, offsets = coded_texts([t for t, _ in rows])
+    pairs = np.unique(np.repeat(np.arange(len(rows)), np.diff(offsets)) * len(hashed) + codes)
     in_text, word = pairs // len(hashed), pairs % len(hashed)
+    del pairs
     positive = np.bincount(word, weights=target[in_text], minlength=len(hashed))
     seen = np.bincount(word, minlength=len(hashed))
     odds = np.log((positive + 0.5) / (target.sum() + 1)) - np.log((seen - positive + 0.5) / (len(target) - target.sum() + 1))
@@ -193,7 +202,9 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, epochs: int = 1
     model = Model(hashed[often], p)
     first, length, owner = windows_of(offsets)
     ids, valid = _cut(codes, first, length)
-    clue = (np.where(seen[ids] >= 8, np.maximum(odds[ids], 0), 0) * valid).max(1)
+    del in_text, word, codes
+    odds = np.where(seen >= 8, np.maximum(odds, 0), 0)
+    clue = np.concatenate([(odds[ids[a:a + 4096]] * valid[a:a + 4096]).max(1) for a in range(0, len(ids), 4096)]) if len(ids) else np.zeros(0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
@@ -232,6 +243,7 @@ def fit(rows: list[tuple[str, int]], share: float | None = None, epochs: int = 1
     share = float(target.mean()) if share is None else share
     weight = np.where(target == 1, share / max(target.sum(), 1), (1 - share) / max((1 - target).sum(), 1)) * len(target)
     model.slope, model.shift = _calibrated(highest, target, weight)
+    release()
     return model
 
 
@@ -250,7 +262,7 @@ def _calibrated(logit: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tu
 
 def _scores(model: Model, data, start, end, hashed, ids, valid, rows: int = 4096) -> np.ndarray:
     """Logits of windows, ``rows`` at a time."""
-    projected = _project(model.arrays, _inputs(model, data, start, end, hashed)[0])
+    projected = _projected(model, data, start, end, hashed)
     out = np.empty(len(ids), np.float32)
     for a in range(0, len(ids), rows):
         states, _ = _run(model.arrays, projected, ids[a:a + rows], valid[a:a + rows])
@@ -267,7 +279,7 @@ def score_texts(model: Model | float, texts: pa.Array) -> np.ndarray:
     highest = np.full(len(texts), -np.inf)
     if not len(first):
         return np.zeros(len(texts))
-    projected = _project(model.arrays, _inputs(model, data, start, end, hashed)[0])
+    projected = _projected(model, data, start, end, hashed)
     for a in range(0, len(first), 4096):
         ids, valid = _cut(codes, first[a:a + 4096], length[a:a + 4096])
         states, _ = _run(model.arrays, projected, ids, valid)

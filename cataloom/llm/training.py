@@ -33,8 +33,9 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_o
              .where(crc_bucket("doc_id", parts) != held_out))
     chosen = F.broadcast(sampled(known, "label", most))  # about 2 * most rows by construction
     rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)
-            & (crc_bucket("doc_id", parts) != held_out)).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").collect())
-    return [(r["text"], int(r["label"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+            & (crc_bucket("doc_id", parts) != held_out)).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow())
+    rows = rows.sort_by("doc_id")
+    return list(zip(rows["text"].to_pylist(), map(int, rows["label"].to_pylist())))
 
 
 def held_out(parts: int, bucket: int) -> Column:
@@ -65,4 +66,32 @@ def word_codes(texts: pa.Array):
     return data, first[place], last[place], unique, codes, np.searchsorted(first, offsets)
 
 
-__all__ = ["SAMPLE_BYTES", "SAMPLE_ROWS", "_SPACE", "held_out", "labelled", "sampled", "word_codes"]
+def coded_texts(texts: list[str], most: int = 1 << 20):
+    """As `word_codes` for many texts, about ``most`` bytes at a time; only the bytes of distinct words are kept."""
+    held, lengths, hashes, codes, counts, base = [], [], [], [], [np.zeros(1, np.int64)], 0
+    parts, size = [[]], 0
+    for text in texts:
+        if size >= most:
+            parts.append([])
+            size = 0
+        parts[-1].append(text)
+        size += len(text)
+    for part in parts:
+        data, first, last, unique, local, offsets = word_codes(pa.array(part, pa.string()))
+        length = last - first
+        ends = np.cumsum(length)
+        held.append(data[np.repeat(first - ends + length, length) + np.arange(int(length.sum()))])
+        lengths.append(length)
+        hashes.append(unique)
+        codes.append((local + base).astype(np.int32))
+        counts.append(np.diff(offsets))
+        base += len(unique)
+    unique, place, merged = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    merged = merged.astype(np.int32)
+    length = np.concatenate(lengths)
+    last = np.cumsum(length)
+    codes = np.concatenate([merged[c] for c in codes])
+    return np.concatenate(held), (last - length)[place], last[place], unique, codes, np.cumsum(np.concatenate(counts))
+
+
+__all__ = ["coded_texts", "SAMPLE_BYTES", "SAMPLE_ROWS", "_SPACE", "held_out", "labelled", "sampled", "word_codes"]
