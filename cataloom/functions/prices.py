@@ -24,9 +24,9 @@ def price_literals(price: Column) -> Column:
     return F.array_distinct(F.array_compact(every))
 
 
-def price_in_text(text: Column, price: Column, compat: bool = False) -> Column:
-    """Does the text state the amount? Whole numbers are compared, so 5 is not found in 15;
-    ``compat`` keeps the plain substring rule."""
+def price_in_text(text: Column, price: Column, compat: bool = True) -> Column:
+    """Does the text hold one of the ways to write the amount? Without ``compat`` whole numbers are compared,
+    so that 5 is not found in 15."""
     literals = price_literals(price)
     if compat:
         return F.exists(literals, lambda lit: F.contains(text, lit))

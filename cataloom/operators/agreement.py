@@ -18,16 +18,23 @@ def near(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a.cast("decimal(18,2)") - b.cast("decimal(18,2)")) < F.lit("0.01").cast("decimal(18,2)"), F.lit(False))
 
 
-def pair_answers(extractions: DataFrame, key: str = "slug", model: str = "model", first: int | str = 1, second: int | str = 2) -> DataFrame:
-    """One row per key with both answers side by side; one aggregate instead of a self-join."""
-    fields = [c for c in extractions.columns if c not in (key, model)]
-    answer = F.struct(*fields)
-    return extractions.groupBy(key).agg(
-        F.first(F.when(F.col(model) == first, answer), ignorenulls=True).alias("m1"),
-        F.first(F.when(F.col(model) == second, answer), ignorenulls=True).alias("m2"))
+def pair_answers(extractions: DataFrame, key: str = "slug", model: str = "model", first: int | str = 1, second: int | str = 2, seq: str | None = None) -> DataFrame:
+    """One row per key with both answers side by side; one aggregate instead of a self-join.
+
+    Of several answers of one model the last by ``seq`` holds, and without it, or where it is equal, the
+    one whose text as JSON comes first, so that the order of the rows decides nothing.
+    """
+    answer = F.struct(*[c for c in extractions.columns if c not in (key, model, seq)])
+    text = F.to_json(answer, {"ignoreNullFields": "false"})
+    order = F.struct(F.lit(0) if seq is None else -F.col(seq).cast("double"), text)
+
+    def of(which):
+        return F.min_by(answer, F.when(F.col(model) == which, order))
+
+    return extractions.groupBy(key).agg(of(first).alias("m1"), of(second).alias("m2"))
 
 
-def check_both(pairs: DataFrame, compat: bool = False) -> DataFrame:
+def check_both(pairs: DataFrame, compat: bool = True) -> DataFrame:
     """Add fails1 and fails2 for rows holding m1, m2, website and page_text (text read once)."""
     df = pairs.withColumn("_norm", match_norm_loose(F.col("page_text")))
     df = df.withColumn("_q1", F.col("m1.quote")).withColumn("_q2", F.col("m2.quote"))

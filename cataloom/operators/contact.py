@@ -62,7 +62,7 @@ def paragraphs(documents: pd.Series) -> pd.Series:
     return documents.map(_walk)
 
 
-def contact_block(df: DataFrame, column: str, compat: bool = False) -> DataFrame:
+def contact_block(df: DataFrame, column: str, compat: bool = True) -> DataFrame:
     """Add street, postcode, city and site read from the first paragraph holding a postcode.
 
     ``compat`` only takes the city from the following line when that line looks internal,

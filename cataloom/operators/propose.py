@@ -12,7 +12,7 @@ from .gates import identity_status
 from .scale import one_per_key
 
 
-def website_proposals(candidates: DataFrame, checked_on: str, compat: bool = False) -> DataFrame:
+def website_proposals(candidates: DataFrame, checked_on: str, compat: bool = True) -> DataFrame:
     """candidates(slug, name, city, rank, url, identity) -> first confirmed site per entity.
 
     A page counts when it matches the identity check and mentions the name together with the

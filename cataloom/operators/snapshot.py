@@ -52,11 +52,11 @@ def snapshot_order(df: DataFrame, key: str = "slug") -> DataFrame:
     return df.orderBy(~active(F.col("status")), key)
 
 
-def snapshot_diff(new: DataFrame, old: DataFrame, key: str = "slug", active_keys: bool = True) -> DataFrame:
+def snapshot_diff(new: DataFrame, old: DataFrame, key: str = "slug", active_keys: bool = False) -> DataFrame:
     """(key, change) with change added, removed, restored or retained; one aggregate shuffle.
 
-    Keys are compared on active rows, so a soft-deleted row shows as removed. A key that was
-    in the old snapshot only as removed comes back as restored.
+    All keys are compared; with ``active_keys`` only those of active rows, so that a soft-deleted row shows as
+    removed, and a key that was in the old snapshot only as removed comes back as restored.
     """
     def tag(df: DataFrame, side: str) -> DataFrame:
         live = active(F.col("status")) if active_keys and "status" in df.columns else F.lit(True)

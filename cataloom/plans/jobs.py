@@ -100,7 +100,7 @@ def refresh(spark: SparkSession, current: DataFrame, root: str, version: str, as
     if not row.is_valid:
         raise RefreshRejected(", ".join(row.failed_rules))
     empty = merged.limit(0)
-    diff = materialise(snapshot.snapshot_diff(merged, previous if previous is not None else empty), "diff")
+    diff = materialise(snapshot.snapshot_diff(merged, previous if previous is not None else empty, active_keys=True), "diff")
     entry = snapshot.changelog_entry(diff, merged, as_of, first_run=previous is None)
     keys = diff.withColumn("timestamp", F.lit(as_of).cast("timestamp"))
     # Records first, each under its version: a retry writes them again, and the manifest comes last.
@@ -125,7 +125,7 @@ def page_context(pages: DataFrame, catalog: DataFrame, max_pages: int = 4) -> Da
         text.select("slug", F.array_join(F.transform("_p", lambda p: p["_text"]), "\n").alias("page_text")), "slug", "left")
 
 
-def enrich_prices(extractions: DataFrame, context: DataFrame, compat: bool = False) -> DataFrame:
+def enrich_prices(extractions: DataFrame, context: DataFrame, compat: bool = True) -> DataFrame:
     """Two answers per entity -> gates, agreement, confidence and the merged record."""
     pairs = agreement.pair_answers(extractions).join(context, "slug")
     checked = agreement.check_both(pairs.withColumn("page_text", F.coalesce("page_text", F.lit(""))), compat)
@@ -173,7 +173,7 @@ def propose_addresses(catalog: DataFrame, contact_pages: DataFrame, checked_on:
     return prop.address_proposals(rows, contexts, checked_on)
 
 
-def audit_identity(catalog: DataFrame, pages: DataFrame, compat: bool = False) -> DataFrame:
+def audit_identity(catalog: DataFrame, pages: DataFrame, compat: bool = True) -> DataFrame:
     """pages(url, html) of the entities' own sites -> identity status per active entity."""
     rows = snapshot.active_only(catalog).select("slug", "name", "city", F.col("museum_website").alias("url"))
     read = html.with_identity(pages, "html", "identity").select("url", "identity")
@@ -199,9 +199,9 @@ def recheck(prices: DataFrame, review: DataFrame, fetch_log: DataFrame, enriched
     return verdicts, deltas, updated
 
 
-def evaluate(cases: DataFrame) -> DataFrame:
+def evaluate(cases: DataFrame, compat: bool = True) -> DataFrame:
     """Labelled claims (gate columns plus cohort, category, subtype, verdict) -> metrics per cohort."""
-    return audit.cohort_metrics(gates.run_all_gates(cases).withColumnRenamed("passed", "gates_passed"))
+    return audit.cohort_metrics(gates.run_all_gates(cases, compat).withColumnRenamed("passed", "gates_passed"))
 
 
 @dataclass

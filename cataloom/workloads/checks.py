@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls, vocab
 from ..functions.text import distinctive_tokens, fold, match_norm
-from ..operators import agreement, audit, gates, lists, propose, quality, recheck
-from ..session import rocksdb_state, scratch_path
+from ..operators import agreement, audit, gates, lists, propose, quality, recheck, stores
+from ..session import materialise, rocksdb_state, scratch_path
 from ..sources.publish import publish_if_changed, read_csv, read_published, read_published_in_order, read_quarantine, read_versions, write_csv
 from ..streaming import jobs as streams
 from .registry import Tables, query
@@ -51,6 +51,14 @@ def gate_domain(t: Tables):
 
 @query("gate_literal", f"SELECT slug, {_LITERAL} AS failure FROM {{claims}}")
 def gate_literal(t: Tables):
+    c = F.col
+    rows = _claims(t).withColumn("norm", match_norm(c("page_text")))
+    return rows.select("slug", gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status"), compat=False, norm_page=c("norm")).alias("failure"))
+
+
+@query("gate_literal_plain", f"SELECT slug, {_LITERAL.replace('NOT list_has_any(' + _NUMS.format(_NORM) + ', ' + _LITS + ')', 'len(list_filter(' + _LITS + ', lambda x: contains(' + _NORM + ', x))) = 0')} AS failure FROM {{claims}}")
+def gate_literal_plain(t: Tables):
+    """Amounts searched as plain text, the operator's own default."""
     c = F.col
     rows = _claims(t).withColumn("norm", match_norm(c("page_text")))
     return rows.select("slug", gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status"), norm_page=c("norm")).alias("failure"))
@@ -123,7 +131,7 @@ _ALL = f"""
 def _all_gates(t: Tables):
     empty = F.array().cast("array<struct<audience:string,label:string,amount:decimal(9,2)>>")
     rows = _claims(t).select("*", _reachable(), _free_for(), empty.alias("offerings"), F.when(F.col("n_chars") % 9 == 0, F.lit(20).cast("decimal(9,2)")).alias("previous_price"))
-    return gates.run_all_gates(rows)
+    return gates.run_all_gates(rows, compat=False)
 
 
 @query("run_all_gates", _ALL + " SELECT slug, array_to_string(f, ' | ') AS failures, len(f) = 0 AS passed FROM g")
@@ -139,7 +147,7 @@ def retry_selector(t: Tables):
     n, c = F.col("n_chars"), F.col
     rows = _claims(t).withColumns({"quote": F.left("page_text", (40 + n % 160).cast("int")), "status": F.lit("paid"), "price": F.when(n % 3 == 0, F.lit(60).cast("decimal(9,2)"))})
     outside = F.when(c("price") > 45, gates.gate_range(c("price"), c("status")))
-    failures = F.array_compact(F.array(gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status")), outside))
+    failures = F.array_compact(F.array(gates.gate_literal(c("page_text"), c("price"), c("quote"), c("status"), compat=False), outside))
     return rows.withColumn("failures", failures).where(gates.only_quote_length(c("failures"))).select("slug", c("failures")[0].alias("failure"))
 
 
@@ -197,7 +205,22 @@ _SEEN_WORDS = "[regexp_replace(x, '[^a-z0-9]', '', 'g') for x in string_split_re
 def identity_status(t: Tables):
     rows = t.spread("pages", "page_id").select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
     rows = html.with_identity(rows, "html", "identity")
-    return gates.identity_status(rows, "name", "city", "identity").select("page_id", "identity_status")
+    return gates.identity_status(rows, "name", "city", "identity", compat=False).select("page_id", "identity_status")
+
+
+_SQUEEZED = "regexp_replace(strip_accents(lower({0})), '[^a-z0-9]', '', 'g')"
+
+
+@query("identity_status_plain", f"""
+    WITH i AS ({_IDENTITY}),
+    k AS (SELECT *, [x for x in string_split_regex(lower({_NETLOC.format('url')}), '[^a-z0-9]+') if length(x) >= 3 and x not in ({_STOPS})] AS tokens FROM i),
+    w AS (SELECT *, {_SQUEEZED.format("title || ' ' || h1")} AS strong, {_SQUEEZED.format("title || ' ' || h1 || ' ' || meta_description || ' ' || preview")} AS every FROM k)
+    SELECT page_id, CASE WHEN {_PARKED} THEN 'suspicious' WHEN len(tokens) = 0 THEN 'weak_match' WHEN len(list_filter(tokens, lambda x: contains(strong, x))) > 0 THEN 'match'
+        WHEN len(list_filter(tokens, lambda x: contains(every, x))) > 0 THEN 'weak_match' ELSE 'suspicious' END AS identity_status FROM w""")
+def identity_status_plain(t: Tables):
+    """Tokens searched in the squeezed text, the operator's own default."""
+    rows = t.spread("pages", "page_id").select("page_id", urls.netloc(F.col("url")).alias("name"), F.lit(None).cast("string").alias("city"), "html")
+    return gates.identity_status(html.with_identity(rows, "html", "identity"), "name", "city", "identity").select("page_id", "identity_status")
 
 
 # Identity against a summary page: the customer's page text is built from its own fields.
@@ -266,7 +289,7 @@ _S = """
                         WHEN len(f1) = 0 THEN NULL WHEN len(f2) = 0 THEN NULL ELSE 'gate_failure_model1' END AS kind, CASE WHEN len(f1) = 0 AND len(f2) > 0 THEN 1 WHEN len(f2) = 0 AND len(f1) > 0 THEN 2 END AS fb FROM f)"""
 
 
-def _enriched(t: Tables):
+def _extractions(t: Tables):
     rows = t.sql(_ANSWERS)
     n, p = F.col("n_chars"), F.col("p")
     none = F.lit(None)
@@ -283,8 +306,13 @@ def _enriched(t: Tables):
     m1 = answer(F.col("s1"), p, F.when((n % 20 == 0) & (F.col("s1") == "paid"), p + 1), good)
     m2 = answer(F.col("s2"), F.when(n % 10 == 0, p + 1).otherwise(p), none, F.when(n % 19 == 0, F.lit("https://else.example.net/")).otherwise(F.replace(good, F.lit("https://"), F.lit("https"))))
     long = rows.select("slug", F.posexplode(F.array(m1, m2)).alias("pos", "answer")).select("slug", (F.col("pos") + 1).alias("model"), "answer.*")
-    pairs = agreement.pair_answers(long).join(rows.select("slug", "website", text.alias("page_text")), "slug")
-    return agreement.agreement_confidence(agreement.agree(agreement.check_both(pairs)))
+    return long, rows.select("slug", F.upper("slug").alias("name"), "website", text.alias("page_text"))
+
+
+def _enriched(t: Tables):
+    long, context = _extractions(t)
+    pairs = agreement.pair_answers(long).join(context.drop("name"), "slug")
+    return agreement.agreement_confidence(agreement.agree(agreement.check_both(pairs, compat=False)))
 
 
 @query("gate_cross_field", _S + " SELECT slug, array_to_string(f1, ' | ') AS fails1, array_to_string(f2, ' | ') AS fails2 FROM f")
@@ -305,6 +333,20 @@ def merge_agreed_fields(t: Tables):
     return agreement.merge_agreed(_enriched(t)).select("slug", r["status"].alias("status"), r["door"].alias("door"), F.array_join(F.map_keys(r["variants"]), ",").alias("variants"), F.array_join(r["free_for"], ",").alias("free_for"), r["mode"].alias("mode"))
 
 
+# The whole job: both answers and the page text of every entity -> agreement, record, price and review stores.
+@query("enrich_chain", _S + """, c AS (SELECT *, CASE WHEN kind IS NOT NULL THEN 'low' WHEN fb IS NOT NULL THEN 'medium' WHEN n_chars % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM g)
+    SELECT 'prices' AS store, slug, upper(slug) AS name, CASE WHEN fb = 2 THEN s2 ELSE s1 END AS status, cast(CASE WHEN fb = 2 THEN p2 WHEN fb = 1 THEN p1 ELSE least(p1, p2) END as decimal(9,2)) AS price, confidence AS detail FROM c WHERE kind IS NULL
+    UNION ALL SELECT 'review', slug, upper(slug), NULL, NULL, kind FROM c WHERE kind IS NOT NULL""")
+def enrich_chain(t: Tables):
+    from ..plans import jobs
+
+    results = materialise(jobs.results_of(jobs.enrich_prices(*_extractions(t), compat=False), "2001-09-01"), "results")
+    prices, review = stores.save_agreed(results, *jobs.empty_stores(results))
+    kept = prices.select(F.lit("prices").alias("store"), "slug", "name", "status", "price", F.col("confidence").alias("detail"))
+    none = F.lit(None)
+    return kept.unionByName(review.select(F.lit("review").alias("store"), "slug", "name", none.cast("string").alias("status"), none.cast("decimal(9,2)").alias("price"), F.col("disagreement_type").alias("detail")))
+
+
 @query("escalation_select", """
     WITH a AS (SELECT o_custkey AS slug, o_orderkey, o_orderstatus <> 'F' AS gp, CASE o_orderpriority WHEN '1-URGENT' THEN 'reject' WHEN '2-HIGH' THEN 'odd' ELSE 'confirm' END AS verdict, o_orderpriority AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
     w AS (SELECT a.slug, a.gp AND a.verdict = 'confirm' AS ok1, coalesce(b.gp AND b.verdict = 'confirm', false) AS ok2, a.f AS f1, b.f AS f2, a.o_orderkey AS v1, b.o_orderkey AS v2 FROM a LEFT JOIN a b ON a.slug = b.slug AND b.k = 2 WHERE a.k = 1)

@@ -39,7 +39,15 @@ def soft_delete_merge(t: Tables):
       FROM m FULL OUTER JOIN {{old_snapshot}} o ON m.slug = o.slug)
     SELECT slug, CASE WHEN now AND was THEN 'retained' WHEN now AND known THEN 'restored' WHEN now THEN 'added' ELSE 'removed' END AS change FROM keys WHERE now OR was""")
 def snapshot_diff(t: Tables):
-    return snapshot.snapshot_diff(_merged(t), t.view("old_snapshot"))
+    return snapshot.snapshot_diff(_merged(t), t.view("old_snapshot"), active_keys=True)
+
+
+@query("snapshot_diff_keys", f"""
+    WITH m AS (SELECT slug FROM {{new_snapshot}}), o AS (SELECT slug FROM {{old_snapshot}})
+    SELECT coalesce(m.slug, o.slug) AS slug, CASE WHEN o.slug IS NULL THEN 'added' WHEN m.slug IS NULL THEN 'removed' ELSE 'retained' END AS change FROM m FULL OUTER JOIN o ON m.slug = o.slug""")
+def snapshot_diff_keys(t: Tables):
+    """All keys of two runs, whatever their status."""
+    return snapshot.snapshot_diff(t.view("new_snapshot"), t.view("old_snapshot"))
 
 
 @query("validate_dataset", f"""
@@ -62,7 +70,7 @@ def validate_dataset(t: Tables):
     SELECT date '2001-09-01' AS date, (SELECT count(*) FROM a WHERE slug NOT IN (SELECT slug FROM b)) AS added, (SELECT count(*) FROM b WHERE slug NOT IN (SELECT slug FROM a)) AS removed, (SELECT count(*) FROM m) AS total_count""")
 def changelog_entry(t: Tables):
     merged = _merged(t)
-    diff = snapshot.snapshot_diff(merged, t.view("old_snapshot"))
+    diff = snapshot.snapshot_diff(merged, t.view("old_snapshot"), active_keys=True)
     return snapshot.changelog_entry(diff, merged, "2001-09-01 10:00:00").drop("timestamp")
 
 
@@ -98,7 +106,7 @@ def reconcile_split(t: Tables):
     SELECT metric, cast(value as decimal(18,1)) AS value FROM v""")
 def run_report(t: Tables):
     merged = _merged(t)
-    return quality.run_report(merged, snapshot.reconcile_published(_feed_rows(t)), snapshot.snapshot_diff(merged, t.view("old_snapshot")))
+    return quality.run_report(merged, snapshot.reconcile_published(_feed_rows(t)), snapshot.snapshot_diff(merged, t.view("old_snapshot"), active_keys=True))
 
 
 # Catalogue rows of one period as a refresh takes them, and the three refreshes of the query below: rows that ordered

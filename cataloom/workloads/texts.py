@@ -509,7 +509,7 @@ def contact_block(t: Tables):
     opening = F.concat(F.lit('{"type": "section", "'), key, F.lit('": '))
     doc = F.concat(F.lit("["), F.repeat(opening, depth), nodes, F.repeat(F.lit("}"), depth), F.lit("]"))
     rows = t.view("catalog").select("slug", doc.alias("doc")).withColumn("ps", contact.paragraphs("doc"))
-    return contact.contact_block(rows, "ps").select("slug", "street", "postcode", "city", "site")
+    return contact.contact_block(rows, "ps", compat=False).select("slug", "street", "postcode", "city", "site")
 
 
 # A nested feed per document: lines -> sentences -> words, long words being listings.

@@ -94,7 +94,7 @@ def test_price_literals(spark):
     assert sorted(got[0][0]) == ["12,5", "12,50", "12.5", "12.50"]
     assert sorted(got[1][0]) == ["12", "12,-", "12,00", "12-", "12.00"]
     rows = [("entree 15 euro", Decimal("5.00")), ("entree 5,- p.p.", Decimal("5.00")), ("a 15,50", Decimal("15.00"))]
-    got = values(spark, rows, "t string, p decimal(9,2)", prices.price_in_text(F.col("t"), F.col("p")), prices.price_in_text(F.col("t"), F.col("p"), compat=True))
+    got = values(spark, rows, "t string, p decimal(9,2)", prices.price_in_text(F.col("t"), F.col("p"), compat=False), prices.price_in_text(F.col("t"), F.col("p")))
     assert got == [(False, True), (True, True), (False, True)]
 
 

@@ -38,10 +38,10 @@ def test_soft_delete_over_three_runs(spark):
     assert state(second)["b"] == ("active", 1)
     third = snapshot.soft_delete_merge(catalog(spark, "a"), second)
     assert state(third)["b"] == ("removed", 2)
-    assert dict(rows_of(snapshot.snapshot_diff(third, second)))["b"] == "removed"
+    assert dict(rows_of(snapshot.snapshot_diff(third, second, active_keys=True)))["b"] == "removed"
     back = snapshot.soft_delete_merge(catalog(spark, "ab"), third, as_of="2026-01-01")
     assert state(back)["b"] == ("active", 0)
-    assert dict(rows_of(snapshot.snapshot_diff(back, third)))["b"] == "restored"
+    assert dict(rows_of(snapshot.snapshot_diff(back, third, active_keys=True)))["b"] == "restored"
 
 
 def test_first_seen_is_carried(spark):
@@ -246,7 +246,7 @@ def failure(spark, gate, **fields):
 
 def test_single_gates(spark):
     c = F.col
-    literal = gates.gate_literal(c("page"), c("price"), c("quote"), c("status"))
+    literal = gates.gate_literal(c("page"), c("price"), c("quote"), c("status"), compat=False)
     base = dict(page="Volwassenen: \u20ac 12,50 per persoon", price=12.5, quote="Volwassenen \u20ac 12,50", status="paid")
     assert failure(spark, literal, **base) is None
     assert gates.LENGTH_FAILURE in failure(spark, literal, **{**base, "quote": "w " * 16})
@@ -399,7 +399,7 @@ def test_contact_block(spark):
     link = {"type": "paragraph", "content": [{"type": "text", "text": "site", "marks": [{"type": "link", "attrs": {"href": "https://museum.example"}}]}]}
     docs = [[link, para("Contact", "Utrechtseweg 87", "6812 AA Arnhem (Gelderland)")], [{"type": "doc", "content": [para("Plein 12 297 BP", "Den Haag")]}], [para("none")]]
     df = spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").select(contact.paragraphs("j").alias("p"))
-    got = [tuple(r) for r in contact.contact_block(df, "p").select("street", "postcode", "city", "site").collect()]
+    got = [tuple(r) for r in contact.contact_block(df, "p", compat=False).select("street", "postcode", "city", "site").collect()]
     assert got == [("Utrechtseweg 87", "6812 AA", "Arnhem", "https://museum.example"), ("Plein 12", "297 BP", "Den Haag", None), (None, None, None, None)]
 
 
@@ -412,7 +412,7 @@ def test_contact_at_any_depth(spark):
             node = {"type": "section", ("content", "blocks", "x")[i % 3]: node}
         docs.append(json.dumps(node))
     df = spark.createDataFrame([(d,) for d in [*docs, "not json", "", None]], "j string").select(contact.paragraphs("j").alias("p"))
-    got = [r.postcode for r in contact.contact_block(df, "p").select("postcode").collect()]
+    got = [r.postcode for r in contact.contact_block(df, "p", compat=False).select("postcode").collect()]
     assert got == ["1012 JS"] * 4 + [None] * 3
 
 
