@@ -3,13 +3,16 @@ import datetime
 import decimal
 import glob
 import os
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cataloom.workloads import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Queries of the library; those of the training-data operators are tested in tests/llm.
+QUERIES, SQL = registry.QUERIES, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +50,9 @@ def test_query(spark, small, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_entry_without_the_training_operators(monkeypatch):
+    """A missing dependency or an empty folder left of the subpackage takes no library query away."""
+    monkeypatch.setitem(sys.modules, "cataloom.llm", None)
+    assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.SQL)
