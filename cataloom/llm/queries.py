@@ -205,7 +205,47 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-@query("op11_conversation_repair")
+# States: nothing 0, system 1, user 2, assistant 3. A step may insert a turn, then deletes, keeps or renames one.
+_NEXT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+_FORCED = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+
+
+def _steps() -> str:
+    """SQL rows (state, inserted line, state after, cost, letters, edit, initial of a kept turn, role)."""
+    rows = []
+    for state in range(4):
+        for at, cost, letters, line in ((state, 0, "", ""), (_NEXT[state, _FORCED[state][0]], 2, "I", f"chr(10) || '{_FORCED[state]}:'")):
+            rows.append((state, line or "''", at, cost + 3, letters + "D", "D", "", ""))
+            rows += [(state, line or "''", to, cost, letters + "K", "K", initial, "") for (held, initial), to in _NEXT.items() if held == at]
+            rows.append((state, line or "''", _NEXT[at, _FORCED[at][0]], cost + 2, letters + "R", "R", "", _FORCED[at]))
+    return ", ".join(f"({a}, {b}, {c}, {d}, '{e}', '{f}', '{g}', '{h}')" for a, b, c, d, e, f, g, h in rows)
+
+
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_GROUP = "coalesce('c' || conv_id, '')"
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT {_GROUP} AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(" + _KEY + ")")} % 20 AS k FROM conversations),
+x AS (SELECT g, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT * FROM k WHERE k <> 0 UNION ALL SELECT * FROM k WHERE k = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS seen FROM x),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+      WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+      lag(left(role, 1)) OVER (PARTITION BY g ORDER BY n) AS before FROM r),
+t(state, ins, after, cost, letters, edit, initial, role) AS (VALUES {_steps()}),
+s AS (SELECT DISTINCT g, 0 AS n, 0 AS state, {{'c': 0, 'a': '', 'o': ''}} AS best FROM f
+      UNION ALL SELECT s.g, s.n + 1, t.after, min({{'c': s.best.c + t.cost + CASE WHEN f.fault = 't' AND t.edit <> 'D' THEN 1 ELSE 0 END, 'a': s.best.a || t.letters,
+          'o': s.best.o || t.ins || CASE t.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || t.role || ':' || f.text END}})
+      FROM s JOIN f ON f.g = s.g AND f.n = s.n + 1 JOIN t ON t.state = s.state AND (t.edit = 'D' OR f.fault NOT IN ('b', 'd') AND (t.edit = 'R' OR t.initial = f.initial))
+      GROUP BY s.g, s.n, t.after),
+c AS (SELECT g, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+      count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g),
+e AS (SELECT s.g, min(CASE s.state WHEN 2 THEN {{'c': s.best.c + 2, 'a': s.best.a || 'I', 'o': s.best.o || chr(10) || 'assistant:'}} ELSE s.best END) AS best
+      FROM s JOIN c ON c.g = s.g AND c.n = s.n WHERE s.state <> 1 GROUP BY s.g)
+SELECT i.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+    CAST(coalesce(e.best.c, 0) AS BIGINT) AS cost, coalesce(e.best.a, '') AS audit, sha256(coalesce(substr(e.best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, {_GROUP} AS g FROM conversations) i LEFT JOIN c ON c.g = i.g LEFT JOIN e ON e.g = i.g""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     return repair_report(damage(turns), turns)
