@@ -10,23 +10,35 @@ from .common import bounded
 from .setjoin import Rule, chained, describe, first_tries, postings, sized, verify
 
 LINES = Rule(lines=True)
+#: Early sets of its lists that each set is tried against, turn by turn, before all earlier ones.
+TRIES = (1, 8, 64)
 
 
 def _side(shared: DataFrame, name: str) -> DataFrame:
     return shared.select("token", F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "doc", "line", "prev") if c in shared.columns])
 
 
+def _open_lists(shared: DataFrame, done: DataFrame) -> DataFrame:
+    """Postings of the shingles of sets that are not done yet, and whether their own set is."""
+    marked = shared.join(done.select(F.col("x").alias("fp"), F.lit(True).alias("_d")), "fp", "left").withColumn("done", F.coalesce("_d", F.lit(False))).drop("_d")
+    wanted = marked.where("not done").select("token").distinct()
+    return materialise(marked.join(wanted, "token", "left_semi"), "open")
+
+
 def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     """``fp`` of every shingle set that is similar to a set seen earlier; sets of one place are ordered by ``fp``.
 
-    Each set is first tried against one early set of its posting lists; sets that match are done.
-    The others are tried against all earlier sets of their lists, so none is missed and a group
-    of similar lines costs about one test a line.
+    Each set is first tried against early sets of its posting lists, more of them from turn to turn; sets that
+    match are done. The others are tried against all earlier sets of their lists, so none is missed and a
+    group of similar lines costs a few tests a line, also where only some of its pairs match.
     """
     shared = postings(docs, described, rule)
-    best = first_tries(shared, rule, by_place=True)
-    done = best.join(verify(best.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
-    done = materialise(done, "matched")
+    done = None
+    for tries in TRIES:
+        rows = shared if done is None else _open_lists(shared, done)
+        best = first_tries(rows, rule, by_place=True, tries=tries)
+        new = best.join(verify(best.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
+        done = materialise(new if done is None else done.unionByName(new).distinct(), "matched")
     linked = materialise(chained(shared), "chained")
     rest = _side(linked, "x").join(done, "x", "left_anti")
     pairs = sized(rest.join(_side(linked, "y"), "token")

@@ -10,8 +10,8 @@ from .common import components
 from .setjoin import Rule, chained, describe, first_tries, passing, postings, verify
 
 
-#: Turns in which each set is tried against one set of its lists, before all remaining pairs.
-TURNS = 3
+#: Sets of its lists that each set is tried against, turn by turn, before all remaining pairs.
+TRIES = (1, 4, 16, 64)
 
 
 def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -32,32 +32,43 @@ def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def _named(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, print, n, key) of each row: its text's 64-bit hash, the size of its set and its component's key."""
+    described = describe(docs, rule)
+    units = described.where("slice is null").select("doc", "print", "n", "fp")
+    shared = postings(docs, described, rule)
+    link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges, rows = None, shared
+    for turn in range(len(TRIES) + 1):
+        pairs = first_tries(rows, rule, False, turn, TRIES[turn]).select("a", "b").distinct() if turn < len(TRIES) else materialise(_crossing(rows, rule), "crossing")
+        found = link(pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = materialise(components(edges), "labels")
+        if turn == len(TRIES):
+            break
+        rows = _mixed(shared, labels)
+        if rows.isEmpty():
+            break
+    labels = labels.select(F.col("node").alias("fp"), "component")
+    named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
+    return materialise(named.select("doc", "print", "n", "key"), "named")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs`` (doc_id, text; more columns are ignored).
 
     Two documents link when ``rule`` holds for their sets of distinct shingles; a component is
     what links reach, named by its smallest doc_id. Equal sets are one set from the start. Each
-    set is first tried, ``TURNS`` times, against one set of its posting lists; pairs inside the
-    groups found so need no test, and all remaining candidate pairs are verified once. So a large
-    group of copies costs a few tests per member, and no link between groups is lost.
+    set is first tried against some sets of other groups in its posting lists, more of them from turn to turn
+    (``TRIES``); pairs inside the groups found so need no test, and all remaining candidate pairs are
+    verified once. So a large group of copies costs a few tests per member, also where only some of its
+    pairs link, and no link between groups is lost.
 
     Null or blank texts have an empty set and link with nothing. A null doc_id keeps its row;
     its group is named by the smallest doc_id that is not null, if any. Rows that repeat a
     doc_id are separate documents of one name.
     """
-    described = describe(docs, rule)
-    units = described.where("slice is null").select("doc", "n", "fp")
-    shared = postings(docs, described, rule)
-    link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges, rows = None, shared
-    for turn in range(TURNS + 1):
-        found = link(first_tries(rows, rule, False, turn).select("a", "b").distinct() if turn < TURNS else materialise(_crossing(rows, rule), "crossing"))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = materialise(components(edges), "labels")
-        rows = _mixed(shared, labels) if turn < TURNS else None
-    labels = labels.select(F.col("node").alias("fp"), "component")
-    named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
-    named = materialise(named.select("doc", "n", "key"), "named")
+    named = _named(docs, rule)
     least = named.where("n > 0").groupBy("key").agg(F.min("doc").alias("least"))
     full = named.where("n > 0").join(least, "key").select("doc", "n", "least")
     return full.unionByName(named.where("n = 0").select("doc", "n", F.col("doc").alias("least"))).select(
@@ -65,9 +76,19 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` without those whose component has a smaller doc_id; of equal doc_ids all stay."""
-    found = near_duplicates(docs, rule).where("component_id < doc_id or (doc_id is null and component_id is not null)")
-    later = found.select("doc_id").distinct()
-    later = materialise(later, "later")
-    kept = docs.join(later.where("doc_id is not null"), "doc_id", "left_anti")
+    """One row of each component of ``docs``: that with the smallest doc_id (null last), of several the smallest text hash.
+
+    A row goes by its own doc_id and text, so a document that only shares its doc_id with a duplicate stays.
+    Of rows that repeat both, one stays. Rows without words all stay.
+    """
+    named = _named(docs, rule).where("n > 0")
+    place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("print").alias("print"))
+    firsts = named.groupBy("key").agg(F.min(place).alias("first"))
+    rows = named.join(firsts, "key").groupBy(F.col("doc").alias("__llm_id"), F.col("print").alias("__llm_print")).agg(
+        F.min(place != F.col("first")).alias("__llm_later"), (F.count(F.lit(1)) > 1).alias("__llm_often"))
+    marked = materialise(rows.where("__llm_later or __llm_often"), "later")
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(docs["text"]) == F.col("__llm_print"))
+    kept = docs.join(marked, own, "left").where("not coalesce(__llm_later, false)")
+    if not marked.where("__llm_often and not __llm_later").isEmpty():
+        kept = kept.where("__llm_often is null").unionByName(kept.where("__llm_often").dropDuplicates(["__llm_id", "__llm_print"]))
     return kept.select(*docs.columns)

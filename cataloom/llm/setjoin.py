@@ -312,42 +312,54 @@ def sized(pairs: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("x", "y", *pick(""), *pick("_n"), *pick("_pos")).where(passing(rule))
 
 
-def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0) -> DataFrame:
-    """``(x, a, b)``: for each set ``x`` one pair with it to verify first.
-
-    Each list, of a shingle and a class of sizes within 4/3 of each other, offers one set to all
-    its members: the smallest one, with ``by_place`` the earliest, in a later ``turn`` another
-    one. A set tries the one that most of its lists offer, of another ``label`` if there are labels. Lists are read in batches as they lie; where a batch cuts a list, each
-    part offers its own set, which costs a test more or less but no link, as all remaining pairs
-    are tried later.
+def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tries: int = 1) -> DataFrame:
+    """``(x, a, b)``: for each set ``x`` at most ``tries`` pairs with it to verify first.
+
+    Each list, of a shingle and a class of sizes within 4/3 of each other, offers its first ``tries`` sets to all
+    members behind them: the smallest ones, with ``by_place`` the earliest, in a later ``turn`` others.
+    A set tries those that most of its lists offer, of another ``label`` if there are labels; a set that is
+    ``done`` tries none. Lists are read in batches as they lie; where a batch cuts a list, each part offers
+    its own sets, which costs a test more or less but no link, as all remaining pairs are tried later.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, fp, n, pos, doc, line, label = (np.asarray(batch.column(i)) for i in range(7))
+            done = batch.column(7).to_numpy(zero_copy_only=False)
             if not len(token):
                 continue
             size_class = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
             rank = mix(fp.view(np.uint64) ^ np.uint64(turn)) if turn else n
             order = np.lexsort(((fp, line, doc) if by_place else (fp, rank)) + (size_class, token))
-            token, fp, n, pos, size_class, label = (c[order] for c in (token, fp, n, pos, size_class, label))
+            token, fp, n, pos, size_class, label, done = (c[order] for c in (token, fp, n, pos, size_class, label, done))
             start = np.ones(len(token), bool)
             start[1:] = (token[1:] != token[:-1]) | (size_class[1:] != size_class[:-1])
             head = np.flatnonzero(start)[np.cumsum(start) - 1]
-            x = np.flatnonzero(~start)
-            y = head[x]
-            small = (n[x] < n[y]) | ((n[x] == n[y]) & (fp[x] < fp[y]))
-            a, b = np.where(small, x, y), np.where(small, y, x)
-            ok = ((label[x] != label[y]) & (pos[a] < rule.index(n[a])) & (n[a] * rule.den >= n[b] * rule.num)
-                  & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.overlap(n[a] + n[b])))
-            rows = np.stack([fp[x], fp[a], fp[b]], 1)[ok]
-            rows, count = np.unique(rows, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], pa.array(count)], names=["x", "a", "b", "c"])
+            found = []
+            for step in range(tries):
+                x = np.flatnonzero(~done & (np.arange(len(token)) > head + step))
+                if not len(x):
+                    break
+                y = head[x] + step
+                small = (n[x] < n[y]) | ((n[x] == n[y]) & (fp[x] < fp[y]))
+                a, b = np.where(small, x, y), np.where(small, y, x)
+                ok = ((label[x] != label[y]) & (pos[a] < rule.index(n[a])) & (n[a] * rule.den >= n[b] * rule.num)
+                      & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.overlap(n[a] + n[b])))
+                rows, count = np.unique(np.stack([fp[x], fp[a], fp[b]], 1)[ok], axis=0, return_counts=True)
+                found.append(np.concatenate([rows, count[:, None]], 1))
+            rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(4)], names=["x", "a", "b", "c"])
             release()
 
-    offers = to_python(shared.select("token", "fp", "n", "pos", "doc", "line", "label" if "label" in shared.columns else F.col("fp").alias("label")), 50_000).mapInArrow(run, "x long, a long, b long, c long")
-    best = (offers.groupBy("x", "a", "b").agg(F.sum("c").alias("c"))
-            .groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")))
-    return materialise(best.select("x", "p.a", "p.b"), "tried")
+    given = {"label": F.col("fp"), "done": F.lit(False)}
+    columns = ["token", "fp", "n", "pos", "doc", "line", *[c if c in shared.columns else given[c].alias(c) for c in given]]
+    offers = to_python(shared.select(*columns), 50_000).mapInArrow(run, "x long, a long, b long, c long")
+    offers = offers.groupBy("x", "a", "b").agg(F.sum("c").alias("c"))
+    if tries == 1:
+        best = offers.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("x", "p.a", "p.b")
+    else:
+        most = W.partitionBy("x").orderBy(F.desc("c"), "a", "b")
+        best = offers.withColumn("r", F.row_number().over(most)).where(F.col("r") <= tries).select("x", "a", "b")
+    return materialise(best, "tried")
 
 
 def chained(rows: DataFrame) -> DataFrame:

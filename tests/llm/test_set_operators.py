@@ -1,6 +1,7 @@
 """Joins on sets and windows against plain brute force."""
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -56,6 +57,29 @@ def test_chains_of_similar_texts(spark):
     assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
 
 
+def copies_that_link_in_part(n):
+    """Near copies of one text of which about one pair in fifty links."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 4):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_group_of_which_few_pairs_link(spark):
+    rows = copies_that_link_in_part(300)
+    sets = [shingles(t) for _, t in rows]
+    linked = sum(similar(a, b) for a, b in itertools.combinations(sets, 2))
+    assert 0.01 < linked / (300 * 299 / 2) < 0.1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
+    gone = {j for j in range(300) if any(similar(sets[i], sets[j]) for i in range(j))}
+    assert {r["doc_id"] for r in dedup_lines(docs).collect() if r["n_removed"]} == gone
+
+
 def test_frequent_shingles_in_many_blocks(spark, monkeypatch):
     """Every shingle counts as hot, so the sets that share one lie in different blocks."""
     monkeypatch.setattr(setjoin, "HOT", 1)
@@ -70,13 +94,41 @@ def test_frequent_shingles_in_many_blocks(spark, monkeypatch):
 
 
 def test_keep_first(awkward, empty):
+    """One row of each group stays, by its own doc_id and text; rows without words all stay."""
+    rows = awkward.collect()
     kept = keep_first(awkward)
     assert kept.columns == awkward.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(0) == 2 and 1 not in ids and 2 not in ids and 3 in ids and 4 in ids and ids.count(None) == 2
+    got = kept.collect()
+    place = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    left = list(range(len(rows)))
+    sets = [shingles(r["text"]) for r in rows]
+    groups_ = []
+    while left:
+        group, todo = set(), [left[0]]
+        while todo:
+            i = todo.pop()
+            if i not in group:
+                group.add(i)
+                todo += [j for j in left if similar(sets[i], sets[j])]
+        left = [i for i in left if i not in group]
+        groups_.append(sorted(group))
+    worded = [g for g in groups_ if sets[g[0]]]
+    assert sum(1 for r in got if shingles(r["text"])) == len(worded)
+    assert sum(1 for r in got if not shingles(r["text"])) == sum(1 for s in sets if not s)
+    for group in worded:
+        stays = [r for r in got if any(r["doc_id"] == rows[i]["doc_id"] and r["text"] == rows[i]["text"] for i in group)]
+        assert len(stays) == 1 and place(stays[0]) == min(place(rows[i]) for i in group)
     assert keep_first(empty).count() == 0 and near_duplicates(empty).count() == 0
 
 
+def test_keep_first_does_not_drop_a_clean_row_with_its_doc_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, base, "a"), (2, base + " x", "b"), (2, other, "c"), (None, base, "d"), (1, base, "e"), (3, None, "f"), (3, None, "g")]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == [(1, base), (2, other)] and sum(r["text"] is None for r in kept) == 2
+
+
 def expected_lines(rows):
     units = [(r["doc_id"] if r["doc_id"] is not None else 1 << 63, i, shingles(x)) for r in rows if r["text"] is not None for i, x in enumerate(r["text"].split("\n"))]
     gone = {}
