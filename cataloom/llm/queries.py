@@ -229,7 +229,8 @@ _GROUP = "coalesce('c' || conv_id, '')"
 WITH RECURSIVE k AS MATERIALIZED (SELECT {_GROUP} AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(" + _KEY + ")")} % 20 AS k FROM conversations),
 x AS (SELECT g, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
       FROM (SELECT * FROM k WHERE k <> 0 UNION ALL SELECT * FROM k WHERE k = 3)),
-r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS seen FROM x),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS n FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY n) AS seen FROM o),
 f AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
       WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
       lag(left(role, 1)) OVER (PARTITION BY g ORDER BY n) AS before FROM r),
