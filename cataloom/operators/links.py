@@ -103,19 +103,20 @@ def candidate_domains(entities: DataFrame, slug: str = "slug", name: str = "name
     return rows.where(~is_blocklisted(F.col("url"), blocklist))
 
 
-def link_distance(pairs: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+def link_distance(pairs: DataFrame, edges: DataFrame, depth: int = 2, compat: bool = True) -> DataFrame:
     """pairs(target, origin) -> adds ``steps``, the fewest links over edges(src, dst) from origin to target.
 
     Zero where they are the same address, null beyond ``depth`` links. Ends are compared without case
-    and closing slashes. Nodes are reached step by step: the frontier of a step follows only links from
+    and closing slashes; strict, zero takes the same characters. Nodes are reached step by step: the frontier of a step follows only links from
     which some target is still within the steps left, leaves out what its origin has seen, and is written
     once. The last link is met from the cheaper end of each pair: over the nodes its origin has reached,
     or over the links into its target, so that two hubs are not multiplied out.
     """
     edge = materialise(edges.where("src is not null and dst is not null").select("src", "dst", trim_slash(F.col("dst")).alias("end")).distinct(), "edges")
     want = pairs.select("target", "origin").distinct().withColumn("end", trim_slash(F.col("target")))
-    found = want.where(trim_slash(F.col("origin")) == F.col("end")).select("target", "origin", F.lit(0).alias("steps"))
-    asked = want.where(trim_slash(F.col("origin")) != F.col("end"))
+    same = trim_slash(F.col("origin")) == F.col("end") if compat else F.col("origin") == F.col("target")
+    found = want.where(same).select("target", "origin", F.lit(0).alias("steps"))
+    asked = want.where(~same)
     if depth > 0:
         last = edge.join(asked.select("end").distinct(), "end", "left_semi")
         # Links to follow with so many steps left.
@@ -141,6 +142,6 @@ def link_distance(pairs: DataFrame, edges: DataFrame, depth: int = 2) -> DataFra
     return pairs.join(found, ["target", "origin"], "left")
 
 
-def link_reachable(pairs: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+def link_reachable(pairs: DataFrame, edges: DataFrame, depth: int = 2, compat: bool = True) -> DataFrame:
     """pairs(target, origin) -> adds ``reachable``, within ``depth`` links; see `link_distance`."""
-    return link_distance(pairs, edges, depth).withColumn("reachable", F.col("steps").isNotNull()).drop("steps")
+    return link_distance(pairs, edges, depth, compat).withColumn("reachable", F.col("steps").isNotNull()).drop("steps")

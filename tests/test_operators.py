@@ -499,6 +499,15 @@ def test_reachability_from_either_end(spark):
     assert rows_of(df, "target", "origin", "reachable") == sorted(pairs, key=repr)
 
 
+def test_same_address_strict(spark):
+    """Strict, an address that differs in case or closing slash takes a link."""
+    df = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    pairs, edges = df([("A/", "a"), ("a", "a"), ("B", "b"), ("b/", "c")], ("target", "origin")), df([("b", "x"), ("x", "b/"), ("c", "c")], ("src", "dst"))
+    got = lambda compat: dict(((r.target, r.origin), r.reachable) for r in links.link_reachable(pairs, edges, compat=compat).collect())
+    assert got(False) == {("A/", "a"): False, ("a", "a"): True, ("B", "b"): True, ("b/", "c"): False}
+    assert got(True)[("A/", "a")] and not got(True)[("b/", "c")]
+
+
 def test_link_distance_against_a_walk(spark):
     """Depths 0 to 4 on a random graph with a hub, against a breadth-first walk."""
     rnd = random.Random(11)
