@@ -1,24 +1,24 @@
-"""Token ids of whole texts by the tokenizers library, each distinct piece of a task encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct word of a task encoded once.
 
 A text is cut before spaces, where no token of the given vocabularies can reach across; equal
 pieces have equal ids wherever they stand. A piece that is one run of letters, or such a run and
-one run of marks behind it, goes to the vocabulary's merges directly, all others through the whole
+one run of marks behind it, goes to the vocabulary's merges directly, word and marks apart, all others through the whole
 tokenizer. Texts with white space before a space, where a cut could change ids, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces that one task remembers.
+#: Distinct words, marks and other pieces that one task remembers.
 MEMORY = 200_000
-_PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+_PLAIN = "^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@[-`{-~]*)$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,44 +42,64 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.parts: dict[str, list[int]] = {}
-        # pieces at the start of a text, and behind a space; each one's number in ``start`` and ``size``
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        self.ids, self.start, self.size = array("I"), array("q"), array("q")
-
-    def _merged(self, part: str) -> list[int]:
-        found = self.parts.get(part)
-        if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
-        return found
-
-    def _numbers(self, pieces: list[str], space: int) -> np.ndarray:
-        """Numbers of distinct pieces, new ones encoded first."""
-        known = self.known[space]
-        got = list(map(known.get, pieces))
-        odd = []
+        # numbers of words and marks, and of pieces that go through the whole tokenizer, in ``start`` and ``size``
+        self.merged: dict[str, int] = {"": 0}
+        self.other: dict[str, int] = {}
+        self.ids, self.start, self.size = array("I"), array("q", [0]), array("q", [0])
+
+    def _merges(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of ``parts`` one behind the other, and their numbers."""
+        tokens, letters, space = self.model.tokenize, self.letters, self.letters[32]
+        ids: list[int] = []
+        size = []
+        for x in parts:
+            found = tokens(x.replace(" ", space) if x.isascii() else x.encode().decode("latin-1").translate(letters))
+            size.append(len(found))
+            ids += [t.id for t in found]
+        return ids, size
+
+    def _encodings(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        found = [x.ids for x in self.whole.encode_batch(pieces, add_special_tokens=False)]
+        return list(chain.from_iterable(found)), list(map(len, found))
+
+    def _numbers(self, parts: pa.Array, known: dict[str, int], encode) -> np.ndarray:
+        """Numbers of ``parts`` in ``known``, each new distinct one encoded first."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(known.get, names))
+        new = [i for i, number in enumerate(got) if number is None]
+        if new:
+            fresh = [names[i] for i in new]
+            ids, size = encode(fresh)
+            size = np.array(size, np.int64)
+            start = len(self.ids) + np.cumsum(size) - size
+            numbers = range(len(self.start), len(self.start) + len(new))
+            known.update(zip(fresh, numbers))
+            for i, number in zip(new, numbers):
+                got[i] = number
+            self.start.frombytes(start.tobytes())
+            self.size.frombytes(size.tobytes())
+            self.ids.frombytes(np.array(ids, np.uint32).tobytes())
+        return np.array(got, np.int64)[np.asarray(coded.indices)]
+
+    def _parts(self, pieces: pa.Array, space: int) -> np.ndarray:
+        """Numbers of the two parts of each piece: its word and marks, or itself and nothing."""
         lead = " " if space and not self.lower else ""
-        for i, number in enumerate(got):
-            if number is None:
-                match = _PLAIN.fullmatch(pieces[i])
-                if match is None:
-                    odd.append(i)
-                    continue
-                word, marks = match.groups()
-                ids = self._merged(word.lower() if self.lower else lead + word)
-                got[i] = self._add(known, pieces[i], ids + self._merged(marks) if marks else ids)
-        if odd:
-            for i, encoding in zip(odd, self.whole.encode_batch([lead + pieces[i] for i in odd], add_special_tokens=False)):
-                got[i] = self._add(known, pieces[i], encoding.ids)
-        return np.array(got, np.int64)
-
-    def _add(self, known: dict[str, int], piece: str, ids: list[int]) -> int:
-        known[piece] = number = len(self.start)
-        self.start.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-        return number
+        split = pc.extract_regex(pieces, _PLAIN)
+        plain = np.asarray(split.is_valid(), bool)
+        easy, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        word, marks = (pc.struct_field(split, i).take(pa.array(easy)) for i in (0, 1))
+        if self.lower:
+            word = pc.utf8_lower(word)
+        elif lead:
+            word = pc.binary_join_element_wise(pa.scalar("", word.type), word, pa.scalar(lead, word.type))
+        out = np.zeros((len(pieces), 2), np.int64)
+        out[easy, 0] = self._numbers(word, self.merged, self._merges)
+        out[easy, 1] = self._numbers(marks, self.merged, self._merges)
+        if len(odd):
+            others = pieces.take(pa.array(odd))
+            out[odd, 0] = self._numbers(pc.binary_join_element_wise(pa.scalar("", others.type), others, pa.scalar(lead, others.type)), self.other, self._encodings)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts; a null text is empty."""
@@ -93,25 +113,26 @@ class Encoder:
         codes = np.asarray(flat.indices).astype(np.int64)
         if len(self.start) >= MEMORY:
             self._forget()
-        words = flat.dictionary.to_pylist()
+        words = flat.dictionary
         if self.lower:
-            numbers = self._numbers(words, 1)[codes]
+            numbers = self._parts(words, 1)[codes]
         else:
             # the first piece of a text has no space before it
             first = np.zeros(len(codes), bool)
             first[np.cumsum(counts) - counts] = True
-            numbers = np.empty(len(codes), np.int64)
+            numbers = np.empty((len(codes), 2), np.int64)
             for space, mine in ((0, np.flatnonzero(first)), (1, np.flatnonzero(~first))):
                 held = np.flatnonzero(np.bincount(codes[mine], minlength=len(words)))
                 place = np.zeros(len(words), np.int64)
-                place[held] = self._numbers([words[i] for i in held.tolist()], space)
-                numbers[mine] = place[codes[mine]]
+                place[held] = np.arange(len(held))
+                numbers[mine] = self._parts(words.take(pa.array(held)), space)[place[codes[mine]]]
+        numbers = numbers.ravel()
         start, size, table = np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.ids, np.uint32)
         lengths = size[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(start[numbers] - ends[:-1], lengths) + np.arange(ends[-1])
         flat_ids = table[at]
-        offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
+        offsets = ends[2 * np.concatenate([[0], np.cumsum(counts)])]
         if not len(rows):
             return flat_ids, offsets
         hard = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]

@@ -27,6 +27,23 @@ def test_encoder_equals_library(name):
         assert ids[offsets[i]:offsets[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_remembered_apart_from_their_marks(name):
+    """Every word with every mark behind it: ids of the whole tokenizer, and an entry a word, a mark and a first piece."""
+    import pyarrow as pa
+
+    path = tokenizer(name)
+    words, marks = [f"{a}{b}{c}" for a in "xyÀé" for b in "aou" for c in ("", "ß", "N")], ["", ",", ".", "!!", "-)", "%&"]
+    text = " ".join(w + m for w in words for m in marks)
+    encoder = Encoder(path)
+    for _ in range(2):
+        ids, offsets = encoder.encode(pa.array([text, None, "0 1", "", text]))
+        want = [encoder.whole.encode(t, add_special_tokens=False).ids for t in (text, "", "0 1", "", text)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+    assert len(encoder.start) <= len(words) + len(marks) + 8
+
+
+
 def test_shards(awkward, empty):
     rows = shard_rows(awkward, 4).collect()
     assert len(rows) == awkward.count()
