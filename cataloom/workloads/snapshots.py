@@ -9,7 +9,7 @@ from ..functions.text import localized_urls
 from ..operators import audit, quality, snapshot, stores
 from ..operators.overrides import apply_overrides
 from ..operators.scale import fingerprint
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import documents, publish
 from .registry import Tables, query
 
@@ -144,6 +144,8 @@ def refresh_report(t: Tables):
     root = scratch_path(t.spark, "refresh")
     rows = t.sql(_LOCATED).withColumns({
         "official_urls": F.create_map(*[x for l in vocab.LOCALES for x in (F.lit(l), F.col("official_url"))]), "programmes": F.array(F.lit("default"))})
+    # The orders are grouped once, not again for each part and each list of what was held back.
+    rows = materialise(rows, "located")
     late = F.col("last_order") >= F.lit("2000-01-01").cast("timestamp")
     excluded = rows.select("slug", F.when(~late, "unpublished or startpage").alias("reason"))
     rules = quality.DatasetRules(min_rows=1, max_count_change_pct=1e9, min_complete_pct=80.0, max_turnover_pct=100.0)

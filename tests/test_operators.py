@@ -88,6 +88,25 @@ def test_refresh_publishes_once_and_keeps_data_on_failure(spark, tmp_path):
     assert {(r.slug == "new", r.phone) for r in publish.read_published(spark, root).collect()} == {(True, None), (False, "1")}
 
 
+def test_refresh_finds_the_errors_of_a_record_once(spark, tmp_path, monkeypatch):
+    asked, errors = [], quality.record_errors
+    monkeypatch.setattr(quality, "record_errors", lambda host: asked.append(host) or errors(host))
+    rows = spark.range(20).selectExpr(
+        "cast(id as string) AS slug", "if(id = 3, '', 'n') AS name", "'c' AS city", "52.0 AS lat", "5.0 AS lon", "'active' AS status", "0 AS consecutive_missing",
+        "cast(NULL as date) AS first_seen", "'https://h.example/x' AS official_url", "map('nl', 'https://h.example/x', 'en', 'https://h.example/x', 'uk', 'https://h.example/x') AS official_urls", "array('p') AS programmes")
+    with pytest.raises(jobs.RefreshRejected, match="record_errors"):
+        jobs.refresh(spark, rows, str(tmp_path / "a"), "v1", "2001-01-01", "h.example", quality.DatasetRules(min_rows=1, baseline_rows=20))
+    jobs.refresh(spark, rows.where("name <> ''"), str(tmp_path / "b"), "v1", "2001-01-01", "h.example", quality.DatasetRules(min_rows=1, baseline_rows=19))
+    assert len(asked) == 2 and "_errors" not in publish.read_published(spark, str(tmp_path / "b")).columns
+
+
+def test_sanity_plan_does_not_grow_with_the_aliases(spark):
+    rows = spark.createDataFrame([("x", "Alias7", "name", 52.0, 5.0), ("y", "Alias7", "other", 52.0, 5.0)], "slug string, province string, geo_province string, lat double, lon double")
+    odd = geo_join.geo_sanity(rows, {f"alias{i}": "Name" for i in range(12)})
+    assert odd._jdf.queryExecution().analyzed().toString().count("trim(") < 100
+    assert [r.slug for r in odd.collect()] == ["y"]
+
+
 def test_shared_resources_whitelist_needs_the_exact_group(spark):
     schema = "slug string, site string, street string, postcode string, city string, status string"
     data = [("domunder", None, "Plein 1", "1234 AB", "U", None), ("paleis-lofen", None, " plein 1", "1234ab", "u", None),
