@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import bounded
-from .setjoin import Rule, chained, describe, first_tries, postings, sized, verify
+from .setjoin import Rule, chained, describe, first_tries, marks_of, near, postings, sized, verify
 
 LINES = Rule(lines=True)
 #: Early sets of its lists that each set is tried against, turn by turn, before all earlier ones.
@@ -15,12 +15,13 @@ TRIES = (1, 8, 64)
 
 
 def _side(shared: DataFrame, name: str) -> DataFrame:
-    return shared.select("token", F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "doc", "line", "prev") if c in shared.columns])
+    return shared.select("token", F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "doc", "line", "prev", "bits")])
 
 
-def _open_lists(shared: DataFrame, done: DataFrame) -> DataFrame:
-    """Postings of the shingles of sets that are not done yet, and whether their own set is."""
-    marked = shared.join(done.select(F.col("x").alias("fp"), F.lit(True).alias("_d")), "fp", "left").withColumn("done", F.coalesce("_d", F.lit(False))).drop("_d")
+def _open_lists(shared: DataFrame, marks: DataFrame, done: DataFrame) -> DataFrame:
+    """Postings of the shingles of sets that are not done yet, with the marks of their own set and whether it is done."""
+    state = marks.join(done.select(F.col("x").alias("fp"), F.lit(True).alias("_d")), "fp", "left").select("fp", "bits", F.coalesce("_d", F.lit(False)).alias("done"))
+    marked = shared.join(state, "fp")
     wanted = marked.where("not done").select("token").distinct()
     return materialise(marked.join(wanted, "token", "left_semi"), "open")
 
@@ -33,16 +34,17 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
     group of similar lines costs a few tests a line, also where only some of its pairs match.
     """
     shared = postings(docs, described, rule)
+    marks = marks_of(described, shared)
     done = None
     for tries in TRIES:
-        rows = shared if done is None else _open_lists(shared, done)
+        rows = shared if done is None else _open_lists(shared, marks, done)
         best = first_tries(rows, rule, by_place=True, tries=tries)
         new = best.join(verify(best.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
         done = materialise(new if done is None else done.unionByName(new).distinct(), "matched")
-    linked = materialise(chained(shared), "chained")
-    rest = _side(linked, "x").join(done, "x", "left_anti")
+    linked = materialise(chained(_open_lists(shared, marks, done)), "chained")
+    rest = _side(linked.where("not done"), "x")
     pairs = sized(rest.join(_side(linked, "y"), "token")
-                  .where("struct(y_doc, y_line, y) < struct(x_doc, x_line, x) and coalesce(x_prev <> y_prev, true)"),
+                  .where("struct(y_doc, y_line, y) < struct(x_doc, x_line, x) and coalesce(x_prev <> y_prev, true)").where(near(rule, "x", "y")),
                   rule).select("x", "a", "b").distinct()
     pairs = materialise(pairs, "crossing")
     more = pairs.join(verify(pairs.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import components
-from .setjoin import Rule, chained, describe, first_tries, passing, postings, verify
+from .common import BROADCAST_ROWS, bounded, components
+from .setjoin import Rule, chained, describe, first_tries, marks_of, near, passing, postings, verify
 
 
 #: Sets of its lists that each set is tried against, turn by turn, before all remaining pairs.
@@ -22,13 +22,19 @@ def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(rows.join(mixed, "token", "left_semi"), "mixed")
 
 
-def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
+def _marked(rows: DataFrame, marks: DataFrame, sets: int) -> DataFrame:
+    """``rows`` with the marks of their sets, rows of one shingle side by side as before."""
+    joined = rows.join(bounded(marks, sets), "fp")
+    return joined if sets <= BROADCAST_ROWS else joined.repartition("token").sortWithinPartitions("token")
+
+
+def _crossing(rows: DataFrame, marks: DataFrame, sets: int, rule: Rule) -> DataFrame:
     """All candidate pairs whose sets are in different groups so far."""
-    rows = materialise(chained(rows), "chained")
-    side = lambda x: rows.select("token", F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev", "label")])
+    rows = materialise(chained(rows), "chained").join(bounded(marks, sets), "fp")
+    side = lambda x: rows.select("token", F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev", "label", "bits")])
     index = side("a").where(F.expr(f"a_pos < a_n - ceil(a_n * {2 * rule.num} / {rule.num + rule.den}) + 1"))
     pairs = (index.join(side("b"), "token")
-             .where("a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule)))
+             .where("a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule)).where(near(rule)))
     return pairs.select("a", "b").distinct()
 
 
@@ -38,9 +44,14 @@ def _named(docs: DataFrame, rule: Rule) -> DataFrame:
     units = described.where("slice is null").select("doc", "print", "n", "fp")
     shared = postings(docs, described, rule)
     link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    marks = marks_of(described, shared)
+    sets = marks.count()
     edges, rows = None, shared
     for turn in range(len(TRIES) + 1):
-        pairs = first_tries(rows, rule, False, turn, TRIES[turn]).select("a", "b").distinct() if turn < len(TRIES) else materialise(_crossing(rows, rule), "crossing")
+        if turn < len(TRIES):
+            pairs = first_tries(_marked(rows, marks, sets) if turn else rows, rule, False, turn, TRIES[turn]).select("a", "b").distinct()
+        else:
+            pairs = materialise(_crossing(rows, marks, sets, rule), "crossing")
         found = link(pairs)
         edges = found if edges is None else edges.unionByName(found)
         labels = materialise(components(edges), "labels")
@@ -60,8 +71,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Two documents link when ``rule`` holds for their sets of distinct shingles; a component is
     what links reach, named by its smallest doc_id. Equal sets are one set from the start. Each
     set is first tried against some sets of other groups in its posting lists, more of them from turn to turn
-    (``TRIES``); pairs inside the groups found so need no test, and all remaining candidate pairs are
-    verified once. So a large group of copies costs a few tests per member, also where only some of its
+    (``TRIES``); pairs inside the groups found so need no test, and all remaining candidate pairs whose
+    marks are near are verified once. So a large group of copies costs a few tests per member, also where only some of its
     pairs link, and no link between groups is lost.
 
     Null or blank texts have an empty set and link with nothing. A null doc_id keeps its row;

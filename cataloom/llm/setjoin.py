@@ -7,7 +7,8 @@ The steps, each a Spark job over the whole table:
    counters bound each shingle's frequency from above; they order shingles by rarity.
 2. ``postings`` sends the prefix of every distinct set, dealt in blocks by shingle, and keeps
    the shingles that at least two sets have in their prefixes.
-3. ``passing`` states the length and positional filters for a pair that shares a shingle.
+3. ``passing`` states the length and positional filters for a pair that shares a shingle, ``near`` the
+   filter on the marks of both sets (``marks_of``), which drops most pairs before they are made.
 4. ``verify`` applies the suffix filter and counts the shared shingles, once per pair.
 
 A shingle is a 64-bit hash of its words and a set a 64-bit sum of its mixed shingles: two
@@ -53,6 +54,11 @@ class Rule:
     den: int = 100
     lines: bool = False
 
+    @property
+    def marks(self) -> int:
+        """Words of 64 bits that mark a set; texts have more shingles than lines."""
+        return 1 if self.lines else 8
+
     def probe(self, n):
         """Length of the prefix that meets any set at least as small."""
         return n - -(-self.num * n // self.den) + 1
@@ -158,8 +164,25 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(_NO_DOC), np.int64)
 
 
+def set_marks(tokens: np.ndarray, offset: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit words for each set: a bit tells whether an odd number of its shingles fall on it.
+
+    Two sets differ in at least as many shingles as their marks differ in bits.
+    """
+    units, bits = len(offset) - 1, 64 * words
+    out = np.zeros((units, words), np.int64)
+    step = (1 << 20) // bits
+    for a in range(0, units, step):
+        b = min(a + step, units)
+        held = tokens[offset[a]:offset[b]]
+        unit = np.repeat(np.arange(b - a), np.diff(offset[a:b + 1]))
+        odd = np.bincount(unit * bits + (mix(held ^ _M2) % np.uint64(bits)).astype(np.int64), minlength=(b - a) * bits) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(b - a, words)
+    return out
+
+
 def describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Unit rows (doc, print, line, words, n, fp) and, with ``slice`` set, one task's shingle counters.
+    """Unit rows (doc, print, line, words, n, fp, bits) and, with ``slice`` set, one task's shingle counters.
 
     ``print`` is a 64-bit hash of the whole text, which tells rows of one doc_id apart.
     """
@@ -167,21 +190,22 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
         counts = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for part in slices(batch, 1):
-                row, line, words, size, fp, tokens, _ = unit_sets(part.column(1), rule)
+                row, line, words, size, fp, tokens, offset = unit_sets(part.column(1), rule)
+                bits = set_marks(tokens, offset, rule.marks)
                 np.add.at(counts, (tokens >> np.uint64(64 - BITS)).astype(np.int64), np.int32(1))
                 none = pa.nulls(len(row), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary()),
-                     part.column(2).take(pa.array(row))],
-                    names=["doc", "line", "words", "n", "fp", "slice", "counts", "print"])
+                     part.column(2).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * rule.marks), pa.array(bits.reshape(-1)))],
+                    names=["doc", "line", "words", "n", "fp", "slice", "counts", "print", "bits"])
         parts = counts.reshape(SLICES, -1)
         none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
         for i in np.flatnonzero(parts.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary()), pa.nulls(1, pa.int64())],
-                                             names=["doc", "line", "words", "n", "fp", "slice", "counts", "print"])
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))],
+                                             names=["doc", "line", "words", "n", "fp", "slice", "counts", "print", "bits"])
         release()
 
-    schema = "doc long, line int, words long, n long, fp long, slice int, counts binary, print long"
+    schema = "doc long, line int, words long, n long, fp long, slice int, counts binary, print long, bits array<long>"
     return materialise(to_python(docs.select("doc_id", "text", F.xxhash64("text").alias("print"))).mapInArrow(run, schema), "sets")
 
 
@@ -292,6 +316,19 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     return materialise(kept.drop("spread"), "postings")
 
 
+def marks_of(described: DataFrame, shared: DataFrame) -> DataFrame:
+    """(fp, bits) of the sets in ``shared``, once each."""
+    wanted = shared.select("fp").distinct()
+    return materialise(described.where("slice is null").select("fp", "bits").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "marks")
+
+
+def near(rule: Rule, one: str = "a", other: str = "b") -> Column:
+    """Whether the marks of two sets differ in no more bits than similar sets may differ in shingles."""
+    apart = sum((F.bit_count(F.col(f"{one}_bits")[i].bitwiseXOR(F.col(f"{other}_bits")[i])) for i in range(rule.marks)), F.lit(0))
+    total = F.col(f"{one}_n") + F.col(f"{other}_n")
+    return apart <= total - 2 * F.ceil(total * rule.num / (rule.num + rule.den))
+
+
 def passing(rule: Rule, small: str = "a", large: str = "b") -> Column:
     """Length and positional filters for two postings of one shingle, the smaller set's first.
 
@@ -318,19 +355,21 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
     Each list, of a shingle and a class of sizes within 4/3 of each other, offers its first ``tries`` sets to all
     members behind them: the smallest ones, with ``by_place`` the earliest, in a later ``turn`` others.
     A set tries those that most of its lists offer, of another ``label`` if there are labels; a set that is
-    ``done`` tries none. Lists are read in batches as they lie; where a batch cuts a list, each part offers
+    ``done`` tries none. With ``bits`` only sets whose marks are near are offered. Lists are read in batches as they lie; where a batch cuts a list, each part offers
     its own sets, which costs a test more or less but no link, as all remaining pairs are tried later.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, fp, n, pos, doc, line, label = (np.asarray(batch.column(i)) for i in range(7))
             done = batch.column(7).to_numpy(zero_copy_only=False)
+            bits = np.asarray(batch.column(8).flatten()).view(np.uint64).reshape(len(token), rule.marks) if marked else None
             if not len(token):
                 continue
             size_class = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
             rank = mix(fp.view(np.uint64) ^ np.uint64(turn)) if turn else n
             order = np.lexsort(((fp, line, doc) if by_place else (fp, rank)) + (size_class, token))
             token, fp, n, pos, size_class, label, done = (c[order] for c in (token, fp, n, pos, size_class, label, done))
+            bits = bits[order] if marked else None
             start = np.ones(len(token), bool)
             start[1:] = (token[1:] != token[:-1]) | (size_class[1:] != size_class[:-1])
             head = np.flatnonzero(start)[np.cumsum(start) - 1]
@@ -344,14 +383,19 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
                 a, b = np.where(small, x, y), np.where(small, y, x)
                 ok = ((label[x] != label[y]) & (pos[a] < rule.index(n[a])) & (n[a] * rule.den >= n[b] * rule.num)
                       & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.overlap(n[a] + n[b])))
-                rows, count = np.unique(np.stack([fp[x], fp[a], fp[b]], 1)[ok], axis=0, return_counts=True)
+                x, a, b = x[ok], a[ok], b[ok]
+                if marked:
+                    ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= n[a] + n[b] - 2 * rule.overlap(n[a] + n[b])
+                    x, a, b = x[ok], a[ok], b[ok]
+                rows, count = np.unique(np.stack([fp[x], fp[a], fp[b]], 1), axis=0, return_counts=True)
                 found.append(np.concatenate([rows, count[:, None]], 1))
             rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(4)], names=["x", "a", "b", "c"])
             release()
 
     given = {"label": F.col("fp"), "done": F.lit(False)}
-    columns = ["token", "fp", "n", "pos", "doc", "line", *[c if c in shared.columns else given[c].alias(c) for c in given]]
+    marked = "bits" in shared.columns
+    columns = ["token", "fp", "n", "pos", "doc", "line", *[c if c in shared.columns else given[c].alias(c) for c in given], *["bits"] * marked]
     offers = to_python(shared.select(*columns), 50_000).mapInArrow(run, "x long, a long, b long, c long")
     offers = offers.groupBy("x", "a", "b").agg(F.sum("c").alias("c"))
     if tries == 1:

@@ -4,9 +4,10 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from cataloom.llm import setjoin
+from cataloom.llm import line_dedup, ngram_join, setjoin
 from cataloom.llm.decontaminate import clean_documents, contamination
 from cataloom.llm.line_dedup import dedup_lines
 from cataloom.llm.ngram_join import keep_first, near_duplicates
@@ -80,6 +81,35 @@ def test_large_group_of_which_few_pairs_link(spark):
     assert {r["doc_id"] for r in dedup_lines(docs).collect() if r["n_removed"]} == gone
 
 
+def test_large_group_makes_few_pairs(spark, monkeypatch):
+    """Pairs of a group that do not link are dropped by their marks before they are made; no link is lost."""
+    made, write = {}, setjoin.materialise
+
+    def counting(df, tag, *more):
+        got = write(df, tag, *more)
+        made[tag] = max(made.get(tag, 0), got.count())
+        return got
+
+    for module in (setjoin, ngram_join, line_dedup):
+        monkeypatch.setattr(module, "materialise", counting)
+    rows = copies_that_link_in_part(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
+    assert made["tried"] + made["crossing"] < 6_000
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles(lines):
+    rule = setjoin.Rule(lines=lines)
+    texts = [t for _, t in copies_that_link_in_part(30)] + ["", "a b", None, "one two three four five six"]
+    *_, tokens, offset = setjoin.unit_sets(pa.array(texts), rule)
+    marks = setjoin.set_marks(tokens, offset, rule.marks).view("<u8")
+    sets = [set(tokens[a:b].tolist()) for a, b in itertools.pairwise(offset.tolist())]
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        apart = sum(int(x).bit_count() for x in (marks[i] ^ marks[j]).tolist())
+        assert apart <= len(sets[i] ^ sets[j]) and (len(sets[i] ^ sets[j]) - apart) % 2 == 0
+
+
 def test_frequent_shingles_in_many_blocks(spark, monkeypatch):
     """Every shingle counts as hot, so the sets that share one lie in different blocks."""
     monkeypatch.setattr(setjoin, "HOT", 1)
