@@ -111,8 +111,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .unionByName(least.select("u", F.col("m").alias("v"))))
+        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                 .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"))
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(_tidy(small.unionByName(first.select("u", F.col("m").alias("v")))), "edges")

@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import bounded
-from .setjoin import Rule, chained, describe, first_tries, marks_of, near, postings, sized, verify
+from .setjoin import Rule, candidates, chained, describe, first_tries, near, sets_of, sized, verify
 
 LINES = Rule(lines=True)
 #: Early sets of its lists that each set is tried against, turn by turn, before all earlier ones.
-TRIES = (1, 8, 64)
+TRIES = (1, 16)
 
 
-def _side(shared: DataFrame, name: str) -> DataFrame:
-    return shared.select("token", F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "doc", "line", "prev", "bits")])
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("token", F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "doc", "line", "prev", "bits")])
 
 
-def _open_lists(shared: DataFrame, marks: DataFrame, done: DataFrame) -> DataFrame:
-    """Postings of the shingles of sets that are not done yet, with the marks of their own set and whether it is done."""
-    state = marks.join(done.select(F.col("x").alias("fp"), F.lit(True).alias("_d")), "fp", "left").select("fp", "bits", F.coalesce("_d", F.lit(False)).alias("done"))
-    marked = shared.join(state, "fp")
-    wanted = marked.where("not done").select("token").distinct()
+def _open_lists(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Postings of the shingles that a set not done yet shares with an earlier one, with whether their own set is done."""
+    marked = rows.join(done.select(F.col("x").alias("fp"), F.lit(True).alias("done")), "fp", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    place = F.struct("doc", "line", "fp")
+    wanted = marked.groupBy("token").agg(F.min(place).alias("low"), F.max(F.when(~F.col("done"), place)).alias("high")).where("low < high").select("token")
     return materialise(marked.join(wanted, "token", "left_semi"), "open")
 
 
@@ -33,21 +33,21 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
     match are done. The others are tried against all earlier sets of their lists, so none is missed and a
     group of similar lines costs a few tests a line, also where only some of its pairs match.
     """
-    shared = postings(docs, described, rule)
-    marks = marks_of(described, shared)
-    done = None
+    rows = candidates(docs, described, rule)
+    sets = sets_of(docs, rows, rule)
+    done, left = None, rows
     for tries in TRIES:
-        rows = shared if done is None else _open_lists(shared, marks, done)
-        best = first_tries(rows, rule, by_place=True, tries=tries)
-        new = best.join(verify(best.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
+        best = first_tries(left, rule, by_place=True, tries=tries)
+        new = best.join(verify(best.select("a", "b").distinct(), sets, rule), ["a", "b"]).select("x").distinct()
         done = materialise(new if done is None else done.unionByName(new).distinct(), "matched")
-    linked = materialise(chained(_open_lists(shared, marks, done)), "chained")
+        left = _open_lists(rows, done)
+    linked = materialise(chained(left), "chained")
     rest = _side(linked.where("not done"), "x")
     pairs = sized(rest.join(_side(linked, "y"), "token")
                   .where("struct(y_doc, y_line, y) < struct(x_doc, x_line, x) and coalesce(x_prev <> y_prev, true)").where(near(rule, "x", "y")),
                   rule).select("x", "a", "b").distinct()
     pairs = materialise(pairs, "crossing")
-    more = pairs.join(verify(pairs.select("a", "b").distinct(), shared, docs, rule), ["a", "b"]).select("x").distinct()
+    more = pairs.join(verify(pairs.select("a", "b").distinct(), sets, rule), ["a", "b"]).select("x").distinct()
     return done.unionByName(more).select(F.col("x").alias("fp")).distinct()
 
 
@@ -63,10 +63,11 @@ def removed_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
     described = describe(docs, rule)
     units = described.where("slice is null and n > 0").select("doc", "print", "line", "fp")
     key = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("line").alias("line"), F.col("print").alias("print"))
-    many = units.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", "first")
-    copies = units.join(many, "fp").where(key > F.col("first")).select("doc", "print", "line")
-    similar = units.join(matched_sets(docs, described, rule), "fp", "left_semi").select("doc", "print", "line")
-    gone = copies.unionByName(similar).groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    often = units.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
+    many = units.join(often, "fp", "left_semi").groupBy("fp").agg(F.min(key).alias("first"))
+    found = many.join(matched_sets(docs, described, rule).withColumn("similar", F.lit(True)), "fp", "full")
+    lines = units.join(found, "fp").where(F.coalesce("similar", F.lit(False)) | (key > F.col("first")))
+    gone = lines.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     return materialise(gone.select(F.col("doc").alias("doc_id"), "print", "lines"), "removed")
 
 
@@ -84,14 +85,13 @@ def dedup_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_gone_id")) & (F.xxhash64("text") == F.col("__llm_gone_print"))
     joined = docs.select(*names).join(gone, own, "left")
-    lines = F.split("text", "\n")
-    inside = F.expr("filter(__llm_gone, i -> i < size(split(text, '\n')))")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__llm_gone")), lambda i: F.get(F.col("__llm_split"), i))
-    none = F.array().cast("array<int>")
-    joined = joined.withColumn("__llm_split", lines)
-    text = F.when(F.col("__llm_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("text").isNull(), none).otherwise(F.coalesce(inside, none))
+    joined = joined.withColumn("__llm_split", F.when(F.col("__llm_gone").isNotNull(), F.split("text", "\n")))
+    joined = joined.withColumn("__llm_gone", F.array_intersect(F.sequence(F.lit(0), F.size("__llm_split") - 1), F.col("__llm_gone")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__llm_split") - 1), F.col("__llm_gone")), lambda i: F.get(F.col("__llm_split"), i))
+    text = F.when(F.col("__llm_split").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    removed = F.when(F.col("__llm_split").isNull(), F.array().cast("array<int>")).otherwise(F.col("__llm_gone"))
     return joined.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__llm_split")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

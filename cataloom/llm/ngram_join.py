@@ -6,61 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import BROADCAST_ROWS, bounded, components
-from .setjoin import Rule, chained, describe, first_tries, marks_of, near, passing, postings, verify
-
+from .common import components
+from .setjoin import Rule, candidates, chained, describe, first_tries, near, passing, sets_of, verify
 
 #: Sets of its lists that each set is tried against, turn by turn, before all remaining pairs.
-TRIES = (1, 4, 16, 64)
+TRIES = (1, 16)
+
+
+def _near_groups(edges: DataFrame) -> DataFrame:
+    """(fp, label): the least set within two links; sets of one label are linked, if not all linked sets have one label."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    return both.join(least, "v").groupBy(F.col("u").alias("fp")).agg(F.min("m").alias("label"))
 
 
-def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with the group of their set so far, of those shingles that sets of several groups share."""
-    rows = (shared.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left")
-            .select("token", "fp", "n", "pos", "doc", "line", F.coalesce("component", "fp").alias("label")))
+    rows = rows.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     return materialise(rows.join(mixed, "token", "left_semi"), "mixed")
 
 
-def _marked(rows: DataFrame, marks: DataFrame, sets: int) -> DataFrame:
-    """``rows`` with the marks of their sets, rows of one shingle side by side as before."""
-    joined = rows.join(bounded(marks, sets), "fp")
-    return joined if sets <= BROADCAST_ROWS else joined.repartition("token").sortWithinPartitions("token")
-
-
-def _crossing(rows: DataFrame, marks: DataFrame, sets: int, rule: Rule) -> DataFrame:
+def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
     """All candidate pairs whose sets are in different groups so far."""
-    rows = materialise(chained(rows), "chained").join(bounded(marks, sets), "fp")
+    rows = materialise(chained(rows), "chained")
     side = lambda x: rows.select("token", F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev", "label", "bits")])
     index = side("a").where(F.expr(f"a_pos < a_n - ceil(a_n * {2 * rule.num} / {rule.num + rule.den}) + 1"))
     pairs = (index.join(side("b"), "token")
              .where("a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule)).where(near(rule)))
-    return pairs.select("a", "b").distinct()
+    return materialise(pairs.select("a", "b").distinct(), "crossing")
 
 
 def _named(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, print, n, key) of each row: its text's 64-bit hash, the size of its set and its component's key."""
     described = describe(docs, rule)
     units = described.where("slice is null").select("doc", "print", "n", "fp")
-    shared = postings(docs, described, rule)
-    link = lambda pairs: verify(pairs, shared, docs, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    marks = marks_of(described, shared)
-    sets = marks.count()
-    edges, rows = None, shared
-    for turn in range(len(TRIES) + 1):
-        if turn < len(TRIES):
-            pairs = first_tries(_marked(rows, marks, sets) if turn else rows, rule, False, turn, TRIES[turn]).select("a", "b").distinct()
-        else:
-            pairs = materialise(_crossing(rows, marks, sets, rule), "crossing")
-        found = link(pairs)
+    rows = candidates(docs, described, rule)
+    sets = sets_of(docs, rows, rule)
+    link = lambda pairs: verify(pairs, sets, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges, left = None, rows
+    for turn, tries in enumerate(TRIES):
+        found = link(first_tries(left, rule, False, turn, tries).select("a", "b").distinct())
         edges = found if edges is None else edges.unionByName(found)
-        labels = materialise(components(edges), "labels")
-        if turn == len(TRIES):
-            break
-        rows = _mixed(shared, labels)
-        if rows.isEmpty():
-            break
-    labels = labels.select(F.col("node").alias("fp"), "component")
+        if turn < len(TRIES) - 1:
+            left = _mixed(rows, _near_groups(edges))
+    labels = materialise(components(edges), "labels")
+    left = _mixed(rows, labels.select(F.col("node").alias("fp"), F.col("component").alias("label")))
+    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(link(_crossing(left, rule)))
+    labels = components(edges).select(F.col("node").alias("fp"), "component")
     named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
     return materialise(named.select("doc", "print", "n", "key"), "named")
 

@@ -7,9 +7,9 @@ The steps, each a Spark job over the whole table:
    counters bound each shingle's frequency from above; they order shingles by rarity.
 2. ``postings`` sends the prefix of every distinct set, dealt in blocks by shingle, and keeps
    the shingles that at least two sets have in their prefixes.
-3. ``passing`` states the length and positional filters for a pair that shares a shingle, ``near`` the
-   filter on the marks of both sets (``marks_of``), which drops most pairs before they are made.
-4. ``verify`` applies the suffix filter and counts the shared shingles, once per pair.
+3. ``candidates`` keeps the postings that have a partner in their list: ``passing`` states the length and
+   positional filters for two sets that share a shingle, ``near`` the filter on the marks of both sets.
+4. ``sets_of`` reads the sets that are left once, and ``verify`` counts the shared shingles, once per pair.
 
 A shingle is a 64-bit hash of its words and a set a 64-bit sum of its mixed shingles: two
 different sets among 10**10 share a fingerprint with a chance of about one in a few.
@@ -28,21 +28,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialise
-from .common import bounded, byte_view, release, slices, to_python
+from .common import BROADCAST_ROWS, bounded, byte_view, release, slices, to_python
 
 BITS, SLICES = 22, 64
 #: A shingle counted more often than this is dealt by set instead of by shingle.
 HOT = 1 << 17
 #: Postings that one block of the reduce side should hold.
 BUCKET_ROWS = 200_000
-#: Ranges of hash values whose sizes the suffix filter compares.
-RANGES = 64
+#: Longer lists keep all their postings, so that the search for partners costs no more than this a posting.
+LONG = 256
 _NO_DOC = (1 << 63) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Odd factors of the words of a shingle, by place.
+_FACTORS = [_M1, *(np.uint64(pow(int(_M1), j, 1 << 64)) for j in range(2, 17))]
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,11 @@ class Rule:
         """Words of 64 bits that mark a set; texts have more shingles than lines."""
         return 1 if self.lines else 8
 
+    @property
+    def carried(self) -> int:
+        """Words of the marks that travel with each posting; those of texts are too long for that."""
+        return self.marks if self.lines else 0
+
     def probe(self, n):
         """Length of the prefix that meets any set at least as small."""
         return n - -(-self.num * n // self.den) + 1
@@ -137,14 +144,17 @@ def unit_sets(texts: pa.Array, rule: Rule):
     unit = np.repeat(np.arange(len(words)), count)
     offset = np.concatenate([[0], np.cumsum(count)])
     at = begin[unit] + (np.arange(len(unit)) - offset[unit])
-    acc = np.repeat(np.minimum(words, k).astype(np.uint64) * _M3, count)
-    reach = np.minimum(words, k)[unit]
-    for j in range(k):
-        if (short := reach <= j).any():
-            here = np.flatnonzero(~short)
-            acc[here] = mix(acc[here] * _M1 + hashed[at[here] + j])
-        else:
-            acc = mix(acc * _M1 + hashed[at + j])
+    rolled = np.full(len(hashed), k, np.uint64) * _M3
+    for j, factor in enumerate(_FACTORS[:k]):
+        rolled[:len(rolled) - j] += hashed[j:] * factor
+    acc = rolled[at]
+    few = np.flatnonzero((words < k) & (words > 0))
+    if len(few):
+        acc[offset[few]] = words[few].astype(np.uint64) * _M3
+        for j, factor in enumerate(_FACTORS[:k]):
+            some = few[words[few] > j]
+            acc[offset[some]] += hashed[begin[some] + j] * factor
+    acc = mix(acc)
     for a, b in zip(offset[:-1][count > 1].tolist(), offset[1:][count > 1].tolist()):
         acc[a:b].sort()
     keep = np.ones(len(acc), bool)
@@ -198,10 +208,10 @@ def describe(docs: DataFrame, rule: Rule) -> DataFrame:
                     [part.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(words), pa.array(size), pa.array(fp), none, pa.nulls(len(row), pa.binary()),
                      part.column(2).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * rule.marks), pa.array(bits.reshape(-1)))],
                     names=["doc", "line", "words", "n", "fp", "slice", "counts", "print", "bits"])
-        parts = counts.reshape(SLICES, -1)
+        parts = [x.astype("u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4") for x in counts.reshape(SLICES, -1)]
         none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-        for i in np.flatnonzero(parts.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].astype("<i4").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))],
+        for i in [i for i, x in enumerate(parts) if x.any()]:
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))],
                                              names=["doc", "line", "words", "n", "fp", "slice", "counts", "print", "bits"])
         release()
 
@@ -215,7 +225,8 @@ def rarity(described: DataFrame) -> bytes:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64)
+                got = counts.as_buffer()
+                got = np.frombuffer(got, f"<u{len(got) * SLICES >> BITS}").astype(np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         classes = {i: np.minimum(255, np.floor(4 * np.log2(x + 1))).astype(np.uint8).tobytes() for i, x in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(classes), pa.int32()), pa.array(list(classes.values()), pa.binary())], names=["slice", "classes"])
@@ -226,13 +237,41 @@ def rarity(described: DataFrame) -> bytes:
     return b"".join(found.get(i, bytes((1 << BITS) // SLICES)) for i in range(SLICES))
 
 
+def partnered(token: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, size: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which postings may link with another one of their list by its size, place and marks.
+
+    ``size`` is the length of the whole list. Postings of lists of more than ``LONG``, and of lists
+    that are not here as a whole, are all kept.
+    """
+    order = np.lexsort((fp, n, token))
+    token, n, pos, bits, size = token[order], n[order], pos[order], bits[order], size[order]
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
+    length = np.diff(edges)
+    end = np.repeat(edges[1:], length)
+    keep = (size > LONG) | (size != np.repeat(length, length))
+    a, step = np.flatnonzero(~keep), 1
+    while len(a):
+        a = a[a + step < end[a]]
+        a = a[n[a] * rule.den >= n[a + step] * rule.num]
+        b, need = a + step, rule.overlap(n[a] + n[a + step])
+        ok = (pos[a] < rule.index(n[a])) & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
+        at, other, most = a[ok], b[ok], (n[a] + n[b] - 2 * need)[ok]
+        ok = np.bitwise_count(bits[at] ^ bits[other]).sum(1, dtype=np.int64) <= most
+        keep[at[ok]] = keep[other[ok]] = True
+        step += 1
+    out = np.empty(len(keep), bool)
+    out[order] = keep
+    return out
+
+
 def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
-    """(token, fp, n, pos, doc, line) of prefix shingles that two or more distinct sets share.
+    """(token, fp, n, pos, size) of prefix shingles that two or more distinct sets share.
 
-    ``pos`` counts from 0 in the order rare to frequent; ``doc`` and ``line`` name the first unit
-    that has the set. Blocks of about ``BUCKET_ROWS`` postings are dealt by shingle, those of very
-    frequent shingles by set, so no block grows with one key. The postings of one of those lie in
-    many blocks, so they are all kept there and counted by shingle afterwards.
+    ``pos`` counts from 0 in the order rare to frequent, ``size`` is the length of the list. Blocks of
+    about ``BUCKET_ROWS`` postings are dealt by shingle, those of very frequent shingles by set, so no
+    block grows with one key. The postings of one of those lie in many blocks, so they are all kept
+    there, with ``size`` 0, and counted by shingle afterwards. Postings that carry their marks and have no
+    partner in their list (``partnered``) are left out.
     """
     spark = docs.sparkSession
     total = described.where("n > 0").agg(F.sum(F.expr(f"n - ceil(n * {rule.num} / {rule.den}) + 1"))).first()[0] or 0
@@ -240,29 +279,30 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     ranks = rarity(described)
     classes = spark.sparkContext.broadcast(ranks)
     hot = int(4 * np.log2(HOT))
+    kinds = ["<u8", "<i8", *["<u8"] * rule.carried, "<i4", "<i4"]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
-        sent: dict[int, tuple[int, int]] = {}
+        sent: set[int] = set()
         for batch in batches:
-            for part in slices(batch, 1):
-                row, line, _, size, fp, tokens, offset = unit_sets(part.column(1), rule)
-                doc = _ids(part.column(0))[row]
+            for part in slices(batch, 0):
+                _, _, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
                 fresh = np.zeros(len(fp), bool)
-                for u, (f, key) in enumerate(zip(fp.tolist(), zip(doc.tolist(), line.tolist()))):
-                    if size[u] and key < sent.get(f, (_NO_DOC, _NO_DOC + 1)):
-                        sent[f] = key
-                        fresh[u] = True
+                some = np.flatnonzero(size > 0)
+                prints, at = np.unique(fp[some], return_index=True)
+                fresh[some[at]] = [f not in sent for f in prints.tolist()]
+                sent.update(prints.tolist())
                 if len(sent) > 500_000:
                     sent.clear()
                 unit = np.repeat(np.arange(len(fp)), size)
                 mine = fresh[unit]
                 unit, tokens = unit[mine], tokens[mine]
+                offset = np.concatenate([[0], np.cumsum(size * fresh)])
+                bits = set_marks(tokens, offset, rule.carried).view(np.uint64) if rule.carried else np.zeros((len(fp), 0), np.uint64)
                 cls = table[(tokens >> np.uint64(64 - BITS)).astype(np.int64)]
                 order = np.argsort((unit.astype(np.int64) << 8) | cls, kind="stable")
                 tokens, cls = tokens[order], cls[order]
-                start = np.searchsorted(unit, unit)
-                pos = np.arange(len(unit)) - start
+                pos = np.arange(len(unit)) - offset[unit]
                 pre = pos < rule.probe(size[unit])
                 tokens, cls, unit, pos = tokens[pre], cls[pre], unit[pre], pos[pre]
                 spread = np.where(cls >= hot, mix(fp[unit].view(np.uint64)), mix(tokens ^ _M3))
@@ -270,56 +310,97 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(edges))
-                columns = [x[order] for x in (tokens, fp[unit], doc[unit], size[unit].astype("<i4"), pos.astype("<i4"), line[unit].astype("<i4"))]
+                unit = unit[order]
+                columns = [tokens[order], fp[unit], *[bits[unit, i] for i in range(rule.carried)], size[unit].astype("<i4"), pos[order].astype("<i4")]
                 blocks = [b"".join(c[edges[b]:edges[b + 1]].tobytes() for c in columns) for b in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
         held: dict[int, list[bytes]] = {}
+        width = sum(np.dtype(kind).itemsize for kind in kinds)
         for batch in batches:
             for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(b, []).append(block)
         while held:
             _, blocks = held.popitem()
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in kinds]
             for block in blocks:
-                m, at = len(block) // 36, 0
-                for i, kind in enumerate(("<u8", "<i8", "<i8", "<i4", "<i4", "<i4")):
+                m, at = len(block) // width, 0
+                for i, kind in enumerate(kinds):
                     parts[i].append(np.frombuffer(block, kind, m, at))
-                    at += m * (8 if i < 3 else 4)
-            token, fp, doc, n, pos, line = (np.concatenate(p) for p in parts)
-            order = np.lexsort((line, doc, fp, token))
-            token, fp, doc, n, pos, line = (x[order] for x in (token, fp, doc, n, pos, line))
-            once = np.ones(len(token), bool)
-            once[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
-            token, fp, doc, n, pos, line = (x[once] for x in (token, fp, doc, n, pos, line))
-            twice = np.zeros(len(token), bool)
-            same = token[1:] == token[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
+                    at += m * np.dtype(kind).itemsize
+            columns = [np.concatenate(p) for p in parts]
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [x[order] for x in columns]
+            once = np.ones(len(order), bool)
+            once[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            token, fp, *bits, n, pos = (x[once] for x in columns)
+            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            size = np.repeat(np.diff(edges), np.diff(edges))
             spread = table[(token >> np.uint64(64 - BITS)).astype(np.int64)] >= hot
-            keep = np.flatnonzero(twice | spread)
-            for a in range(0, len(keep), 100_000):
-                i = keep[a:a + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[i].view(np.int64)), pa.array(fp[i]), pa.array(n[i].astype(np.int64)), pa.array(pos[i].astype(np.int64)), pa.array(doc[i]), pa.array(line[i]), pa.array(spread[i])],
-                    names=["token", "fp", "n", "pos", "doc", "line", "spread"])
+            keep = np.flatnonzero((size > 1) | spread)
+            token, fp, n, pos = token[keep], fp[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)
+            size = np.where(spread[keep], 0, size[keep])
+            if rule.carried:
+                keep = partnered(token, fp, n, pos, np.stack([x[keep] for x in bits], 1), size, rule)
+                token, fp, n, pos, size = (x[keep] for x in (token, fp, n, pos, size))
+            for a in range(0, len(token), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a:a + 100_000]) for x in (token.view(np.int64), fp, n, pos, size)], names=["token", "fp", "n", "pos", "size"])
             release()
 
-    dealt = to_python(docs.select("doc_id", "text")).mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
-    found = materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, doc long, line int, spread boolean"), "postings")
+    dealt = to_python(docs.select("text")).mapInArrow(deal, "bucket int, block binary").repartition(buckets, "bucket")
+    found = materialise(dealt.mapInArrow(gather, "token long, fp long, n long, pos long, size long"), "postings")
     if not (np.frombuffer(ranks, np.uint8) >= hot).any():
-        return found.drop("spread")
-    shared = found.where("spread").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    kept = found.where("spread").join(shared, "token", "left_semi").unionByName(found.where("not spread"))
-    return materialise(kept.drop("spread"), "postings")
+        return found
+    shared = found.where("size = 0").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    kept = found.where("size = 0").join(shared, "token", "left_semi").unionByName(found.where("size > 0"))
+    return materialise(kept, "postings")
 
 
 def marks_of(described: DataFrame, shared: DataFrame) -> DataFrame:
-    """(fp, bits) of the sets in ``shared``, once each."""
+    """(fp, doc, line, bits) of the sets in ``shared``, once each, with the first unit that has the set."""
     wanted = shared.select("fp").distinct()
-    return materialise(described.where("slice is null").select("fp", "bits").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "marks")
+    units = described.where("slice is null and n > 0").select("fp", F.struct(F.coalesce("doc", F.lit(_NO_DOC)).alias("doc"), "line").alias("place"), "bits")
+    first = units.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("place").alias("place"), F.first("bits").alias("bits"))
+    return materialise(first.select("fp", "place.doc", "place.line", "bits"), "marks")
+
+
+def candidates(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
+    """(token, fp, n, pos, doc, line, bits): shared postings that have a partner, those of one shingle side by side."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            if not part:
+                continue
+            part = part[0]
+            token = np.asarray(part.column(0))
+            other = np.flatnonzero(token != token[-1])
+            cut = other[-1] + 1 if len(other) else 0
+            held = [part.slice(cut)]
+            if len(token) - cut > LONG:
+                held, cut = [], len(token)
+            yield kept(part.slice(0, cut))
+        for part in held:
+            yield kept(part)
+        release()
+
+    def kept(part: pa.RecordBatch) -> pa.RecordBatch:
+        token, fp, n, pos = (np.asarray(part.column(i)) for i in range(4))
+        bits = np.asarray(part.column(6).flatten()).view(np.uint64).reshape(len(token), rule.marks)
+        keep = partnered(token, fp, n, pos, bits, np.asarray(part.column(7)), rule)
+        return part.select(range(7)).filter(pa.array(keep))
+
+    shared = postings(docs, described, rule)
+    marks = marks_of(described, shared)
+    sets = marks.count()
+    rows = shared.join(bounded(marks, sets), "fp").select("token", "fp", "n", "pos", "doc", "line", "bits", "size")
+    if sets > BROADCAST_ROWS:
+        rows = rows.repartition("token").sortWithinPartitions("token")
+    if not rule.carried:
+        rows = to_python(rows, 50_000).mapInArrow(run, rows.drop("size").schema)
+    return materialise(rows.select("token", "fp", "n", "pos", "doc", "line", "bits"), "candidates")
 
 
 def near(rule: Rule, one: str = "a", other: str = "b") -> Column:
@@ -355,21 +436,21 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
     Each list, of a shingle and a class of sizes within 4/3 of each other, offers its first ``tries`` sets to all
     members behind them: the smallest ones, with ``by_place`` the earliest, in a later ``turn`` others.
     A set tries those that most of its lists offer, of another ``label`` if there are labels; a set that is
-    ``done`` tries none. With ``bits`` only sets whose marks are near are offered. Lists are read in batches as they lie; where a batch cuts a list, each part offers
+    ``done`` tries none. Only sets whose marks are near are offered. Lists are read in batches as they lie; where a batch cuts a list, each part offers
     its own sets, which costs a test more or less but no link, as all remaining pairs are tried later.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, fp, n, pos, doc, line, label = (np.asarray(batch.column(i)) for i in range(7))
             done = batch.column(7).to_numpy(zero_copy_only=False)
-            bits = np.asarray(batch.column(8).flatten()).view(np.uint64).reshape(len(token), rule.marks) if marked else None
+            bits = np.asarray(batch.column(8).flatten()).view(np.uint64).reshape(len(token), rule.marks)
             if not len(token):
                 continue
             size_class = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
             rank = mix(fp.view(np.uint64) ^ np.uint64(turn)) if turn else n
             order = np.lexsort(((fp, line, doc) if by_place else (fp, rank)) + (size_class, token))
             token, fp, n, pos, size_class, label, done = (c[order] for c in (token, fp, n, pos, size_class, label, done))
-            bits = bits[order] if marked else None
+            bits = bits[order]
             start = np.ones(len(token), bool)
             start[1:] = (token[1:] != token[:-1]) | (size_class[1:] != size_class[:-1])
             head = np.flatnonzero(start)[np.cumsum(start) - 1]
@@ -384,9 +465,8 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
                 ok = ((label[x] != label[y]) & (pos[a] < rule.index(n[a])) & (n[a] * rule.den >= n[b] * rule.num)
                       & (np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.overlap(n[a] + n[b])))
                 x, a, b = x[ok], a[ok], b[ok]
-                if marked:
-                    ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= n[a] + n[b] - 2 * rule.overlap(n[a] + n[b])
-                    x, a, b = x[ok], a[ok], b[ok]
+                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= n[a] + n[b] - 2 * rule.overlap(n[a] + n[b])
+                x, a, b = x[ok], a[ok], b[ok]
                 rows, count = np.unique(np.stack([fp[x], fp[a], fp[b]], 1), axis=0, return_counts=True)
                 found.append(np.concatenate([rows, count[:, None]], 1))
             rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
@@ -394,8 +474,7 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
             release()
 
     given = {"label": F.col("fp"), "done": F.lit(False)}
-    marked = "bits" in shared.columns
-    columns = ["token", "fp", "n", "pos", "doc", "line", *[c if c in shared.columns else given[c].alias(c) for c in given], *["bits"] * marked]
+    columns = ["token", "fp", "n", "pos", "doc", "line", *[c if c in shared.columns else given[c].alias(c) for c in given], "bits"]
     offers = to_python(shared.select(*columns), 50_000).mapInArrow(run, "x long, a long, b long, c long")
     offers = offers.groupBy("x", "a", "b").agg(F.sum("c").alias("c"))
     if tries == 1:
@@ -415,31 +494,9 @@ def chained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prev", F.lag("token").over(W.partitionBy("fp").orderBy("pos")))
 
 
-def counted(pairs: DataFrame, shared: DataFrame, rule: Rule) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose prefixes share enough.
-
-    The set whose prefix ends first in the common order has all its other shared shingles behind
-    it, so the shared prefix shingles and the longer rest bound the overlap.
-    """
-    profile = materialise(shared.groupBy("fp").agg(F.first("n").alias("n"), F.collect_list("token").alias("prefix")), "prefixes")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
-            common = np.array([len(np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True))
-                               for x, y in zip(batch.column(4), batch.column(5))], np.int64)
-            rest = np.maximum(na - rule.probe(na), nb - rule.probe(nb))
-            keep = np.flatnonzero(common + rest >= rule.overlap(na + nb))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
-
-    side = lambda x: profile.select(F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("prefix").alias(f"{x}_p"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_p", "b_p")
-    return materialise(to_python(met, 5000).mapInArrow(run, "a long, b long"), "counted")
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(fp, n, ranges, tokens) of the sets in ``wanted`` (fp, doc, line), read from their first units."""
-    places = materialise(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
+def sets_of(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, tokens) of the sets in ``rows`` (fp, doc, line), read from their first units."""
+    places = materialise(rows.select("doc", "line").distinct().groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))
     source = docs.select(key.alias("doc"), "text").join(bounded(places, places.count()), "doc").select("text", "lines")
 
@@ -449,30 +506,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 row, line, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
                 asked = [set(x) for x in part.column(1).to_pylist()]
                 some = np.array([u for u in np.flatnonzero(size > 0).tolist() if line[u] in asked[row[u]]], np.int64)
-                count = [np.bincount((tokens[offset[u]:offset[u + 1]] >> np.uint64(64 - 6)).astype(np.int64), minlength=RANGES).astype("<i4").tobytes() for u in some.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[some]), pa.array(size[some]), pa.array(count, pa.binary()), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())],
-                    names=["fp", "n", "ranges", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())], names=["fp", "tokens"])
 
-    return materialise(to_python(source).mapInArrow(run, "fp long, n long, ranges binary, tokens binary"), "tokens")
+    return materialise(to_python(source).mapInArrow(run, "fp long, tokens binary"), "tokens")
 
 
-def verify(pairs: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of fingerprints that link.
+def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of fingerprints that link: all shingles of both ``sets`` are counted.
 
-    Prefix counts first (``counted``). Then the suffix filter: the sizes of both sets in
-    ``RANGES`` ranges of hash values differ by no more than the pair's allowed distance. Only
-    for what is left are all shingles fetched and counted, once a pair.
+    A pair's sets are sent to one place, once each; sets without a pair are not sent.
     """
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
-            if not len(a):
-                continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, RANGES) for i in (4, 5))
-            keep = np.abs(ra - rb).sum(1) <= na + nb - 2 * rule.overlap(na + nb)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -483,16 +526,7 @@ def verify(pairs: DataFrame, shared: DataFrame, docs: DataFrame, rule: Rule) ->
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-    left = counted(pairs, shared, rule)
-    ends = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = sets_of(docs, shared.select("fp", "doc", "line").distinct().join(ends, "fp", "left_semi"), rule)
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-
-    ranged = (left.join(side("a", "n", "ranges"), "a").join(side("b", "n", "ranges"), "b")
-              .select("a", "b", "a_n", "b_n", "a_ranges", "b_ranges"))
-    ranged = to_python(ranged, 5000).mapInArrow(near, "a long, b long")
-    left = materialise(ranged.distinct(), "pairs")
-    full = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    own = lambda x: F.max(F.when(F.col("fp") == F.col(x), F.col("tokens"))).alias(f"{x}_tokens")
+    full = sets.join(bounded(ends, 2 * pairs.count()), "fp").groupBy("a", "b").agg(own("a"), own("b"))
     return materialise(to_python(full, 200).mapInArrow(exact, "a long, b long").distinct(), "links")
