@@ -10,7 +10,7 @@ from .common import components
 from .setjoin import Rule, candidates, chained, describe, first_tries, near, passing, sets_of, verify
 
 #: Sets of its lists that each set is tried against, turn by turn, before all remaining pairs.
-TRIES = (1, 16)
+TRIES = (1, 16, 16)
 
 
 def _near_groups(edges: DataFrame) -> DataFrame:
