@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import discard, materialise
 
 #: A side of at most so many narrow rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 300_000
@@ -95,13 +95,38 @@ def in_parts(function, text: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), and the smallest node that each reaches: every group is hung on its smallest neighbour, until none is smaller."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[:len(u)], at[len(u):]
+    group = np.arange(len(nodes))
+    while True:
+        low = np.arange(len(nodes))
+        np.minimum.at(low, group[u], group[v])
+        np.minimum.at(low, group[v], group[u])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low[group] == group).all():
+            return nodes, nodes[group]
+        group = low[group]
+
+
+def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``(node, component)`` for every node of undirected ``edges`` (u, v); component: the smallest node.
 
-    Alternating large-star and small-star steps. Each step keeps one edge per node and
-    neighbour, finds minima by an aggregate combined before the shuffle, and is written to the
-    shared folder, so that a lost executor costs one step.
+    ``edges`` are best a written table, as they are counted first. At most ``limit`` are settled at once by one task.
+    More take alternating large-star and small-star steps.
+    Each step keeps one edge per node and neighbour, finds minima by an aggregate combined before the shuffle, and
+    is written to the shared folder, so that a lost executor costs one step.
     """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64), *(np.stack([np.asarray(batch.column(i), np.int64) for i in (0, 1)]) for batch in batches)]
+        found = _least_reached(*np.concatenate(held, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "component"])
+
+    edges = edges.select("u", "v").where("u <> v")
+    if edges.count() <= limit:
+        return to_python(edges.coalesce(1), 50_000).mapInArrow(run, "node long, component long")
     edges = materialise(_tidy(edges), "edges")
     before = None
     while True:
@@ -115,7 +140,8 @@ def components(edges: DataFrame) -> DataFrame:
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v"))
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(_tidy(small.unionByName(first.select("u", F.col("m").alias("v")))), "edges")
+        older, edges = edges, materialise(_tidy(small.unionByName(first.select("u", F.col("m").alias("v")))), "edges")
+        discard(older)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise, tidy_shuffles
 from .common import bounded
 from .setjoin import Rule, candidates, chained, describe, first_tries, near, sets_of, sized, verify
 
@@ -33,14 +33,17 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
     match are done. The others are tried against all earlier sets of their lists, so none is missed and a
     group of similar lines costs a few tests a line, also where only some of its pairs match.
     """
-    rows = candidates(docs, described, rule)
-    sets = sets_of(docs, rows, rule)
-    done, left = None, rows
+    left = candidates(docs, described, rule)
+    places = left.select("doc", "line").distinct()
+    sets = materialise(sets_of(docs, places, places.select("doc").distinct().count(), rule), "tokens")
+    done = None
     for tries in TRIES:
-        best = first_tries(left, rule, by_place=True, tries=tries)
-        new = best.join(verify(best.select("a", "b").distinct(), sets, rule), ["a", "b"]).select("x").distinct()
+        best = materialise(first_tries(left, rule, by_place=True, tries=tries), "tried")
+        found = verify(best.select("a", "b").distinct(), sets, rule)
+        new = best.join(found, ["a", "b"]).select("x").distinct()
         done = materialise(new if done is None else done.unionByName(new).distinct(), "matched")
-        left = _open_lists(rows, done)
+        before, left = left, _open_lists(left.drop("done"), done)
+        discard(before, best, found)
     linked = materialise(chained(left), "chained")
     rest = _side(linked.where("not done"), "x")
     pairs = sized(rest.join(_side(linked, "y"), "token")
@@ -48,6 +51,7 @@ def matched_sets(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame
                   rule).select("x", "a", "b").distinct()
     pairs = materialise(pairs, "crossing")
     more = pairs.join(verify(pairs.select("a", "b").distinct(), sets, rule), ["a", "b"]).select("x").distinct()
+    discard(sets, left, linked)
     return done.unionByName(more).select(F.col("x").alias("fp")).distinct()
 
 
@@ -61,14 +65,18 @@ def removed_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:
     doc_id and text count as one place in the order: their lines go or stay together.
     """
     described = describe(docs, rule)
+    with tidy_shuffles(docs.sparkSession):
+        matched = matched_sets(docs, described, rule)
     units = described.where("slice is null and n > 0").select("doc", "print", "line", "fp")
     key = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("line").alias("line"), F.col("print").alias("print"))
     often = units.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp")
     many = units.join(often, "fp", "left_semi").groupBy("fp").agg(F.min(key).alias("first"))
-    found = many.join(matched_sets(docs, described, rule).withColumn("similar", F.lit(True)), "fp", "full")
+    found = many.join(matched.withColumn("similar", F.lit(True)), "fp", "full")
     lines = units.join(found, "fp").where(F.coalesce("similar", F.lit(False)) | (key > F.col("first")))
     gone = lines.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return materialise(gone.select(F.col("doc").alias("doc_id"), "print", "lines"), "removed")
+    gone = materialise(gone.select(F.col("doc").alias("doc_id"), "print", "lines"), "removed")
+    discard(described)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, rule: Rule = LINES) -> DataFrame:

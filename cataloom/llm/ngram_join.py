@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise, tidy_shuffles
 from .common import components
-from .setjoin import Rule, candidates, chained, describe, first_tries, near, passing, sets_of, verify
+from .setjoin import Rule, candidates, chained, describe, first_tries, linked, long_marks_of, narrowed, near, passing
 
 #: Sets of its lists that each set is tried against, turn by turn, before all remaining pairs.
 TRIES = (1, 16, 16)
 
 
-def _near_groups(edges: DataFrame) -> DataFrame:
-    """(fp, label): the least set within two links; sets of one label are linked, if not all linked sets have one label."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-    return both.join(least, "v").groupBy(F.col("u").alias("fp")).agg(F.min("m").alias("label"))
+def _groups(links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(fp, label) of the sets that ``links`` (a, b) and the groups ``before`` join, with the least set of each group."""
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if before is not None:
+        edges = edges.unionByName(before.select(F.col("fp").alias("u"), F.col("label").alias("v")))
+    return components(edges).select(F.col("node").alias("fp"), F.col("component").alias("label"))
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -28,34 +29,36 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _crossing(rows: DataFrame, rule: Rule) -> DataFrame:
-    """All candidate pairs whose sets are in different groups so far."""
-    rows = materialise(chained(rows), "chained")
+    """All candidate pairs of ``chained`` rows whose sets are in different groups so far."""
     side = lambda x: rows.select("token", F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", "prev", "label", "bits")])
     index = side("a").where(F.expr(f"a_pos < a_n - ceil(a_n * {2 * rule.num} / {rule.num + rule.den}) + 1"))
     pairs = (index.join(side("b"), "token")
              .where("a_label <> b_label and (a_n < b_n or a_n = b_n and a < b) and coalesce(a_prev <> b_prev, true)").where(passing(rule)).where(near(rule)))
-    return materialise(pairs.select("a", "b").distinct(), "crossing")
+    return pairs.select("a", "b").distinct()
 
 
 def _named(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, print, n, key) of each row: its text's 64-bit hash, the size of its set and its component's key."""
     described = describe(docs, rule)
-    units = described.where("slice is null").select("doc", "print", "n", "fp")
-    rows = candidates(docs, described, rule)
-    sets = sets_of(docs, rows, rule)
-    link = lambda pairs: verify(pairs, sets, rule).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges, left = None, rows
+    left = candidates(docs, described, rule)
+    marks = long_marks_of(docs, left, rule)
+    groups = None
     for turn, tries in enumerate(TRIES):
-        found = link(first_tries(left, rule, False, turn, tries).select("a", "b").distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        if turn < len(TRIES) - 1:
-            left = _mixed(rows, _near_groups(edges))
-    labels = materialise(components(edges), "labels")
-    left = _mixed(rows, labels.select(F.col("node").alias("fp"), F.col("component").alias("label")))
-    edges = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(link(_crossing(left, rule)))
-    labels = components(edges).select(F.col("node").alias("fp"), "component")
-    named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("component", "fp"))
-    return materialise(named.select("doc", "print", "n", "key"), "named")
+        pairs = narrowed(first_tries(left, rule, False, turn, tries).select("a", "b").distinct(), marks, rule, "tried")
+        links = linked(docs, pairs, rule)
+        older, groups = groups, materialise(_groups(links, groups), "labels")
+        before, left = left, _mixed(left.drop("label"), groups)
+        discard(before, pairs, links, *([older] if older else []))
+    rows = materialise(chained(left), "chained")
+    pairs = narrowed(_crossing(rows, rule), marks, rule, "crossing")
+    discard(left, rows, marks)
+    links = linked(docs, pairs, rule)
+    labels = _groups(links, groups)
+    units = described.where("slice is null").select("doc", "print", "n", "fp")
+    named = units.join(labels, "fp", "left").withColumn("key", F.coalesce("label", "fp"))
+    named = materialise(named.select("doc", "print", "n", "key"), "named")
+    discard(described, groups, pairs, links)
+    return named
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -72,7 +75,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     its group is named by the smallest doc_id that is not null, if any. Rows that repeat a
     doc_id are separate documents of one name.
     """
-    named = _named(docs, rule)
+    with tidy_shuffles(docs.sparkSession):
+        named = _named(docs, rule)
     least = named.where("n > 0").groupBy("key").agg(F.min("doc").alias("least"))
     full = named.where("n > 0").join(least, "key").select("doc", "n", "least")
     return full.unionByName(named.where("n = 0").select("doc", "n", F.col("doc").alias("least"))).select(
@@ -85,7 +89,8 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     A row goes by its own doc_id and text, so a document that only shares its doc_id with a duplicate stays.
     Of rows that repeat both, one stays. Rows without words all stay.
     """
-    named = _named(docs, rule).where("n > 0")
+    with tidy_shuffles(docs.sparkSession):
+        named = _named(docs, rule).where("n > 0")
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("print").alias("print"))
     firsts = named.groupBy("key").agg(F.min(place).alias("first"))
     rows = named.join(firsts, "key").groupBy(F.col("doc").alias("__llm_id"), F.col("print").alias("__llm_print")).agg(

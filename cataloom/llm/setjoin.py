@@ -9,7 +9,11 @@ The steps, each a Spark job over the whole table:
    the shingles that at least two sets have in their prefixes.
 3. ``candidates`` keeps the postings that have a partner in their list: ``passing`` states the length and
    positional filters for two sets that share a shingle, ``near`` the filter on the marks of both sets.
-4. ``sets_of`` reads the sets that are left once, and ``verify`` counts the shared shingles, once per pair.
+4. ``long_marks_of`` reads the sets that are left once and marks them with twice as many bits as they have
+   shingles; ``narrowed`` drops the pairs whose long marks are too far apart for a link.
+5. ``sets_of`` reads the sets of the pairs that are left, and ``verify`` counts the shared shingles, once per pair.
+
+Tables that no later step reads are deleted, and shuffle files go with the step that wrote them.
 
 A shingle is a 64-bit hash of its words and a set a 64-bit sum of its mixed shingles: two
 different sets among 10**10 share a fingerprint with a chance of about one in a few.
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialise
+from ..session import discard, materialise, tidy_shuffles
 from .common import BROADCAST_ROWS, bounded, byte_view, release, slices, to_python
 
 BITS, SLICES = 22, 64
@@ -35,6 +39,12 @@ BITS, SLICES = 22, 64
 HOT = 1 << 17
 #: Postings that one block of the reduce side should hold.
 BUCKET_ROWS = 200_000
+#: Postings that a task of the map side holds before it sends them, so that a block is not a few rows.
+HELD_ROWS = 500_000
+#: Bits of the long marks of a set, at least and at most.
+LONG_BITS = 1 << 9, 1 << 17
+#: Long marks of all sets that may be broadcast.
+MARK_BYTES = 8 << 20
 #: Longer lists keep all their postings, so that the search for partners costs no more than this a posting.
 LONG = 256
 _NO_DOC = (1 << 63) - 1
@@ -281,9 +291,21 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
     hot = int(4 * np.log2(HOT))
     kinds = ["<u8", "<i8", *["<u8"] * rule.carried, "<i4", "<i4"]
 
+    def blocks_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        bucket, *columns = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(edges))
+        columns = [x[order] for x in columns]
+        # the bytes of a small number lie apart, all first ones, all second ones: the upper ones are zeros and cost nothing
+        planes = [x if x.itemsize == 8 else x.view("u1").reshape(-1, x.itemsize) for x in columns]
+        blocks = [b"".join(c[edges[b]:edges[b + 1]].T.tobytes() for c in planes) for b in used]
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
         sent: set[int] = set()
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, 0):
                 _, _, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
@@ -307,13 +329,12 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
                 tokens, cls, unit, pos = tokens[pre], cls[pre], unit[pre], pos[pre]
                 spread = np.where(cls >= hot, mix(fp[unit].view(np.uint64)), mix(tokens ^ _M3))
                 bucket = (spread % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(edges))
-                unit = unit[order]
-                columns = [tokens[order], fp[unit], *[bits[unit, i] for i in range(rule.carried)], size[unit].astype("<i4"), pos[order].astype("<i4")]
-                blocks = [b"".join(c[edges[b]:edges[b + 1]].tobytes() for c in columns) for b in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+                held.append([bucket, tokens, fp[unit], *[bits[unit, i] for i in range(rule.carried)], size[unit].astype("<i4"), pos.astype("<i4")])
+                if sum(len(x[0]) for x in held) > HELD_ROWS:
+                    yield blocks_of(held)
+                    held = []
+        if held:
+            yield blocks_of(held)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(classes.value, np.uint8)
@@ -328,8 +349,10 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
             for block in blocks:
                 m, at = len(block) // width, 0
                 for i, kind in enumerate(kinds):
-                    parts[i].append(np.frombuffer(block, kind, m, at))
-                    at += m * np.dtype(kind).itemsize
+                    size = np.dtype(kind).itemsize
+                    column = np.frombuffer(block, "u1", m * size, at)
+                    parts[i].append(column.view(kind) if size == 8 else np.ascontiguousarray(column.reshape(size, m).T).view(kind).reshape(m))
+                    at += m * size
             columns = [np.concatenate(p) for p in parts]
             order = np.lexsort((columns[1], columns[0]))
             columns = [x[order] for x in columns]
@@ -355,7 +378,9 @@ def postings(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
         return found
     shared = found.where("size = 0").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     kept = found.where("size = 0").join(shared, "token", "left_semi").unionByName(found.where("size > 0"))
-    return materialise(kept, "postings")
+    kept = materialise(kept, "postings")
+    discard(found)
+    return kept
 
 
 def marks_of(described: DataFrame, shared: DataFrame) -> DataFrame:
@@ -392,15 +417,18 @@ def candidates(docs: DataFrame, described: DataFrame, rule: Rule) -> DataFrame:
         keep = partnered(token, fp, n, pos, bits, np.asarray(part.column(7)), rule)
         return part.select(range(7)).filter(pa.array(keep))
 
-    shared = postings(docs, described, rule)
-    marks = marks_of(described, shared)
-    sets = marks.count()
+    with tidy_shuffles(docs.sparkSession):
+        shared = postings(docs, described, rule)
+        marks = marks_of(described, shared)
+        sets = marks.count()
     rows = shared.join(bounded(marks, sets), "fp").select("token", "fp", "n", "pos", "doc", "line", "bits", "size")
     if sets > BROADCAST_ROWS:
         rows = rows.repartition("token").sortWithinPartitions("token")
     if not rule.carried:
         rows = to_python(rows, 50_000).mapInArrow(run, rows.drop("size").schema)
-    return materialise(rows.select("token", "fp", "n", "pos", "doc", "line", "bits"), "candidates")
+    rows = materialise(rows.select("token", "fp", "n", "pos", "doc", "line", "bits"), "candidates")
+    discard(shared, marks)
+    return rows
 
 
 def near(rule: Rule, one: str = "a", other: str = "b") -> Column:
@@ -482,7 +510,7 @@ def first_tries(shared: DataFrame, rule: Rule, by_place: bool, turn: int = 0, tr
     else:
         most = W.partitionBy("x").orderBy(F.desc("c"), "a", "b")
         best = offers.withColumn("r", F.row_number().over(most)).where(F.col("r") <= tries).select("x", "a", "b")
-    return materialise(best, "tried")
+    return best
 
 
 def chained(rows: DataFrame) -> DataFrame:
@@ -494,21 +522,93 @@ def chained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prev", F.lag("token").over(W.partitionBy("fp").orderBy("pos")))
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
-    """(fp, tokens) of the sets in ``rows`` (fp, doc, line), read from their first units."""
-    places = materialise(rows.select("doc", "line").distinct().groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
+def _at_places(docs: DataFrame, places: DataFrame, count: int) -> DataFrame:
+    """(text, doc, lines) of the rows of ``docs`` whose doc_id is among the ``places`` (doc, line), ``count`` at most.
+
+    Where there are too many places for a broadcast, other texts go before the shuffle, if the ids alone may be broadcast.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))
-    source = docs.select(key.alias("doc"), "text").join(bounded(places, places.count()), "doc").select("text", "lines")
+    source = docs.select(key.alias("doc"), "text")
+    if BROADCAST_ROWS < count <= 8 * BROADCAST_ROWS:
+        source = source.join(F.broadcast(places.select("doc").distinct()), "doc", "left_semi")
+    lines = places.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    return source.join(bounded(lines, count), "doc").select("text", "doc", "lines")
+
+
+def _units_at(part: pa.RecordBatch, rule: Rule):
+    """Fingerprints and lines of the asked units of ``_at_places`` rows, and their shingles with offsets."""
+    row, line, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
+    asked = [set(x) for x in part.column(2).to_pylist()]
+    some = np.array([u for u in np.flatnonzero(size > 0).tolist() if line[u] in asked[row[u]]], np.int64)
+    return some, row, line, fp, tokens, offset
 
+
+def sets_of(docs: DataFrame, places: DataFrame, count: int, rule: Rule) -> DataFrame:
+    """(fp, tokens) of the sets at ``places`` (doc, line), ``count`` at most, read from their first units."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                row, line, _, size, fp, tokens, offset = unit_sets(part.column(0), rule)
-                asked = [set(x) for x in part.column(1).to_pylist()]
-                some = np.array([u for u in np.flatnonzero(size > 0).tolist() if line[u] in asked[row[u]]], np.int64)
+                some, _, _, fp, tokens, offset = _units_at(part, rule)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array([tokens[offset[i]:offset[i + 1]].tobytes() for i in some], pa.binary())], names=["fp", "tokens"])
 
-    return materialise(to_python(source).mapInArrow(run, "fp long, tokens binary"), "tokens")
+    return to_python(_at_places(docs, places, count)).mapInArrow(run, "fp long, tokens binary")
+
+
+def long_marks(tokens: np.ndarray) -> bytes:
+    """The size of a set, and its marks of two bits or more a shingle, a power of two; halves laid over each other are the marks of half the bits."""
+    least, most = LONG_BITS
+    bits = min(most, max(least, 1 << (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((mix(tokens ^ _M2) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.int64(len(tokens)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def long_near(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    """Whether two ``long_marks``, as 64-bit words, differ in no more bits than similar sets may differ in shingles."""
+    total = int(x[0]) + int(y[0])
+    x, y = x[1:], y[1:]
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= total - 2 * rule.overlap(total)
+
+
+def long_marks_of(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, doc, line, long) of the sets in ``rows`` (doc, line), read from their first units; marked for broadcast if small."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                some, row, line, fp, tokens, offset = _units_at(part, rule)
+                doc = part.column(1).take(pa.array(row[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[some]), doc, pa.array(line[some].astype(np.int32)), pa.array([long_marks(tokens[offset[i]:offset[i + 1]]) for i in some], pa.binary())],
+                                                 names=["fp", "doc", "line", "long"])
+
+    places = rows.select("doc", "line").distinct()
+    found = to_python(_at_places(docs, places, places.select("doc").distinct().count())).mapInArrow(run, "fp long, doc long, line int, long binary")
+    found = materialise(found.groupBy("fp").agg(F.min(F.struct("doc", "line", "long")).alias("one")).select("fp", "one.*"), "long")
+    size = found.agg(F.sum(F.octet_length("long"))).first()[0] or 0
+    small = bounded(found, size, MARK_BYTES)
+    small.scratch = found.scratch
+    return small
+
+
+def narrowed(pairs: DataFrame, marks: DataFrame, rule: Rule, tag: str) -> DataFrame:
+    """(a, b, a_doc, a_line, b_doc, b_line): the distinct ``pairs`` (a, b) that may link by their sets' long ``marks``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = zip(batch.column(6), batch.column(7))
+            keep = [long_near(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), rule) for x, y in ends]
+            yield batch.select(range(6)).filter(pa.array(keep, pa.bool_()))
+
+    end = lambda x: marks.select(F.col("fp").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("doc", "line", "long")])
+    full = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").select("a", "b", "a_doc", "a_line", "b_doc", "b_line", "a_long", "b_long")
+    return materialise(to_python(full).mapInArrow(run, full.drop("a_long", "b_long").schema), tag)
+
+
+def linked(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the ``narrowed`` pairs that link; their sets are read for this, each once, and not kept."""
+    places = pairs.select(F.inline(F.array(*[F.struct(F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_line").alias("line")) for x in "ab"])))
+    return verify(pairs, sets_of(docs, places, 2 * pairs.count(), rule), rule)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -529,4 +629,4 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
     own = lambda x: F.max(F.when(F.col("fp") == F.col(x), F.col("tokens"))).alias(f"{x}_tokens")
     full = sets.join(bounded(ends, 2 * pairs.count()), "fp").groupBy("a", "b").agg(own("a"), own("b"))
-    return materialise(to_python(full, 200).mapInArrow(exact, "a long, b long").distinct(), "links")
+    return materialise(to_python(full, 200).mapInArrow(exact, "a long, b long"), "links")

@@ -277,3 +277,69 @@ def test_long_and_cut_lists_keep_their_postings(monkeypatch):
     assert kept(3) == [True, False, True] and kept(4) == kept(0) == [True] * 3
     monkeypatch.setattr(setjoin, "LONG", 2)
     assert kept(3) == [True] * 3
+
+
+def test_long_marks_drop_pairs_of_long_sets_that_do_not_link():
+    """512 bits are full for long sets, so that any pair passes; the long marks tell, and keep every pair that links."""
+    import numpy as np
+
+    rule = setjoin.Rule()
+    words = [f"w{i}" for i in range(6_000)]
+    texts = [" ".join(words[:3_000]), " ".join(words[3_000:]), " ".join(words[100:3_050]), " ".join(words[:1_600]), " ".join(words[1_000:4_000]), " ".join(words[:5_900]), "a b", "a b c"]
+    *_, tokens, offset = setjoin.unit_sets(pa.array(texts), rule)
+    sets = [tokens[a:b] for a, b in itertools.pairwise(offset.tolist())]
+    short = setjoin.set_marks(tokens, offset, rule.marks).view(np.uint64)
+    long = [np.frombuffer(setjoin.long_marks(s), "<u8") for s in sets]
+    assert int(np.bitwise_count(short[0] ^ short[1]).sum()) <= 2 * 2_996 - 2 * rule.overlap(2 * 2_996)
+    links = {(i, j) for i, j in itertools.product(range(len(sets)), repeat=2) if similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    kept = {(i, j) for i, j in itertools.product(range(len(sets)), repeat=2) if setjoin.long_near(long[i], long[j], rule)}
+    assert links <= kept and (0, 2) in links and not {(0, 1), (1, 0), (0, 3), (0, 5), (5, 0)} & kept
+
+
+def test_texts_that_share_only_a_passage_are_not_read_again(spark, monkeypatch):
+    """Long texts with one passage in common meet in their lists, but no set of theirs is sent to be counted."""
+    read, write = {}, setjoin.materialise
+
+    def counting(df, tag, *more):
+        got = write(df, tag, *more)
+        read[tag] = read.get(tag, 0) + (got.count() if tag in ("tried", "crossing") else 0)
+        return got
+
+    for module in (setjoin, ngram_join):
+        monkeypatch.setattr(module, "materialise", counting)
+    rows = [(i, " ".join([*(f"p{j}" for j in range(40)), *(f"w{i}_{j}" for j in range(3_000))])) for i in range(12)]
+    rows += [(100, rows[0][1] + " x"), (101, rows[3][1] + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == groups(docs.collect())
+    assert read["tried"] + read["crossing"] == 2
+
+
+def test_no_step_leaves_its_tables_or_shuffle_files(spark, monkeypatch, tmp_path):
+    """The disk holds what later steps read: of all tables one is left, which the result reads, and the setting is as before."""
+    import os
+
+    from cataloom import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    before = spark.conf.get(session.CLEANUP)
+    rows = copies_that_link_in_part(20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = near_duplicates(docs)
+    assert [x.split("-")[0] for x in os.listdir(tmp_path / "cataloom") if not x.startswith("edges")] == ["named"]
+    assert sorted(map(tuple, got.collect()), key=repr) == groups(docs.collect())
+    assert spark.conf.get(session.CLEANUP) == before
+
+
+@pytest.mark.parametrize("limit", [0, 1_000])
+def test_components_by_one_task_and_by_steps(spark, limit):
+    from cataloom.llm.common import components
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(-30, 20)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)] + [(300, 301), (301, 300), (5, 5)]
+    home = {x: x for e in edges for x in e}
+    for _ in home:
+        for u, v in edges:
+            home[u] = home[v] = min(home[u], home[v])
+    alone = {u for u, v in edges if u == v and sum(u in e for e in edges) == 1}
+    got = components(spark.createDataFrame(edges, "u long, v long"), limit).collect()
+    assert sorted(map(tuple, got)) == sorted((x, c) for x, c in home.items() if x not in alone)
