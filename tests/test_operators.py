@@ -208,6 +208,21 @@ def test_nearest_and_radius_against_brute_force(spark, spread):
         assert near == {(s, x[1]) for s, a, b in points if a is not None for x in places if km(a, b, x[2], x[3]) <= radius}
 
 
+def test_radius_join_deals_a_crowded_cell_over_many_tasks(spark, monkeypatch):
+    """All points and places in one cell, some repeated: each pair is met once, and no task makes a third of them."""
+    monkeypatch.setattr(geo_join, "RADIUS_PAIRS", 400, raising=False)
+    monkeypatch.setattr(geo_join, "RADIUS_SIDE", 10, raising=False)
+    rnd = random.Random(5)
+    place = lambda: (rnd.uniform(51.01, 51.09), rnd.uniform(4.01, 4.09))
+    points = [(f"p{i}", *place()) for i in range(90)] + [("p0", 51.05, 4.05), ("p0", 51.05, 4.05), (None, 51.05, 4.05), ("far", -30.0, 4.0), ("none", None, None)]
+    places = [(f"t{i}", *place()) for i in range(70)] + [("t0", 51.02, 4.02), ("t0", 51.02, 4.02)]
+    near = geo_join.radius_join(spark.createDataFrame(points, "slug string, lat double, lon double"), spark.createDataFrame(places, "place string, lat double, lon double"), 25.0)
+    got = near.withColumn("task", F.spark_partition_id()).collect()
+    want = [(s, x[0]) for s, a, b in points if a is not None for x in places if km(a, b, x[1], x[2]) <= 25.0]
+    assert Counter((r.slug, r.place) for r in got) == Counter(want) and len(want) > 6_000
+    assert max(Counter(r.task for r in got).values()) < len(want) / 3
+
+
 def test_nearest_compares_few_pairs_in_a_dense_spot(spark):
     """All places but one far one within some hundred metres: pairs grow with the points, not with their square."""
     def around(n, seed):
